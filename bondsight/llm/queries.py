@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondsight.llm import decontaminate, mixing, quality, shared, suffixtree, tokenbin, windows
+from bondsight.llm import covertree, decontaminate, minhash, mixing, quality, shared, suffixarray, suffixtree, tokenbin, tokencount, windows
 from bondsight.llm.shared import table
 
 QUALITY_FOLDS, QUALITY_HELD = 3, 1
@@ -21,11 +21,21 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> bytes | None:
     """Learned from labelled rows outside the held-out third."""
     labels = table(spark, sf_dir, "labels").where(shared.crc_rest(F.col("doc_id"), QUALITY_FOLDS) != QUALITY_HELD)
@@ -56,8 +66,24 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"), shared.crc_rest(F.col("doc_id"), MODEL_FOLDS) == MODEL_HELD)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.zipf_vocabulary(pieces()))
+
+
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_quality, op4_substring_dedup, op5_token_files, op6_mixing, op7_suffix_tree)
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_minhash, op3_quality, op4_substring_dedup, op5_token_files,
+        op6_mixing, op7_suffix_tree, op8_token_counts, op9_cover_tree, op10_suffix_array,
+    )
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -56,8 +56,9 @@ def _deal(keys_of: Keys, buckets: int, distinct: bool) -> Callable[[Iterator[pa.
             bucket, text = (other % np.uint64(buckets)).astype(np.int64), hashes[row]
             heads = begin[:-1][many[begin[:-1]]] if len(keys) else begin[:0]
             for kind, where in ((QUERY, ~many), (WITNESS, heads), (KNOWN, many)):
-                if len(keys[where]):
-                    yield _packed(kind, bucket[where], text[where], keys[where])
+                if len(keys[where]):  # what is known needs no meeting, and is spread
+                    to = (text % buckets if kind == KNOWN else bucket)[where]
+                    yield _packed(kind, to, text[where], keys[where])
 
     return deal
 
