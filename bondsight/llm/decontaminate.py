@@ -23,6 +23,7 @@ BROADCAST_ROWS = 1_000_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["doc_id", "text_hash"]
+NO_ID = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -43,7 +44,7 @@ def item_words(items: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: (term, doc_id, text_hash, pos) of all places in docs of the words in `terms`(word, term)."""
     docs = shared.documents(docs)
-    places = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    places = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(words(F.col("text"))).alias("pos", "word"))
     return shared.settle(places.join(small(terms), "word").select("term", *KEY, "pos"))
 
 
@@ -100,18 +101,31 @@ def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
     return found.join(sets.select("win", "item_id"), "win").select(*KEY, "item_id", F.col("anchor").alias("pos")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row for each row of docs: n_words, n_hit (words inside an occurrence), n_items, item_ids, contaminated."""
+def occurrences(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """All places of the items' windows in docs, and which items have which window. A null doc_id is NO_ID here."""
     items = item_words(items)
     wins, of = windows(items, size)
     index = postings(docs, items.select(F.explode("words").alias("word")).distinct().withColumn("term", F.xxhash64("word")))
-    found = shared.settle(phrases(index, wins))
+    return shared.settle(phrases(index, wins)), of
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """docs' own columns; rows that hold a window of an item go."""
+    found, _ = occurrences(docs, items, size)
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    return docs.join(gone, key, "left_anti")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """One row for each row of docs: n_words, n_hit (words inside an occurrence), n_items, item_ids, contaminated."""
+    found, of = occurrences(docs, items, size)
     hit = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     named = found.select(*KEY, "win").distinct().join(small(of), "win").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     both = _same(hit, named)
     docs = shared.documents(docs)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = _same(base, both.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)))), "left")
+    out = _same(base, both.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))

@@ -187,8 +187,8 @@ def _may_be(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), kept."""
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row for each row of docs: doc_id, md5 of its text, class_id, kept."""
     spark = shared.session(docs)
     docs = shared.documents(docs)
     weights = spark.sparkContext.broadcast(document_weights(docs.select("text")))
@@ -229,11 +229,24 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             roots = components(links)
         elif not rest.limit(1).count():
             break
-    classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    out = signed.select("doc_id", "md5").join(classes.join(ids, "root").select("md5", "class_id"), "md5", "left")
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("class_id"))
+    out = signed.select("doc_id", "md5").join(placed.join(ids, "root").select("md5", "class_id"), "md5", "left")
     class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"))
+    return out.select("doc_id", "md5", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs' own columns; one row of each class stays, that of its smallest doc_id."""
+    stay = classes(docs, similar).where("kept").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_stay")).distinct()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_md5"))
+    own = own.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_stay")), "left_semi")
+    return own.dropDuplicates(["_doc", "_md5"]).select("_row.*")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), kept."""
+    return classes(docs, similar).drop("md5")
 
 
 def _blocks(rest: DataFrame) -> DataFrame:

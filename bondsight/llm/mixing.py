@@ -62,17 +62,36 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("source", "below")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, times (passes) and taken (words)."""
+def sizes(docs: DataFrame) -> DataFrame:
     docs = shared.documents(docs, "source")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(shared.TEXT_WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("hash"))
-    sized = shared.settle(sized)
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(shared.TEXT_WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("hash"))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Of each source (_source): source_size, target, passes, and the hash digits below which one pass more is taken."""
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goal = goal.withColumn("passes", F.least(F.floor(F.try_divide("target", "source_size")), F.lit(most)))
-    goal = shared.settle(goal.withColumn("passes", F.coalesce("passes", F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-    below = thresholds(sized, goal.where("rest > 0"))
-    goal = goal.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
-    extra = (F.shiftrightunsigned(F.col("hash"), 64 - BITS * LEVELS) < F.col("below")) & (F.col("passes") < most)
-    times = F.col("passes") + F.coalesce(extra, F.lit(False)).cast("long")
-    both = sized.join(goal, F.col("source").eqNullSafe(F.col("s")), "left")
-    return both.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    passes = F.coalesce(F.least(F.floor(F.try_divide("target", "source_size")), F.lit(most)), F.lit(0)).cast("long")
+    goal = shared.settle(goal.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    below = thresholds(sized, goal.where((F.col("rest") > 0) & (F.col("passes") < most))).withColumnRenamed("source", "_source")
+    both = goal.join(below, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return shared.settle(both.select(F.col("source").alias("_source"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")))
+
+
+def times(hash_: F.Column) -> F.Column:
+    return F.col("passes") + (F.shiftrightunsigned(hash_, 64 - BITS * LEVELS) < F.col("below")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, times (passes) and taken (words)."""
+    sized = shared.settle(sizes(docs))
+    both = sized.join(plan(sized, weights, most), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("times", times(F.col("hash")))
+    return both.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs' own columns; each row as many times as the mix takes it."""
+    goal = plan(shared.settle(sizes(docs)), weights, most).select("_source", "passes", "below")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("source").cast("string").alias("_own"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_hash"))
+    rows = rows.join(goal, F.col("_own").eqNullSafe(F.col("_source")), "left").withColumn("_times", times(F.col("_hash")).cast("int")).where("_times > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
