@@ -1,7 +1,7 @@
 """Which keys of a text stand anywhere else: keys dealt out by bucket, counted, and the repeated ones returned.
 
 A text's keys travel as packed arrays, one row for each bucket and batch, so that a shuffled key costs little over
-its 8 bytes. What repeats inside a batch is known there: one witness for each such key goes to its bucket, and no
+its 8 bytes; answers travel back the same way, by text. What repeats inside a batch is known there: one witness for each such key goes to its bucket, and no
 bucket gets more rows of a key than there are batches. Buckets are as many as the size of the input asks for.
 """
 
@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bondsight.llm.arrays import binary, lists, numbers, pieces, runs
 
@@ -55,15 +54,22 @@ def _deal(keys_of: Keys, buckets: int, distinct: bool) -> Callable[[Iterator[pa.
             many = np.repeat(np.diff(begin) > 1, np.diff(begin))
             bucket, text = (other % np.uint64(buckets)).astype(np.int64), hashes[row]
             heads = begin[:-1][many[begin[:-1]]] if len(keys) else begin[:0]
+            salt = int(hashes[0]) % buckets
             for kind, where in ((QUERY, ~many), (WITNESS, heads), (KNOWN, many)):
-                if len(keys[where]):  # what is known needs no meeting, and is spread
-                    to = (text % buckets if kind == KNOWN else bucket)[where]
-                    yield _packed(kind, to, text[where], keys[where])
+                some, whose, to = keys[where], text[where], bucket[where]
+                if kind == KNOWN:  # what is known needs no meeting: each text's keys once, spread over buckets
+                    some, whose = _once(some, whose)
+                    to = (whose + salt) % buckets
+                if len(some):
+                    yield _packed(kind, to, whose, some)
 
     return deal
 
 
-def _meet(distinct: bool) -> Callable[[pa.Table], pa.Table]:
+EMPTY = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("texts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("keys", pa.binary())])
+
+
+def _meet(buckets: int, distinct: bool) -> Callable[[pa.Table], pa.Table]:
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         kind = group["kind"].to_numpy()
@@ -85,23 +91,35 @@ def _meet(distinct: bool) -> Callable[[pa.Table], pa.Table]:
             rep = np.repeat((np.add.reduceat(news, begin[:-1]) > 1) | np.maximum.reduceat(w, begin[:-1]), size)
             known[order[rep & ~w]] = True
         answer = known & ~witness
-        text, keys = text[answer], keys[answer]
-        order = np.lexsort((keys, text))
-        text, keys = text[order], keys[order]
-        if len(keys):
-            once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])
-            text, keys = text[once], keys[once]
-        at = runs(text)
-        return pa.table({"text_hash": pa.array(text[at[:-1]], pa.int64()), "keys": binary(keys, at)})
+        keys, text = _once(keys[answer], text[answer])
+        parts = (text % buckets).astype(np.int64)
+        return pa.Table.from_batches([_packed(KNOWN, parts, text, keys)]) if len(keys) else pa.Table.from_batches([], EMPTY)
 
     return meet
 
 
+def _once(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (text, key) once, ordered."""
+    order = np.lexsort((keys, text))
+    text, keys = text[order], keys[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])]) if len(keys) else np.zeros(0, bool)
+    return keys[new], text[new]
+
+
+def _unpack(group: pa.Table) -> pa.Table:
+    """One row for each text: all its answers lie in one group."""
+    group = group.combine_chunks()
+    keys = numbers(group["keys"].chunk(0), np.uint64)[0]
+    keys, text = _once(keys, np.repeat(group["texts"].chunk(0).flatten().to_numpy(), group["counts"].chunk(0).flatten().to_numpy()))
+    at = runs(text)
+    return pa.table({"text_hash": pa.array(text[at[:-1]], pa.int64()), "keys": binary(keys, at)})
+
+
 def repeated_keys(texts: DataFrame, keys_of: Keys, buckets: int, distinct: bool = False) -> DataFrame:
-    """Rows (text_hash, keys): of each text, the keys that stand at two places of the table or more.
+    """Rows (text_hash, keys), one a text: its keys that stand at two places of the table or more.
 
     texts: (text_hash long, text). distinct: places in equal texts, or in one text, count as one.
     """
     dealt = texts.select("text_hash", "text").mapInArrow(_deal(keys_of, buckets, distinct), PACKED)
-    found = dealt.groupBy("bucket").applyInArrow(_meet(distinct), REPLY)
-    return found.groupBy("text_hash").agg(F.collect_list("keys").alias("keys"))
+    found = dealt.groupBy("bucket").applyInArrow(_meet(buckets, distinct), PACKED)
+    return found.groupBy("bucket").applyInArrow(_unpack, REPLY)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task turns into numpy arrays at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 TEXT_WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +59,6 @@ def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def bucket_count(df: DataFrame, total: float, each: float = 32e6) -> int:
+def bucket_count(df: DataFrame, total: float, each: float = 12e6) -> int:
     """Buckets of about `each` bytes; at least as many as shuffle partitions, so that no task stays idle."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / each) + 1)

@@ -108,7 +108,7 @@ def _parse(buckets: int):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, off = flat(batch.column("text"))
-            keys = np.unique(numbers(batch.column("keys").flatten(), np.uint64)[0])
+            keys = np.unique(numbers(batch.column("keys"), np.uint64)[0])
             key, lo, hi, at = phrases(data, off, keys)
             if not len(key):
                 continue
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     keys = repeated_keys(docs, _keys, shared.bucket_count(docs, 0.6 * total), distinct=True)
     firsts = docs.groupBy("text_hash", "md5").agg(F.min("doc_id").alias("first"))
     held = docs.join(firsts.join(keys, "text_hash"), ["text_hash", "md5"]).where("doc_id = first").select("doc_id", "text_hash", "text", "keys")
-    spans = held.mapInArrow(_parse(shared.bucket_count(docs, total, 24e6)), PHRASES).groupBy("bucket").applyInArrow(_own, SPANS)
+    spans = held.mapInArrow(_parse(shared.bucket_count(docs, total, 8e6)), PHRASES).groupBy("bucket").applyInArrow(_own, SPANS)
     spans = spans.groupBy("text_hash").agg(F.collect_list("spans").alias("spans"))
     both = docs.join(firsts.join(spans, "text_hash", "left"), ["text_hash", "md5"], "left")
     mine = F.when(F.col("doc_id") == F.col("first"), F.col("spans"))

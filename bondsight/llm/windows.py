@@ -41,7 +41,7 @@ def _cut(size: int, texts: bool):
             data, off = flat(batch.column("text"))
             start, end, first = words(data, off)
             at, _ = window_starts(first, size)
-            found, _ = numbers(batch.column("keys").flatten(), np.uint64)
+            found, _ = numbers(batch.column("keys"), np.uint64)
             hit = at[np.isin(windows_hash(word_hashes(data, start, end), at, size, BASE), found)] if len(found) else at[:0]
             gone = covered(len(start), hit, hit + size)
             row = np.repeat(np.arange(len(batch)), np.diff(first))
@@ -85,5 +85,5 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, texts: bool = True) -> D
     shared.session(docs)
     docs = shared.documents(docs).withColumn("text_hash", F.xxhash64("text"))
     keys = repeated_keys(docs, _keys(size), shared.bucket_count(docs, 1.3 * shared.text_bytes(docs)))
-    both = docs.join(keys, "text_hash", "left").select("doc_id", "text", F.coalesce("keys", F.array().cast("array<binary>")).alias("keys"))
+    both = docs.join(keys, "text_hash", "left").select("doc_id", "text", F.coalesce("keys", F.lit(b"")).alias("keys"))
     return both.mapInArrow(_cut(size, texts), OUT)
