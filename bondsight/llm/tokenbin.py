@@ -1,6 +1,6 @@
 """Operator 5, token-id files: static range asymmetric numeral systems in interleaved, independent blocks.
 
-Documents are encoded in ascending doc_id (null first, then by text), an end id after each, and packed into files of
+Documents are encoded in ascending doc_id (null first, then by a hash of the text), an end id after each, and packed into files of
 whole documents with about FILE_IDS ids. A file is a row of bytes in a Parquet table, so that any store that Spark
 writes will do: magic, counts, one frequency table that all its blocks share, the documents' ids and lengths, then
 blocks. A block has LANES interleaved coders of BLOCK ids in all, a crc32, and a checkpoint (all coders' states and
@@ -258,13 +258,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
     """Encode docs (doc_id, text) and write the files to `out`, in ascending doc_id over shards and parts."""
-    spark = shared.session(docs)
+    shared.session(docs)
     docs = shared.documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     n = shared.bucket_count(docs, shared.text_bytes(docs), 24e6)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
-    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_pack(tokenizer_path), FILE).write.parquet(out)
-    assert spark is not None
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]  # hashes, as what is ordered by is sampled to the driver
+    dealt = docs.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(_pack(tokenizer_path), FILE).write.parquet(out)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
