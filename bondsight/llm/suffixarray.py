@@ -33,7 +33,7 @@ from bondsight.llm import shared
 from bondsight.llm.arrays import BASE, OTHER, U, binary, covered, flat, lists, mixed, numbers, pieces, prefixes, runs, spans_hash
 from bondsight.llm.repeats import repeated_keys
 
-SIZE, GRAM = 50, 24
+SIZE, GRAM = 50, 20
 GRAMS = SIZE - GRAM + 1  # in a string
 QUERY, KNOWN = 0, 2
 PHRASES = "bucket int, kind int, texts array<long>, docs array<long>, counts array<int>, keys binary, places binary, lead binary, sizes binary, data binary"
@@ -229,7 +229,9 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     total = shared.text_bytes(docs)
     keys = repeated_keys(docs, _keys, shared.bucket_count(docs, 0.6 * total), distinct=True)
     firsts = docs.groupBy("text_hash", "md5").agg(F.min("doc_id").alias("first"))
-    held = docs.join(firsts.join(keys, "text_hash"), ["text_hash", "md5"]).where("doc_id = first").select("doc_id", "text_hash", "text", "keys")
+    # not doc_id = first: as a filter or join key it would part this exchange of the texts from that of the join below
+    held = docs.join(firsts.join(keys, "text_hash"), ["text_hash", "md5"]).where(F.coalesce(F.col("doc_id") - F.col("first"), F.lit(1)) == 0)
+    held = held.select("doc_id", "text_hash", "text", "keys")
     spans = held.mapInArrow(_parse(shared.bucket_count(docs, total, 8e6)), PHRASES).groupBy("bucket").applyInArrow(_own, SPANS)
     spans = spans.groupBy("text_hash").agg(F.collect_list("spans").alias("spans"))
     both = docs.join(firsts.join(spans, "text_hash", "left"), ["text_hash", "md5"], "left")
