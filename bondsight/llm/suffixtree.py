@@ -107,25 +107,21 @@ class Tree:
             own[self.column[np.asarray(symbol, int)]] = times
             p[row[s]] = (own + 1) / (own.sum() + 256) if base is None else (own + SMOOTH * base) / (own.sum() + SMOOTH) if own.any() else base
         self.logp[:, : k + 1] = np.log10(p)
-        for n in range(DEPTH, -1, -1):
-            at = np.array([c for m, c in states if m == n], np.int64)
-            rows = np.array([row[(n, int(c))] for c in at], int)
-            if not len(at):
-                continue
-            key = (at[:, None] << 8) | self.seen[None, :]
-            found = np.zeros(key.shape, np.int32)
-            done = np.zeros(key.shape, bool)
-            for m in range(min(n + 1, DEPTH), 0, -1):
-                of = np.array(sorted(c for q, c in states if q == m), np.int64)
-                if not len(of):
-                    continue
-                cut = key & ((1 << 8 * m) - 1)
-                i = np.minimum(np.searchsorted(of, cut), len(of) - 1)
-                hit = (of[i] == cut) & ~done
-                where = np.array([row[(m, int(c))] for c in of])
-                found[hit] = where[i[hit]]
-                done |= hit
-            self.next[rows[:, None], np.arange(k)[None, :]] = found
+        by_size = {m: np.array([c for q, c in states if q == m], np.int64) for m in range(DEPTH + 1)}  # sorted
+        base = {m: row[(m, int(of[0]))] for m, of in by_size.items() if len(of)}  # rows of one size follow each other
+        for n, contexts_ in by_size.items():
+            for at in range(0, len(contexts_), 4096):
+                key = (contexts_[at : at + 4096, None] << 8) | self.seen[None, :]
+                found, done = np.zeros(key.shape, np.int32), np.zeros(key.shape, bool)
+                for m in range(min(n + 1, DEPTH), 0, -1):
+                    of = by_size[m]
+                    if len(of):
+                        cut = key & ((1 << 8 * m) - 1)
+                        i = np.minimum(np.searchsorted(of, cut), len(of) - 1)
+                        hit = (of[i] == cut) & ~done
+                        found[hit] = base[m] + i[hit]
+                        done |= hit
+                self.next[base[n] + at : base[n] + at + len(key), :k] = found
 
     @staticmethod
     def _suffix(row: dict, n: int, c: int) -> tuple[int, int]:
@@ -168,7 +164,14 @@ def grow(counts: DataFrame) -> Tree:
         gain = F.aggregate("nexts", F.lit(0.0), lambda a, x: a + x["n"] * F.log((x["n"] / F.col("all")) / (F.element_at("up", x["next"]) / F.col("up_all"))))
         found = both.where(gain > 0.5 * F.col("kinds") * F.log("all")).select(F.lit(n).alias("size"), "context", "nexts")
         table = found if table is None else table.unionByName(found)
-    rows = {(r["size"], r["context"]): _symbols(r["nexts"]) for r in table.collect()} if total else {}
+    rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    if total:
+        got = table.select("size", "context", F.array_sort("nexts").alias("nexts")).select("size", "context", F.transform("nexts", lambda x: x["next"].cast("int")).alias("s"), F.transform("nexts", lambda x: x["n"]).alias("t")).toArrow().combine_chunks()
+        symbols, times = (got[c].combine_chunks() for c in "st")
+        off = np.concatenate([[0], np.cumsum(symbols.value_lengths().to_numpy())])
+        symbols, times = symbols.flatten().to_numpy(), times.flatten().to_numpy()
+        for i, (n, c) in enumerate(zip(got["size"].to_pylist(), got["context"].to_pylist(), strict=True)):
+            rows[(n, c)] = symbols[off[i] : off[i + 1]], times[off[i] : off[i + 1]]
     for n, c in rows:  # a context's suffixes stay with it, with their distribution inherited if they weren't kept
         kept.update((m, c & ((1 << 8 * m) - 1)) for m in range(1, n + 1))
     return Tree(sorted(kept), rows | count)
