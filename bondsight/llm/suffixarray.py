@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     # not doc_id = first: as a filter or join key it would part this exchange of the texts from that of the join below
     held = docs.join(firsts.join(keys, "text_hash"), ["text_hash", "md5"]).where(F.coalesce(F.col("doc_id") - F.col("first"), F.lit(1)) == 0)
     held = held.select("doc_id", "text_hash", "text", "keys")
-    spans = held.mapInArrow(_parse(shared.bucket_count(docs, total, 8e6)), PHRASES).groupBy("bucket").applyInArrow(_own, SPANS)
+    spans = held.mapInArrow(_parse(shared.bucket_count(docs, total, 2.5e6)), PHRASES).groupBy("bucket").applyInArrow(_own, SPANS)
     spans = spans.groupBy("text_hash").agg(F.collect_list("spans").alias("spans"))
     both = docs.join(firsts.join(spans, "text_hash", "left"), ["text_hash", "md5"], "left")
     mine = F.when(F.col("doc_id") == F.col("first"), F.col("spans"))
