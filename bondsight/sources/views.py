@@ -16,9 +16,38 @@ AGENCIES = ("SP", "MOODYS", "FITCH", "DBRS")
 ISSUER = "'ISS' || CAST(CAST(floor(o_custkey / 10) AS BIGINT) AS VARCHAR(20))"
 
 
+def quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+#: One sentence or table is added to each document, as the given documents hold no credit vocabulary.
+SENTENCES = (
+    "S&P Global Ratings downgraded Acme Holdings plc from BBB- to BB+ on March 5, 2024.",
+    "Moody's upgraded the issuer to Baa3 from Ba1 on 8 Jul 2024.",
+    "Fitch Ratings affirmed the rating at BBB with a stable outlook.",
+    "Moody's lowered the rating from Baa1 to A3, an apparent error.",
+    "The company confirmed its full-year guidance for 2024.",
+    "Results were in line with market expectations.",
+    "Management lowered its revenue guidance to 95 million from 110 million.",
+    "The board withdrew its outlook for fiscal 2024.",
+    "There is substantial doubt about the ability to continue as a going concern.",
+    "No breach of any covenant occurred in the second quarter of 2023.",
+    "A breach of the leverage covenant was reported on 17-Dec-2022.",
+    "Liquidity constraints could arise if markets close.",
+    "The group recorded a significant impairment of EUR 250 million.",
+    "Delta Energy N.V. issued EUR 1.2 billion of senior notes with a 7-year tenor and a 4.25% coupon.",
+    "The bank decided not to call its USD 500 million AT1 instrument.",
+    "The issuer plans to issue subordinated notes of EUR 300 million.",
+    "The company will redeem its GBP 400 million bonds due 2027.",
+    "Rating history\nS&P\n2023-01-15 | BBB+\n2024-02-20 | BBB",
+    "Net debt fell to -1,234.5 and the margin was 12,5 by 30 June 2024.",
+    "Acme Holdings plc and Delta Energy N.V. met the U.S. agency. It was approved.",
+)
+
+
 def pick(values: tuple, index: str) -> str:
     """The index-th value, from 0."""
-    cases = " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values))
+    cases = " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values))
     return f"CASE ({index}) % {len(values)} {cases} END"
 
 
@@ -64,6 +93,10 @@ SELECT o_orderkey AS event_key, {ISSUER} AS issuer_id, CAST(o_orderdate AS DATE)
        {pick(("senior", "senior", "senior", "subordinated", "hybrid", "AT1", "T2", None), "o_orderkey * 9 + o_custkey * 5")} AS seniority,
        CASE WHEN (o_orderkey + o_custkey) % 9 = 0 THEN NULL ELSE CAST(round(o_totalprice) AS BIGINT) * 4000 END AS amount
 FROM orders WHERE o_orderkey % 5 = 1""",
+    "v_documents": tuple(f"""
+SELECT doc_id, coalesce(text, '') || chr(10) || {pick(SENTENCES, "doc_id")} AS text, {pick(SENTENCES, "doc_id")} AS added, {day} AS published,
+       CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 60 AS VARCHAR(20)) END AS cik, CASE WHEN doc_id % 3 = 0 THEN 'ISS' || CAST(doc_id % 60 AS VARCHAR(20)) END AS issuer_hint
+FROM documents""" for day in ("date_sub(DATE '2024-09-01', CAST(doc_id % 400 AS INT))", "DATE '2024-09-01' - CAST(doc_id % 400 AS INT)")),
     "v_gold": tuple(f"""
 SELECT doc_id, k, CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split, {pick(("revenue", "ebitda", "fcf", "margin"), "doc_id + k % 3")} AS metric,
        CASE WHEN (doc_id + k) % 5 = 0 THEN NULL ELSE CAST(2025 + k % 2 AS VARCHAR(4)) END AS period, {pick(("cut", "reaffirmed", "new", "raised"), "doc_id * 3 + k")} AS status,
