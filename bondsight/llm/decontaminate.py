@@ -71,15 +71,16 @@ def phrases(index: DataFrame, wins: DataFrame) -> DataFrame:
     terms = ranked(wins, index)
     first = terms.where("rank = 1").select("term", "win", "n", "off")
     starts = index.join(small(first), "term").select(*KEY, "win", "n", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    # repeated rows of docs list their places twice, hence distinct
     second = terms.where("rank = 2").select("win", F.col("term").alias("term2"), F.col("off").alias("off2"))
     more = starts.join(small(second), "win", "left").withColumn("at", F.col("start") + F.col("off2"))
     lists = index.join(small(second.select("term2").distinct()), index["term"] == F.col("term2"), "left_semi")
     met = lists.select(*KEY, F.col("term").alias("term2"), F.col("pos").alias("at"))
-    two = shared.settle(more.where("n = 1").select(*KEY, "win", "n", "start").unionByName(more.where("n > 1").join(met, [*KEY, "term2", "at"]).select(*KEY, "win", "n", "start")))
+    two = shared.settle(more.where("n = 1").select(*KEY, "win", "n", "start").unionByName(more.where("n > 1").join(met, [*KEY, "term2", "at"]).select(*KEY, "win", "n", "start")).distinct())
     rest = two.where("n > 2").join(small(terms.where("rank > 2").select("win", "term", "off")), "win").withColumn("pos", F.col("start") + F.col("off"))
     near = index.join(two.where("n > 2").select(*KEY).distinct(), KEY, "left_semi")
-    full = rest.join(near, [*KEY, "term", "pos"]).groupBy(*KEY, "win", "n", "start").count().where("count = n - 2")
-    return two.where("n <= 2").unionByName(full.drop("count"))
+    full = rest.join(near, [*KEY, "term", "pos"]).groupBy(*KEY, "win", "n", "start").agg(F.count_distinct("pos").alias("met")).where("met = n - 2")
+    return two.where("n <= 2").unionByName(full.drop("met"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:

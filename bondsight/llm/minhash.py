@@ -1,9 +1,10 @@
 """Operator 2, MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Shingles are five consecutive lower-cased (A-Z) white-space words; a text of fewer words, but not none, is one. A
-shingle's weight is its count in the text times an inverse document frequency that is 1 for shingles in at most
-max(N / COMMON, FLOOR) of the N documents and falls with the logarithm towards 0 at N. So only common shingles need be
-known, at most COMMON times the mean number of shingles of a document, and those are found exactly: document
+shingle's weight is its count in the text times a smoothed inverse document frequency: 1 for shingles in at most
+least = max(N / COMMON, FLOOR) of the N documents, falling with the logarithm of the frequency by DAMP at N. It is mild
+because the shingles of a large group of near copies are common too, and must not lose against their few differences.
+Only common shingles need be known, at most COMMON times the mean number in a document, and exactly: document
 frequencies are summed in a fixed table of 2 ** TABLE hash cells, and shingles in cells heavy enough are then counted
 by themselves.
 
@@ -33,7 +34,7 @@ from bondsight.llm.components import components
 
 SIZE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
-COMMON, FLOOR, TABLE = 1000, 16, 20
+COMMON, FLOOR, TABLE, DAMP = 1000, 16, 20, 0.25
 SLICES = 64
 ROUNDS, BLOCK = 2, 512
 MAYBE = 0.5  # share of equal samples; under a similarity of 0.8, fewer has a probability of about 1 in 10,000
@@ -87,13 +88,14 @@ class Weights:
     def __init__(self, shingle: np.ndarray, frequency: np.ndarray, total: int, least: float) -> None:
         order = np.argsort(shingle)
         self.shingle = shingle[order]
-        self.idf = np.maximum(np.log(max(total, 2) / frequency[order]) / np.log(max(total, 2) / min(least, total / 2 + 0.5)), 0.05) if len(order) else np.zeros(0)
+        span = np.log(max(total / least, 2.0))
+        self.idf = 1 - DAMP * np.clip(np.log(np.maximum(frequency[order] / least, 1)) / span, 0, 1)
 
     def of(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
         if not len(self.shingle):
             return count.astype(np.float64)
         at = np.minimum(np.searchsorted(self.shingle, key), len(self.shingle) - 1)
-        return count * np.where(self.shingle[at] == key, np.minimum(self.idf[at], 1.0), 1.0)
+        return count * np.where(self.shingle[at] == key, self.idf[at], 1.0)
 
 
 def document_weights(texts: DataFrame) -> Weights:

@@ -160,7 +160,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, sizes:
 
 
 def decode_file(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, doc_ids, which of those are known, and lengths. Raises ValueError if a checksum or the magic is wrong."""
+    """Ids, doc_ids, which of those are known, and lengths. Raises ValueError if a checksum, a checkpoint or the magic is wrong."""
     if blob[:8] != MAGIC:
         raise ValueError("not a token file")
     n_ids, n_docs, n_sym, units = struct.unpack_from("<4I", blob, 8)
@@ -188,6 +188,7 @@ def decode_file(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     stream = np.append(np.concatenate(words), np.uint32(0))
     state, place = state.reshape(-1, LANES), place.reshape(-1)
     real = (np.arange(units * BLOCK) < n_ids).reshape(units * parts, MARK // LANES, LANES)
+    after = np.concatenate([state.reshape(units, parts, LANES)[:, 1:], np.full((units, 1, LANES), LOW, np.uint64)], 1).reshape(-1, LANES)
     ids = np.zeros(real.shape, np.uint16)
     for t in range(MARK // LANES):
         here = (state & np.uint64((1 << SCALE) - 1)).astype(np.int64)
@@ -200,6 +201,8 @@ def decode_file(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         state = np.where(need, state << np.uint64(32) | word.astype(np.uint64), state)
         place = place + n[:, -1]
         ids[:, t] = symbols[s]
+    if (state != after).any():  # each checkpoint is where the one before it ends
+        raise ValueError("a token file is damaged")
     ids = ids.reshape(-1)[:n_ids]
     for b, crc in enumerate(crcs):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != crc:
