@@ -210,22 +210,39 @@ def _within(key: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, key), len(of) - 1)] == key if len(of) else np.zeros(len(key), bool)
 
 
-def _meet(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    none = pa.table({"text_hash": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
-    if not len(asked):
-        return none
-    asked = asked.combine_chunks()
-    keys, _ = numbers(asked["keys"].chunk(0), np.uint64)
-    n, text = asked["counts"].chunk(0).flatten().to_numpy(), asked["texts"].chunk(0).flatten().to_numpy()
-    own, times = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-    order = np.argsort(own)
-    own, times = own[order], times[order]
-    i = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
-    c = np.where(own[i] == keys, times[i], 0) if len(own) else np.zeros(len(keys), np.int64)
-    at = np.cumsum(n) - n
-    logs, known = np.add.reduceat(np.log10(c + 1.0), at), np.add.reduceat((c > 0).astype(np.int64), at)
-    text, once = np.unique(text, return_index=True)  # equal texts ask the same
-    return pa.table({"text_hash": text, "logs": logs[once], "known": known[once]})
+ANSWER = "part int, texts array<long>, logs array<double>, known array<long>"
+
+
+def _meet(buckets: int):
+    def meet(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        """Of a bucket's words the summed logs and known counts by text, packed by the part that each text belongs to."""
+        keys = n = text = np.zeros(0, np.int64)
+        if len(asked):
+            asked = asked.combine_chunks()
+            keys, _ = numbers(asked["keys"].chunk(0), np.uint64)
+            n, text = asked["counts"].chunk(0).flatten().to_numpy(), asked["texts"].chunk(0).flatten().to_numpy()
+        own, times = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+        order = np.argsort(own)
+        own, times = own[order], times[order]
+        i = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
+        c = np.where(own[i] == keys, times[i], 0) if len(own) else np.zeros(len(keys), np.int64)
+        at = np.cumsum(n) - n
+        logs, known = (np.add.reduceat(x, at) if len(at) else x for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
+        text, once = np.unique(text, return_index=True)  # equal texts ask the same
+        part = text % buckets
+        order = np.argsort(part, kind="stable")
+        text, logs, known, part = text[order], logs[once][order], known[once][order], part[order]
+        cut = runs(part)
+        return pa.table({"part": pa.array(part[cut[:-1]], pa.int32()), "texts": lists(text, cut, pa.int64()), "logs": lists(logs, cut, pa.float64()), "known": lists(known, cut, pa.int64())})
+
+    return meet
+
+
+def _total(group: pa.Table) -> pa.Table:
+    group = group.combine_chunks()
+    text, of = np.unique(group["texts"].chunk(0).flatten().to_numpy(), return_inverse=True)
+    logs, known = (np.bincount(of, group[c].chunk(0).flatten().to_numpy(), len(text)) for c in ("logs", "known"))
+    return pa.table({"text_hash": text, "logs": logs, "known": known.astype(np.int64)})
 
 
 def _scored(tree: Tree, busy: np.ndarray, times: np.ndarray):
@@ -266,8 +283,8 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     buckets = shared.bucket_count(docs, 8 * total)
     asked = docs.select("text_hash", "text").mapInArrow(_deal(busy, buckets), "bucket int, texts array<long>, counts array<int>, keys binary")
     lie = seen.where(F.col("n") <= total / BUSY).select("key", "n", _unsigned_rest("key", buckets).alias("bucket"))
-    found = asked.groupBy("bucket").cogroup(lie.groupBy("bucket")).applyInArrow(_meet, "text_hash long, logs double, known long")
-    found = found.groupBy("text_hash").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
+    found = asked.groupBy("bucket").cogroup(lie.groupBy("bucket")).applyInArrow(_meet(buckets), ANSWER)
+    found = found.groupBy("part").applyInArrow(_total, "text_hash long, logs double, known long")
     rows = docs.mapInArrow(_late(tree, busy, times), "doc_id long, text_hash long, held_out boolean, n_tokens long, busy_logs double, busy_known long, score double")
     both = rows.join(found, "text_hash", "left")
     logs = F.col("busy_logs") + F.coalesce("logs", F.lit(0.0)) + F.log10(F.lit(ends + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
