@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from bondsight.functions import scales
 from bondsight.functions.scales import category
 
-ORIGIN = F.when(F.col("origin") == "event", 0).when(F.col("origin") == "observation", 1).otherwise(2)
+
+def origin_rank() -> Column:
+    return F.when(F.col("origin") == "event", 0).when(F.col("origin") == "observation", 1).otherwise(2)
 
 
 def candidates(seeds: DataFrame, observations: DataFrame, events: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def state_before(events: DataFrame, found: DataFrame, max_age: int = scales.MAX_
     carried forward: linear in both, whatever the length of a history. Each candidate also carries the one before it,
     for the event whose own rating is the latest.
     """
-    cand = found.where(eligible()).select("issuer_id", "agency", F.col("as_of").alias("day"), F.lit(0).alias("kind"), ORIGIN.alias("rank"), "source", F.struct("notch", "as_of", "origin", "outlook", "source").alias("c"), F.lit(None).cast("bigint").alias("event_key"))
+    cand = found.where(eligible()).select("issuer_id", "agency", F.col("as_of").alias("day"), F.lit(0).alias("kind"), origin_rank().alias("rank"), "source", F.struct("notch", "as_of", "origin", "outlook", "source").alias("c"), F.lit(None).cast("bigint").alias("event_key"))
     best_last = Window.partitionBy("issuer_id", "agency").orderBy("day", "kind", F.col("rank").desc(), F.col("source").desc(), "event_key")
     cand = cand.withColumn("before", F.lag("c").over(best_last))
     asked = events.select("issuer_id", F.explode(F.array(*map(F.lit, scales.ADMISSIBLE))).alias("agency"), F.col("eff").alias("day"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("source"), F.lit(None).cast(cand.schema["c"].dataType).alias("c"), F.col("event_key").cast("bigint").alias("event_key"), F.lit(None).cast(cand.schema["c"].dataType).alias("before"))
@@ -58,7 +60,7 @@ def rejected(events: DataFrame, found: DataFrame, max_age: int = scales.MAX_AGE_
         .when(F.col("as_of") > F.col("eff"), "observed after D")
         .when(age > max_age, "stale")
     )
-    best = Window.partitionBy("event_key", "agency").orderBy(F.col("bad").isNotNull(), F.col("as_of").desc(), ORIGIN, "source")
+    best = Window.partitionBy("event_key", "agency").orderBy(F.col("bad").isNotNull(), F.col("as_of").desc(), origin_rank(), "source")
     ranked = pairs.withColumn("bad", reason).withColumn("rn", F.row_number().over(best))
     return ranked.select("event_key", "agency", "source", F.coalesce("bad", F.when(F.col("rn") > 1, "superseded")).alias("reason")).where("reason is not null")
 
