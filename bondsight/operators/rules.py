@@ -174,3 +174,13 @@ def explain(decided: DataFrame, before: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def downgrade_guard() -> Column:
+    """R-20: why a downgrade rule can't apply, first reason first; null if it can."""
+    c = F.col
+    return (
+        F.when(~c("agency").isin(*scales.ADMISSIBLE), "non-admissible agency")
+        .when(c("event_type") != "downgrade", "not a downgrade")
+        .when(c("old_notch").isNull() | c("new_notch").isNull(), "missing transition")
+    )

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bondsight.plans.rating import ALL, NAME, decided
 from bondsight.plans.registry import Registry
+from bondsight.sources.views import oracle, view
 from bondsight.streaming import jobs
 
 R = Registry()
@@ -53,3 +55,23 @@ def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register("ST01_incremental_documents", incremental_documents, "SELECT DISTINCT sha256(props) AS content_hash, CAST(1 AS BIGINT) AS n FROM events")
 _register("ST02_alert_digest", alert_digest)
+
+
+def trailing_negative_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving orders touch issuers; each batch decides those anew, and the last decision of an event stands."""
+    at = _shared(spark)
+    based = decided(lambda name: view(spark, sf_dir, name)).drop("recent", "mod01", "mod02", "base_priority", "priority", "applied", "decision_status")
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.select("event_key", "family", "priority", "mod02", F.lit(epoch).alias("epoch")).write.mode("append").parquet(f"{at}/out")
+
+    path = f"{sf_dir}/orders.parquet"
+    folder, name = path.rsplit("/", 1)
+    arrivals = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+    arrivals = arrivals.select(F.concat(F.lit("ISS"), F.floor(F.col("o_custkey") / 10).cast("string")).alias("issuer_id"))
+    arrivals.writeStream.foreachBatch(jobs.redecide(lambda: based, keep)).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{at}/out").groupBy("event_key", "family").agg(F.max_by(F.struct("priority", "mod02"), "epoch").alias("d"))
+    return last.select("event_key", "family", "d.priority", "d.mod02")
+
+
+_register("ST03_trailing_negative_p2", trailing_negative_p2, oracle(f"SELECT event_key, family, {NAME.format('final_rank')} AS priority, mod02 FROM decided", **ALL))

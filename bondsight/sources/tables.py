@@ -87,3 +87,95 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """S-13: JSON by day."""
     alerts.withColumn("day", F.col("eff")).write.mode("overwrite").partitionBy("day").json(path)
+
+
+def outlook_watch(text: Column) -> tuple[Column, Column]:
+    """M-06: free text to outlook and watch; a watch leaves the outlook null."""
+    low = F.lower(F.trim(text))
+    watched = low.contains("watch") | low.contains("review")
+    watch = F.when(watched & (low.contains("neg") | low.contains("downgrade")), "negative").when(watched & (low.contains("pos") | low.contains("upgrade")), "positive").when(watched, "developing").otherwise("none")
+    return F.when(low.isin("positive", "stable", "negative", "developing"), low), watch
+
+
+def partial_date(text: Column) -> Column:
+    """M-07: only a full day is a date."""
+    return F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(F.trim(text), "yyyy-MM-dd"))
+
+
+#: How far a seed was verified, weakest first.
+LADDER = ("UNVERIFIED", "SOURCE_FOUND", "VALUE_VERIFIED", "DATE_VERIFIED", "FULLY_VERIFIED")
+
+
+def verified_at_least(level: Column, least: str) -> Column:
+    """M-08."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, LADDER)), level) >= LADDER.index(least) + 1, F.lit(False))
+
+
+def load_seeds(raw: DataFrame) -> DataFrame:
+    """S-08: seed rows with agency, notch, outlook, watch and date; `reject` says what can't be read."""
+    from bondsight.functions.scales import label_to_notch, resolve_agency
+
+    out = label_to_notch(resolve_agency(raw, "rating_agency", "agency"), "agency", "rating", "notch")
+    outlook, watch = outlook_watch(F.col("outlook_text"))
+    reject = F.when(F.col("agency").isNull(), "unknown agency").when(F.col("notch").isNull(), "unknown label")
+    return out.select("row_id", "agency", "notch", outlook.alias("outlook"), watch.alias("watch"), partial_date(F.col("rating_date")).alias("as_of"), reject.alias("reject"))
+
+
+def feed_entries(entries: DataFrame, since: Column, title: str, categories: list[str], most: int) -> DataFrame:
+    """S-03: entries (feed, pos, link, title, published, categories) that fit, the first `most` of a feed."""
+    fit = (F.col("link") != "") & (F.col("published").isNull() | (F.col("published") >= since)) & F.coalesce(F.col("title").rlike(title), F.lit(False))
+    fit = fit & F.arrays_overlap(F.transform("categories", F.lower), F.array(*map(F.lit, categories)))
+    kept = entries.where(fit).groupBy("feed").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "link"))), 1, most).alias("x"))
+    return kept.select("feed", F.explode("x").alias("x")).select("feed", "x.pos", "x.link")
+
+
+def sitemap_urls(rows: DataFrame, since: Column, prefix: str, most: int) -> DataFrame:
+    """S-04: urls (site, loc, lastmod) below a prefix and not older, newest first (undated last), the first `most` of a site."""
+    path = F.coalesce(F.parse_url("loc", F.lit("PATH")), F.lit("/"))
+    fit = rows.where(path.startswith(prefix) & (F.col("lastmod").isNull() | (F.col("lastmod") >= since)))
+    newest = F.struct(-F.coalesce(F.unix_date("lastmod"), F.lit(-999_999)).cast("long"), "loc")
+    top = fit.groupBy("site").agg(F.slice(F.array_sort(F.collect_list(newest)), 1, most).alias("x"))
+    return top.select("site", F.posexplode("x").alias("n", "x")).select("site", "n", "x.loc")
+
+
+def read_xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Feeds and site maps as rows."""
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+
+def read_gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S-11: JSON lines of gold documents or run rows."""
+    return spark.read.schema(schema).json(path)
+
+
+def alias_rows(universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S-09: (issuer_id, alias) of names and aliases, and the aliases that several issuers claim."""
+    each = universe.select("issuer_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), F.lower))).alias("alias"))
+    shared = each.groupBy("alias").agg(F.count_distinct("issuer_id").alias("n")).where("n > 1").select("alias")
+    return each, shared
+
+
+def replayed(manifest: DataFrame, landed: DataFrame, since: Column) -> DataFrame:
+    """S-15: manifest rows from a day on; `status` tells whether their bytes are there."""
+    have = landed.select(F.col("raw_hash").alias("_h")).distinct()
+    return manifest.where(F.col("day") >= since).join(have, F.col("raw_hash") == F.col("_h"), "left").withColumn("status", F.when(F.col("_h").isNull(), "missing_bytes").otherwise("present")).drop("_h")
+
+
+def gold_build(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """C-10: labels (doc_id, quote, status) with what is wrong: the quote isn't in the text, or its wording doesn't support the status."""
+    both = labels.join(docs.select("doc_id", "text"), "doc_id")
+    problem = F.when(~F.contains("text", "quote"), "quote not found").when((F.col("status") == "breached") & ~F.col("quote").rlike(r"(?i)\bbreach"), "status not supported")
+    return both.select("doc_id", (F.expr("instr(text, quote)") - 1).alias("start"), problem.alias("problem"))
+
+
+def table_rows(lines: DataFrame) -> DataFrame:
+    """E-11, E-12: rating rows "agency | label" of a document after a heading line "ratings ... as of <date>", dated by it."""
+    from pyspark.sql import Window
+
+    from bondsight.functions.scales import label_to_notch, resolve_agency
+
+    by = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    day = F.try_to_date(F.regexp_extract("line", r"(?i)ratings?\b.*\bas of (\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    out = lines.withColumn("as_of", F.last(day, ignorenulls=True).over(by)).withColumn("cells", F.split("line", r" \| ")).where((F.size("cells") >= 2) & F.col("as_of").isNotNull())
+    out = out.withColumn("named", F.col("cells")[0]).withColumn("label", F.col("cells")[1])
+    return label_to_notch(resolve_agency(out, "named", "agency"), "agency", "label", "notch").where("notch is not null").select("doc_id", "n", "agency", "label", "notch", "as_of")
