@@ -36,7 +36,7 @@ from bondsight.llm.repeats import repeated_keys
 SIZE, GRAM = 50, 20
 GRAMS = SIZE - GRAM + 1  # in a string
 QUERY, KNOWN = 0, 2
-PHRASES = "bucket int, kind int, texts array<long>, docs array<long>, counts array<int>, keys binary, places binary, lead binary, sizes binary, data binary"
+PHRASES = "bucket int, kind int, texts array<long>, docs array<long>, counts array<int>, places binary, lead binary, sizes binary, data binary"
 SPANS = "text_hash long, spans binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -90,18 +90,20 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(size.sum()) + np.repeat(start - off, size)]
 
 
-def _packed(kind: int, bucket, text, doc, key, place, lead, size, start, data) -> pa.RecordBatch:
+def _packed(kind: int, bucket, text, doc, place, lead, size, start, data) -> pa.RecordBatch:
     order = np.lexsort((place, text, bucket))
-    bucket, text, doc, key, place, lead, size, start = (x[order] for x in (bucket, text, doc, key, place, lead, size, start))
+    bucket, text, doc, place, lead, size, start = (x[order] for x in (bucket, text, doc, place, lead, size, start))
     rows, parts = runs(bucket), np.unique(np.concatenate([runs(bucket), runs(text), runs(doc)]))
     cut, n = np.searchsorted(parts, rows), len(rows) - 1
     known = kind == KNOWN
-    ends = np.concatenate([[0], np.cumsum(size)])[rows] * (not known)
+    ends = (np.concatenate([[0], np.cumsum(size)])[rows] * (not known)).tolist()
+    whole = b"" if known else _gather(data, start, size).tobytes()
+    packed = [pa.compress(whole[a:b], codec="zstd", asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return pa.RecordBatch.from_arrays([
         pa.array(bucket[rows[:-1]], pa.int32()), pa.array(np.full(n, kind), pa.int32()), lists(text[parts[:-1]], cut, pa.int64()), lists(doc[parts[:-1]], cut, pa.int64()), lists(np.diff(parts), cut, pa.int32()),
-        binary(key[:0] if known else key, rows * (not known)), binary(place.astype(np.int32), rows), binary((lead[:0] if known else lead).astype(np.uint8), rows * (not known)),
-        binary(size.astype(np.uint8), rows), binary(data[:0] if known else _gather(data, start, size), ends),
-    ], names=["bucket", "kind", "texts", "docs", "counts", "keys", "places", "lead", "sizes", "data"])
+        binary(place.astype(np.int32), rows), binary((lead[:0] if known else lead).astype(np.uint8), rows * (not known)),
+        binary(size.astype(np.uint8), rows), pa.array(packed, pa.binary()),
+    ], names=["bucket", "kind", "texts", "docs", "counts", "places", "lead", "sizes", "data"])
 
 
 def _parse(buckets: int):
@@ -126,7 +128,7 @@ def _parse(buckets: int):
             for kind, where in ((QUERY, ~known), (KNOWN, known)):
                 if where.any():
                     to = (text % buckets if kind == KNOWN else (mixed(key + U(OTHER)) % U(buckets)).astype(np.int64))[where]
-                    yield _packed(kind, to, *(x[where] for x in (text, doc, key, place, lead, size, lo)), data)
+                    yield _packed(kind, to, *(x[where] for x in (text, doc, place, lead, size, lo)), data)
 
     return parse
 
@@ -160,9 +162,11 @@ def _own(group: pa.Table) -> pa.Table:
     spans = [(text[known], places[known], places[known] + sizes[known])]
     if len(lead := numbers(group["lead"].chunk(0), np.uint8)[0]):
         text, doc, places, sizes = text[~known], doc[~known], places[~known].astype(np.int64), sizes[~known]
-        data, keys = flat(group["data"].chunk(0))[0], numbers(group["keys"].chunk(0), np.uint64)[0]
+        bytes_of = np.add.reduceat(np.append(sizes, 0), np.minimum(np.diff(place_off)[kind == QUERY].cumsum() - np.diff(place_off)[kind == QUERY], len(sizes)))
+        blobs = (x for x, k in zip(group["data"].chunk(0), kind, strict=True) if k == QUERY)
+        data = np.frombuffer(b"".join(pa.decompress(x.as_py(), int(n), codec="zstd", asbytes=True) for x, n in zip(blobs, bytes_of, strict=True)), np.uint8)
         off = np.cumsum(sizes) - sizes
-        whole = mixed(spans_hash(prefixes(data.astype(U) + U(1), OTHER), off, off + sizes, OTHER) + U(BASE) * lead.astype(U)) ^ keys
+        whole = mixed(spans_hash(prefixes(data.astype(U) + U(1), OTHER), off, off + sizes, OTHER) + U(BASE) * lead.astype(U))
         _, one, of = np.unique(whole, return_index=True, return_inverse=True)
         same = sizes == sizes[one][of]
         if same.all():
