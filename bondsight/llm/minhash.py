@@ -11,9 +11,9 @@ by themselves.
 Each text gets BANDS * ROWS consistent samples; texts that agree in all ROWS samples of a band share a bucket. In a
 bucket each text is set against one centre, and pairs whose weighted Jaccard similarity, computed from both whole
 texts, reaches the threshold are links; components of links are classes. Buckets that still hold several components
-get another centre, ROUNDS times; what then remains is compared block against block by the samples, and pairs that may
-reach the threshold are verified, so that no bucket is left with a pair of components untested. No group is expanded
-into all its pairs.
+get another centre, ROUNDS times; what then remains is compared block against block: pairs whose samples allow the threshold
+are verified inside the task, which returns only the links that join components, so that no bucket is left with two
+components untested and no group is expanded into its pairs.
 
 Equal texts are one node. Null, empty and blank texts are in a class of their own each. A class's id is its smallest
 doc_id; rows with the same id and text stay or go together. A row without doc_id goes if its class has an id.
@@ -63,12 +63,16 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shingles(*flat(batch.column("text")))[1]
         table += np.bincount((key >> U(64 - TABLE)).astype(np.int64), minlength=1 << TABLE)
     if table.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), binary(table, np.arange(SLICES + 1) * (len(table) // SLICES))], names=["slice", "cells"])
+        packed = [pa.compress(part.tobytes(), codec="zstd", asbytes=True) for part in table.reshape(SLICES, -1)]  # mostly zeros in a small partition
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "cells"])
 
 
 def _sum_cells(group: pa.Table) -> pa.Table:
-    cells = numbers(group.combine_chunks()["cells"].chunk(0), np.int64)[0].reshape(len(group), -1).sum(0)
-    return pa.table({"slice": group["slice"][:1], "cells": binary(cells, np.array([0, len(cells)]))})
+    size = (1 << TABLE) // SLICES
+    cells = np.zeros(size, np.int64)
+    for packed in group["cells"]:
+        cells += np.frombuffer(pa.decompress(packed.as_py(), 8 * size, codec="zstd", asbytes=True), np.int64)
+    return pa.table({"slice": group["slice"][:1], "cells": binary(cells, np.array([0, size]))})
 
 
 def _heavy(bits: np.ndarray):
@@ -175,18 +179,42 @@ def _similarity(weights, similar: float):
     return similarity
 
 
-def _may_be(group: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a bucket, of different components, with samples enough in common."""
-    group = group.combine_chunks()
-    node, root, side = group["node"].to_numpy(), group["root"].to_numpy(), group["side"].to_numpy()
-    sign = numbers(group["samples"].chunk(0), np.uint32)[0].reshape(len(node), -1)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found = []
-    for i in left:
-        j = right[(root[right] != root[i]) & ((sign[right] == sign[i]).mean(1) >= MAYBE)]
-        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-    a, b = np.unique(np.concatenate(found, 1), axis=1) if found else (node[:0], node[:0])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _linked(weights, similar: float):
+    """Links between two blocks of a bucket: of all pairs of different components whose samples allow it, each compared by
+    its shingles in the first band that brings the two together; pairs that a link found here already joins are skipped."""
+
+    def linked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, root, side, band = (group[c].to_numpy() for c in ("node", "root", "side", "band"))
+        sign = numbers(group["samples"].chunk(0), np.uint32)[0].reshape(len(node), -1)
+        bands = group["bands"].chunk(0).flatten().to_numpy().reshape(len(node), -1)[:, : band[0]]
+        row, key, n = shingles(*flat(group["text"].chunk(0)))
+        weight = weights.value.of(key, n)
+        off = np.searchsorted(row, np.arange(len(node) + 1))
+        total = np.add.reduceat(np.append(weight, 0.0), off[:-1])
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        for i in left:
+            j = right[(root[right] != root[i]) & ((sign[right] == sign[i]).mean(1) >= MAYBE) & ~(bands[right] == bands[i]).any(1)]
+            for k in (j[j > i] if side[i] == 2 else j).tolist():
+                if (a := top(int(root[i]))) == (b := top(int(root[k]))):
+                    continue
+                _, x, y = np.intersect1d(key[off[i] : off[i + 1]], key[off[k] : off[k + 1]], assume_unique=True, return_indices=True)
+                both = np.minimum(weight[off[i] + x], weight[off[k] + y]).sum()
+                if both >= (similar - 1e-12) * (total[i] + total[k] - both):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(node[i]), int(node[k])))
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return linked
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -220,17 +248,18 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(turn))).alias("c")
         open_ = now.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high")
         rest = shared.settle(now.join(open_.select("band", "key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")), ["band", "key"]))
-        if turn < ROUNDS:
-            pairs = ordered(rest.where("root != centre_root"), "node", "centre")
-        else:
-            pairs = _blocks(rest.select("band", "key", "node", "root").join(nodes.select("node", "samples"), "node"))
-        pairs = shared.settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not rest.limit(1).count():
+            break
+        if turn == ROUNDS:
+            more = nodes.select("node", "samples", "bands").join(texts, "node")
+            links = shared.settle(links.select("a", "b").unionByName(_blocks(rest.select("band", "key", "node", "root").join(more, "node"), weights, similar)))
+            roots = components(links)
+            break
+        pairs = shared.settle(ordered(rest.where("root != centre_root"), "node", "centre").join(tried, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             links = shared.settle(links.unionByName(verified(pairs)))
             tried = tried.unionByName(pairs)
             roots = components(links)
-        elif not rest.limit(1).count():
-            break
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     out = signed.select("doc_id", "md5").join(placed.join(ids, "root").select("md5", "class_id"), "md5", "left")
@@ -251,11 +280,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return classes(docs, similar).drop("md5")
 
 
-def _blocks(rest: DataFrame) -> DataFrame:
-    """Candidate pairs of the buckets that are left, block against block."""
+def _blocks(rest: DataFrame, weights, similar: float) -> DataFrame:
+    """Links in the buckets that are left, block against block."""
     size = rest.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rest = rest.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     with_ = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    with_ = with_.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "samples", side.alias("side"))
-    return with_.groupBy("band", "key", "i", "j").applyInArrow(_may_be, "a long, b long").distinct()
+    with_ = with_.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "samples", "bands", "text", side.alias("side"))
+    return with_.groupBy("band", "key", "i", "j").applyInArrow(_linked(weights, similar), "a long, b long").distinct()

@@ -268,3 +268,28 @@ def test_suffix_array(docs, none):
         want[(d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())] += 1
     assert got == want
     assert suffixarray.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_classes_equal_brute_force(spark, monkeypatch, rounds):
+    """Chains of variants, some pairs below the threshold: the components are those of all pairs. rounds=0: by blocks alone."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 150)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.choice(150, k % 5 + 1, replace=False):
+            own[at] = f"e{k}x{at}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FLOOR", 100)  # all shingles weigh 1
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(60)] == root
