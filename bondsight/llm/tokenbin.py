@@ -10,6 +10,7 @@ blocks of a file side by side. Null text is encoded as empty; repeated rows each
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,14 +37,22 @@ class Tokenizer:
     """The tokenizers library on whole batches: each distinct piece of text between its own boundaries is encoded once.
 
     The boundaries are those of byte-level pre-tokenization: contractions, runs of letters, numbers or other signs with
-    one leading space, and white space.
+    one leading space, and white space. As in encode(text, add_special_tokens=False), the file's added tokens are cut out
+    of each text before that, are one id each, and end what stands before them as a text's end does.
     """
 
     def __init__(self, path: str) -> None:
         import regex
         import tokenizers
 
-        self.model = tokenizers.Tokenizer.from_file(path).model
+        whole = tokenizers.Tokenizer.from_file(path)
+        self.model = whole.model
+        added = whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that hang on what stands around them are not built")
+        self.added = {t.content.encode(): n for n, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.mark = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.cache: dict[int, bytes] = {}
         points = "".join(chr(x) if not 0xD800 <= x < 0xE000 else " " for x in range(0x110000))
         self.kind = np.zeros(0x110000, np.uint8)
@@ -88,16 +97,30 @@ class Tokenizer:
                     flag[i + 1 + size] = True
         return at[np.flatnonzero(flag[:n])]
 
+    def marks(self, raw: bytes, off: np.ndarray) -> np.ndarray:
+        """Start and end of every added token, in order; none reaches over a row's end."""
+        if not self.mark or not self.mark.search(raw):
+            return np.zeros((0, 2), np.int64)
+        rows = zip(off[:-1].tolist(), off[1:].tolist(), strict=True)
+        return np.array([m.span() for a, b in rows for m in self.mark.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each row's begin; every row has END added."""
-        start = self.starts(data, off)
+        raw, known = data.tobytes(), []
+        marks = self.marks(raw, off)
+        start = self.starts(data, np.concatenate([off, marks.ravel()]))
+        if len(marks):
+            i = np.searchsorted(marks[:, 0], start, side="left") - 1  # the last that begins before
+            start = start[(i < 0) | (start >= marks[i, 1])]
         end = np.append(start[1:], len(data)) if len(start) else start
         _, first, of = np.unique(h := word_hashes(data, start, end), return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), []
         for key, a, b in zip(h[first].tolist(), start[first].tolist(), end[first].tolist(), strict=True):
             ids = self.cache.get(key)
             if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(raw[a:b].decode("latin-1").translate(self.letters))], np.uint16).tobytes()
+                piece = raw[a:b]
+                one = self.added.get(piece)
+                ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))] if one is None else [one]
+                ids = np.array(ids, np.uint16).tobytes()
                 if len(self.cache) < CACHE:
                     self.cache[key] = ids
             known.append(ids)

@@ -138,6 +138,27 @@ def test_token_boundaries():
         assert ids[a:b].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 
+def test_added_tokens_are_one_id(spark):
+    """Texts that hold the file's added token, alone, repeated, cut short and over a row's end, as encode() has them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, end = Tokenizer.from_file(path), "<|endoftext|>"
+    rng = np.random.default_rng(7)
+    signs = [end, end, "<|", "endoftext", "|>", "a", " ", "  ", "\n", "'s", "'", "é", "12", "<"]
+    texts = [end, end * 2, f"one {end} two's", f"a  {end}  b", "x <|endof", "text|> y", f"x'{end}s", ""] + ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(400)]
+    ids = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids[0] == [50256, 0]
+    raw = [t.encode() for t in texts]
+    got, at = tokenbin.Tokenizer(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == ids
+    out = shared.shared_dir(spark)
+    tokenbin.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, out)
+    rows_ = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.read_tokens(spark, out).collect())
+    begin = np.cumsum([0, *map(len, ids)]).tolist()
+    assert rows_ == [(i, begin[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 70_000, 200_001])
 def test_token_file_round_trip_and_damage(n):
     rng = np.random.default_rng(n)
