@@ -1,11 +1,15 @@
 """Operator 7, language-model scoring: a probabilistic suffix tree over bytes, and a word-count base beside it.
 
 A text is spelled in lower case (A-Z), each white-space word followed by one space, then an end. Of all training
-spellings every run of DEPTH + 1 bytes is counted. A context of up to DEPTH bytes stays in the tree if it holds at
-least a share LEAST of all symbols (so there are at most DEPTH / LEAST), and if its next-symbol distribution diverges
-from that of its suffix one byte shorter: the likelihood gained must pass the Bayesian information criterion. A
-retained context's distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols.
-Scoring walks the tree as an automaton: the state is always the longest retained suffix of what was read.
+spellings every run of DEPTH + 1 bytes is counted. A context of up to DEPTH bytes stays in the tree if it holds LEAST
+symbols or more, a fixed number whatever the corpus, and if its next-symbol distribution diverges from that of its
+suffix one byte shorter: the likelihood gained must pass the Bayesian information criterion. A retained context's
+distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols.
+
+The tree is never in one place. Texts are dealt out in batches; of a batch each distinct run goes once, with its count
+in training, to the bucket of its context's last NEAR bytes, where all longer contexts with that ending lie. The bucket
+sums, retains, smooths, and answers with one logarithm a run. Contexts shorter than NEAR, at most 256 ** (NEAR - 1)
+however large the corpus, are known to every task.
 
 The base is the add-one unigram over words and the end. A word's count is looked up where the count lies: words
 frequent enough (at most BUSY of them) in each task, others dealt out with the texts that hold them.
@@ -22,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bondsight.llm import shared
-from bondsight.llm.arrays import LOWER, U, binary, flat, lists, numbers, pieces, runs, word_hashes, words
+from bondsight.llm.arrays import LOWER, U, binary, flat, lists, mixed, numbers, pieces, runs, word_hashes, words
 
-DEPTH, LEAST, SMOOTH, BUSY = 5, 1 / 200_000, 4.0, 20_000
+DEPTH, NEAR, LEAST, SMOOTH, BUSY = 7, 3, 2, 4.0, 20_000
 STOP = 0x0A  # white space is in no word, so this byte is free to mean the end
 WORD, GRAM = 0, 1
-FLUSH, SEGMENT = 4_000_000, 512
+FLUSH, SEGMENT, BATCH = 4_000_000, 512, 6e6
 
 
 def spelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +54,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+def _runs(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """At every place of the spellings the symbol and the `depth` before it as one number, and the place's row."""
+    line, begin = spelled(data, off)
+    key = np.zeros(len(line), U)
+    for back in range(depth + 1):
+        key[back:] |= line[: len(line) - back].astype(U) << U(8 * back)
+    lead = np.zeros(len(line), bool)
+    for k in range(DEPTH):
+        lead[begin[:-1] + k] = True
+    return key[~lead], np.repeat(np.arange(len(off) - 1), np.diff(begin) - DEPTH)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (kind, key, n) of words and byte runs, summed over as much of the partition as memory should hold."""
+    """Counts (kind, key, n) of words and of runs of NEAR bytes, summed over as much of the partition as memory should hold."""
     held: dict[int, list] = {WORD: [], GRAM: []}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -65,14 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = flat(batch.column("text"))
         start, end, _ = words(data, off)
         held[WORD].append(np.unique(word_hashes(LOWER[data], start, end), return_counts=True))
-        line, begin = spelled(data, off)
-        key = np.zeros(len(line), U)
-        for back in range(DEPTH + 1):
-            key[back:] |= line[: len(line) - back].astype(U) << U(8 * back)
-        lead = np.zeros(len(line), bool)
-        for k in range(DEPTH):
-            lead[begin[:-1] + k] = True
-        held[GRAM].append(np.unique(key[~lead], return_counts=True))
+        held[GRAM].append(np.unique(_runs(data, off, NEAR - 1)[0], return_counts=True))
         if sum(len(k) for parts in held.values() for k, _ in parts) > FLUSH:
             for kind, parts in held.items():
                 held[kind] = [_merged(parts)]
@@ -82,7 +91,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """The automaton: of each state, log10 of the next symbol's probability and the state after it."""
+    """A tree in one place, as an automaton: of each state, log10 of the next symbol's probability and the state after it.
+
+    score() doesn't use it, as it would have to fit in memory; it is the plain form that tests hold score() against.
+    """
 
     def __init__(self, contexts: list[tuple[int, int]], count: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> None:
         """contexts: (length, bytes as a number), closed under suffixes; count: next symbols and their counts."""
@@ -147,40 +159,112 @@ class Tree:
         return np.bincount(row, total, len(size))
 
 
-def grow(counts: DataFrame) -> Tree:
-    """The tree from counts (key, n) of all byte runs. Only retained contexts, at most DEPTH / LEAST, reach the driver."""
-    level = counts.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("next"), "n")
-    levels = {DEPTH: level}
-    for n in range(DEPTH - 1, -1, -1):
-        levels[n] = levels[n + 1].groupBy(F.col("context").bitwiseAND((1 << 8 * n) - 1).alias("context"), "next").agg(F.sum("n").alias("n"))
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    count = {(0, 0): _symbols([(r["next"], r["n"]) for r in levels[0].collect()])} if total else {}
-    kept: set[tuple[int, int]] = set()
-    table = None
+def _low(keys: np.ndarray, n: int) -> np.ndarray:
+    return keys if n >= 8 else keys & U((1 << 8 * n) - 1)
+
+
+def _found(of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of x lies among the sorted values `of`, and whether it does."""
+    at = np.minimum(np.searchsorted(of, x), max(len(of) - 1, 0))
+    return at, of[at] == x if len(of) else np.zeros(len(x), bool)
+
+
+class Level:
+    """Contexts of n bytes: their counts, and which stay. keys, count: runs of n + 1 bytes or more; up: the level below."""
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, n: int, up: Level | None) -> None:
+        self.keys, self.count = _merged([(_low(keys, n + 1), count)])
+        at = runs(self.keys >> U(8))[:-1]
+        self.contexts = self.keys[at] >> U(8)
+        self.all = np.add.reduceat(self.count, at) if len(at) else self.count
+        self.kept = np.zeros(len(at), bool)
+        if up is not None and len(at):
+            shorter = _low(self.keys, n)
+            base = up.count[_found(up.keys, shorter)[0]] / up.all[_found(up.contexts, shorter >> U(8))[0]]
+            kinds = np.diff(np.append(at, len(self.keys)))
+            gain = np.add.reduceat(self.count * np.log(self.count / np.repeat(self.all, kinds) / base), at)
+            self.kept = (self.all >= LEAST) & (gain > 0.5 * kinds * np.log(self.all))
+
+    def smoothed(self, keys: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+        """The probability of each run's last symbol after n bytes, from that after n - 1."""
+        own = _low(keys, n + 1)
+        at, hit = _found(self.contexts, own >> U(8))
+        i = np.flatnonzero(hit & self.kept[at] if len(self.kept) else hit)
+        where, seen = _found(self.keys, own[i])
+        times = np.where(seen, self.count[where], 0) if len(self.count) else np.zeros(len(i))
+        p[i] = (times + SMOOTH * p[i]) / (self.all[at[i]] + SMOOTH)
+        return p
+
+
+def short_levels(keys: np.ndarray, count: np.ndarray) -> list[Level]:
+    """The levels below NEAR, from all runs of NEAR bytes."""
+    out: list[Level] = []
+    for n in range(NEAR):
+        out.append(Level(keys, count, n, out[-1] if out else None))
+    return out
+
+
+def run_logs(asked: np.ndarray, keys: np.ndarray, count: np.ndarray, short: list[Level]) -> np.ndarray:
+    """log10 of the probability of each asked run's last symbol. keys, count: all training runs with the same endings."""
+    root = np.zeros(256, np.int64)
+    root[short[0].keys.astype(int)] = short[0].count
+    p = ((root + 1) / (root.sum() + 256))[_low(asked, 1).astype(int)]
+    up = short[-1]
     for n in range(1, DEPTH + 1):
-        own = levels[n].groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.collect_list(F.struct("next", "n")).alias("nexts")).where(F.col("all") >= max(total * LEAST, 2))
-        up = levels[n - 1].groupBy("context").agg(F.sum("n").alias("up_all"), F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("up")).where(F.col("up_all") >= max(total * LEAST, 2))
-        both = own.join(up.withColumnRenamed("context", "above"), F.col("context").bitwiseAND((1 << 8 * (n - 1)) - 1) == F.col("above"))
-        gain = F.aggregate("nexts", F.lit(0.0), lambda a, x: a + x["n"] * F.log((x["n"] / F.col("all")) / (F.element_at("up", x["next"]) / F.col("up_all"))))
-        found = both.where(gain > 0.5 * F.col("kinds") * F.log("all")).select(F.lit(n).alias("size"), "context", "nexts")
-        table = found if table is None else table.unionByName(found)
-    rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    if total:
-        got = table.select("size", "context", F.array_sort("nexts").alias("nexts")).select("size", "context", F.transform("nexts", lambda x: x["next"].cast("int")).alias("s"), F.transform("nexts", lambda x: x["n"]).alias("t")).toArrow().combine_chunks()
-        symbols, times = (got[c].combine_chunks() for c in "st")
-        off = np.concatenate([[0], np.cumsum(symbols.value_lengths().to_numpy())])
-        symbols, times = symbols.flatten().to_numpy(), times.flatten().to_numpy()
-        for i, (n, c) in enumerate(zip(got["size"].to_pylist(), got["context"].to_pylist(), strict=True)):
-            rows[(n, c)] = symbols[off[i] : off[i + 1]], times[off[i] : off[i + 1]]
-    for n, c in rows:  # a context's suffixes stay with it, with their distribution inherited if they weren't kept
-        kept.update((m, c & ((1 << 8 * m) - 1)) for m in range(1, n + 1))
-    return Tree(sorted(kept), rows | count)
-
-
-def _symbols(pairs) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([tuple(p) for p in pairs], np.int64).reshape(-1, 2)
-    a = a[np.argsort(a[:, 0])]
-    return a[:, 0], a[:, 1]
+        level = short[n] if n < NEAR else Level(keys, count, n, up)
+        p, up = level.smoothed(asked, n, p), level
+    return np.log10(p)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, as those compress, and so on; the size leads."""
+    raw = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _sorted_runs(text: pa.Array, buckets: int) -> tuple[np.ndarray, ...]:
+    """Of a batch: its distinct runs, each place's one and row, the order by bucket, and the buckets in that order."""
+    key, row = _runs(*flat(text), DEPTH)
+    key, of = np.unique(key, return_inverse=True)
+    bucket = (mixed(_low(key >> U(8), NEAR)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return key, of, row, order, bucket[order]
+
+
+ASK, TOLD = "bucket int, batch int, keys binary, counts binary", "batch int, bucket int, logs binary"
+
+
+def _ask(buckets: int):
+    def ask(group: pa.Table) -> pa.Table:
+        """The distinct runs of a batch by bucket, with how often each is in its training texts."""
+        group = group.combine_chunks()
+        key, of, row, order, bucket = _sorted_runs(group["text"].chunk(0), buckets)
+        taught = ~group["held_out"].chunk(0).to_numpy(zero_copy_only=False)
+        n = np.bincount(of[taught[row]], minlength=len(key))[order].astype(np.uint32)
+        key, cut = key[order], runs(bucket)
+        ends = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        return pa.table({
+            "bucket": pa.array(bucket[cut[:-1]], pa.int32()), "batch": pa.array([group["batch"][0].as_py()] * len(ends), pa.int32()),
+            "keys": pa.array([_planes(key[a:b]) for a, b in ends], pa.binary()), "counts": pa.array([_planes(n[a:b]) for a, b in ends], pa.binary()),
+        })
+
+    return ask
+
+
+def _tell(short):
+    def tell(group: pa.Table) -> pa.Table:
+        keys = [_unplaned(x, np.uint64) for x in group["keys"].to_pylist()]
+        every, n = _merged([(k, _unplaned(c, np.uint32)) for k, c in zip(keys, group["counts"].to_pylist(), strict=True)])
+        logs = run_logs(every, every[n > 0], n[n > 0], short_levels(*short.value)).astype(np.float32)
+        return pa.table({"batch": group["batch"], "bucket": group["bucket"], "logs": pa.array([_planes(logs[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+
+    return tell
 
 
 def _deal(busy: np.ndarray, buckets: int):
@@ -245,19 +329,28 @@ def _total(group: pa.Table) -> pa.Table:
     return pa.table({"text_hash": text, "logs": logs, "known": known.astype(np.int64)})
 
 
-def _scored(tree: Tree, busy: np.ndarray, times: np.ndarray):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            data, off = flat(batch.column("text"))
-            start, end, first = words(data, off)
-            key = word_hashes(LOWER[data], start, end)
-            row = np.repeat(np.arange(len(batch)), np.diff(first))
-            at = np.minimum(np.searchsorted(busy, key), max(len(busy) - 1, 0))
-            hit = _within(key, busy)
-            logs = np.bincount(row[hit], np.log10(times[at[hit]] + 1.0), len(batch))
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in ("doc_id", "text_hash", "held_out")), pa.array(np.diff(first) + 1, pa.int64()), pa.array(logs), pa.array(np.bincount(row[hit], minlength=len(batch))), pa.array(tree.score(data, off)),
-            ], names=["doc_id", "text_hash", "held_out", "n_tokens", "busy_logs", "busy_known", "score"])
+ROW = "doc_id long, text_hash long, held_out boolean, n_tokens long, busy_logs double, busy_known long, score double"
+
+
+def _scored(buckets: int, busy: np.ndarray, times: np.ndarray):
+    def scored(batch: pa.Table, told: pa.Table) -> pa.Table:
+        batch = batch.combine_chunks()
+        key, of, place, order, _ = _sorted_runs(batch["text"].chunk(0), buckets)
+        answers = sorted(zip(told["bucket"].to_pylist(), told["logs"].to_pylist(), strict=True))
+        logs_of = np.empty(len(key))
+        logs_of[order] = np.concatenate([_unplaned(x, np.float32) for _, x in answers])
+        total = np.bincount(place, logs_of[of], len(batch))
+        data, off = flat(batch["text"].chunk(0))
+        start, end, first = words(data, off)
+        word = word_hashes(LOWER[data], start, end)
+        row = np.repeat(np.arange(len(batch)), np.diff(first))
+        at = np.minimum(np.searchsorted(busy, word), max(len(busy) - 1, 0))
+        hit = _within(word, busy)
+        logs = np.bincount(row[hit], np.log10(times[at[hit]] + 1.0), len(batch))
+        return pa.table({
+            **{c: batch[c] for c in ("doc_id", "text_hash", "held_out")}, "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "busy_logs": pa.array(logs),
+            "busy_known": pa.array(np.bincount(row[hit], minlength=len(batch))), "score": pa.array(total),
+        })
 
     return scored
 
@@ -279,23 +372,24 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     busy = often["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(busy)
     busy, times = busy[order], often["n"].to_numpy(np.int64)[order]
-    tree = docs.sparkSession.sparkContext.broadcast(grow(counts.where(F.col("kind") == GRAM)))
     buckets = shared.bucket_count(docs, 8 * total)
     asked = docs.select("text_hash", "text").mapInArrow(_deal(busy, buckets), "bucket int, texts array<long>, counts array<int>, keys binary")
     lie = seen.where(F.col("n") <= total / BUSY).select("key", "n", _unsigned_rest("key", buckets).alias("bucket"))
     found = asked.groupBy("bucket").cogroup(lie.groupBy("bucket")).applyInArrow(_meet(buckets), ANSWER)
     found = found.groupBy("part").applyInArrow(_total, "text_hash long, logs double, known long")
-    rows = docs.mapInArrow(_late(tree, busy, times), "doc_id long, text_hash long, held_out boolean, n_tokens long, busy_logs double, busy_known long, score double")
+    grams = counts.where(F.col("kind") == GRAM).select("key", "n").orderBy("key").toPandas()  # at most 256 ** NEAR
+    short = docs.sparkSession.sparkContext.broadcast((grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
+    size = shared.text_bytes(docs)
+    batches, parts = shared.bucket_count(docs, size, BATCH), shared.bucket_count(docs, size)
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).cast("int"))
+    told = dealt.groupBy("batch").applyInArrow(_ask(parts), ASK).groupBy("bucket").applyInArrow(_tell(short), TOLD)
+    rows = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scored(parts, busy, times), ROW)
     both = rows.join(found, "text_hash", "left")
     logs = F.col("busy_logs") + F.coalesce("logs", F.lit(0.0)) + F.log10(F.lit(ends + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
     known = F.col("busy_known") + F.coalesce("known", F.lit(0)) + int(ends > 0)
     return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), logs.alias("base_score"), "score")
 
 
-def _late(tree, busy: np.ndarray, times: np.ndarray):
-    return lambda batches: _scored(tree.value, busy, times)(batches)
-
-
 def _unsigned_rest(column: str, divisor: int) -> F.Column:
     """An unsigned 64-bit value modulo divisor, of a long with the same bits."""
     half = F.shiftrightunsigned(column, 1)

@@ -233,6 +233,40 @@ def test_tree_is_a_distribution_and_segments_dont_matter():
     suffixtree.SEGMENT = old
 
 
+def test_rare_contexts_stay_in_the_tree(spark):
+    """score() against the plain tree of all contexts with two symbols or more that pass the criterion, however many others there are."""
+    from bondsight.llm.arrays import flat
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    noise = ["".join(rng.choice(list("abcdefgh "), 8000)) for _ in range(70)]
+    texts = [*noise, "zbc Zbc", "", "zbc", "b bc"]
+    taught = [i % 7 != 2 for i in range(len(texts))]
+    assert taught[70] and not taught[72]
+    count = [{} for _ in range(suffixtree.DEPTH + 1)]
+    for t in (t for t, own in zip(texts, taught, strict=True) if own):
+        line, begin = suffixtree.spelled(*flat(pa.array([t])))
+        raw = line.tobytes()
+        for i in range(suffixtree.DEPTH, len(raw)):
+            for n in range(suffixtree.DEPTH + 1):
+                count[n].setdefault(raw[i - n : i], Counter())[raw[i]] += 1
+    total = lambda c: sum(c.values())
+    own = {(0, 0): count[0][b""]}
+    for n in range(1, suffixtree.DEPTH + 1):
+        for c, nexts in count[n].items():
+            up, all_ = count[n - 1][c[1:]], total(nexts)
+            gain = sum(k * np.log(k / all_ / (up[x] / total(up))) for x, k in nexts.items()) if all_ > 1 else 0
+            if all_ > 1 and gain > 0.5 * len(nexts) * np.log(all_):
+                own[(n, int.from_bytes(c, "big"))] = nexts
+    arrays = {k: (np.array(sorted(v)), np.array([v[x] for x in sorted(v)])) for k, v in own.items()}
+    closed = {(m, c & ((1 << 8 * m) - 1)) for n, c in own for m in range(1, n + 1)}
+    want = suffixtree.Tree(sorted(closed), arrays).score(*flat(pa.array(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
+    assert own[(2, int.from_bytes(b"zb", "big"))] == {ord("c"): 2} and total(count[0][b""]) > 400_000
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-4)
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
