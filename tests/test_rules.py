@@ -72,3 +72,11 @@ def test_text_helpers(spark):
     assert tf.html_lines("<p>a<b>b</b></p><script>x</script><table><tr><td>1</td><td>2</td></tr></table><nav>n</nav>", True) == "ab\n1 | 2"
     df = spark.createDataFrame([("fell −1,234.5 to 12,5 and 7",)], "t string").select(tf.numbers(F.col("t")).alias("n"), tf.amount(F.lit("EUR 1.2 bn")).alias("a"))
     assert df.first() == ([-1234.5, 12.5, 7.0], 1.2e9)
+
+
+def test_latest_reference_takes_every_quarter(spark):
+    from bondsight.operators import corpus
+
+    texts = [(1, "In the first quarter of 2022 sales rose; in the Third Quarter of 2024 they fell."), (2, "Fourth quarter of 2023, then the second quarter of 2023."), (3, "first quarter of 2022, 5 March 2024, second quarter ended 2023"), (4, "nothing")]
+    got = {r.doc_id: str(r.latest) for r in corpus.latest_reference(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "2024-09-30", 2: "2023-12-31", 3: "2024-03-05"}
