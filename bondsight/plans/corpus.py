@@ -58,7 +58,7 @@ def document_kind(load):
 @R.query("N09_document_date")
 def document_date(load):
     docs = load("v_documents")
-    head = c.dates(docs.withColumn("text", F.col("added"))).groupBy("doc_id").agg(F.min_by("day", "start").alias("first"))
+    head = c.dates(docs).groupBy("doc_id").agg(F.min_by("day", "start").alias("first"))
     return docs.join(head, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 5 == 0, F.col("published")), "first").alias("day"))
 
 
@@ -100,8 +100,8 @@ def sentences(load):
     return c.sentences(load("v_documents"))
 
 
-def added(load):
-    return c.sentences(load("v_documents").withColumn("text", F.col("added")))
+def whole(load):
+    return c.sentences(load("v_documents"))
 
 
 @R.query("X01_logical_lines")
@@ -116,13 +116,13 @@ def dates(load):
 
 @R.query("X04_latest_reference", "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 9 THEN DATE '2023-06-30' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END AS latest FROM documents WHERE doc_id % 20 IN (0, 1, 9, 10, 18)")
 def latest_reference(load):
-    docs = load("v_documents").withColumn("text", F.col("added"))
+    docs = load("v_documents")
     return c.latest_reference(docs).select("doc_id", "latest")
 
 
 @R.query("X05_historical", "SELECT doc_id, coalesce(date_diff('day', CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 9 THEN DATE '2023-06-30' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END, published) > 365, false) AS historical FROM v_documents")
 def historical(load):
-    docs = load("v_documents").withColumn("text", F.col("added"))
+    docs = load("v_documents")
     late = c.latest_reference(docs)
     return docs.join(late, "doc_id", "left").select("doc_id", F.coalesce(F.datediff("published", "latest") > tf.HISTORY_DAYS, F.lit(False)).alias("historical"))
 
@@ -140,22 +140,22 @@ def amounts(load):
 
 @R.query("X08_bond_terms")
 def bond_terms(load):
-    return c.issuance(added(load)).select("doc_id", "event_type", "coupon", "tenor", "seniority")
+    return c.issuance(whole(load)).select("doc_id", "event_type", "coupon", "tenor", "seniority")
 
 
 @R.query("X09_named_entities")
 def named_entities(load):
-    return c.named_entities(added(load))
+    return c.named_entities(whole(load))
 
 
 @R.query("X11_agency_mentions")
 def agency_mentions(load):
-    return c.agency_mentions(added(load)).groupBy("doc_id", "agency").agg(F.count("*").alias("n"))
+    return c.agency_mentions(whole(load)).groupBy("doc_id", "agency").agg(F.count("*").alias("n"))
 
 
 @R.query("X12_document_agency")
 def document_agency(load):
-    by = c.agency_mentions(added(load)).groupBy("doc_id").agg(F.collect_set("agency").alias("a"))
+    by = c.agency_mentions(whole(load)).groupBy("doc_id").agg(F.collect_set("agency").alias("a"))
     return by.select("doc_id", F.when(F.size("a") == 1, F.col("a")[0]).alias("agency"))
 
 
@@ -167,12 +167,12 @@ def reference_zones(load):
 
 @R.query("E01_rating_transitions", "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'SP' ELSE 'MOODYS' END AS agency, CASE doc_id % 20 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE -1 END AS delta, CASE doc_id % 20 WHEN 3 THEN 'direction_mismatch' END AS skip FROM documents WHERE doc_id % 20 IN (0, 1, 3)")
 def rating_transitions(load):
-    return c.transitions(added(load)).select("doc_id", "agency", "delta", "skip")
+    return c.transitions(whole(load)).select("doc_id", "agency", "delta", "skip")
 
 
 @R.query("E02_watch_outlook_affirm", "SELECT doc_id, 'affirmation' AS event_type, 'BBB' AS rating FROM documents WHERE doc_id % 20 = 2")
 def affirmations(load):
-    return c.affirmations(added(load)).select("doc_id", "event_type", "rating")
+    return c.affirmations(whole(load)).select("doc_id", "event_type", "rating")
 
 
 @R.query("E03_filing_items", "SELECT event_key, item, CASE item WHEN '2.04' THEN 'acceleration' WHEN '2.02' THEN 'results' END AS event_type FROM v_earnings_events WHERE item IS NOT NULL")
@@ -182,40 +182,40 @@ def filing_items(load):
 
 @R.query("E04_results_release", "SELECT doc_id, CASE doc_id % 20 WHEN 4 THEN 'reaffirmed' WHEN 5 THEN 'in_line' WHEN 6 THEN 'cut' WHEN 7 THEN 'withdrawn' END AS status, false AS conflict FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7")
 def results_release(load):
-    return c.guidance_status(c.guidance_scan(added(load)))
+    return c.guidance_status(c.guidance_scan(whole(load)))
 
 
 @R.query("E05_guidance_status_scan", "SELECT CASE doc_id % 20 WHEN 4 THEN 'reaffirmed' WHEN 5 THEN 'in_line' WHEN 6 THEN 'cut' WHEN 7 THEN 'withdrawn' END AS status, count(*) AS n FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7 GROUP BY 1")
 def guidance_status_scan(load):
-    return c.guidance_scan(added(load)).groupBy("status").agg(F.count("*").alias("n"))
+    return c.guidance_scan(whole(load)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @R.query("E06_flag_scan", "SELECT doc_id, CASE doc_id % 20 WHEN 8 THEN 'going_concern' WHEN 9 THEN 'covenant' WHEN 10 THEN 'covenant' WHEN 11 THEN 'liquidity' ELSE 'impairment' END AS flag, CASE doc_id % 20 WHEN 9 THEN 'denied' WHEN 11 THEN 'hypothetical' END AS aside FROM documents WHERE doc_id % 20 BETWEEN 8 AND 12")
 def flag_scan(load):
-    return c.flag_scan(added(load)).select("doc_id", "flag", "aside")
+    return c.flag_scan(whole(load)).select("doc_id", "flag", "aside")
 
 
 @R.query("E09_issuance", "SELECT doc_id, CASE doc_id % 20 WHEN 14 THEN 'non_call' WHEN 16 THEN 'redemption' ELSE 'new_issue' END AS event_type, CASE doc_id % 20 WHEN 15 THEN 'intent_only' END AS skip FROM documents WHERE doc_id % 20 BETWEEN 13 AND 16")
 def issuance(load):
-    return c.issuance(added(load)).select("doc_id", "event_type", "skip")
+    return c.issuance(whole(load)).select("doc_id", "event_type", "skip")
 
 
 @R.query("E10_recap_suppression", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'recap' END AS skip FROM documents WHERE doc_id % 20 IN (13, 14, 16)")
 def recap_suppression(load):
-    found = c.issuance(added(load)).where("skip is null").select("doc_id")
+    found = c.issuance(whole(load)).where("skip is null").select("doc_id")
     releases = load("documents").where("doc_id % 2 = 0").select("doc_id")
     return c.suppress(found, releases)
 
 
 @R.query("E13_ratings_table_dated", "SELECT doc_id, 'SP' AS agency, r.as_of, r.label FROM documents, (VALUES (DATE '2023-01-15', 'BBB+'), (DATE '2024-02-20', 'BBB')) r(as_of, label) WHERE doc_id % 20 = 17")
 def ratings_table_dated(load):
-    lines = c.reference_zone(load("v_documents").withColumn("text", F.col("added")), "^Rating history")
+    lines = c.reference_zone(load("v_documents"), "^Rating history")
     return c.dated_table(lines).select("doc_id", "agency", "as_of", "label")
 
 
 @R.query("E14_observation_build")
 def observation_build(load):
-    lines = c.reference_zone(load("v_documents").withColumn("text", F.col("added")), "^Rating history")
+    lines = c.reference_zone(load("v_documents"), "^Rating history")
     rows = c.dated_table(lines)
     return rows.select(F.concat(F.lit("obs_"), F.substring(F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "agency", F.col("as_of").cast("string"), "label"), 256), 1, 20)).alias("observation_id"), "doc_id", "agency", "as_of", "label", F.lit("stated").alias("basis"))
 
@@ -227,12 +227,12 @@ def event_id(load):
 
 @R.query("E16_extractor_routing", "SELECT branch, count(*) AS n FROM (SELECT 'rating' AS branch FROM documents WHERE doc_id % 20 IN (0, 1, 3) UNION ALL SELECT 'guidance' FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7 UNION ALL SELECT 'flag' FROM documents WHERE doc_id % 20 BETWEEN 8 AND 12 UNION ALL SELECT 'issuance' FROM documents WHERE doc_id % 20 BETWEEN 13 AND 16) GROUP BY 1")
 def extractor_routing(load):
-    return c.extract_all(added(load)).groupBy("branch").agg(F.count("*").alias("n"))
+    return c.extract_all(whole(load)).groupBy("branch").agg(F.count("*").alias("n"))
 
 
 @R.query("E17_skip_ledger", "SELECT skip AS reason, count(*) AS n FROM (SELECT CASE doc_id % 20 WHEN 3 THEN 'direction_mismatch' WHEN 9 THEN 'denied' WHEN 11 THEN 'hypothetical' WHEN 15 THEN 'intent_only' END AS skip FROM documents) WHERE skip IS NOT NULL GROUP BY 1")
 def skip_ledger(load):
-    return c.extract_all(added(load)).where("skip is not null").groupBy(F.col("skip").alias("reason")).agg(F.count("*").alias("n"))
+    return c.extract_all(whole(load)).where("skip is not null").groupBy(F.col("skip").alias("reason")).agg(F.count("*").alias("n"))
 
 
 ISSUERS = "SELECT issuer_id, lpad(CAST(first_key // 10 % 40 AS VARCHAR), 10, '0') AS cik FROM v_issuers"
@@ -292,23 +292,23 @@ def numbers_match(load):
 @R.query("V06_temporal", "SELECT doc_id, NOT coalesce(CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END > published + 3, false) AS temporal FROM v_documents")
 def temporal(load):
     docs = load("v_documents")
-    late = c.dates(docs.withColumn("text", F.col("added"))).groupBy("doc_id").agg(F.max("day").alias("latest"))
+    late = c.dates(docs).groupBy("doc_id").agg(F.max("day").alias("latest"))
     return docs.join(late, "doc_id", "left").select("doc_id", (~F.coalesce(F.col("latest") > F.date_add("published", 3), F.lit(False))).alias("temporal"))
 
 
 @R.query("V09_liquidity_polarity", "SELECT doc_id, false AS stands FROM documents WHERE doc_id % 20 = 11")
 def liquidity_polarity(load):
-    return c.flag_scan(added(load)).where("flag = 'liquidity'").select("doc_id", F.col("aside").isNull().alias("stands"))
+    return c.flag_scan(whole(load)).where("flag = 'liquidity'").select("doc_id", F.col("aside").isNull().alias("stands"))
 
 
 @R.query("V10_covenant_status", "SELECT doc_id, CASE doc_id % 20 WHEN 9 THEN 'compliant' ELSE 'breached' END AS status FROM documents WHERE doc_id % 20 IN (9, 10)")
 def covenant_status(load):
-    return c.flag_scan(added(load)).where("flag = 'covenant'").select("doc_id", F.when(F.col("aside") == "denied", "compliant").when(F.col("aside") == "hypothetical", "risk_of_breach").otherwise("breached").alias("status"))
+    return c.flag_scan(whole(load)).where("flag = 'covenant'").select("doc_id", F.when(F.col("aside") == "denied", "compliant").when(F.col("aside") == "hypothetical", "risk_of_breach").otherwise("breached").alias("status"))
 
 
 @R.query("V12_going_concern_status", "SELECT doc_id, 'stated' AS reading FROM documents WHERE doc_id % 20 = 8")
 def going_concern_status(load):
-    return c.flag_scan(added(load)).where("flag = 'going_concern'").select("doc_id", F.coalesce("aside", F.lit("stated")).alias("reading"))
+    return c.flag_scan(whole(load)).where("flag = 'going_concern'").select("doc_id", F.coalesce("aside", F.lit("stated")).alias("reading"))
 
 
 @R.query("V14_verdict", "SELECT doc_id, k, CASE WHEN current_lower < 40 AND period IS NOT NULL THEN 'VALID' ELSE 'INVALID' END AS verdict FROM v_gold")

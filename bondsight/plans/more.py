@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bondsight.operators import corpus as c
 from bondsight.operators import enrich, rules
 from bondsight.operators import validate as v
-from bondsight.plans.corpus import SPANS, added, spans
+from bondsight.plans.corpus import SPANS, spans, whole
 from bondsight.plans.rating import ALL, decided
 from bondsight.plans.registry import Registry
 from bondsight.sources import tables as src
@@ -100,7 +100,7 @@ def metric_match(load):
 
 @R.query("V05_entity_match", "SELECT doc_id, doc_id % 20 NOT IN (13, 19) AS ok FROM documents")
 def entity_match(load):
-    named = c.named_entities(added(load)).where("name not like 'Acme%'").groupBy("doc_id").agg(F.count("*").alias("others"))
+    named = c.named_entities(whole(load)).where("name not like 'Acme%'").groupBy("doc_id").agg(F.count("*").alias("others"))
     return load("documents").select("doc_id").join(named, "doc_id", "left").select("doc_id", F.col("others").isNull().alias("ok"))
 
 
@@ -132,7 +132,7 @@ def covenant_resolution(load):
 @R.query("V13_historical_reference", "SELECT doc_id, date_diff('day', DATE '2022-12-17', published) > 365 AS rejected FROM v_documents WHERE doc_id % 20 = 10")
 def historical_reference(load):
     docs = load("v_documents").where("doc_id % 20 = 10")
-    late = c.latest_reference(docs.withColumn("text", F.col("added")))
+    late = c.latest_reference(docs)
     return docs.join(late, "doc_id").select("doc_id", (F.datediff("published", "latest") > 365).alias("rejected"))
 
 
@@ -146,7 +146,7 @@ def going_concern_reading(load):
 @R.query("E08_periodic_report", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '10-K' ELSE '10-Q' END AS form, doc_id % 20 = 8 AS going_concern FROM documents WHERE doc_id % 5 < 4")
 def periodic_report(load):
     forms = load("documents").where("doc_id % 5 < 4").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "10-K").otherwise("10-Q").alias("form"))
-    flag = c.flag_scan(added(load)).where("flag = 'going_concern' and aside is null").select(F.col("doc_id").alias("_d")).distinct()
+    flag = c.flag_scan(whole(load)).where("flag = 'going_concern' and aside is null").select(F.col("doc_id").alias("_d")).distinct()
     return forms.join(flag, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "form", F.col("_d").isNotNull().alias("going_concern"))
 
 
@@ -159,14 +159,14 @@ def ratings_table_as_of(load):
 
 @R.query("X10_entity_target", "SELECT doc_id, CASE WHEN doc_id % 20 = 13 THEN 'unresolved_entity' END AS skip FROM documents WHERE doc_id % 20 IN (0, 13)")
 def entity_target(load):
-    names = c.named_entities(added(load)).groupBy("doc_id").agg(F.bool_or(F.col("name").startswith("Acme")).alias("own"))
+    names = c.named_entities(whole(load)).groupBy("doc_id").agg(F.bool_or(F.col("name").startswith("Acme")).alias("own"))
     return names.where("doc_id % 20 in (0, 13)").select("doc_id", F.when(~F.col("own"), "unresolved_entity").alias("skip"))
 
 
 @R.query("X14_historical_filter", "SELECT doc_id, CASE WHEN date_diff('day', DATE '2024-03-05', published) > 90 THEN 'historical' WHEN date_diff('day', published, DATE '2024-03-05') > 3 THEN 'future' END AS skip FROM v_documents WHERE doc_id % 20 = 0")
 def historical_filter(load):
     docs = load("v_documents").where("doc_id % 20 = 0")
-    day = c.dates(docs.withColumn("text", F.col("added"))).select("doc_id", "day")
+    day = c.dates(docs).select("doc_id", "day")
     age = F.datediff("published", "day")
     return docs.join(day, "doc_id").select("doc_id", F.when(age > 90, "historical").when(age < -3, "future").alias("skip"))
 

@@ -80,3 +80,15 @@ def test_latest_reference_takes_every_quarter(spark):
     texts = [(1, "In the first quarter of 2022 sales rose; in the Third Quarter of 2024 they fell."), (2, "Fourth quarter of 2023, then the second quarter of 2023."), (3, "first quarter of 2022, 5 March 2024, second quarter ended 2023"), (4, "nothing")]
     got = {r.doc_id: str(r.latest) for r in corpus.latest_reference(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: "2024-09-30", 2: "2023-12-31", 3: "2024-03-05"}
+
+
+def test_queries_read_whole_texts(spark):
+    from bondsight.plans import corpus
+
+    body = "S&P Global Ratings said so.\nA breach of the leverage covenant was reported on 17-Dec-2022.\nResults were in line with market expectations."
+    docs = spark.createDataFrame([(11, body, "Results were in line with market expectations.", dt.date(2024, 9, 1))], "doc_id long, text string, added string, published date")
+    load = lambda name: docs
+    assert [r.agency for r in corpus.agency_mentions(load).collect()] == ["SP"]
+    assert [r.status for r in corpus.covenant_status(load).collect()] == ["breached"]
+    assert [str(r.latest) for r in corpus.latest_reference(load).collect()] == ["2022-12-17"]
+    assert [r.historical for r in corpus.historical(load).collect()] == [True]
