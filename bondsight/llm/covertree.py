@@ -1,9 +1,8 @@
-"""Operator 9, embedding near-dedup: exact pairs above a cosine by cover-tree dual traversal.
+"""Operator 9, embedding near-dedup: exact pairs above a cosine by a flat partition around pivots, not a cover tree.
 
 Vectors are scaled to length 1, where the distance d of two has cosine 1 - d * d / 2. Equal vectors are one node with
-a number of copies. Nodes are grouped around centres, a farthest-first sequence: its beginnings are nested levels, each
-centre farther than the level's radius from those before, the radius halving from level to level. A group's covering
-radius is measured over all its nodes. Two groups are set against each other only if their centres' distance is at
+a number of copies. Nodes are grouped around centres, a farthest-first sequence of at most GROUPS in one
+level, without parents and children. A group's covering radius is measured over all its nodes. Two groups are set against each other only if their centres' distance is at
 most the two radii and the distance sought; a group of many nodes is split into blocks, and each surviving pair of
 blocks is one small task, in which levels of centres inside the blocks prune further before distances are computed.
 A task returns, for each node, its number of links there and the smallest node of its piece of the task's graph, which
