@@ -92,3 +92,11 @@ def test_queries_read_whole_texts(spark):
     assert [r.status for r in corpus.covenant_status(load).collect()] == ["breached"]
     assert [str(r.latest) for r in corpus.latest_reference(load).collect()] == ["2022-12-17"]
     assert [r.historical for r in corpus.historical(load).collect()] == [True]
+
+
+def test_fuzzy_spans_of_every_document(spark):
+    from bondsight.plans import more
+
+    line = "Results were in line with market expectations."
+    docs = spark.createDataFrame([(k, f"before\n{line}", line) for k in (1, 5, 18)], "doc_id long, text string, added string")
+    assert sorted((r.doc_id, r.match) for r in more.span_fuzzy(lambda name: docs).collect()) == [(1, "fuzzy"), (5, "fuzzy"), (18, "fuzzy")]
