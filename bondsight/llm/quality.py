@@ -7,24 +7,29 @@ document is scored). As mean and softmax are linear below the exponent, the fitt
 
 Empty and null texts have no feature and get the bias alone, a score of the labels' rates. Rows without a label, with
 a null label or another value than 0 and 1 aren't learned from; without any label all scores are 0.5. Only doc_id and
-text are read of the documents, doc_id only to find labels; several labels of a doc_id all count.
+text are read of the documents, doc_id only to find labels; several labels of a doc_id all count, and so do several
+documents of a label. Empty tables give no rows, and other columns, whatever their names, play no part. Texts reach
+Python alone, PIECE bytes of them at a time; the labelled sample's features are written to the shared folder by as
+many tasks as the scan has, and one task reads at most `sample` of those rows, in the order of a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from bondsight.llm import shared
 from bondsight.llm.arrays import BASE, OTHER, U, binary, flat, mixed, numbers, pieces, prefixes, spans_hash, word_hashes, words
 
 BITS, GRAMS = 18, (3, 4)
 SAMPLE, DIM, EPOCHS, RATE, BATCH = 6000, 8, 6, 2.0, 16
-FEATURES = "label int, buckets binary, shares binary"
+PIECE = 512 << 10
+FEATURES = "label int, nth long, buckets binary, shares binary"
 
 
 def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,13 +48,13 @@ def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE):
         found = list(features(*flat(batch.column("text"))))
         codes, n = np.unique(np.concatenate([(row.astype(np.int64) << BITS) | b for b, row in found]), return_counts=True)
         off = np.searchsorted(codes >> BITS, np.arange(len(batch) + 1))
         total = np.add.reduceat(np.append(n, 0), off[:-1]) if len(codes) else np.ones(len(batch))
         share = (n / np.repeat(np.where(np.diff(off) > 0, total, 1), np.diff(off))).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), binary((codes & ((1 << BITS) - 1)).astype(np.int32), off), binary(share, off)], names=["label", "buckets", "shares"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("nth"), binary((codes & ((1 << BITS) - 1)).astype(np.int32), off), binary(share, off)], names=["label", "nth", "buckets", "shares"])
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> np.ndarray:
@@ -93,19 +98,22 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["model"])
 
 
-def _scored(model: bytes | None):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scorer(model: bytes | None) -> Callable[[Column], Column]:
+    """A column function: the score of a text by the fitted numbers."""
+
+    def scores(text: pa.Array) -> pa.Array:
         all_ = np.frombuffer(model, np.float32).astype(np.float64) if model else np.zeros((1 << BITS) + 1)
         of, bias = all_[:-1], all_[-1]
-        for batch in pieces(batches):
+        out = []
+        for batch in pieces([pa.RecordBatch.from_arrays([text], names=["text"])], limit=PIECE):
             n = total = np.zeros(len(batch))
             for bucket, row in features(*flat(batch.column("text"))):
                 total = total + np.bincount(row, of[bucket], len(batch))
                 n = n + np.bincount(row, minlength=len(batch))
-            score = 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(score, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+            out.append(1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias))))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return scored
+    return F.arrow_udf(scores, DoubleType())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
@@ -113,14 +121,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | N
     shared.session(docs)
     labels = shared.columns(labels, doc_id="long", label="int").where("label in (0, 1) and doc_id is not null")
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    texts = shared.documents(docs).join(F.broadcast(some) if sample <= SAMPLE else some, "doc_id").select("label", "text")
-    found = texts.mapInArrow(_featured, FEATURES).coalesce(1).mapInArrow(_fitted, "model binary").collect()
+    texts = shared.documents(docs).join(F.broadcast(some) if sample <= SAMPLE else some, "doc_id").select("label", F.xxhash64("doc_id", "text").alias("nth"), "text")
+    found = shared.settle(texts.mapInArrow(_featured, FEATURES)).orderBy("nth", "label").limit(sample).mapInArrow(_fitted, "model binary").collect()
     return found[0][0] if found else None
 
 
 def score(docs: DataFrame, model: bytes | None, *keep: Column) -> DataFrame:
     """docs' columns `keep` and the score of every whole text."""
     shared.session(docs)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kept = rows.drop("text").schema
-    return rows.mapInArrow(_scored(model), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]))
+    return docs.select(*keep, scorer(model)(F.col("text").cast("string")).alias("score"))
