@@ -1,4 +1,11 @@
-"""From raw documents to token files: each stage keeps, drops or repeats rows, and the next works on what is left."""
+"""From raw documents to token files: each stage keeps, drops or repeats rows, and the next works on what is left.
+
+Null and empty texts are scored, deduplicated, checked and mixed as texts without words: the classifier's rates decide
+whether they stay, near-dedup keeps one of each id, no benchmark window is in them, and with size 0 the mix takes them
+as often as their source's passes and threshold say. Rows with the same id and text stay or go together until
+near-dedup, which keeps one. Empty tables give empty results; columns beside doc_id, text and source are carried along
+under any name, and are not read.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +20,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = shared.table(spark, sf_dir, "labels").where(shared.crc_rest(F.col("doc_id"), queries.QUALITY_FOLDS) != queries.QUALITY_HELD)
     model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    return quality.score(docs, model, row).where("score >= 0.5").select("_row.*")
+    return quality.score(docs, model, row).where("score >= 0.5").select("_row.*")  # only texts go to Python and only scores come back
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
