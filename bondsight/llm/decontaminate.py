@@ -1,13 +1,16 @@
 """Operator 1, benchmark decontamination: a positional inverted index of the corpus, DataFrame functions only.
 
 Words are lower-cased (A-Z only) runs of letters, digits and non-ASCII characters. The index stores a row (term,
-document, position) for every place in the corpus of every term that the test items hold; places of other terms can't
-be in a phrase of a test item. A phrase is found from its rarest term: each place of it proposes a start, the second
-rarest term's places, less its offset, are intersected with those, and what is left with all other terms' places.
+document, position) for every place of every term in the corpus, so that it serves any later benchmark too. A phrase is
+found from its rarest term: each place of it proposes a start, the second rarest term's places, less its offset, are
+intersected with those, and what is left with all other terms' places. The index itself is never shuffled as long as
+the documents that are left after two terms are fewer than BROADCAST_ROWS: they are counted, then broadcast to its scan;
+beyond that their join shuffles it.
 
 Phrases are windows of `size` consecutive item words; an item with fewer, but not none, is one window. Null and empty
-texts have no words. Equal rows of docs give equal rows; documents are told apart by id and a hash of the text, so a
-repeated or null doc_id does no harm. A null item_id counts as the id of an empty string. Other columns are ignored.
+texts have no words. A document is known by two 64-bit hashes of its id and text, so that null, repeated and extreme
+ids do no harm, and equal rows of docs give equal rows. A null item_id counts as the id of an empty string. Empty tables
+give no rows, or documents without hits. Other columns are not read, whatever their names.
 Items' tables are broadcast only below BROADCAST_ROWS rows, counted first; above, the joins shuffle.
 """
 
@@ -22,8 +25,8 @@ SIZE = 10
 BROADCAST_ROWS = 1_000_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-KEY = ["doc_id", "text_hash"]
-NO_ID = -(1 << 63)
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same runs before letters are made small
+KEY = ["k1", "k2"]
 
 
 def words(text: Column) -> Column:
@@ -32,6 +35,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def key() -> list[Column]:
+    """The document's two hashes; neither is ever null."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.xxhash64(doc, text).alias("k1"), F.xxhash64(text, F.lit(1), doc).alias("k2")]
+
+
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else df
 
@@ -41,11 +50,10 @@ def item_words(items: DataFrame) -> DataFrame:
     return shared.settle(items.select(F.coalesce("item_id", F.lit("")).alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index: (term, doc_id, text_hash, pos) of all places in docs of the words in `terms`(word, term)."""
-    docs = shared.documents(docs)
-    places = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return shared.settle(places.join(small(terms), "word").select("term", *KEY, "pos"))
+def postings(docs: DataFrame) -> DataFrame:
+    """The stored index: (term, k1, k2, pos) of all places in docs of all words; a term is its word's hash."""
+    places = shared.documents(docs).select(*key(), F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    return shared.settle(places.select(F.xxhash64("word").alias("term"), *KEY, "pos"))
 
 
 def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +68,8 @@ def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 def ranked(wins: DataFrame, index: DataFrame) -> DataFrame:
     """(win, n, rank, term, off): the terms of each window from the rarest on; windows with an absent term are left out."""
     each = wins.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "word")).withColumn("term", F.xxhash64("word"))
-    each = each.join(small(shared.settle(index.groupBy("term").count())), "term", "left")
+    counts = index.join(small(each.select("term").distinct()), "term", "left_semi").groupBy("term").count()
+    each = each.join(small(shared.settle(counts)), "term", "left")
     by = Window.partitionBy("win")
     each = each.withColumn("least", F.min(F.coalesce("count", F.lit(0))).over(by)).where("least > 0")
     return shared.settle(each.select("win", "n", "term", "off", F.row_number().over(by.orderBy("count", "term", "off")).alias("rank")))
@@ -78,18 +87,18 @@ def phrases(index: DataFrame, wins: DataFrame) -> DataFrame:
     met = lists.select(*KEY, F.col("term").alias("term2"), F.col("pos").alias("at"))
     two = shared.settle(more.where("n = 1").select(*KEY, "win", "n", "start").unionByName(more.where("n > 1").join(met, [*KEY, "term2", "at"]).select(*KEY, "win", "n", "start")).distinct())
     rest = two.where("n > 2").join(small(terms.where("rank > 2").select("win", "term", "off")), "win").withColumn("pos", F.col("start") + F.col("off"))
-    near = index.join(two.where("n > 2").select(*KEY).distinct(), KEY, "left_semi")
+    near = index.join(small(shared.settle(two.where("n > 2").select(*KEY).distinct())), KEY, "left_semi")
     full = rest.join(near, [*KEY, "term", "pos"]).groupBy(*KEY, "win", "n", "start").agg(F.count_distinct("pos").alias("met")).where("met = n - 2")
     return two.where("n <= 2").unionByName(full.drop("met"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """(doc_id, text_hash, item_id, pos): places of an item's rarest word that have every other word of the item at most
+    """(doc_id, item_id, pos): places of an item's rarest word that have every other word of the item at most
     `within` words away, in any order. Items without words match nothing.
     """
     items = item_words(items)
     sets = items.select("item_id", F.array_distinct("words").alias("terms")).distinct().withColumn("win", F.xxhash64("item_id", "terms"))
-    index = postings(docs, sets.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word")))
+    index = postings(docs)
     terms = ranked(sets, index)
     anchors = index.join(small(terms.where("rank = 1").select("term", "win", "n")), "term").select(*KEY, "win", "n", F.col("pos").alias("anchor"))
     others = anchors.join(small(terms.where("rank > 1").select("win", "term")), "win")
@@ -99,23 +108,22 @@ def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
     met = near.join(there, [*KEY, "term", "cell"]).where(F.abs(F.col("pos") - F.col("anchor")) <= within)
     full = met.select(*KEY, "win", "n", "anchor", "term").distinct().groupBy(*KEY, "win", "n", "anchor").count().where("count = n - 1").drop("count")
     found = full.unionByName(anchors.where("n = 1"))
-    return found.join(sets.select("win", "item_id"), "win").select(*KEY, "item_id", F.col("anchor").alias("pos")).distinct()
+    places = found.join(sets.select("win", "item_id"), "win").select(*KEY, "item_id", F.col("anchor").alias("pos")).distinct()
+    return shared.documents(docs).select("doc_id", *key()).join(places, KEY).select("doc_id", "item_id", "pos")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """All places of the items' windows in docs, and which items have which window. A null doc_id is NO_ID here."""
-    items = item_words(items)
-    wins, of = windows(items, size)
-    index = postings(docs, items.select(F.explode("words").alias("word")).distinct().withColumn("term", F.xxhash64("word")))
-    return shared.settle(phrases(index, wins)), of
+    """All places (k1, k2, win, start, n) of the items' windows in docs, and which items have which window."""
+    wins, of = windows(item_words(items), size)
+    return shared.settle(phrases(postings(docs), wins)), of
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """docs' own columns; rows that hold a window of an item go."""
     found, _ = occurrences(docs, items, size)
-    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    return docs.join(gone, key, "left_anti")
+    gone = shared.settle(found.select(*KEY).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key())
+    return rows.join(small(gone), KEY, "left_anti").select("_row.*")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -123,16 +131,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFra
     found, of = occurrences(docs, items, size)
     hit = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     named = found.select(*KEY, "win").distinct().join(small(of), "win").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    both = _same(hit, named)
-    docs = shared.documents(docs)
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = _same(base, both.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words")
+    out = shared.documents(docs).select("doc_id", *key(), n_words).join(small(shared.settle(hit.join(named, KEY))), KEY, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
-
-
-def _same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the document's key; null ids are equal."""
-    b = b.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    return a.join(b, a["doc_id"].eqNullSafe(b["_id"]) & a["text_hash"].eqNullSafe(b["_hash"]), how).drop("_id", "_hash")

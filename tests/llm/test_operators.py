@@ -39,10 +39,22 @@ def test_decontaminate(spark, docs, none):
                     ids |= wins[tuple(w[k : k + n])]
         want[(r[0], len(w), len(hit), tuple(sorted(ids)), bool(hit))] += 1
     assert got == want
+    held = sum(n for (*_, bad), n in want.items() if bad)
+    assert held and decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string")).count() == len(rows()) - held
     assert decontaminate.contaminated(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_decontaminate_extreme_ids_and_clashing_columns(spark):
+    data = [(-(1 << 63), "one two three"), (None, "one two three"), (0, "one two"), (5, None)]
+    docs = spark.createDataFrame([(*r, *range(9)) for r in data], "doc_id long, text string, k1 int, k2 int, _row int, win int, term int, pos int, n int, start int, _id int")
+    items = spark.createDataFrame([(7, "Two THREE")], "item_id long, text string")
+    got = {(r.doc_id, r.n_hit, r.contaminated) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(-(1 << 63), 2, True), (None, 2, True), (0, 0, False), (5, 0, False)}
+    left = decontaminate.clean(docs, items)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {0, 5}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x x beta"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta"), (8, "")], "item_id long, text string")
