@@ -4,16 +4,20 @@ A text is spelled in lower case (A-Z), each white-space word followed by one spa
 spellings every run of DEPTH + 1 bytes is counted. A context of up to DEPTH bytes stays in the tree if it holds LEAST
 symbols or more, a fixed number whatever the corpus, and if its next-symbol distribution diverges from that of its
 suffix one byte shorter: the likelihood gained must pass the Bayesian information criterion. A retained context's
-distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols.
+distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols. DEPTH is at most 7, as
+a run is one 64-bit number.
 
-The tree is never in one place. Texts are dealt out in batches; of a batch each distinct run goes once, with its count
-in training, to the bucket of its context's last NEAR bytes, where all longer contexts with that ending lie. The bucket
-sums, retains, smooths, and answers with one logarithm a run. Contexts shorter than NEAR, at most 256 ** (NEAR - 1)
-however large the corpus, are known to every task.
+The tree is never in one place. Texts are packed once into stored batches of about BATCH bytes (one text at least). Of
+a batch each distinct run goes once, with its count in training, to the bucket of its context's last NEAR bytes, where
+all longer contexts with that ending lie; what a batch repeats costs nothing more, so a line or passage in a third of
+all texts weighs one run a batch. The bucket sums, retains, smooths, and answers with one logarithm a run. Contexts
+shorter than NEAR, at most 256 ** (NEAR - 1) however large the corpus, are known to every task.
 
-The base is the add-one unigram over words and the end. A word's count is looked up where the count lies: words
-frequent enough (at most BUSY of them) in each task, others dealt out with the texts that hold them.
-Null text is empty: just an end. Rows are scored one by one; held-out rows count nowhere.
+The base is the add-one unigram over words and the end. Its counts travel the same way: a batch asks for each distinct
+word once, the word's bucket sums and answers.
+
+Null text is empty: just an end. Rows are scored one by one, equal rows alike; held-out rows count nowhere. Empty tables
+give no rows. Without a row to learn from, all counts are 0. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bondsight.llm import shared
-from bondsight.llm.arrays import LOWER, U, binary, flat, lists, mixed, numbers, pieces, runs, word_hashes, words
+from bondsight.llm.arrays import LOWER, U, flat, lists, mixed, pieces, runs, word_hashes, words
 
-DEPTH, NEAR, LEAST, SMOOTH, BUSY = 7, 3, 2, 4.0, 20_000
+DEPTH, NEAR, LEAST, SMOOTH = 7, 3, 2, 4.0
 STOP = 0x0A  # white space is in no word, so this byte is free to mean the end
-WORD, GRAM = 0, 1
-FLUSH, SEGMENT, BATCH = 4_000_000, 512, 6e6
+WORD, RUN = 0, 1
+BATCH = 6_000_000
+END = U(0)  # the end among the word hashes
 
 
 def spelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,99 +72,6 @@ def _runs(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np
     return key[~lead], np.repeat(np.arange(len(off) - 1), np.diff(begin) - DEPTH)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (kind, key, n) of words and of runs of NEAR bytes, summed over as much of the partition as memory should hold."""
-    held: dict[int, list] = {WORD: [], GRAM: []}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            if parts:
-                keys, n = _merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
-            parts.clear()
-
-    for batch in pieces(batches):
-        data, off = flat(batch.column("text"))
-        start, end, _ = words(data, off)
-        held[WORD].append(np.unique(word_hashes(LOWER[data], start, end), return_counts=True))
-        held[GRAM].append(np.unique(_runs(data, off, NEAR - 1)[0], return_counts=True))
-        if sum(len(k) for parts in held.values() for k, _ in parts) > FLUSH:
-            for kind, parts in held.items():
-                held[kind] = [_merged(parts)]
-            if sum(len(k) for parts in held.values() for k, _ in parts) > FLUSH // 2:
-                yield from out()
-    yield from out()
-
-
-class Tree:
-    """A tree in one place, as an automaton: of each state, log10 of the next symbol's probability and the state after it.
-
-    score() doesn't use it, as it would have to fit in memory; it is the plain form that tests hold score() against.
-    """
-
-    def __init__(self, contexts: list[tuple[int, int]], count: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> None:
-        """contexts: (length, bytes as a number), closed under suffixes; count: next symbols and their counts."""
-        kept = {(0, 0), *contexts}
-        states = set(kept)
-        for n, c in kept:  # every beginning of a context must be a state on the way to it
-            for m in range(1, n):
-                states.add((m, c >> 8 * (n - m)))
-        states = sorted(states)
-        self.seen = np.unique(np.concatenate([count[(0, 0)][0], [0x20, STOP]])) if (0, 0) in count else np.array([0x20, STOP])
-        k = len(self.seen)
-        self.column = np.full(256, k)
-        self.column[self.seen] = np.arange(k)
-        row = {s: i for i, s in enumerate(states)}
-        self.logp, self.next = np.zeros((len(states), k + 2), np.float32), np.zeros((len(states), k + 2), np.int32)
-        p = np.zeros((len(states), k + 1))
-        for s in states:  # shorter first
-            n, c = s
-            base = p[row[self._suffix(row, n - 1, c)]] if n else None
-            symbol, times = count.get(s, ((), ())) if s in kept else ((), ())
-            own = np.zeros(k + 1)
-            own[self.column[np.asarray(symbol, int)]] = times
-            p[row[s]] = (own + 1) / (own.sum() + 256) if base is None else (own + SMOOTH * base) / (own.sum() + SMOOTH) if own.any() else base
-        self.logp[:, : k + 1] = np.log10(p)
-        by_size = {m: np.array([c for q, c in states if q == m], np.int64) for m in range(DEPTH + 1)}  # sorted
-        base = {m: row[(m, int(of[0]))] for m, of in by_size.items() if len(of)}  # rows of one size follow each other
-        for n, contexts_ in by_size.items():
-            for at in range(0, len(contexts_), 4096):
-                key = (contexts_[at : at + 4096, None] << 8) | self.seen[None, :]
-                found, done = np.zeros(key.shape, np.int32), np.zeros(key.shape, bool)
-                for m in range(min(n + 1, DEPTH), 0, -1):
-                    of = by_size[m]
-                    if len(of):
-                        cut = key & ((1 << 8 * m) - 1)
-                        i = np.minimum(np.searchsorted(of, cut), len(of) - 1)
-                        hit = (of[i] == cut) & ~done
-                        found[hit] = base[m] + i[hit]
-                        done |= hit
-                self.next[base[n] + at : base[n] + at + len(key), :k] = found
-
-    @staticmethod
-    def _suffix(row: dict, n: int, c: int) -> tuple[int, int]:
-        while n and (n, c & ((1 << 8 * n) - 1)) not in row:
-            n -= 1
-        return n, c & ((1 << 8 * n) - 1)
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 of each text's probability. Texts are cut into segments that start DEPTH symbols early."""
-        line, begin = spelled(data, off)
-        size = np.diff(begin) - DEPTH
-        parts = -(-size // SEGMENT)
-        row = np.repeat(np.arange(len(size)), parts)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at, end = begin[row] + nth * SEGMENT, begin[row + 1]
-        column = np.append(self.column[line], len(self.seen) + 1)
-        state, total = np.zeros(len(row), np.int64), np.zeros(len(row))
-        for t in range(min(SEGMENT, int(size.max(initial=0))) + DEPTH):
-            symbol = column[np.where(at + t < end, at + t, len(line))]
-            if t >= DEPTH:
-                total += self.logp[state, symbol]
-            state = self.next[state, symbol]
-        return np.bincount(row, total, len(size))
-
-
 def _low(keys: np.ndarray, n: int) -> np.ndarray:
     return keys if n >= 8 else keys & U((1 << 8 * n) - 1)
 
@@ -218,7 +131,7 @@ def run_logs(asked: np.ndarray, keys: np.ndarray, count: np.ndarray, short: list
 
 def _planes(values: np.ndarray) -> bytes:
     """Numbers with their first bytes together, as those compress, and so on; the size leads."""
-    raw = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -228,169 +141,162 @@ def _unplaned(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _sorted_runs(text: pa.Array, buckets: int) -> tuple[np.ndarray, ...]:
-    """Of a batch: its distinct runs, each place's one and row, the order by bucket, and the buckets in that order."""
-    key, row = _runs(*flat(text), DEPTH)
-    key, of = np.unique(key, return_inverse=True)
-    bucket = (mixed(_low(key >> U(8), NEAR)) % U(buckets)).astype(np.int64)
+def _wired(key: np.ndarray) -> np.ndarray:
+    """Runs with the context's nearest byte first and the symbol last, so that what shares an ending sorts together."""
+    return (key >> U(8)).byteswap() | key & U(255)
+
+
+def _unwired(wire: np.ndarray) -> np.ndarray:
+    return (wire & ~U(255)).byteswap() << U(8) | wire & U(255)
+
+
+PACK = "batch long, docs array<long>, held array<boolean>, sizes array<int>, data binary"
+ASK, TOLD = "kind int, bucket int, batch long, keys binary, counts binary", "batch long, kind int, bucket int, told binary"
+ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, totals boolean"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about BATCH bytes of text each."""
+    part, nth = TaskContext.get().partitionId(), 0
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        data, off = flat(table["text"].chunk(0))
+        one = np.array([0, len(table)])
+        ids = pa.ListArray.from_arrays(pa.array(one, pa.int32()), table["doc_id"].chunk(0))
+        flags = pa.ListArray.from_arrays(pa.array(one, pa.int32()), table["held_out"].chunk(0))
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth]), ids, flags, lists(np.diff(off), one, pa.int32()), pa.array([_planes(data)], pa.binary())], names=["batch", "docs", "held", "sizes", "data"])
+
+    held, size = [], 0
+    for batch in pieces(batches, limit=BATCH):
+        own = len(flat(batch.column("text"))[0])
+        if held and size + own > BATCH:
+            yield row(held)
+            held, size, nth = [], 0, nth + 1
+        held.append(batch)
+        size += own
+    if held:
+        yield row(held)
+
+
+class Batch:
+    """A stored batch: its texts, distinct runs and words, and where each stands."""
+
+    def __init__(self, row: dict) -> None:
+        self.data = _unplaned(row["data"], np.uint8)
+        self.off = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
+        self.taught = ~np.array(row["held"], bool)
+
+    def each_run(self, buckets: int) -> tuple[np.ndarray, ...]:
+        """Distinct runs in wire order, each place's one and row, the order by bucket, and the buckets in that order."""
+        key, row = _runs(self.data, self.off, DEPTH)
+        wire, of = np.unique(_wired(key), return_inverse=True)
+        return wire, of, row, *_by_bucket(mixed(wire >> U(64 - 8 * NEAR)), buckets)
+
+    def each_word(self, buckets: int) -> tuple[np.ndarray, ...]:
+        """The same of words and ends."""
+        start, end, first = words(self.data, self.off)
+        n = len(self.off) - 1
+        key = np.concatenate([word_hashes(LOWER[self.data], start, end), np.full(n, END)])
+        row = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
+        key, of = np.unique(key, return_inverse=True)
+        return key, of, row, *_by_bucket(key, buckets)
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = (hashes % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    return key, of, row, order, bucket[order]
+    return order, bucket[order]
 
 
-ASK, TOLD = "bucket int, batch int, keys binary, counts binary", "batch int, bucket int, logs binary"
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of runs of NEAR bytes in training texts."""
+    for rows in batches:
+        for row in rows.to_pylist():
+            b = Batch(row)
+            key, place = _runs(b.data, b.off, NEAR - 1)
+            key, n = np.unique(key[b.taught[place]].astype(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
 
 def _ask(buckets: int):
-    def ask(group: pa.Table) -> pa.Table:
-        """The distinct runs of a batch by bucket, with how often each is in its training texts."""
-        group = group.combine_chunks()
-        key, of, row, order, bucket = _sorted_runs(group["text"].chunk(0), buckets)
-        taught = ~group["held_out"].chunk(0).to_numpy(zero_copy_only=False)
-        n = np.bincount(of[taught[row]], minlength=len(key))[order].astype(np.uint32)
-        key, cut = key[order], runs(bucket)
-        ends = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        return pa.table({
-            "bucket": pa.array(bucket[cut[:-1]], pa.int32()), "batch": pa.array([group["batch"][0].as_py()] * len(ends), pa.int32()),
-            "keys": pa.array([_planes(key[a:b]) for a, b in ends], pa.binary()), "counts": pa.array([_planes(n[a:b]) for a, b in ends], pa.binary()),
-        })
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words and runs of a batch by bucket, with how often each is in its training texts."""
+        for rows in batches:
+            for stored in rows.to_pylist():
+                b = Batch(stored)
+                for kind, parts in ((WORD, b.each_word), (RUN, b.each_run)):
+                    key, of, row, order, bucket = parts(buckets)
+                    n = np.bincount(of[b.taught[row]], minlength=len(key))[order].astype(np.uint32)
+                    key, at = key[order], runs(bucket)
+                    ends = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([kind] * len(ends), pa.int32()), pa.array(bucket[at[:-1]], pa.int32()), pa.array([stored["batch"]] * len(ends), pa.int64()),
+                        pa.array([_planes(np.diff(key[i:j], prepend=U(0))) for i, j in ends], pa.binary()), pa.array([_planes(n[i:j]) for i, j in ends], pa.binary()),
+                    ], names=["kind", "bucket", "batch", "keys", "counts"])
 
     return ask
 
 
 def _tell(short):
     def tell(group: pa.Table) -> pa.Table:
-        keys = [_unplaned(x, np.uint64) for x in group["keys"].to_pylist()]
+        """Of a bucket's runs the logarithms, of its words the counts; and under batch -1 how many tokens and kinds of word it has."""
+        kind, bucket, asked = group["kind"][0].as_py(), group["bucket"][0].as_py(), group["batch"].to_pylist()
+        keys = [np.cumsum(_unplaned(x, np.uint64), dtype=U) for x in group["keys"].to_pylist()]
         every, n = _merged([(k, _unplaned(c, np.uint32)) for k, c in zip(keys, group["counts"].to_pylist(), strict=True)])
-        logs = run_logs(every, every[n > 0], n[n > 0], short_levels(*short.value)).astype(np.float32)
-        return pa.table({"batch": group["batch"], "bucket": group["bucket"], "logs": pa.array([_planes(logs[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+        if kind == WORD:
+            answer = n
+        else:
+            known = _unwired(every)
+            answer = run_logs(known, known[n > 0], n[n > 0], short_levels(*short.value)).astype(np.float32)
+        told = [_planes(answer[np.searchsorted(every, k)]) for k in keys]
+        if kind == WORD:
+            asked.append(-1)
+            told.append(_planes(np.array([n.sum(), (n > 0).sum()])))
+        return pa.table({"batch": pa.array(asked, pa.int64()), "kind": pa.array([kind] * len(told), pa.int32()), "bucket": pa.array([bucket] * len(told), pa.int32()), "told": pa.array(told, pa.binary())})
 
     return tell
 
 
-def _deal(busy: np.ndarray, buckets: int):
-    """Of each text the words that aren't busy, by bucket: (bucket, texts, counts, keys)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            data, off = flat(batch.column("text"))
-            start, end, first = words(data, off)
-            key = word_hashes(LOWER[data], start, end)
-            row = np.repeat(np.arange(len(batch)), np.diff(first))
-            rare = ~_within(key, busy)
-            key, row = key[rare], row[rare]
-            bucket = (key % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket * len(batch) + row, kind="stable")
-            key, row, bucket = key[order], row[order], bucket[order]
-            at, part = runs(bucket), np.unique(np.concatenate([runs(bucket), runs(row)]))
-            if len(key):
-                text = batch.column("text_hash").to_numpy()[row]
-                cut = np.searchsorted(part, at)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), lists(text[part[:-1]], cut, pa.int64()), lists(np.diff(part), cut, pa.int32()), binary(key, at)], names=["bucket", "texts", "counts", "keys"])
-
-    return deal
-
-
-def _within(key: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return of[np.minimum(np.searchsorted(of, key), len(of) - 1)] == key if len(of) else np.zeros(len(key), bool)
-
-
-ANSWER = "part int, texts array<long>, logs array<double>, known array<long>"
-
-
-def _meet(buckets: int):
-    def meet(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        """Of a bucket's words the summed logs and known counts by text, packed by the part that each text belongs to."""
-        keys = n = text = np.zeros(0, np.int64)
-        if len(asked):
-            asked = asked.combine_chunks()
-            keys, _ = numbers(asked["keys"].chunk(0), np.uint64)
-            n, text = asked["counts"].chunk(0).flatten().to_numpy(), asked["texts"].chunk(0).flatten().to_numpy()
-        own, times = counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-        order = np.argsort(own)
-        own, times = own[order], times[order]
-        i = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
-        c = np.where(own[i] == keys, times[i], 0) if len(own) else np.zeros(len(keys), np.int64)
-        at = np.cumsum(n) - n
-        logs, known = (np.add.reduceat(x, at) if len(at) else x for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
-        text, once = np.unique(text, return_index=True)  # equal texts ask the same
-        part = text % buckets
-        order = np.argsort(part, kind="stable")
-        text, logs, known, part = text[order], logs[once][order], known[once][order], part[order]
-        cut = runs(part)
-        return pa.table({"part": pa.array(part[cut[:-1]], pa.int32()), "texts": lists(text, cut, pa.int64()), "logs": lists(logs, cut, pa.float64()), "known": lists(known, cut, pa.int64())})
-
-    return meet
-
-
-def _total(group: pa.Table) -> pa.Table:
-    group = group.combine_chunks()
-    text, of = np.unique(group["texts"].chunk(0).flatten().to_numpy(), return_inverse=True)
-    logs, known = (np.bincount(of, group[c].chunk(0).flatten().to_numpy(), len(text)) for c in ("logs", "known"))
-    return pa.table({"text_hash": text, "logs": logs, "known": known.astype(np.int64)})
-
-
-ROW = "doc_id long, text_hash long, held_out boolean, n_tokens long, busy_logs double, busy_known long, score double"
-
-
-def _scored(buckets: int, busy: np.ndarray, times: np.ndarray):
-    def scored(batch: pa.Table, told: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks()
-        key, of, place, order, _ = _sorted_runs(batch["text"].chunk(0), buckets)
-        answers = sorted(zip(told["bucket"].to_pylist(), told["logs"].to_pylist(), strict=True))
-        logs_of = np.empty(len(key))
-        logs_of[order] = np.concatenate([_unplaned(x, np.float32) for _, x in answers])
-        total = np.bincount(place, logs_of[of], len(batch))
-        data, off = flat(batch["text"].chunk(0))
-        start, end, first = words(data, off)
-        word = word_hashes(LOWER[data], start, end)
-        row = np.repeat(np.arange(len(batch)), np.diff(first))
-        at = np.minimum(np.searchsorted(busy, word), max(len(busy) - 1, 0))
-        hit = _within(word, busy)
-        logs = np.bincount(row[hit], np.log10(times[at[hit]] + 1.0), len(batch))
-        return pa.table({
-            **{c: batch[c] for c in ("doc_id", "text_hash", "held_out")}, "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "busy_logs": pa.array(logs),
-            "busy_known": pa.array(np.bincount(row[hit], minlength=len(batch))), "score": pa.array(total),
-        })
+def _scored(buckets: int):
+    def scored(stored: pa.Table, told: pa.Table) -> pa.Table:
+        kind, bucket, values = told["kind"].to_pylist(), told["bucket"].to_pylist(), told["told"].to_pylist()
+        if not len(stored):
+            total, kinds = np.sum([_unplaned(x, np.int64) for x in values], 0).tolist()
+            return pa.table([pa.array([x], t.type) for x, t in zip((None, None, total, kinds, None, None, True), EMPTY, strict=True)], schema=EMPTY)
+        b = Batch(stored.to_pylist()[0])
+        n, sums = len(b.off) - 1, {}
+        for k, parts, sort in ((WORD, b.each_word, np.int64), (RUN, b.each_run, np.float32)):
+            key, of, row, order, _ = parts(buckets)
+            answer = np.empty(len(key))
+            answer[order] = np.concatenate([_unplaned(x, sort) for at, x in sorted((at, x) for at, x, own in zip(bucket, values, kind, strict=True) if own == k)])
+            sums[k] = np.bincount(row, (np.log10(answer + 1) if k == WORD else answer)[of], n)
+            if k == WORD:
+                tokens, known = np.bincount(row, minlength=n), np.bincount(row, (answer > 0)[of], n)
+        columns = (stored["docs"].combine_chunks().flatten(), ~b.taught, tokens, known.astype(np.int64), sums[WORD], sums[RUN], np.zeros(n, bool))
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(columns, EMPTY, strict=True)], schema=EMPTY)
 
     return scored
 
 
+EMPTY = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("totals", pa.bool_())])
+
+
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """One row for each row of docs: held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     held_out: a condition on doc_id; the other rows are learned from.
     """
-    shared.session(docs)
-    docs = shared.documents(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), held_out.alias("held_out"))
-    taught = docs.where("not held_out").select("text")
-    counts = shared.settle(taught.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    ends = taught.count()
-    seen = counts.where(F.col("kind") == WORD)
-    kinds, total = seen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    kinds, total = kinds + (ends > 0), total + ends
-    often = seen.where(F.col("n") > total / BUSY).select("key", "n").toPandas()  # so at most BUSY rows
-    busy = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(busy)
-    busy, times = busy[order], often["n"].to_numpy(np.int64)[order]
-    buckets = shared.bucket_count(docs, 8 * total)
-    asked = docs.select("text_hash", "text").mapInArrow(_deal(busy, buckets), "bucket int, texts array<long>, counts array<int>, keys binary")
-    lie = seen.where(F.col("n") <= total / BUSY).select("key", "n", _unsigned_rest("key", buckets).alias("bucket"))
-    found = asked.groupBy("bucket").cogroup(lie.groupBy("bucket")).applyInArrow(_meet(buckets), ANSWER)
-    found = found.groupBy("part").applyInArrow(_total, "text_hash long, logs double, known long")
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n").orderBy("key").toPandas()  # at most 256 ** NEAR
-    short = docs.sparkSession.sparkContext.broadcast((grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
+    spark = shared.session(docs)
+    docs = shared.documents(docs).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = shared.text_bytes(docs)
-    batches, parts = shared.bucket_count(docs, size, BATCH), shared.bucket_count(docs, size)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).cast("int"))
-    told = dealt.groupBy("batch").applyInArrow(_ask(parts), ASK).groupBy("bucket").applyInArrow(_tell(short), TOLD)
-    rows = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scored(parts, busy, times), ROW)
-    both = rows.join(found, "text_hash", "left")
-    logs = F.col("busy_logs") + F.coalesce("logs", F.lit(0.0)) + F.log10(F.lit(ends + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
-    known = F.col("busy_known") + F.coalesce("known", F.lit(0)) + int(ends > 0)
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), logs.alias("base_score"), "score")
-
-
-def _unsigned_rest(column: str, divisor: int) -> F.Column:
-    """An unsigned 64-bit value modulo divisor, of a long with the same bits."""
-    half = F.shiftrightunsigned(column, 1)
-    return F.pmod(F.pmod(half, F.lit(divisor)) * 2 + F.col(column).bitwiseAND(1), F.lit(divisor)).cast("int")
+    # neighbouring splits are read together, so that batches are full
+    stored = shared.settle(docs.coalesce(int(size / BATCH) + 1).mapInArrow(_pack, PACK))
+    grams = stored.mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 256 ** NEAR
+    short = spark.sparkContext.broadcast((grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
+    buckets = shared.bucket_count(docs, size, BATCH)
+    told = stored.mapInArrow(_ask(buckets), ASK).groupBy("kind", "bucket").applyInArrow(_tell(short), TOLD)
+    rows = shared.settle(stored.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scored(buckets), ROW))
+    n, kinds = rows.where("totals").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + kinds + 1)))
+    return rows.where("not totals").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
