@@ -1,16 +1,26 @@
-"""Operator 9, embedding near-dedup: exact pairs above a cosine by a flat partition around pivots, not a cover tree.
-
-Vectors are scaled to length 1, where the distance d of two has cosine 1 - d * d / 2. Equal vectors are one node with
-a number of copies. Nodes are grouped around centres, a farthest-first sequence of at most GROUPS in one
-level, without parents and children. A group's covering radius is measured over all its nodes. Two groups are set against each other only if their centres' distance is at
-most the two radii and the distance sought; a group of many nodes is split into blocks, and each surviving pair of
-blocks is one small task, in which levels of centres inside the blocks prune further before distances are computed.
-A task returns, for each node, its number of links there and the smallest node of its piece of the task's graph, which
-keeps the graph connected without listing pairs.
-
-The centres come from a bounded sample (SAMPLE nodes, smallest hashes); the result doesn't depend on them. Vectors that
-are null, empty, zero or hold null or non-finite parts, and those without vec_id, link with nothing; vectors of
-different lengths neither. Rows that share a vec_id are vectors of their own. Other columns are ignored.
+"""Operator 9, embedding near-dedup: cover trees over blocks of vectors, traversed in pairs, for exact pairs above a cosine.
+
+Vectors are scaled to length 1, where the distance d of two has cosine 1 - d * d / 2. Equal vectors are one node with a
+number of copies. The top of the tree is the cover tree of a bounded sample (SAMPLE vectors, smallest hashes), cut at its
+deepest level of at most GROUPS nodes: each vector belongs to its nearest one there. A node that still holds many vectors
+is split by hash into blocks of about BLOCK, and each block is a subtree, built in a task and stored in one row:
+nested levels of halving radii (2, 1, 1/2, ...), a node's centre staying its own first child, further children taken
+farthest first until all of the node's vectors are within the level's radius, each vector under its nearest child, and
+the covering radius measured over all of them. Separation holds inside a block; covering, on which exactness rests,
+everywhere.
+
+Two groups meet only if their centres' distance is at most both covering radii and the distance sought. Of groups that
+meet, each pair of blocks is one small task, which descends both subtrees level by level: a pair of nodes goes on to its
+children only if their distance is at most both covering radii and the distance sought, and at the bottom the vectors
+of the pairs left are compared. A task returns, for each node, its number of links there and the smallest node of its
+piece of the task's graph, which keeps the graph connected without listing pairs.
+
+Where distances concentrate (independent vectors of many dimensions) no covering radius rules anything out above single
+vectors; then all pairs of blocks meet, and shuffle grows with n * n / BLOCK. That is the method's own limit.
+
+Vectors that are null, empty, zero or hold null or non-finite parts, and those without vec_id, link with nothing; vectors
+of different lengths neither. Huge and tiny parts are scaled before they are squared. Rows that share a vec_id are
+vectors of their own. Empty tables give no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,86 +29,170 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from bondsight.llm import shared
 from bondsight.llm.components import components
 
 COSINE = 0.95
-SAMPLE, BLOCK, GROUPS, LOCAL = 4096, 2048, 512, 32
-SLACK = 1e-9
+SAMPLE, BLOCK, GROUPS, ROWS = 4096, 2048, 512, 512
+TOP, LEVELS = 2.0, 7  # the root's radius, and how often it is halved
+SLACK = 1e-6  # a distance from a cosine is exact to about 1e-8
+TREE = "team int, block int, nodes binary, copies binary, vectors binary, counts array<int>, parents binary, centres binary, radii binary"
+
+
+def units(flat: np.ndarray, width: int) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = flat.reshape(-1, width).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.zeros((0, width))
+    return units(column.flatten().to_numpy(zero_copy_only=False), width) if len(column) else np.zeros((0, width))
 
 
-def levels(x: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The farthest-first sequence of at most `most` rows of x, until all are within `least`; and each row's nearest."""
-    picked = [0]
-    near = np.linalg.norm(x - x[0], axis=1)
-    of = np.zeros(len(x), np.int64)
-    while len(picked) < most and near.max() > least:
-        far = int(near.argmax())
-        d = np.linalg.norm(x - x[far], axis=1)
-        of[d < near] = len(picked)
-        near = np.minimum(near, d)
-        picked.append(far)
-    return np.array(picked), of
+def distances(cosines: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * cosines, 0))
 
 
 def apart(cosine: float) -> float:
     return float(np.sqrt(2 - 2 * cosine)) + SLACK
 
 
+class Tree:
+    """Nested levels over the rows of x, from the root down: each level's centres, covering radii and parents; leaves last.
+
+    A level's arrays are of its nodes; parents[0] is empty of meaning, and parents of the leaves, one a row, close the list.
+    """
+
+    def __init__(self, centres: list[np.ndarray], radii: list[np.ndarray], parents: list[np.ndarray]) -> None:
+        self.centres, self.radii, self.parents = centres, radii, parents
+
+    @classmethod
+    def build(cls, x: np.ndarray, levels: int = LEVELS) -> Tree:
+        d = distances(x @ x.T)
+        np.fill_diagonal(d, 0)
+        members = [np.arange(len(x))]
+        centres, radii, parents = [np.zeros(1, np.int32)], [np.array([d[0].max()])], [np.zeros(1, np.int32)]
+        radius = TOP
+        for _ in range(levels):
+            radius /= 2
+            if not radii[-1].any():  # every node is a single vector
+                break
+            own, of, below, far = [], [], [], []
+            for k, (centre, some) in enumerate(zip(centres[-1], members, strict=True)):
+                picked, near, at = [int(centre)], d[centre, some], np.zeros(len(some), np.int32)
+                while near.max() > radius:
+                    new = int(some[near.argmax()])
+                    closer = d[new, some] < near
+                    at[closer] = len(picked)
+                    near = np.where(closer, d[new, some], near)
+                    picked.append(new)
+                for j, c in enumerate(picked):
+                    mine = at == j
+                    own.append(c)
+                    of.append(k)
+                    below.append(some[mine])
+                    far.append(near[mine].max())
+            members = below
+            centres.append(np.array(own, np.int32))
+            radii.append(np.array(far))
+            parents.append(np.array(of, np.int32))
+        leaf = np.zeros(len(x), np.int32)
+        for k, some in enumerate(members):
+            leaf[some] = k
+        return cls(centres, radii, [*parents, leaf])
+
+    def at(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Centres and radii of a level; below the last one, its own."""
+        level = min(level, len(self.centres) - 1)
+        return self.centres[level], self.radii[level]
+
+    def up(self, level: int) -> np.ndarray:
+        return self.parents[level] if level < len(self.centres) else np.arange(len(self.centres[-1]))
+
+
+def meeting(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """Dual descent: which nodes of both trees' last levels may hold vectors within reach of each other."""
+    active = np.ones((1, 1), bool)
+    for level in range(max(len(a.centres), len(b.centres))):
+        if level:
+            active = active[a.up(level)][:, b.up(level)]
+        (p, r), (q, s) = a.at(level), b.at(level)
+        rows, cols = np.flatnonzero(active.any(1)), np.flatnonzero(active.any(0))
+        for i in range(0, len(rows), ROWS):
+            some = rows[i : i + ROWS]
+            d = distances(x[p[some]] @ y[q[cols]].T)
+            active[np.ix_(some, cols)] &= d <= r[some, None] + s[cols] + reach
+    return active
+
+
 def _group(centres: np.ndarray):
     def group(batches):
         for batch in batches:
             x = vectors(batch.column("x"), centres.shape[1])
-            dot = x @ centres.T
-            best = dot.argmax(1)
+            best = (x @ centres.T).argmax(1) if len(x) else np.zeros(0, int)
             d = np.linalg.norm(x - centres[best], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("x"), pa.array(best, pa.int32()), pa.array(d)], names=["node", "copies", "x", "team", "far"])
 
     return group
 
 
-def _traverse(cosine: float, width: int):
+def _built(width: int):
+    def built(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        raw = block["x"].chunk(0).flatten().to_numpy(zero_copy_only=False)
+        tree = Tree.build(units(raw, width))
+        flat = lambda parts: pa.array([np.concatenate(parts).tobytes()], pa.binary())
+        return pa.table({
+            "team": block["team"][:1], "block": block["block"][:1], "nodes": flat([block["node"].to_numpy()]), "copies": flat([block["copies"].to_numpy()]), "vectors": flat([raw]),
+            "counts": pa.array([[len(c) for c in tree.centres]], pa.list_(pa.int32())), "parents": flat(tree.parents), "centres": flat(tree.centres), "radii": flat(tree.radii),
+        })
+
+    return built
+
+
+def _stored(task: pa.Table, row: int, width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree]:
+    read = lambda c, t: np.frombuffer(task[c][row].as_py(), t)
+    counts = task["counts"][row].as_py()
+    cut = np.cumsum(counts)[:-1]
+    parents = read("parents", np.int32)
+    tree = Tree(np.split(read("centres", np.int32), cut), np.split(read("radii", np.float64), cut), np.split(parents, np.cumsum(counts)))
+    return read("nodes", np.int64), read("copies", np.int64), units(read("vectors", kind), width), tree
+
+
+def _traverse(cosine: float, width: int, kind: type):
     """Links between two blocks, or inside one."""
 
     def traverse(task: pa.Table) -> pa.Table:
-        task = task.combine_chunks()
-        x = vectors(task["x"].chunk(0), width)
-        node, copies = task["node"].to_numpy(), task["copies"].to_numpy()
-        first, second = task["left"].to_numpy(zero_copy_only=False), task["right"].to_numpy(zero_copy_only=False)
-        sides = [np.flatnonzero(first), np.flatnonzero(second)]
-        same = np.array_equal(*sides)
-        reach, links, root = apart(cosine), np.zeros(len(x), np.int64), np.arange(len(x))
-        cells = []
-        for side in sides[: 1 if same else 2]:
-            if not len(side):
-                return _result(node[:0], links[:0], node[:0])
-            picked, of = levels(x[side], LOCAL, reach / 2)
-            cells.append([(x[side[p]], side[of == k]) for k, p in enumerate(picked)])
+        sides = [_stored(task, row, width, kind) for row in range(len(task))]
+        same = task["p"][0] == task["q"][0] and task["i"][0] == task["j"][0]
+        if not same and len(sides) == 1:  # a block without vectors
+            return _result(*[np.zeros(0, np.int64)] * 3)
+        (nodes_a, copies_a, x, a), (nodes_b, copies_b, y, b) = sides[0], sides[-1]
+        active = meeting(a, b, x, y, apart(cosine))
+        n = len(x)
+        node, links, root = np.concatenate([nodes_a, nodes_b[: 0 if same else None]]), np.zeros(n + (0 if same else len(y)), np.int64), np.arange(n + (0 if same else len(y)))
+        shift = 0 if same else n
+        rows, cols = np.flatnonzero(active.any(1)[a.parents[-1]]), np.flatnonzero(active.any(0)[b.parents[-1]])
         edges = []
-        for i, (p, own) in enumerate(cells[0]):
-            r = np.linalg.norm(x[own] - p, axis=1).max()
-            for j, (q, other) in enumerate(cells[-1]):
-                if same and j < i or np.linalg.norm(p - q) > r + np.linalg.norm(x[other] - q, axis=1).max() + reach:
-                    continue
-                cos = x[own] @ x[other].T
-                hit = cos >= cosine
-                if same and i == j:
-                    np.fill_diagonal(hit, False)
-                links[own] += hit @ copies[other]
-                if not (same and i == j):
-                    links[other] += hit.T @ copies[own]
-                edges += _bridges(hit, own, other) if hit.any() else []
-        a, b = np.concatenate(edges, 1) if edges else (root[:0], root[:0])
-        while len(a):
-            low = np.minimum(root[a], root[b])
+        for i in range(0, len(rows), ROWS):
+            own = rows[i : i + ROWS]
+            hit = (x[own] @ y[cols].T >= cosine) & active[np.ix_(a.parents[-1][own], b.parents[-1][cols])]
+            if same:
+                hit &= own[:, None] != cols
+            if hit.any():
+                links[own] += hit @ copies_b[cols]
+                if not same:
+                    links[n + cols] += hit.T @ copies_a[own]
+                edges += _bridges(hit, own, cols + shift)
+        p, q = np.concatenate(edges, 1) if edges else (root[:0], root[:0])
+        while len(p):
+            low = np.minimum(root[p], root[q])
             was = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
+            np.minimum.at(root, p, low)
+            np.minimum.at(root, q, low)
             root = root[root]
             if np.array_equal(root, was):
                 break
@@ -128,13 +222,13 @@ def _result(node, links, root) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
 
-def _links(nodes: DataFrame, width: int, cosine: float) -> DataFrame:
+def _links(nodes: DataFrame, width: int, cosine: float, kind: type) -> DataFrame:
     """(node, links, root) of all tasks over nodes(node, copies, x) of one width."""
     some = nodes.orderBy(F.xxhash64("node")).limit(max(1, min(SAMPLE, (64 << 20) // (8 * width)))).select("x").toPandas()["x"]
-    x = np.stack([np.asarray(v, np.float64) for v in some])
-    n = nodes.count()
-    centres = x[levels(x, max(1, min(GROUPS, n // BLOCK + 1)), apart(cosine) / 2)[0]]
-    placed = shared.settle(nodes.mapInArrow(_group(centres), "node long, copies long, x array<double>, team int, far double"))
+    x = units(np.concatenate([np.asarray(v) for v in some]), width)
+    top = Tree.build(x)
+    centres = x[[c for c in top.centres if len(c) <= GROUPS][-1]]
+    placed = shared.settle(nodes.mapInArrow(_group(centres), f"node long, copies long, x array<{'float' if kind is np.float32 else 'double'}>, team int, far double"))
     teams = placed.groupBy("team").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas().sort_values("team")
     of, far, blocks = teams["team"].to_numpy(), teams["far"].to_numpy(), (-(-teams["n"] // BLOCK)).to_numpy()
     d = np.linalg.norm(centres[of][:, None] - centres[of][None], axis=2)
@@ -142,30 +236,30 @@ def _links(nodes: DataFrame, width: int, cosine: float) -> DataFrame:
     pairs = nodes.sparkSession.createDataFrame([(int(of[i]), int(of[j]), int(blocks[i]), int(blocks[j])) for i, j in meet], "p int, q int, np int, nq int")
     blocks_of = nodes.sparkSession.createDataFrame([(int(t), int(b)) for t, b in zip(of, blocks, strict=True)], "team int, blocks int")
     placed = placed.join(F.broadcast(blocks_of), "team").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    trees = shared.settle(placed.select("team", "block", "node", "copies", "x").groupBy("team", "block").applyInArrow(_built(width), TREE))
     pairs = F.broadcast(pairs)  # at most GROUPS squared
-    left = placed.join(pairs, F.col("team") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    left = left.where((F.col("p") < F.col("q")) | (F.col("block") <= F.col("other")))
-    left = left.select("p", "q", F.col("block").alias("i"), F.col("other").alias("j"), "node", "copies", "x", F.lit(True).alias("left"), ((F.col("p") == F.col("q")) & (F.col("block") == F.col("other"))).alias("right"))
-    right = placed.join(pairs, F.col("team") == F.col("q")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
-    right = right.where((F.col("p") < F.col("q")) | (F.col("other") < F.col("block")))
-    right = right.select("p", "q", F.col("other").alias("i"), F.col("block").alias("j"), "node", "copies", "x", F.lit(False).alias("left"), F.lit(True).alias("right"))
-    return left.unionByName(right).groupBy("p", "q", "i", "j").applyInArrow(_traverse(cosine, width), "node long, links long, root long")
+    own = F.struct(*trees.columns).alias("tree")
+    left = trees.select(own, "team", "block").join(pairs, F.col("team") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    left = left.where((F.col("p") < F.col("q")) | (F.col("block") <= F.col("other"))).select("p", "q", F.col("block").alias("i"), F.col("other").alias("j"), "tree.*")
+    right = trees.select(own, "team", "block").join(pairs, F.col("team") == F.col("q")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    right = right.where((F.col("p") < F.col("q")) | (F.col("other") < F.col("block"))).select("p", "q", F.col("other").alias("i"), F.col("block").alias("j"), "tree.*")
+    return left.unionByName(right).groupBy("p", "q", "i", "j").applyInArrow(_traverse(cosine, width, kind), "node long, links long, root long")
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row for each row of embeddings(vec_id, embedding): n_links, component_id, kept."""
     shared.session(embeddings)
-    rows = shared.columns(embeddings, vec_id="long", embedding="array<double>")
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("embedding", F.when(fine, F.transform("embedding", lambda v: v + 0.0)))
-    rows = rows.withColumn("embedding", F.when((length > 0) & (length < float("inf")), F.col("embedding")))
+    given = embeddings.schema["embedding"].dataType
+    kind, part = (np.float32, "float") if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else (np.float64, "double")
+    rows = shared.columns(embeddings, vec_id="long", embedding=f"array<{part}>")
+    fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    rows = rows.withColumn("embedding", F.when(fine, F.transform("embedding", lambda v: (v + F.lit(0.0)).cast(part))))  # no negative zeros
     nodes = rows.where("embedding is not null").groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = shared.settle(nodes.withColumn("node", F.monotonically_increasing_id()))
-    scaled = nodes.select("node", "copies", F.size("embedding").alias("width"), F.transform("embedding", lambda v: v / length).alias("x"))
+    each = nodes.select("node", "copies", F.size("embedding").alias("width"), F.col("embedding").alias("x"))
     found = None
-    for (width,) in scaled.select("width").distinct().collect():
-        one = _links(scaled.where(F.col("width") == width).drop("width"), width, cosine)
+    for (width,) in each.select("width").distinct().collect():
+        one = _links(each.where(F.col("width") == width).drop("width"), width, cosine, kind)
         found = one if found is None else found.unionByName(one)
     if found is None:
         links = nodes.select("node", F.lit(0).alias("links"), F.col("least").alias("component"))

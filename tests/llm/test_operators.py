@@ -229,53 +229,42 @@ def test_suffix_tree(spark, docs, none):
     assert suffixtree.score(none, held).count() == 0
 
 
-def test_tree_is_a_distribution_and_segments_dont_matter():
-    from bondsight.llm.arrays import flat
-    import pyarrow as pa
-
-    text = "abab cab abba " * 300
-    s = np.array([ord(c) for c in "ab c"]), np.array([4, 4, 3, 1])
-    tree = suffixtree.Tree([(1, ord("a")), (2, (ord("a") << 8) | ord("b")), (1, ord("b"))], {(0, 0): s, (1, ord("a")): (np.array([ord("b")]), np.array([9]))})
-    k = len(tree.seen)
-    p = 10.0 ** tree.logp[:, : k + 1]
-    assert np.allclose(p[:, :k].sum(1) + p[:, k] * (256 - k), 1, atol=1e-5)
-    whole = tree.score(*flat(pa.array([text])))
-    old, suffixtree.SEGMENT = suffixtree.SEGMENT, 17
-    assert np.allclose(whole, tree.score(*flat(pa.array([text]))))
-    suffixtree.SEGMENT = old
-
-
-def test_rare_contexts_stay_in_the_tree(spark):
-    """score() against the plain tree of all contexts with two symbols or more that pass the criterion, however many others there are."""
-    from bondsight.llm.arrays import flat
-    import pyarrow as pa
-
+def test_rare_contexts_stay_in_the_tree(spark, monkeypatch):
+    """score() against a plain tree of all contexts with two symbols or more that pass the criterion, however many others there are."""
     rng = np.random.default_rng(4)
     noise = ["".join(rng.choice(list("abcdefgh "), 8000)) for _ in range(70)]
-    texts = [*noise, "zbc Zbc", "", "zbc", "b bc"]
+    texts = [*noise, "zbc Zbc", "", "zbc", "b bc", None]
     taught = [i % 7 != 2 for i in range(len(texts))]
     assert taught[70] and not taught[72]
-    count = [{} for _ in range(suffixtree.DEPTH + 1)]
-    for t in (t for t, own in zip(texts, taught, strict=True) if own):
-        line, begin = suffixtree.spelled(*flat(pa.array([t])))
-        raw = line.tobytes()
+    spelled = lambda t: b" " * suffixtree.DEPTH + b"".join(w.encode() + b" " for w in SPACE.findall((t or "").translate(LOW))) + b"\n"
+    count = {}
+    for raw in (spelled(t) for t, own in zip(texts, taught, strict=True) if own):
         for i in range(suffixtree.DEPTH, len(raw)):
             for n in range(suffixtree.DEPTH + 1):
-                count[n].setdefault(raw[i - n : i], Counter())[raw[i]] += 1
-    total = lambda c: sum(c.values())
-    own = {(0, 0): count[0][b""]}
-    for n in range(1, suffixtree.DEPTH + 1):
-        for c, nexts in count[n].items():
-            up, all_ = count[n - 1][c[1:]], total(nexts)
-            gain = sum(k * np.log(k / all_ / (up[x] / total(up))) for x, k in nexts.items()) if all_ > 1 else 0
-            if all_ > 1 and gain > 0.5 * len(nexts) * np.log(all_):
-                own[(n, int.from_bytes(c, "big"))] = nexts
-    arrays = {k: (np.array(sorted(v)), np.array([v[x] for x in sorted(v)])) for k, v in own.items()}
-    closed = {(m, c & ((1 << 8 * m) - 1)) for n, c in own for m in range(1, n + 1)}
-    want = suffixtree.Tree(sorted(closed), arrays).score(*flat(pa.array(texts)))
+                count.setdefault(raw[i - n : i], Counter())[raw[i]] += 1
+    total = {c: sum(x.values()) for c, x in count.items()}
+
+    def kept(c):
+        if total[c] < suffixtree.LEAST:
+            return False
+        gain = sum(k * np.log(k / total[c] / (count[c[1:]][x] / total[c[1:]])) for x, k in count[c].items())
+        return gain > 0.5 * len(count[c]) * np.log(total[c])
+
+    stay = {c for c in count if c and kept(c)}
+
+    def chance(c, x):
+        if not c:
+            return (count[b""][x] + 1) / (total[b""] + 256)
+        up = chance(c[1:], x)
+        return (count[c][x] + suffixtree.SMOOTH * up) / (total[c] + suffixtree.SMOOTH) if c in stay else up
+
+    want = [sum(np.log10(chance(raw[i - suffixtree.DEPTH : i], raw[i])) for i in range(suffixtree.DEPTH, len(raw))) for raw in map(spelled, texts)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
-    assert own[(2, int.from_bytes(b"zb", "big"))] == {ord("c"): 2} and total(count[0][b""]) > 400_000
+    assert b"zb" in stay and count[b"zb"] == {ord("c"): 2} and total[b""] > 400_000
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-4)
+    monkeypatch.setattr(suffixtree, "BATCH", 3000)  # many batches and buckets: the same
+    got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-4)
 
 
@@ -293,31 +282,68 @@ def test_token_counts(docs, none):
     assert ties.n_pieces == 3 and ties.score == -5.0  # the earliest start stays among equals
 
 
-def test_cover_tree(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 16))
+def linked(x, cosine=0.95):
+    """Brute force: links and smallest reachable row of each row."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= cosine
+    np.fill_diagonal(link, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(link, root[None], len(x)).min(1))
+        if (new == root).all():
+            return link, root
+        root = new
+
+
+def some_vectors(rng, n=300):
+    x = rng.normal(size=(n, 16))
     x[100:160] = x[:60] + rng.normal(size=(60, 16)) * 0.12
     x[160:200] = x[0] + rng.normal(size=(40, 16)) * 0.15
     x[200:220] = x[5]
+    x[220:n] = x[7] + rng.normal(size=(n - 220, 16)) * 0.6  # loose: many distances near the threshold
+    return x
+
+
+@pytest.mark.parametrize("groups", [1, 512])
+def test_cover_tree(spark, monkeypatch, groups):
+    x = some_vectors(np.random.default_rng(2))
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     data += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, [1.0, 2.0], 1), (305, [1.0, 2.0], 1), (None, x[5].tolist(), 1), (306, [], None)]
-    old, covertree.BLOCK = covertree.BLOCK, 40
+    data += [(307, [1e200, 1e200], 1), (308, [3.0, 3.0], 1), (309, [1e-200, 2e-200], 1), (310, [5e-324, 1e-323], 1), (311, [-0.0, -3.0], 1), (312, [0.0, -4.0], 1)]
+    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "GROUPS", groups)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, node int")).collect()}
-    covertree.BLOCK = old
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    link = u @ u.T >= 0.95
-    np.fill_diagonal(link, False)
-    root = np.arange(300)
-    while True:
-        new = np.minimum(root, np.where(link, root[None], 999).min(1))
-        if (new == root).all():
-            break
-        root = new
-    assert all(got[i] == (link[i].sum(), root[i], root[i] == i) for i in range(300))
-    assert all(got[i] == (0, i, True) for i in (300, 301, 302, 303, 306)) and got[304] == (1, 304, True) and got[305] == (1, 304, False) and got[None] == (0, None, True)
+    link, root = linked(x)
+    assert all(got[i] == (link[i].sum(), root[i], root[i] == i) for i in range(300)) and 0 < link[220:].sum() < 80 * 79
+    assert all(got[i] == (0, i, True) for i in (300, 301, 302, 303, 306)) and got[None] == (0, None, True)
+    assert [got[i][:2] for i in (304, 305, 309, 310)] == [(3, 304)] * 4  # one direction, whatever the length
+    assert [got[i] for i in (307, 308)] == [(1, 307, True), (1, 307, False)] and [got[i][:2] for i in (311, 312)] == [(1, 311)] * 2
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_levels_and_dual_descent():
+    """Nesting, covering, separation, measured radii; and that the descent loses no pair and rules some out."""
+    x = some_vectors(np.random.default_rng(3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = covertree.Tree.build(x)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    under = tree.parents[-1]
+    for level in range(len(tree.centres) - 1, -1, -1):
+        c, r = tree.centres[level], tree.radii[level]
+        assert all(abs(d[c[k], under == k].max() - r[k]) < 1e-6 for k in range(len(c)))
+        if level:
+            size = covertree.TOP / 2**level
+            assert r.max() <= size and set(tree.centres[level - 1]) <= set(c)
+            for k in range(len(tree.centres[level - 1])):
+                own = c[tree.parents[level] == k]
+                assert own[0] == tree.centres[level - 1][k] and (d[np.ix_(own, own)] + 9 * np.eye(len(own)) > size).all()
+            under = tree.parents[level][under]
+    reach = covertree.apart(0.95)
+    active = covertree.meeting(tree, tree, x, x, reach)
+    leaf = tree.parents[-1]
+    assert active[leaf][:, leaf][x @ x.T >= 0.95].all() and active.mean() < 0.5
+
+
 def test_suffix_array(docs, none):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixarray.remove_repeats(docs).collect())
     raw = [(r[0], (r[1] or "").encode()) for r in rows()]
