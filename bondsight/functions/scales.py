@@ -34,7 +34,7 @@ def scale_rows() -> list[tuple[str, str, int, int]]:
 
 def alias_rows() -> list[tuple[str, str]]:
     """(alias in lower case, agency)"""
-    return [(name.lower(), agency) for agency, names in AGENCY_NAMES.items() for name in dict.fromkeys((agency, *names))]
+    return [(name, agency) for agency, names in AGENCY_NAMES.items() for name in dict.fromkeys(n.lower() for n in (agency, *names))]
 
 
 def values_sql(rows: list[tuple], columns: str) -> str:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bondsight.functions import wording
+
 # Words that mark English text, abbreviations that end no sentence, months.
 COMMON = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "have", "been", "will", "its", "our", "not", "which", "their", "than", "also")
 ABBREVIATIONS = frozenset("inc co corp ltd plc no vs u.s s.a s.p.a e.g i.e mr ms mrs dr jr sr st approx n.v a.g llc l.p".split())
@@ -16,19 +19,20 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 READABLE_FROM, READABLE_RATE = 500, 6.0
 HISTORY_DAYS = 365
 
-_MONTH = "(?:" + "|".join(m if len(m) < 4 else f"{m}|{m[:3]}" + ("|sept" if m == "september" else "") for m in MONTHS) + ")"
-DATES = re.compile(rf"\b(?:(?P<m1>{_MONTH})\.?\s+(?P<d1>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y1>\d{{4}})|(?P<d2>\d{{1,2}})(?:st|nd|rd|th)?[\s-](?P<m2>{_MONTH})\.?,?[\s-](?P<y2>\d{{4}}))\b", re.I)
-BOUNDARY = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9(\"“'])")
-CONTINUES = re.compile(r"\s*[a-zà-ÿ]")
-ENDS = re.compile(r"[.!?;:][\"'”’)\]]*\s*$")
+TERMINAL, CLOSERS, SPACES = ".!?;:", "\"')]\u2019\u201d", " \t\r\f\v"
+OPENERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789(\"'\u201c")
+MONTH_OF = {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])} | {"sept": 9}
+WORD_OR_NUMBER = re.compile(r"[a-z]+|\d+", re.I)
+WORD = re.compile(rf"[^{SPACES}\n]+")
+ORDINALS = frozenset(("st", "nd", "rd", "th"))
 
 # HTML that carries no text, that breaks lines, that makes cells, and what issuer pages drop besides.
-NO_TEXT = frozenset("script style head noscript template".split())
+NO_TEXT = frozenset("script style head noscript template ix:header".split())
 BLOCKS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 table thead tbody tfoot ul ol blockquote section article header footer pre hr title dl dt dd caption address main nav".split())
 CELLS = frozenset(("td", "th"))
 PAGE_DROPS = frozenset("nav aside footer form button iframe svg".split())
 CONTENT = frozenset("html body main article".split())
-BOILERPLATE = re.compile("related|teaser|slider|carousel|recommend|cookie|breadcrumb|sidebar|share-bar|social-share|newsletter|navigation", re.I)
+BOILERPLATE = re.compile("related|teaser|slider|carousel|recommend|cookie|breadcrumb|sidebar|share-bar|social-share|newsletter", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -38,71 +42,116 @@ def readable(text: Column) -> Column:
     return (F.length(text) < READABLE_FROM) | (F.size(words) * 1000 / F.length(text) >= READABLE_RATE)
 
 
+#: A sign of any dash or minus, figures with commas, a decimal point.
+NUMBER = r"[-‐‑‒–−]?\d[\d,]*(?:\.\d+)?"
+
+
 def numbers(text: Column) -> Column:
-    """X-06: signed numbers; any dash or minus is a sign, commas part thousands, and a comma before one or two last digits is a decimal one."""
-    found = F.regexp_extract_all(text, F.lit(r"[-‐‑‒–−]?\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "^[‐‑‒–−]", "-"), r",(?=\d{3}(?!\d))", ""))
-    return F.transform(plain, lambda x: F.regexp_replace(F.regexp_replace(x, r",(\d{1,2})$", ".$1"), ",", "").try_cast("double"))
+    """X-06: signed numbers; commas part thousands, and a comma before one or two last digits is a decimal one."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    signed = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "^[‐‑‒–−]", "-"), r",(\d{1,2})$", ".$1"))
+    return F.transform(signed, lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
 
 
 def amount(text: Column) -> Column:
-    """X-07: the first amount of money, scaled by its unit; a bare figure under 1000 is none."""
-    first = F.regexp_extract(text, r"(?i)(?:EUR|USD|GBP|[€$£])\s?(\d[\d,]*(?:\.\d+)?)\s*(million|billion|bn|mn|m)?\b", 1)
-    unit = F.lower(F.regexp_extract(text, r"(?i)(?:EUR|USD|GBP|[€$£])\s?(\d[\d,]*(?:\.\d+)?)\s*(million|billion|bn|mn|m)?\b", 2))
-    scaled = F.regexp_replace(first, ",", "").try_cast("double") * F.when(unit.isin("billion", "bn"), 1e9).when(unit.isin("million", "mn", "m"), 1e6).otherwise(1.0)
-    return F.when((scaled >= 1000) | (unit != ""), scaled)
+    """X-07: the first amount of money, scaled by its unit, sign first or else name last; a bare figure under 1000 is none."""
+
+    def found(pattern: str) -> Column:
+        figures, units = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        scale = F.create_map(*(x for u, s in wording.UNITS.items() for x in (F.lit(u), F.lit(s))))
+        each = F.zip_with(figures, units, lambda f, u: F.struct(u.alias("u"), (F.regexp_replace(F.regexp_replace(f, r",(\d{1,2})$", ".$1"), ",", "").try_cast("double") * F.coalesce(F.try_element_at(scale, F.lower(u)), F.lit(1.0))).alias("x")))
+        return F.try_element_at(F.filter(each, lambda e: (e["x"] >= 1000) | ((e["u"] != "") & e["x"].isNotNull())), F.lit(1))["x"]
+
+    return F.coalesce(found(wording.AMOUNT), found(wording.AMOUNT_NAMED))
 
 
 def find_dates(text: str) -> list[tuple[dt.date, int, int]]:
-    """X-03: spelled dates with offsets, in order, none overlapping; impossible ones are left out."""
-    out, last = [], -1
-    for m in DATES.finditer(text):
-        month, day, year = m["m1"] or m["m2"], m["d1"] or m["d2"], m["y1"] or m["y2"]
-        try:
-            day_ = dt.date(int(year), next(i for i, n in enumerate(MONTHS, 1) if n.startswith(month.lower()[:3])), int(day))
-        except ValueError:
+    """X-03: spelled dates with offsets, in order, none overlapping; impossible ones are left out.
+
+    The text's words and numbers are scanned for a month's name with a day and a year beside it.
+    """
+    parts = [(m.group().lower(), m.start(), m.end()) for m in WORD_OR_NUMBER.finditer(text)]
+    gap = lambda i: text[parts[i][2] : parts[i + 1][1]]  # noqa: E731  what stands between a part and the next
+    year = lambda i: i < len(parts) and len(parts[i][0]) == 4 and parts[i][0].isdigit() and not text[parts[i][2] : parts[i][2] + 1].isalnum()
+    day = lambda i: 0 <= i < len(parts) and parts[i][0].isdigit() and len(parts[i][0]) < 3
+    out, free = [], 0
+    for i, (word, start, end) in enumerate(parts):
+        if word not in MONTH_OF or start < free:
             continue
-        if m.start() >= last:
-            out.append((day_, m.start(), m.end()))
-            last = m.end()
+        after = i + 1
+        first = last = None
+        if day(after) and gap(i).lstrip(".").isspace():  # month, day, year
+            to = after + 1 + (after + 1 < len(parts) and parts[after + 1][0] in ORDINALS and not gap(after))
+            if year(to) and gap(to - 1).lstrip(",").isspace() and not text[start - 1 : start].isalnum():
+                first, last, number = start, to, parts[after][0]
+        if last is None and i and year(after) and gap(i).lstrip(".,") and gap(i).lstrip(".,")[0] in " \n\t-":  # day, month, year
+            at = i - 1 - (parts[i - 1][0] in ORDINALS and i > 1 and not gap(i - 2))
+            if day(at) and len(gap(i - 1)) == 1 and gap(i - 1) in " \n\t-" and not text[parts[at][1] - 1 : parts[at][1]].isalnum() and parts[at][1] >= free:
+                first, last, number = parts[at][1], after, parts[at][0]
+        if last is not None:
+            try:
+                found = dt.date(int(parts[last][0]), MONTH_OF[word], int(number))
+            except ValueError:
+                continue
+            free = parts[last][2]
+            out.append((found, first, free))
     return out
 
 
+def wraps(line: str, after: str) -> bool:
+    """X-01: whether a line goes on in the one after it."""
+    held, rest = line.rstrip(SPACES), after.lstrip(SPACES)
+    if not held or not rest or "|" in line or "|" in after or held.rstrip(CLOSERS)[-1:] in (*TERMINAL,):
+        return False
+    return unicodedata.category(rest[0]) == "Ll" or (held.endswith("-") and after[0].isalpha())
+
+
 def lines_of(text: str) -> list[tuple[int, str]]:
     """X-01: lines with their offsets, wrapped ones joined."""
-    out: list[tuple[int, str]] = []
-    at = 0
-    for line in text.split("\n"):
-        if out and (held := out[-1][1]).rstrip() and "|" not in held and "|" not in line and not ENDS.search(held.rstrip()) and (CONTINUES.match(line) or (held.rstrip().endswith("-") and line[:1].isalpha())):
-            out[-1] = (out[-1][0], f"{held}\n{line}")
-        else:
-            out.append((at, line))
+    parts = text.split("\n")
+    out, begin, at = [], 0, 0
+    for i, line in enumerate(parts):
         at += len(line) + 1
+        if i + 1 == len(parts) or not wraps(line, parts[i + 1]):
+            out.append((begin, text[begin : at - 1]))
+            begin = at
     return out
 
 
+def closes(word: str) -> bool:
+    """Whether a word with a full stop, question or exclamation mark ends a sentence: abbreviations and initials don't."""
+    if word[-1] not in ".!?":
+        return False
+    stem = word[:-1].rstrip(".").lower()
+    cut = max((i for i, c in enumerate(stem) if not (c.isascii() and c.isalpha()) and c not in ".&"), default=-1)
+    stem = stem[cut + 1 :]
+    return not (stem in ABBREVIATIONS or len(stem) == 1 and stem.isalpha())
+
+
 def sentences_of(text: str) -> list[tuple[int, int, str]]:
-    """X-02: (start, end, sentence) in code points; abbreviations and initials end none."""
+    """X-02: (start, end, sentence) in code points, by a scan of each line's words."""
     out = []
-    for start, line in lines_of(text):
-        at = 0
-        for m in BOUNDARY.finditer(line):
-            last = re.search(r"([A-Za-z.&]+)[.!?]$", line[at : m.start()])
-            word = last[1].rstrip(".").casefold() if last else ""
-            if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()):
-                continue
-            out.append((start + at, start + m.start(), line[at : m.start()]))
-            at = m.end()
-        out.append((start + at, start + len(line), line[at:]))
-    return [s for s in out if s[2].strip()]
+    for base, line in lines_of(text):
+        begin = last = None
+        for m in WORD.finditer(line):
+            if begin is None:
+                begin = m.start()
+            elif m.group()[0] in OPENERS and closes(line[held : last]):
+                out.append((base + begin, base + last, line[begin:last]))
+                begin = m.start()
+            held, last = m.span()
+        if begin is not None:
+            out.append((base + begin, base + last, line[begin:last]))
+    return out
 
 
 class Lines(HTMLParser):
-    """N-02, N-03: line text of a page; with `page`, navigation and related blocks go too."""
+    """N-02, N-03: line text of a page; with `page`, navigation, related blocks and a header that holds a nav go too."""
 
     def __init__(self, page: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.page, self.out, self.gone = page, [], []
+        self.headers: list[int] = []  # where the output stood when each open header began
 
     def dropped(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag in NO_TEXT or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
@@ -112,19 +161,27 @@ class Lines(HTMLParser):
         return tag in PAGE_DROPS or bool(BOILERPLATE.search(" ".join(attrs.get(k) or "" for k in ("id", "class", "role", "data-component"))))
 
     def handle_starttag(self, tag, attrs):
+        if self.page and tag == "nav" and self.headers:  # the outermost open header goes, with what it has given so far
+            del self.out[self.headers[0] :]
+            self.gone = ["header"] * len(self.headers) + self.gone
+            self.headers = []
         if self.gone or (tag not in VOID and self.dropped(tag, dict(attrs))):
             if tag not in VOID:
                 self.gone.append(tag)
-        else:
-            self.out.append("\n" if tag in BLOCKS else " " if tag in CELLS else "")
+            return
+        if tag == "header":
+            self.headers.append(len(self.out))
+        self.out.append("\n" if tag in BLOCKS else " " if tag in CELLS else "")
 
     def handle_endtag(self, tag):
         if self.gone:
             if tag in self.gone:
                 while self.gone.pop() != tag:
                     pass
-        else:
-            self.out.append("\n" if tag in BLOCKS else " | " if tag in CELLS else "")
+            return
+        if tag == "header" and self.headers:
+            self.headers.pop()
+        self.out.append("\n" if tag in BLOCKS else " | " if tag in CELLS else "")
 
     def handle_data(self, data):
         if not self.gone:
@@ -138,10 +195,13 @@ def html_lines(html: str, page: bool) -> str:
     return canonical("".join(parser.out))
 
 
+#: Spaces that aren't the plain one, and signs without width.
+WIDE, NO_WIDTH = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", "\u200b\u200c\u200d\u2060\ufeff"
+PLAIN = str.maketrans({**dict.fromkeys(WIDE, " "), **dict.fromkeys(NO_WIDTH)})
+
+
 def canonical(text: str) -> str:
     """N-01: NFC, plain spaces, no zero-width signs, no empty lines, no trailing cell mark; twice is once."""
-    import unicodedata
-
-    text = re.sub("[​‌‍⁠﻿]", "", re.sub("[       -   　]", " ", unicodedata.normalize("NFC", text or "")))
-    lines = (re.sub(r"[ \t\r\f\v]+", " ", line).strip() for line in text.split("\n"))
-    return "\n".join(x for line in lines if (x := line[:-1].rstrip() if line.endswith("|") else line))
+    plain = unicodedata.normalize("NFC", text or "").translate(PLAIN)
+    lines = (" ".join(WORD.findall(line)) for line in plain.split("\n"))
+    return "\n".join(x for x in (line.removesuffix("|").rstrip() for line in lines) if x)

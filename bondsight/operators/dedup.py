@@ -22,22 +22,26 @@ def greedy(events: DataFrame, keys: list[str], day: str, order: str, window: int
     """D-03: in arrival order, an event joins the first anchor with equal keys (null equals null) at most `window` days
     away, or becomes an anchor. Adds `anchor`, the order value of its anchor.
 
-    Days more than the window apart can't meet, so each key is first cut into chains of near days; only a chain is
-    folded as one array. Events without a day join the first such event of their key.
+    Of the events of one day only the first can become an anchor, and the others share its anchor; so events are first
+    aggregated to one row a key and day, however many there are. Days more than the window apart can't meet, so a key's
+    days are cut into chains of near ones, and a chain, as long as the calendar at most, is folded as one array. Events
+    without a day join the first such event of their key.
     """
-    gap = F.col(day) - F.lag(day).over(Window.partitionBy(*keys).orderBy(F.col(day).asc_nulls_first(), order)) if dict(events.dtypes)[day] != "date" else F.datediff(F.col(day), F.lag(day).over(Window.partitionBy(*keys).orderBy(F.col(day).asc_nulls_first(), order)))
-    cut = F.coalesce((gap > window).cast("int"), F.lit(1))
-    chained = events.withColumn("_cut", cut).withColumn("_chain", F.sum("_cut").over(Window.partitionBy(*keys).orderBy(F.col(day).asc_nulls_first(), order).rowsBetween(Window.unboundedPreceding, 0)))
-    chained = chained.withColumn("_chain", F.when(F.col(day).isNull(), 0).otherwise(F.col("_chain")))
-    number = F.when(F.col(day).isNull(), F.lit(-1)).otherwise(F.unix_date(F.col(day)) if dict(events.dtypes)[day] == "date" else F.col(day)).cast("int")
-    item = F.struct(F.col(order).cast("long").alias("o"), number.alias("d"))
-    groups = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    near = lambda x: lambda a: F.abs(a["d"] - x["d"]) <= window
+    number = (F.unix_date(F.col(day)) if dict(events.dtypes)[day] == "date" else F.col(day)).cast("int")
+    firsts = events.groupBy(*keys, number.alias("_day")).agg(F.min(order).cast("long").alias("_first"))
+    by = Window.partitionBy(*keys).orderBy(F.col("_day").asc_nulls_first())
+    cut = F.coalesce((F.col("_day") - F.lag("_day").over(by) > window).cast("int"), F.lit(1))
+    chained = firsts.withColumn("_cut", cut).withColumn("_chain", F.sum("_cut").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(F.struct(F.col("_first").alias("o"), F.col("_day").alias("d")))).alias("_all"))
+    near = lambda x: lambda a: F.coalesce(F.abs(a["d"] - x["d"]) <= window, F.lit(True))  # noqa: E731  a day that is null stands alone
     empty = F.filter("_all", lambda x: F.lit(False))
     anchors = F.aggregate("_all", empty, lambda acc, x: F.when(F.exists(acc, near(x)), acc).otherwise(F.concat(acc, F.array(x))))
-    groups = groups.withColumn("_anchors", anchors).select(*keys, F.explode("_all").alias("_x"), "_anchors")
-    placed = groups.select(F.col("_x.o").alias(order), F.filter("_anchors", near(F.col("_x")))[0]["o"].alias("anchor"))
-    return events.join(placed, order)
+    each = groups.withColumn("_anchors", anchors).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.explode("_all").alias("_x"), "_anchors")
+    placed = each.select(*(f"_k{i}" for i in range(len(keys))), F.col("_x.d").alias("_d"), F.filter("_anchors", near(F.col("_x")))[0]["o"].alias("anchor"))
+    same = number.eqNullSafe(F.col("_d"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return events.join(placed, same).drop("_d", *(f"_k{i}" for i in range(len(keys))))
 
 
 def merged_sources(placed: DataFrame, source: str) -> DataFrame:

@@ -19,7 +19,8 @@ RULES = [
     ("EDG-01", "P1", "negative", "edgar"),
 ]
 RANK = {"P3": 1, "P2": 2, "P1": 3}
-CUT_PERCENT, LARGE_ISSUE_EUR, WINDOW_DAYS, WINDOW_EVENTS = 10, 1_000_000_000, 30, 2
+CUT_PERCENT, LARGE_ISSUE_EUR, WINDOW_DAYS, WINDOW_EVENTS, LEVERAGE_ABOVE = 10, 1_000_000_000, 30, 2, 4.5
+MODIFIERS = ("MOD-01", "MOD-02", "MOD-03")
 # Spellings of the metrics that guidance rules look at.
 METRICS = {
     "revenue": "revenue", "revenues": "revenue", "sales": "revenue", "net sales": "revenue", "net revenue": "revenue",
@@ -49,16 +50,26 @@ def guidance_inputs(df: DataFrame) -> DataFrame:
 
 
 def with_state(events: DataFrame, found: DataFrame) -> DataFrame:
-    """Rating events with what the state before says of their agency (T-06, T-07), whether another agency is investment
-    grade after the action (J-11), and the weakest rating after it (T-05)."""
-    before = state.state_before(events, found)
-    acting = before.select("event_key", F.col("agency").alias("_a"), F.col("outlook").alias("state_outlook"), F.col("notch").alias("state_notch"))
-    after = state.state_after(before, events)
-    sums = after.join(events.select("event_key", F.col("agency").alias("acting")), "event_key").groupBy("event_key").agg(
-        F.max("notch").alias("weakest_notch"), F.bool_or((F.col("agency") != F.col("acting")) & (F.col("notch") <= LAST_IG)).alias("other_ig")
-    )
-    out = events.join(acting, (events["event_key"] == acting["event_key"]) & (events["agency"] == acting["_a"]), "left").drop(acting["event_key"]).drop("_a")
-    return out.join(sums, "event_key", "left")
+    """Events of the common shape with what the state before says of their agency (T-06, T-07), whether another agency is
+    investment grade after the action (J-11), and the weakest rating: after a rating action (T-05), before other events.
+
+    The state of an event is at most one entry an agency, so it becomes columns: one aggregate and one join for all families.
+    """
+    # rating events keep their own number, by which the state leaves the event itself out; the others' are below zero
+    number = F.when(F.col("family") == "rating", F.col("event_key")).when(F.col("family") == "earnings", -2 * F.col("event_key") - 1).otherwise(-2 * F.col("event_key") - 2)
+    keyed = events.withColumn("_k", number)
+    before = state.state_before(keyed.select(F.col("_k").alias("event_key"), "issuer_id", "eff"), found)
+    entry = lambda a, c: F.max(F.when(F.col("agency") == a, F.col(c)))
+    wide = before.groupBy(F.col("event_key").alias("_k")).agg(*(entry(a, c).alias(f"_{c}_{a}") for a in scales.ADMISSIBLE for c in ("notch", "outlook")))
+    acting = F.col("family") == "rating"
+    own = lambda a: acting & (F.col("agency") == a)
+    of = lambda c: F.coalesce(*(F.when(own(a), F.col(f"_{c}_{a}")) for a in scales.ADMISSIBLE))
+    after = {a: F.when(own(a) & F.col("new_notch").isNotNull(), F.col("new_notch")).otherwise(F.col(f"_notch_{a}")) for a in scales.ADMISSIBLE}
+    other_ig = F.lit(False)
+    for a in scales.ADMISSIBLE:
+        other_ig = other_ig | F.coalesce((F.col("agency") != a) & (after[a] <= LAST_IG), F.lit(False))
+    out = keyed.join(wide, "_k", "left").withColumns({"state_outlook": of("outlook"), "state_notch": of("notch"), "weakest_notch": F.greatest(*after.values()), "other_ig": F.when(acting, other_ig)})
+    return out.drop("_k", *(f"_{c}_{a}" for a in scales.ADMISSIBLE for c in ("notch", "outlook")))
 
 
 def conditions() -> dict[str, Column]:
@@ -118,46 +129,47 @@ def matrix(events: DataFrame) -> DataFrame:
     return events.select("event_key", "family", F.explode(rows).alias("r")).select("event_key", "family", "r.*")
 
 
-def decide(based: DataFrame) -> DataFrame:
+def decide(based: DataFrame, leverage: DataFrame | None = None, threshold: float = LEVERAGE_ABOVE) -> DataFrame:
     """Modifiers and the final priority. MOD-01: a negative event whose issuer's weakest rating stands at the last
     investment grade is raised by one. MOD-02: a negative P2 event with WINDOW_EVENTS such in the WINDOW_DAYS up to its
-    day, itself included, becomes P1. The base never reads other decisions, so one window over effective days is the
-    fixed point of deciding again and again."""
+    day, itself included, becomes P1. MOD-03: a negative event whose issuer's latest known leverage (issuer_id, as_of,
+    leverage) is above the threshold is raised by one. The base never reads other decisions, so one window over
+    effective days is the fixed point of deciding again and again."""
     p2 = F.col("negative") & (F.col("base_rank") == 2)
     span = Window.partitionBy("issuer_id").orderBy(F.unix_date("eff")).rangeBetween(-WINDOW_DAYS, 0)
     df = based.withColumn("recent", F.sum(p2.cast("int")).over(span))
     mod01 = F.coalesce(F.col("negative") & (F.col("weakest_notch") == LAST_IG), F.lit(False))
     mod02 = p2 & (F.col("recent") >= WINDOW_EVENTS)
     df = df.withColumn("mod01", mod01).withColumn("mod02", mod02)
-    raised = F.least(F.lit(3), F.greatest(F.col("base_rank") + F.col("mod01").cast("int"), F.when(F.col("mod02"), 3).otherwise(0)))
-    final = F.when(F.col("base_rank") > 0, raised)
+    if leverage is None:
+        df = df.withColumn("leverage", F.lit(None).cast("double"))
+    else:
+        df = with_leverage(df, leverage)
+    df = df.withColumn("mod03", F.coalesce(F.col("negative") & (F.col("leverage") > threshold), F.lit(False)))
+    raised = F.least(F.lit(3), F.greatest(F.col("base_rank") + F.col("mod01").cast("int") + F.col("mod03").cast("int"), F.when(F.col("mod02"), 3).otherwise(0)))
+    decided = F.col("base_rank") > 0
+    final = F.when(decided, raised)
     name = lambda r: F.when(r == 3, "P1").when(r == 2, "P2").when(r == 1, "P3")
-    applied = F.concat(F.col("triggered"), F.array_compact(F.array(F.when(F.col("mod01") & (F.col("base_rank") > 0), F.lit("MOD-01")), F.when(F.col("mod02"), F.lit("MOD-02")))))
-    return df.withColumn("base_priority", name(F.col("base_rank"))).withColumn("priority", name(final)).withColumn("applied", applied).withColumn("decision_status", F.when(F.col("base_rank") > 0, "DECIDED").otherwise("NO_APPLICABLE_RULE"))
+    applied = F.concat(F.col("triggered"), F.array_compact(F.array(*(F.when(F.col(m.lower().replace("-", "")) & decided, F.lit(m)) for m in MODIFIERS))))
+    return df.withColumn("base_priority", name(F.col("base_rank"))).withColumn("priority", name(final)).withColumn("applied", applied).withColumn("decision_status", F.when(decided, "DECIDED").otherwise("NO_APPLICABLE_RULE"))
 
 
-def decide_all(rating: DataFrame, earnings: DataFrame, issuance: DataFrame, found: DataFrame) -> DataFrame:
+def decide_all(rating: DataFrame, earnings: DataFrame, issuance: DataFrame, found: DataFrame, leverage: DataFrame | None = None) -> DataFrame:
     """R-27: all families through the matrix. Only rating events act on the state; the others' weakest rating is that before."""
-    acted = with_state(shaped(rating, "rating"), found)
-    rest = shaped(earnings, "earnings").unionByName(shaped(issuance, "issuance"))
-    keyed = rest.withColumn("k", F.when(F.col("family") == "earnings", -2 * F.col("event_key") - 1).otherwise(-2 * F.col("event_key") - 2))
-    before = state.state_before(keyed.select(F.col("k").alias("event_key"), "issuer_id", "eff"), found)
-    low = before.groupBy(F.col("event_key").alias("k")).agg(F.max("notch").alias("weakest_notch"))
-    rest = keyed.join(low, "k", "left").drop("k").withColumns({"state_outlook": F.lit(None).cast("string"), "state_notch": F.lit(None).cast("int"), "other_ig": F.lit(None).cast("boolean")})
-    return decide(decide_base(guidance_inputs(acted.unionByName(rest))))
+    events = shaped(rating, "rating").unionByName(shaped(earnings, "earnings")).unionByName(shaped(issuance, "issuance"))
+    return decide(decide_base(guidance_inputs(with_state(events, found))), leverage)
 
 
-def leverage_above(decided: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """R-23, MOD-03: negative events whose issuer's latest verified leverage on or before the day is strictly above.
+def with_leverage(events: DataFrame, known: DataFrame) -> DataFrame:
+    """R-23: `leverage`, the issuer's latest figure on or before the event's day; null without one.
 
     known: (issuer_id, as_of, leverage). Figures and events lie in one order by issuer, figures first on a day, and the
     last figure is carried forward.
     """
-    asked = decided.where("negative").select("issuer_id", F.col("eff").alias("day"), F.lit(1).alias("kind"), "event_key", "family", F.lit(None).cast("double").alias("leverage"))
-    given = known.select("issuer_id", F.col("as_of").alias("day"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_key"), F.lit(None).cast("string").alias("family"), "leverage")
-    so_far = Window.partitionBy("issuer_id").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = given.unionByName(asked).withColumn("leverage", F.last("leverage", ignorenulls=True).over(so_far))
-    return both.where((F.col("kind") == 1) & (F.col("leverage") > threshold)).drop("kind")
+    given = known.select("issuer_id", F.col("as_of").alias("eff"), F.lit(0).alias("_kind"), F.col("leverage").alias("_leverage"))
+    both = given.unionByName(events.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    so_far = Window.partitionBy("issuer_id").orderBy("eff", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("leverage", F.last("_leverage", ignorenulls=True).over(so_far)).where("_kind = 1").drop("_kind", "_leverage")
 
 
 def explain(decided: DataFrame, before: DataFrame) -> DataFrame:
@@ -165,8 +177,7 @@ def explain(decided: DataFrame, before: DataFrame) -> DataFrame:
     one = lambda df, section, text: df.select("event_key", "family", F.lit(section).alias("section"), text.alias("text"))
     parts = [
         one(decided, "triggered", F.explode("triggered")),
-        one(decided.where("mod01 and base_rank > 0"), "modifier", F.lit("MOD-01")),
-        one(decided.where("mod02"), "modifier", F.lit("MOD-02")),
+        *(one(decided.where(f"{m.lower().replace('-', '')} and base_rank > 0"), "modifier", F.lit(m)) for m in MODIFIERS),
         one(decided, "decision", F.coalesce("priority", "decision_status")),
         one(before.withColumn("family", F.lit("rating")), "state", F.concat_ws(":", "agency", F.col("notch").cast("string"))),
     ]

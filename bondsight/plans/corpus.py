@@ -6,25 +6,29 @@ from pyspark.sql import functions as F
 
 from bondsight.functions import textfns as tf
 from bondsight.operators import corpus as c
+from bondsight.plans.reading import FOUND, aliases
 from bondsight.plans.registry import Registry
 from bondsight.sources import tables as src
 
 R = Registry()
 
+#: For DuckDB's translate(): wide spaces to plain ones, signs without width away.
+WIDE_SQL = f"'{tf.WIDE}{tf.NO_WIDTH}', '{' ' * len(tf.WIDE)}'"
 
-@R.query("N01_text_canonical")
+
+@R.query("N01_text_canonical", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(text), " + WIDE_SQL + r"), chr(10)), lambda l: regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')), lambda l: l <> ''), chr(10)) AS text FROM v_documents")
 def text_canonical(load):
     return c.canonical(load("v_documents"))
 
 
 @R.query("N02_html_to_lines")
 def html_to_lines(load):
-    return c.page_lines(load("pages")).select("page_id", "text")
+    return c.page_lines(load("pages"), page=False)
 
 
 @R.query("N03_boilerplate_drop")
 def boilerplate_drop(load):
-    return c.page_lines(load("pages")).select("page_id", "page_text")
+    return c.page_lines(load("pages"), page=True).withColumnRenamed("text", "page_text")
 
 
 @R.query("N04_decode_bytes", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -37,9 +41,12 @@ def normaliser_choice(load):
     return load("pages").select("page_id", F.when(F.col("url").endswith(".pdf"), "reject_pdf").when(F.col("page_id") % 2 == 0, "issuer_page").otherwise("filing").alias("normaliser"))
 
 
-@R.query("N06_two_hashes", "SELECT page_id, sha256(html) AS raw_hash, sha256(lower(html)) AS text_hash, CAST(strlen(html) AS INT) AS raw_size FROM pages")
+@R.query("N06_two_hashes", r"SELECT doc_id, sha256(coalesce(text, '')) AS raw_hash, sha256(array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(coalesce(text, '')), " + WIDE_SQL + r"), chr(10)), lambda l: regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')), lambda l: l <> ''), chr(10))) AS text_hash, CAST(strlen(coalesce(text, '')) AS INT) AS raw_size FROM documents")
 def two_hashes(load):
-    return load("pages").select("page_id", F.sha2("html", 256).alias("raw_hash"), F.sha2(F.lower("html"), 256).alias("text_hash"), F.octet_length("html").alias("raw_size"))
+    docs = load("documents")
+    clean = c.canonical(docs).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    raw = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.sha2(raw, 256).alias("raw_hash"), F.octet_length(raw).alias("raw_size")).join(clean, "doc_id")
 
 
 COMMON = ", ".join(f"'{w}'" for w in tf.COMMON)
@@ -55,13 +62,6 @@ def document_kind(load):
     return load("documents").select("doc_id", F.when(F.col("source") == "src1", "edgar").otherwise(F.coalesce(F.when(F.col("source") == "src2", "press_release"), F.lit("other"))).alias("kind"))
 
 
-@R.query("N09_document_date")
-def document_date(load):
-    docs = load("v_documents")
-    head = c.dates(docs).groupBy("doc_id").agg(F.min_by("day", "start").alias("first"))
-    return docs.join(head, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 5 == 0, F.col("published")), "first").alias("day"))
-
-
 SPANS = "SELECT doc_id, k, s0, s1, substr(text, CAST(s0 AS INT) + 1, 30) AS quote FROM v_gold g JOIN (SELECT doc_id AS d, text FROM v_documents) ON d = doc_id"
 
 
@@ -95,146 +95,16 @@ def span_exact(load):
     return c.quote_places(s, load("v_documents")).select("doc_id", "k", "match")
 
 
-@R.query("X02_sentences")
-def sentences(load):
-    return c.sentences(load("v_documents"))
-
-
-def whole(load):
-    return c.sentences(load("v_documents"))
-
-
-@R.query("X01_logical_lines")
-def logical_lines(load):
-    return c.sentences(load("v_documents")).groupBy("doc_id").agg(F.count("*").alias("windows"), F.max("end").alias("last_end"))
-
-
-@R.query("X03_dates")
-def dates(load):
-    return c.dates(load("v_documents"))
-
-
-@R.query("X04_latest_reference", "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 9 THEN DATE '2023-06-30' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END AS latest FROM documents WHERE doc_id % 20 IN (0, 1, 9, 10, 18)")
-def latest_reference(load):
-    docs = load("v_documents")
-    return c.latest_reference(docs).select("doc_id", "latest")
-
-
-@R.query("X05_historical", "SELECT doc_id, coalesce(date_diff('day', CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 9 THEN DATE '2023-06-30' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END, published) > 365, false) AS historical FROM v_documents")
-def historical(load):
-    docs = load("v_documents")
-    late = c.latest_reference(docs)
-    return docs.join(late, "doc_id", "left").select("doc_id", F.coalesce(F.datediff("published", "latest") > tf.HISTORY_DAYS, F.lit(False)).alias("historical"))
-
-
-@R.query("X06_numbers", "SELECT doc_id, CASE doc_id % 20 WHEN 6 THEN 205.0 WHEN 18 THEN round(-1234.5 + 12.5 + 30 + 2024, 6) ELSE 0 END AS total FROM documents WHERE doc_id % 20 IN (6, 18)")
-def numbers(load):
-    docs = load("v_documents").where("doc_id % 20 in (6, 18)")
-    return docs.select("doc_id", F.aggregate(tf.numbers(F.col("added")), F.lit(0.0), lambda a, x: a + x).alias("total"))
-
-
-@R.query("X07_amounts", "SELECT doc_id, CASE doc_id % 20 WHEN 12 THEN 250e6 WHEN 13 THEN 1.2e9 WHEN 14 THEN 500e6 WHEN 15 THEN 300e6 WHEN 16 THEN 400e6 END AS amount FROM documents")
-def amounts(load):
-    return load("v_documents").select("doc_id", tf.amount(F.col("added")).alias("amount"))
-
-
-@R.query("X08_bond_terms")
-def bond_terms(load):
-    return c.issuance(whole(load)).select("doc_id", "event_type", "coupon", "tenor", "seniority")
-
-
-@R.query("X09_named_entities")
-def named_entities(load):
-    return c.named_entities(whole(load))
-
-
-@R.query("X11_agency_mentions")
-def agency_mentions(load):
-    return c.agency_mentions(whole(load)).groupBy("doc_id", "agency").agg(F.count("*").alias("n"))
-
-
-@R.query("X12_document_agency")
-def document_agency(load):
-    by = c.agency_mentions(whole(load)).groupBy("doc_id").agg(F.collect_set("agency").alias("a"))
-    return by.select("doc_id", F.when(F.size("a") == 1, F.col("a")[0]).alias("agency"))
-
-
-@R.query("X13_reference_zones", "SELECT doc_id, 3 AS lines FROM documents WHERE doc_id % 20 = 17")
-def reference_zones(load):
-    zone = c.reference_zone(load("v_documents"), "^Rating history")
-    return zone.where("zone").groupBy("doc_id").agg(F.count("*").cast("int").alias("lines"))
-
-
-@R.query("E01_rating_transitions", "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'SP' ELSE 'MOODYS' END AS agency, CASE doc_id % 20 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE -1 END AS delta, CASE doc_id % 20 WHEN 3 THEN 'direction_mismatch' END AS skip FROM documents WHERE doc_id % 20 IN (0, 1, 3)")
-def rating_transitions(load):
-    return c.transitions(whole(load)).select("doc_id", "agency", "delta", "skip")
-
-
-@R.query("E02_watch_outlook_affirm", "SELECT doc_id, 'affirmation' AS event_type, 'BBB' AS rating FROM documents WHERE doc_id % 20 = 2")
-def affirmations(load):
-    return c.affirmations(whole(load)).select("doc_id", "event_type", "rating")
-
-
-@R.query("E03_filing_items", "SELECT event_key, item, CASE item WHEN '2.04' THEN 'acceleration' WHEN '2.02' THEN 'results' END AS event_type FROM v_earnings_events WHERE item IS NOT NULL")
+@R.query("E03_filing_items", "SELECT event_key, item, CASE item WHEN '2.04' THEN 'obligation_acceleration' WHEN '2.02' THEN 'earnings_release' END AS event_type FROM v_earnings_events WHERE item IS NOT NULL")
 def filing_items(load):
     return src.filing_events(load("v_earnings_events").select("event_key", F.array_compact(F.array("item")).alias("items"))).select("event_key", "item", "event_type")
 
 
-@R.query("E04_results_release", "SELECT doc_id, CASE doc_id % 20 WHEN 4 THEN 'reaffirmed' WHEN 5 THEN 'in_line' WHEN 6 THEN 'cut' WHEN 7 THEN 'withdrawn' END AS status, false AS conflict FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7")
-def results_release(load):
-    return c.guidance_status(c.guidance_scan(whole(load)))
-
-
-@R.query("E05_guidance_status_scan", "SELECT CASE doc_id % 20 WHEN 4 THEN 'reaffirmed' WHEN 5 THEN 'in_line' WHEN 6 THEN 'cut' WHEN 7 THEN 'withdrawn' END AS status, count(*) AS n FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7 GROUP BY 1")
-def guidance_status_scan(load):
-    return c.guidance_scan(whole(load)).groupBy("status").agg(F.count("*").alias("n"))
-
-
-@R.query("E06_flag_scan", "SELECT doc_id, CASE doc_id % 20 WHEN 8 THEN 'going_concern' WHEN 9 THEN 'covenant' WHEN 10 THEN 'covenant' WHEN 11 THEN 'liquidity' ELSE 'impairment' END AS flag, CASE doc_id % 20 WHEN 9 THEN 'denied' WHEN 11 THEN 'hypothetical' END AS aside FROM documents WHERE doc_id % 20 BETWEEN 8 AND 12")
-def flag_scan(load):
-    return c.flag_scan(whole(load)).select("doc_id", "flag", "aside")
-
-
-@R.query("E09_issuance", "SELECT doc_id, CASE doc_id % 20 WHEN 14 THEN 'non_call' WHEN 16 THEN 'redemption' ELSE 'new_issue' END AS event_type, CASE doc_id % 20 WHEN 15 THEN 'intent_only' END AS skip FROM documents WHERE doc_id % 20 BETWEEN 13 AND 16")
-def issuance(load):
-    return c.issuance(whole(load)).select("doc_id", "event_type", "skip")
-
-
-@R.query("E10_recap_suppression", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'recap' END AS skip FROM documents WHERE doc_id % 20 IN (13, 14, 16)")
-def recap_suppression(load):
-    found = c.issuance(whole(load)).where("skip is null").select("doc_id")
-    releases = load("documents").where("doc_id % 2 = 0").select("doc_id")
-    return c.suppress(found, releases)
-
-
-@R.query("E13_ratings_table_dated", "SELECT doc_id, 'SP' AS agency, r.as_of, r.label FROM documents, (VALUES (DATE '2023-01-15', 'BBB+'), (DATE '2024-02-20', 'BBB')) r(as_of, label) WHERE doc_id % 20 = 17")
-def ratings_table_dated(load):
-    lines = c.reference_zone(load("v_documents"), "^Rating history")
-    return c.dated_table(lines).select("doc_id", "agency", "as_of", "label")
-
-
-@R.query("E14_observation_build")
-def observation_build(load):
-    lines = c.reference_zone(load("v_documents"), "^Rating history")
-    rows = c.dated_table(lines)
-    return rows.select(F.concat(F.lit("obs_"), F.substring(F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "agency", F.col("as_of").cast("string"), "label"), 256), 1, 20)).alias("observation_id"), "doc_id", "agency", "as_of", "label", F.lit("stated").alias("basis"))
-
-
 @R.query("E15_event_id", "SELECT event_key, 'evt_' || substr(sha256(issuer_id || '|rating|' || event_type || '|' || agency), 1, 20) AS event_id FROM v_rating_events")
 def event_id(load):
     return load("v_rating_events").select("event_key", F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat("issuer_id", F.lit("|rating|"), "event_type", F.lit("|"), "agency"), 256), 1, 20)).alias("event_id"))
 
 
-@R.query("E16_extractor_routing", "SELECT branch, count(*) AS n FROM (SELECT 'rating' AS branch FROM documents WHERE doc_id % 20 IN (0, 1, 3) UNION ALL SELECT 'guidance' FROM documents WHERE doc_id % 20 BETWEEN 4 AND 7 UNION ALL SELECT 'flag' FROM documents WHERE doc_id % 20 BETWEEN 8 AND 12 UNION ALL SELECT 'issuance' FROM documents WHERE doc_id % 20 BETWEEN 13 AND 16) GROUP BY 1")
-def extractor_routing(load):
-    return c.extract_all(whole(load)).groupBy("branch").agg(F.count("*").alias("n"))
-
-
-@R.query("E17_skip_ledger", "SELECT skip AS reason, count(*) AS n FROM (SELECT CASE doc_id % 20 WHEN 3 THEN 'direction_mismatch' WHEN 9 THEN 'denied' WHEN 11 THEN 'hypothetical' WHEN 15 THEN 'intent_only' END AS skip FROM documents) WHERE skip IS NOT NULL GROUP BY 1")
-def skip_ledger(load):
-    return c.extract_all(whole(load)).where("skip is not null").groupBy(F.col("skip").alias("reason")).agg(F.count("*").alias("n"))
-
-
 ISSUERS = "SELECT issuer_id, lpad(CAST(first_key // 10 % 40 AS VARCHAR), 10, '0') AS cik FROM v_issuers"
 
 
@@ -242,11 +112,6 @@ def issuers(load):
     return load("v_issuers").select("issuer_id", F.lpad((F.floor(F.col("first_key") / 10) % 40).cast("string"), 10, "0").alias("cik"))
 
 
-def aliases(load):
-    spark = load("v_scale").sparkSession
-    return spark.createDataFrame([("ISS1", "Acme Holdings plc"), ("ISS2", "Delta Energy N.V"), ("ISS2", "Delta Energy"), ("ISS3", "Nobody Inc")], "issuer_id string, alias string")
-
-
 @R.query("J01_resolve_cik", "SELECT doc_id, CASE WHEN n = 1 THEN i END AS issuer_id FROM (SELECT doc_id, lpad(cik, 10, '0') AS cik FROM v_documents WHERE cik IS NOT NULL) d LEFT JOIN (SELECT cik, count(*) AS n, min(issuer_id) AS i FROM iss GROUP BY 1) x USING (cik)", iss=ISSUERS)
 def resolve_cik(load):
     one = issuers(load).groupBy("cik").agg(F.count("*").alias("n"), F.min("issuer_id").alias("i"))
@@ -261,18 +126,12 @@ def resolve_hint(load):
     return docs.join(i, F.col("issuer_hint") == F.col("issuer_id"), "left").select("doc_id", "issuer_id")
 
 
-@R.query("J03_resolve_alias", "SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'ISS1' WHEN 13 THEN 'ISS2' END AS alias_issuer, doc_id % 20 = 19 AS ambiguous FROM documents WHERE doc_id % 20 IN (0, 13, 19)")
-def resolve_alias(load):
-    docs = load("v_documents").withColumn("text", F.col("added"))
-    return c.resolve_alias(docs, aliases(load)).select("doc_id", "alias_issuer", "ambiguous")
-
-
 @R.query("J04_resolve_cascade", """SELECT doc_id, CASE WHEN bad THEN 'unresolved' WHEN i IS NOT NULL THEN 'cik' WHEN h IS NOT NULL THEN 'hint' WHEN a IS NOT NULL THEN 'alias' ELSE 'unresolved' END AS method, CASE WHEN bad THEN NULL ELSE coalesce(i, h, a) END AS issuer_id FROM (
-SELECT doc_id, i, s.issuer_id AS h, CASE doc_id % 20 WHEN 0 THEN 'ISS1' WHEN 13 THEN 'ISS2' END AS a, coalesce(d.cik IS NOT NULL AND (i IS NULL OR n > 1 OR issuer_hint <> i), false) AS bad
-FROM v_documents d LEFT JOIN (SELECT cik, count(*) AS n, min(issuer_id) AS i FROM iss GROUP BY 1) x ON lpad(d.cik, 10, '0') = x.cik LEFT JOIN iss s ON d.issuer_hint = s.issuer_id)""", iss=ISSUERS)
+SELECT doc_id, i, s.issuer_id AS h, alias_issuer AS a, coalesce(d.cik IS NOT NULL AND (i IS NULL OR n > 1 OR issuer_hint <> i), false) AS bad
+FROM v_documents d LEFT JOIN (SELECT cik, count(*) AS n, min(issuer_id) AS i FROM iss GROUP BY 1) x ON lpad(d.cik, 10, '0') = x.cik LEFT JOIN iss s ON d.issuer_hint = s.issuer_id LEFT JOIN found USING (doc_id))""", iss=ISSUERS, **FOUND)
 def resolve_cascade(load):
     docs = load("v_documents")
-    by_alias = c.resolve_alias(docs.withColumn("text", F.col("added")), aliases(load)).select("doc_id", "alias_issuer")
+    by_alias = c.resolve_alias(docs, aliases(load)).select("doc_id", "alias_issuer")
     return c.resolve(docs, issuers(load), by_alias)
 
 
@@ -282,68 +141,53 @@ def statement_rebind(load):
     return src.rebind(s.drop("quote"), load("v_documents")).select("doc_id", "k", "bound")
 
 
-@R.query("V03_numbers_match", "SELECT doc_id, CASE doc_id % 20 WHEN 6 THEN doc_id % 3 <> 1 WHEN 18 THEN false END AS ok FROM documents WHERE doc_id % 20 IN (6, 18)")
-def numbers_match(load):
-    docs = load("v_documents").where("doc_id % 20 in (6, 18)")
-    bound = F.when(F.col("doc_id") % 3 == 1, 96.0).otherwise(95.0)
-    return docs.select("doc_id", c.numbers_match(F.col("added"), [bound, F.lit(None).cast("double")]).alias("ok"))
-
-
-@R.query("V06_temporal", "SELECT doc_id, NOT coalesce(CASE doc_id % 20 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2024-07-08' WHEN 10 THEN DATE '2022-12-17' WHEN 18 THEN DATE '2024-06-30' END > published + 3, false) AS temporal FROM v_documents")
-def temporal(load):
-    docs = load("v_documents")
-    late = c.dates(docs).groupBy("doc_id").agg(F.max("day").alias("latest"))
-    return docs.join(late, "doc_id", "left").select("doc_id", (~F.coalesce(F.col("latest") > F.date_add("published", 3), F.lit(False))).alias("temporal"))
-
-
-@R.query("V09_liquidity_polarity", "SELECT doc_id, false AS stands FROM documents WHERE doc_id % 20 = 11")
-def liquidity_polarity(load):
-    return c.flag_scan(whole(load)).where("flag = 'liquidity'").select("doc_id", F.col("aside").isNull().alias("stands"))
-
-
-@R.query("V10_covenant_status", "SELECT doc_id, CASE doc_id % 20 WHEN 9 THEN 'compliant' ELSE 'breached' END AS status FROM documents WHERE doc_id % 20 IN (9, 10)")
-def covenant_status(load):
-    return c.flag_scan(whole(load)).where("flag = 'covenant'").select("doc_id", F.when(F.col("aside") == "denied", "compliant").when(F.col("aside") == "hypothetical", "risk_of_breach").otherwise("breached").alias("status"))
-
-
-@R.query("V12_going_concern_status", "SELECT doc_id, 'stated' AS reading FROM documents WHERE doc_id % 20 = 8")
-def going_concern_status(load):
-    return c.flag_scan(whole(load)).where("flag = 'going_concern'").select("doc_id", F.coalesce("aside", F.lit("stated")).alias("reading"))
-
-
 @R.query("V14_verdict", "SELECT doc_id, k, CASE WHEN current_lower < 40 AND period IS NOT NULL THEN 'VALID' ELSE 'INVALID' END AS verdict FROM v_gold")
 def verdict(load):
     return c.verdict(load("v_gold"), {"numbers": F.col("current_lower") < 40, "period": F.col("period").isNotNull()}).select("doc_id", "k", "verdict")
 
 
-@R.query("V15_statement_ids", "SELECT doc_id, CAST(i AS INT) AS idx, sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)) AS statement_id, CASE i WHEN 0 THEN 'revenue' ELSE 'ebitda' END AS metric FROM documents, range(0, 2) r(i) WHERE doc_id % 5 <> 0")
+def answers(load):
+    """A cached answer for each document: its predicted statements as JSON; offsets of each 7th document are out of order."""
+    each = F.struct("metric", F.when(F.col("doc_id") % 7 == 0, F.col("s1")).otherwise(F.col("s0")).cast("int").alias("start"), F.when(F.col("doc_id") % 7 == 0, F.col("s0")).otherwise(F.col("s1")).cast("int").alias("end"))
+    listed = load("v_pred").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", each.alias("s")))).alias("l"))
+    return listed.select("doc_id", F.to_json(F.struct(F.transform("l", lambda x: x["s"]).alias("statements"))).alias("answer"))
+
+
+@R.query("V15_statement_ids", "SELECT doc_id, CAST(idx AS INT) AS idx, sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR)) AS statement_id, metric, CAST(s0 AS INT) AS start, CAST(s1 AS INT) AS \"end\" FROM v_pred WHERE doc_id % 7 <> 0")
 def statement_ids(load):
-    answer = F.when(F.col("doc_id") % 5 != 0, F.lit('{"statements":[{"metric":"revenue","start":1,"end":5},{"metric":"ebitda","start":7,"end":9}]}')).otherwise(F.lit("not json"))
-    parsed = src.parse_answers(load("documents").select("doc_id", answer.alias("answer")))
-    return parsed.where("idx is not null").select("doc_id", "idx", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")), 256).alias("statement_id"), "metric")
+    parsed = src.parse_answers(answers(load)).where("idx is not null")
+    return parsed.select("doc_id", "idx", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")), 256).alias("statement_id"), "metric", "start", "end")
 
 
-@R.query("V16_answer_parse", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'schema_failure' ELSE 'ok' END AS run_status FROM documents")
+@R.query("V16_answer_parse", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'schema_failure' ELSE 'ok' END AS run_status, CASE WHEN doc_id % 7 <> 0 THEN count(*) ELSE 0 END AS n FROM v_pred GROUP BY 1")
 def answer_parse(load):
-    answer = F.when(F.col("doc_id") % 5 != 0, F.lit('{"statements":[{"metric":"revenue","start":1,"end":5}]}')).otherwise(F.lit("not json"))
-    return src.parse_answers(load("documents").select("doc_id", answer.alias("answer"))).select("doc_id", "run_status").distinct()
+    return src.parse_answers(answers(load)).groupBy("doc_id", "run_status").agg(F.count("idx").alias("n"))
 
 
-@R.query("L08_claim_verify", "SELECT doc_id AS claim_id, CASE doc_id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unsupported_figure' WHEN 2 THEN 'no_citation' ELSE 'unknown_fact' END AS status FROM documents")
+@R.query("L08_claim_verify", """SELECT p.doc_id * 10 + p.idx AS claim_id, CASE WHEN p.idx = 3 THEN 'no_citation' WHEN g.k IS NULL THEN 'unknown_fact' WHEN g.current_lower <> p.current_lower THEN 'unsupported_figure' ELSE 'verified' END AS status
+FROM v_pred p LEFT JOIN v_gold g ON g.doc_id = p.doc_id AND g.k = p.idx""")
 def claim_verify(load):
-    k = F.col("doc_id") % 4
-    claims = load("documents").select(F.col("doc_id").alias("claim_id"), F.when(k == 0, "Sales were 12.5 [F1]").when(k == 1, "Sales were 13 [F1]").when(k == 2, "Sales rose").otherwise("Sales rose [F9]").alias("text"))
-    facts = claims.sparkSession.createDataFrame([(1, "Sales of 12.5 million"), (2, "Debt of 7")], "fact_id int, text string")
+    key = lambda n: (F.col("doc_id") * 10 + F.col(n)).alias
+    figure = F.col("current_lower").cast("string")
+    claims = load("v_pred").select(key("idx")("claim_id"), F.concat(F.lit("The "), "metric", F.lit(" was "), figure, F.when(F.col("idx") == 3, F.lit("")).otherwise(F.concat(F.lit(" [F"), (F.col("doc_id") * 10 + F.col("idx")).cast("string"), F.lit("]")))).alias("text"))
+    facts = load("v_gold").select(key("k")("fact_id"), F.concat("metric", F.lit(" of "), figure).alias("text"))
     return c.verify_claims(claims, facts).select("claim_id", "status")
 
 
-@R.query("S01_filings_index", "SELECT CAST(o_orderkey AS BIGINT) AS cik, CAST(i AS INT) AS i, CASE i WHEN 0 THEN '8-K' ELSE '10-Q' END AS form FROM orders, range(0, 2) r(i)")
+@R.query("S01_filings_index", "SELECT o_custkey AS cik, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS i, o_orderpriority AS form, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filed FROM orders QUALIFY o_orderstatus <> 'P'")
 def filings_index(load):
-    index = load("orders").select(F.col("o_orderkey").alias("cik"), F.array(F.lit("8-K"), F.lit("10-Q"), F.lit("3")).alias("form"), F.array(F.lit("2024-01-02"), F.lit("2024-02-03"), F.lit(None).cast("string")).alias("filingDate"), F.array(F.lit("a.htm"), F.lit("b.htm"), F.lit("c.htm")).alias("primaryDocument"))
-    return src.filings(index).select("cik", "i", "form")
+    column = lambda x: F.transform("o", lambda e: e[x])
+    rows = load("orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("form"), F.to_date("o_orderdate").cast("string").alias("filingDate"), F.when(F.col("o_orderstatus") != "P", F.concat("o_orderkey", F.lit(".htm"))).alias("primaryDocument"))
+    index = rows.groupBy(F.col("o_custkey").alias("cik")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "form", "filingDate", "primaryDocument"))).alias("o"))
+    return src.filings(index.select("cik", column("form").alias("form"), column("filingDate").alias("filingDate"), column("primaryDocument").alias("primaryDocument"))).select("cik", "i", "form", F.col("filingDate").alias("filed"))
+
+
+LINKS = r"""SELECT page_id, n, regexp_replace(plain, '\?.*$', '') || CASE WHEN len(keys) > 0 THEN '?' || array_to_string(keys, '&') ELSE '' END AS url FROM (
+SELECT page_id, n, plain, list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'), lambda p: NOT regexp_matches(p, '^(disposition|download)(=|$)') AND p <> '') AS keys FROM (
+SELECT page_id, generate_subscripts(l, 1) AS n, regexp_replace(unnest(l), '#.*$', '') AS plain FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref=["'']([^"'']+)', 1) AS l FROM pages)))"""
 
 
-@R.query("S05_page_links")
+@R.query("S05_page_links", "SELECT page_id, CAST(r - 1 AS INT) AS n, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY min(n), url) AS r FROM links WHERE length(url) > 0 GROUP BY page_id, url) WHERE r <= 10", links=LINKS)
 def page_links(load):
     return src.page_links(load("pages"), ".", 10)
 
@@ -361,3 +205,21 @@ def page_title(load):
 @R.query("S14_sanitised_results", "SELECT doc_id, sha256(metric || status) AS quote_sha256, CAST(length(metric || status) AS INT) AS quote_chars FROM v_pred")
 def sanitised_results(load):
     return src.sanitised(load("v_pred").select("doc_id", F.concat("metric", "status").alias("quote"))).select("doc_id", "quote_sha256", "quote_chars")
+
+
+@R.query("S11_gold_scan", "SELECT doc_id, k, split, metric, period, status, s0, s1 FROM v_gold")
+def gold_scan(load):
+    """Gold rows written as JSON lines and scanned again."""
+    gold = load("v_gold").select("doc_id", "k", "split", "metric", "period", "status", "s0", "s1")
+    path = src.shared_folder(gold.sparkSession)
+    gold.write.json(path)
+    return src.read_gold(gold.sparkSession, path, "doc_id long, k long, split string, metric string, period string, status string, s0 long, s1 long")
+
+
+@R.query("S13_alert_sink", "SELECT event_key, issuer_id, new_notch, eff AS day FROM v_rating_events WHERE event_type = 'downgrade'")
+def alert_sink(load):
+    """Downgrades written as JSON by day and read again; the day comes back from the folders' names."""
+    alerts = load("v_rating_events").where("event_type = 'downgrade'").select("event_key", "issuer_id", "new_notch", "eff")
+    path = src.shared_folder(alerts.sparkSession)
+    src.write_alerts(alerts, path)
+    return alerts.sparkSession.read.schema("event_key long, issuer_id string, new_notch int, day date").json(path)

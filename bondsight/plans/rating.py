@@ -33,9 +33,12 @@ def before(load):
     return events, found
 
 
-@R.query("S10_scale_load", f"SELECT agency, label, CAST(notch AS INT) AS notch, {CATEGORY.format('notch')} AS category FROM v_scale")
+@R.query("S10_scale_load", f"SELECT s.agency, label, CAST(s.notch AS INT) AS notch, {CATEGORY.format('s.notch')} AS category, count(e.event_key) AS events FROM v_scale s LEFT JOIN v_rating_events e ON e.agency = s.agency AND e.new_notch = s.notch GROUP BY ALL")
 def scale_load(load):
-    return load("v_scale").select("agency", "label", F.col("notch").cast("int").alias("notch"), scales.category(F.col("notch")).alias("category"))
+    """The scales, with how many rating events reach each label's notch."""
+    seen = load("v_rating_events").groupBy(F.col("agency").alias("_a"), F.col("new_notch").alias("_n")).agg(F.count("*").alias("events"))
+    s = load("v_scale").join(seen, (F.col("agency") == F.col("_a")) & (F.col("notch") == F.col("_n")), "left")
+    return s.select("agency", "label", F.col("notch").cast("int").alias("notch"), scales.category(F.col("notch")).alias("category"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 LABELS = """SELECT e.event_key, e.agency, CASE WHEN e.event_key % 3 = 0 THEN lower(s.label) WHEN e.event_key % 5 = 0 THEN ' ' || replace(s.label, '-', chr(8211)) || ' ' ELSE s.label END AS raw
@@ -117,7 +120,8 @@ def weakest(load):
 
 @R.query("T06_previous_outlook", """SELECT e.event_key, b.outlook AS previous_outlook, coalesce(e.new_notch, b.notch) AS rating_after FROM v_rating_events e LEFT JOIN before b ON b.event_key = e.event_key AND b.agency = e.agency""", **STATE)
 def previous_outlook(load):
-    return rules.with_state(*before(load)).select("event_key", F.col("state_outlook").alias("previous_outlook"), F.coalesce("new_notch", "state_notch").alias("rating_after"))
+    events, found = before(load)
+    return rules.with_state(rules.shaped(events, "rating"), found).select("event_key", F.col("state_outlook").alias("previous_outlook"), F.coalesce("new_notch", "state_notch").alias("rating_after"))
 
 
 @R.query("T08_age_days", "SELECT CAST(age_days / 100 AS INT) AS hundreds, count(*) AS n FROM (SELECT CAST(floor(age_days / 100) * 100 AS INT) AS age_days FROM before) GROUP BY 1", **STATE)
@@ -140,6 +144,12 @@ def notch_delta(load):
     return load("v_rating_events").select("event_key", (F.col("new_notch") - F.col("old_notch")).alias("delta"), (F.col("new_notch") == scales.LAST_IG).alias("at_boundary"), (scales.category(F.col("new_notch")) == "IG").alias("investment_grade"))
 
 
+@R.query("M02_boundary_ig", "SELECT event_key, CASE WHEN old_notch <= 10 AND new_notch BETWEEN 11 AND 21 THEN 'falls' WHEN old_notch > 10 AND new_notch <= 10 THEN 'rises' END AS crossing, old_notch <= 10 AS was_ig, new_notch = 10 AS at_boundary FROM v_rating_events")
+def boundary_ig(load):
+    old, new = scales.category(F.col("old_notch")), scales.category(F.col("new_notch"))
+    return load("v_rating_events").select("event_key", F.when((old == "IG") & (new == "HY"), "falls").when((old != "IG") & (new == "IG"), "rises").alias("crossing"), (old == "IG").alias("was_ig"), (F.col("new_notch") == scales.LAST_IG).alias("at_boundary"))
+
+
 INPUTS = f"SELECT issuer_id, agency, notch, as_of FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id, agency ORDER BY as_of DESC NULLS LAST, source) AS rn FROM v_rating_candidates WHERE {ELIGIBLE.replace(' AND as_of IS NOT NULL', '')}) WHERE rn = 1"
 
 
@@ -155,6 +165,11 @@ def composite(load):
     return state.composite(state.composite_inputs(load("v_rating_candidates")))
 
 
+@R.query("M05_composite_average", "SELECT issuer_id, CAST(floor(avg(notch) + 0.5) AS INT) AS nearest_weaker, CAST(ceil(avg(notch)) AS INT) AS weaker, CAST(floor(avg(notch)) AS INT) AS stronger FROM inputs GROUP BY 1", inputs=INPUTS)
+def composite_average(load):
+    return state.composite(state.composite_inputs(load("v_rating_candidates"))).select("issuer_id", "nearest_weaker", "weaker", "stronger")
+
+
 # The matrix in SQL, over all families.
 METRIC = "CASE lower(trim(metric)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.METRICS.items()) + " END"
 EVENTS = f"""
@@ -185,11 +200,12 @@ WHEN = {
 HITS = "[x FOR x IN [" + ", ".join(f"CASE WHEN {w} THEN '{r}' END" for r, w in WHEN.items()) + "] IF x IS NOT NULL]"
 RANKS = "greatest(" + ", ".join(f"CASE WHEN {WHEN[r]} THEN {rules.RANK[p]} ELSE 0 END" for r, p, *_ in rules.RULES) + ")"
 BAD = " OR ".join(f"coalesce({WHEN[r]}, false)" for r, _, d, _ in rules.RULES if d == "negative")
-DECIDED = f"""SELECT *, CASE WHEN base_rank > 0 THEN least(3, greatest(base_rank + CASE WHEN mod01 THEN 1 ELSE 0 END, CASE WHEN mod02 THEN 3 ELSE 0 END)) END AS final_rank FROM (
-SELECT *, negative AND coalesce(weakest = 10, false) AS mod01, negative AND base_rank = 2 AND recent >= 2 AS mod02 FROM (
+DECIDED = f"""SELECT *, CASE WHEN base_rank > 0 THEN least(3, greatest(base_rank + CASE WHEN mod01 THEN 1 ELSE 0 END + CASE WHEN mod03 THEN 1 ELSE 0 END, CASE WHEN mod02 THEN 3 ELSE 0 END)) END AS final_rank FROM (
+SELECT *, negative AND coalesce(weakest = 10, false) AS mod01, negative AND base_rank = 2 AND recent >= 2 AS mod02, negative AND coalesce(leverage > 4.5, false) AS mod03 FROM (
 SELECT *, sum(CASE WHEN negative AND base_rank = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY issuer_id ORDER BY eff RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS recent FROM (
-SELECT *, {HITS} AS triggered, {RANKS} AS base_rank, ({BAD}) AS negative FROM all_events)))"""
-ALL = {**STATE, "before_e": BEFORE.format(events="v_earnings_events").replace("AND NOT (c.origin = 'event' AND c.source = CAST(e.event_key AS VARCHAR))", ""), "before_i": BEFORE.format(events="v_issuance_events").replace("AND NOT (c.origin = 'event' AND c.source = CAST(e.event_key AS VARCHAR))", ""), "all_events": EVENTS, "decided": DECIDED}
+SELECT *, {HITS} AS triggered, {RANKS} AS base_rank, ({BAD}) AS negative FROM (SELECT e.*, x.leverage FROM all_events e ASOF LEFT JOIN leverage x ON e.issuer_id = x.issuer_id AND e.eff >= x.as_of))))"""
+LEVERAGE = """SELECT 'ISS' || CAST(CAST(floor(o_custkey / 10) AS BIGINT) AS VARCHAR) AS issuer_id, CAST(o_orderdate AS DATE) AS as_of, max(CAST((o_orderkey % 80) AS DOUBLE) / 10) AS leverage FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1, 2"""
+ALL = {**STATE, "before_e": BEFORE.format(events="v_earnings_events").replace("AND NOT (c.origin = 'event' AND c.source = CAST(e.event_key AS VARCHAR))", ""), "before_i": BEFORE.format(events="v_issuance_events").replace("AND NOT (c.origin = 'event' AND c.source = CAST(e.event_key AS VARCHAR))", ""), "all_events": EVENTS, "leverage": LEVERAGE, "decided": DECIDED}
 NAME = "CASE {} WHEN 3 THEN 'P1' WHEN 2 THEN 'P2' WHEN 1 THEN 'P3' END"
 
 
@@ -197,7 +213,19 @@ def decided(load):
     events, found = before(load)
     names = {"f_liquidity": "liquidity", "f_covenant": "covenant", "f_going_concern": "going_concern", "f_impairment": "impairment"}
     earnings = load("v_earnings_events").withColumn("flags", F.array_compact(F.array(*(F.when(F.col(k), F.lit(v)) for k, v in names.items()))))
-    return rules.decide_all(events, earnings, load("v_issuance_events"), found)
+    return rules.decide_all(events, earnings, load("v_issuance_events"), found, leverage(load))
+
+
+def leverage(load):
+    """A figure of an issuer's leverage now and then."""
+    orders = load("orders").where("o_orderkey % 11 = 0")
+    return orders.groupBy(F.concat(F.lit("ISS"), F.floor(F.col("o_custkey") / 10)).alias("issuer_id"), F.col("o_orderdate").cast("date").alias("as_of")).agg(F.max((F.col("o_orderkey") % 80).cast("double") / 10).alias("leverage"))
+
+
+@R.query("T07_rating_after_action", "SELECT event_key, rating_after FROM all_events WHERE family = 'rating'", **ALL)
+def rating_after_action(load):
+    events, found = before(load)
+    return rules.with_state(rules.shaped(events, "rating"), found).select("event_key", F.coalesce("new_notch", "state_notch").alias("rating_after"))
 
 
 @R.query("R00_rule_matrix", "SELECT rule_id, family, CAST(count(*) AS BIGINT) AS evaluated, CAST(sum(CASE WHEN triggered THEN 1 ELSE 0 END) AS BIGINT) AS triggered FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, family, coalesce({w}, false) AS triggered FROM all_events" for r, w in WHEN.items()) + ") GROUP BY 1, 2", **ALL)
@@ -225,14 +253,9 @@ def mod02(load):
     return decided(load).where("mod02").select("event_key", "family", "recent")
 
 
-LEVERAGE = f"""SELECT 'ISS' || CAST(CAST(floor(o_custkey / 10) AS BIGINT) AS VARCHAR) AS issuer_id, CAST(o_orderdate AS DATE) AS as_of, max(CAST((o_orderkey % 80) AS DOUBLE) / 10) AS leverage FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1, 2"""
-
-
-@R.query("R23_mod03", """SELECT d.event_key, d.family, x.leverage FROM decided d ASOF JOIN leverage x ON d.issuer_id = x.issuer_id AND d.eff >= x.as_of WHERE d.negative AND x.leverage > 4.5""", leverage=LEVERAGE, **ALL)
+@R.query("R23_mod03", "SELECT event_key, family, leverage FROM decided WHERE mod03", **ALL)
 def mod03(load):
-    orders = load("orders").where("o_orderkey % 11 = 0")
-    known = orders.groupBy(F.concat(F.lit("ISS"), F.floor(F.col("o_custkey") / 10)).alias("issuer_id"), F.col("o_orderdate").cast("date").alias("as_of")).agg(F.max((F.col("o_orderkey") % 80).cast("double") / 10).alias("leverage"))
-    return rules.leverage_above(decided(load), known, 4.5).select("event_key", "family", "leverage")
+    return decided(load).where("mod03").select("event_key", "family", "leverage")
 
 
 @R.query("R24_decisions", f"SELECT event_key, family, {NAME.format('base_rank')} AS base_priority, {NAME.format('final_rank')} AS priority, negative, CASE WHEN base_rank > 0 THEN 'DECIDED' ELSE 'NO_APPLICABLE_RULE' END AS decision_status FROM decided", **ALL)
@@ -240,7 +263,7 @@ def decisions(load):
     return decided(load).select("event_key", "family", "base_priority", "priority", "negative", "decision_status")
 
 
-@R.query("R25_triggered_list", "SELECT event_key, family, array_to_string(list_concat(triggered, [x FOR x IN [CASE WHEN mod01 AND base_rank > 0 THEN 'MOD-01' END, CASE WHEN mod02 THEN 'MOD-02' END] IF x IS NOT NULL]), ',') AS applied FROM decided", **ALL)
+@R.query("R25_triggered_list", "SELECT event_key, family, array_to_string(list_concat(triggered, [x FOR x IN [CASE WHEN mod01 AND base_rank > 0 THEN 'MOD-01' END, CASE WHEN mod02 THEN 'MOD-02' END, CASE WHEN mod03 AND base_rank > 0 THEN 'MOD-03' END] IF x IS NOT NULL]), ',') AS applied FROM decided", **ALL)
 def triggered_list(load):
     return decided(load).select("event_key", "family", F.array_join("applied", ",").alias("applied"))
 
@@ -256,7 +279,7 @@ def priority_counts(load):
 
 
 @R.query("R29_explain_rows", f"""SELECT event_key, family, section, text FROM (SELECT event_key, family, 'triggered' AS section, unnest(triggered) AS text FROM decided
-UNION ALL SELECT event_key, family, 'modifier', 'MOD-01' FROM decided WHERE mod01 AND base_rank > 0 UNION ALL SELECT event_key, family, 'modifier', 'MOD-02' FROM decided WHERE mod02
+UNION ALL SELECT event_key, family, 'modifier', 'MOD-01' FROM decided WHERE mod01 AND base_rank > 0 UNION ALL SELECT event_key, family, 'modifier', 'MOD-02' FROM decided WHERE mod02 UNION ALL SELECT event_key, family, 'modifier', 'MOD-03' FROM decided WHERE mod03 AND base_rank > 0
 UNION ALL SELECT event_key, family, 'decision', coalesce({NAME.format('final_rank')}, 'NO_APPLICABLE_RULE') FROM decided
 UNION ALL SELECT event_key, 'rating', 'state', agency || ':' || CAST(notch AS VARCHAR) FROM before)""", **ALL)
 def explain_rows(load):
@@ -274,7 +297,8 @@ def rules_config(load):
 
 @R.query("J11_other_agencies_split", "SELECT event_key FROM all_events WHERE family = 'rating' AND other_ig", **ALL)
 def other_agencies_split(load):
-    return rules.with_state(*before(load)).where("other_ig").select("event_key")
+    events, found = before(load)
+    return rules.with_state(rules.shaped(events, "rating"), found).where("other_ig").select("event_key")
 
 
 @R.query("J12_prior_events", "SELECT event_key, family, CAST(recent AS BIGINT) AS recent FROM decided WHERE negative AND base_rank = 2", **ALL)

@@ -192,7 +192,12 @@ def alert_build(load):
     return built.select("event_key", "family", F.coalesce("priority", F.lit("NONE")).alias("priority"), F.size("rules").cast("long").alias("n_rules"), F.size("ratings").cast("long").alias("n_ratings"))
 
 
-@R.query("L07_alert_card_json")
+CARD = f"""SELECT d.event_key, '{{"family":"' || family || '"' || CASE WHEN final_rank IS NOT NULL THEN ',"priority":"' || {NAME.format('final_rank')} || '"' ELSE '' END || ',"rules":[' || array_to_string(list_transform(triggered, lambda r: '"' || r || '"'), ',') || '],"ratings":['
+  || coalesce(CASE WHEN family = 'rating' THEN ratings END, '') || ']}}' AS card
+FROM decided d LEFT JOIN (SELECT event_key, string_agg('{{"agency":"' || agency || '","notch":' || notch || ',"as_of":"' || CAST(as_of AS VARCHAR) || '"}}', ',' ORDER BY agency) AS ratings FROM before GROUP BY 1) b ON b.event_key = d.event_key"""
+
+
+@R.query("L07_alert_card_json", CARD, **D)
 def alert_card_json(load):
     events, found = before(load)
     return rp.build_alerts(decided(load), events, found).select("event_key", F.to_json(F.struct("family", "priority", "rules", "ratings")).alias("card"))

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondsight.plans.rating import ALL, NAME, decided
+from bondsight.plans.rating import ALL, NAME, decided, leverage
 from bondsight.plans.registry import Registry
+from bondsight.sources.tables import shared_folder
 from bondsight.sources.views import oracle, view
 from bondsight.streaming import jobs
 
 R = Registry()
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bondsight-")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """All rows of an append stream over what is there now."""
     spark = stream.sparkSession
-    at = _shared(spark)
+    at = shared_folder(spark)
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -54,13 +46,14 @@ def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("ST01_incremental_documents", incremental_documents, "SELECT DISTINCT sha256(props) AS content_hash, CAST(1 AS BIGINT) AS n FROM events")
-_register("ST02_alert_digest", alert_digest)
+_register("ST02_alert_digest", alert_digest, "SELECT time_bucket(INTERVAL 4 HOUR, CAST(ts AS TIMESTAMP)) AS start, CASE WHEN event_id % 2 = 0 THEN 'P2' ELSE 'P3' END AS priority, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 4 HOUR, CAST(ts AS TIMESTAMP)) + INTERVAL 4 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR")
 
 
 def trailing_negative_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arriving orders touch issuers; each batch decides those anew, and the last decision of an event stands."""
-    at = _shared(spark)
-    based = decided(lambda name: view(spark, sf_dir, name)).drop("recent", "mod01", "mod02", "base_priority", "priority", "applied", "decision_status")
+    at = shared_folder(spark)
+    load = lambda name: view(spark, sf_dir, name)
+    based, known = decided(load).drop("recent", "mod01", "mod02", "mod03", "leverage", "base_priority", "priority", "applied", "decision_status"), leverage(load)
 
     def keep(df: DataFrame, epoch: int) -> None:
         df.select("event_key", "family", "priority", "mod02", F.lit(epoch).alias("epoch")).write.mode("append").parquet(f"{at}/out")
@@ -69,7 +62,7 @@ def trailing_negative_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, name = path.rsplit("/", 1)
     arrivals = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
     arrivals = arrivals.select(F.concat(F.lit("ISS"), F.floor(F.col("o_custkey") / 10).cast("string")).alias("issuer_id"))
-    arrivals.writeStream.foreachBatch(jobs.redecide(lambda: based, keep)).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    arrivals.writeStream.foreachBatch(jobs.redecide(lambda: based, keep, known)).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{at}/out").groupBy("event_key", "family").agg(F.max_by(F.struct("priority", "mod02"), "epoch").alias("d"))
     return last.select("event_key", "family", "d.priority", "d.mod02")
 

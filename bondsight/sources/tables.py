@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Filing items that make events.
-ITEMS = [("1.01", "agreement"), ("1.03", "bankruptcy"), ("2.02", "results"), ("2.03", "obligation"), ("2.04", "acceleration"), ("2.06", "impairment"), ("3.01", "delisting")]
+#: Filing items and prospectus forms that make events, with the event's family.
+ITEMS = [
+    ("1.01", "other", "material_agreement"), ("2.01", "other", "acquisition_or_disposition"), ("2.02", "earnings", "earnings_release"), ("2.03", "issuance", "direct_financial_obligation"),
+    ("2.04", "other", "obligation_acceleration"), ("2.06", "earnings", "material_impairment"), ("5.02", "other", "management_change"),
+    ("424B2", "issuance", "prospectus_supplement"), ("424B5", "issuance", "prospectus_supplement"), ("FWP", "issuance", "free_writing_prospectus"),
+]
+#: Character sets that Spark's decode() knows besides UTF-8.
+CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32")
 ANSWER = "statements array<struct<metric:string,start:int,end:int>>"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one of a local session, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/bondsight-{uuid.uuid4().hex}"
+
+
+def western(raw: Column) -> Column:
+    """The Western code page: as ISO 8859-1 but for the bytes 80 to 9F."""
+    odd = bytes(range(0x80, 0xA0))
+    return F.translate(F.decode(raw, "iso-8859-1"), odd.decode("iso-8859-1"), odd.decode("cp1252", errors="replace"))
+
+
 def decoded(raw: Column) -> Column:
-    """N-04: UTF-8 if valid, else the Western code page."""
-    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "windows-1252"))
+    """N-04: UTF-8 if valid, else the charset that the first 4096 bytes declare, else the Western code page."""
+    named = F.lower(F.regexp_extract(F.decode(F.substring(raw, 1, 4096), "iso-8859-1"), "(?i)charset=[\"']?([\\w-]+)", 1))
+    declared = F.coalesce(*(F.when(named == c, F.decode(raw, c)) for c in CHARSETS))
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), declared, western(raw))
 
 
 def filings(index: DataFrame) -> DataFrame:
@@ -23,7 +48,7 @@ def filings(index: DataFrame) -> DataFrame:
 
 def filing_events(rows: DataFrame) -> DataFrame:
     """E-03."""
-    known = rows.sparkSession.createDataFrame(ITEMS, "item string, event_type string")
+    known = rows.sparkSession.createDataFrame(ITEMS, "item string, family string, event_type string")
     return rows.withColumn("item", F.explode("items")).join(F.broadcast(known), "item")
 
 
@@ -169,7 +194,7 @@ def gold_build(labels: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
-    """E-11, E-12: rating rows "agency | label" of a document after a heading line "ratings ... as of <date>", dated by it."""
+    """E-11: rating rows "agency | label" of a document after a heading line "ratings ... as of <date>", dated by it."""
     from pyspark.sql import Window
 
     from bondsight.functions.scales import label_to_notch, resolve_agency
@@ -179,3 +204,28 @@ def table_rows(lines: DataFrame) -> DataFrame:
     out = lines.withColumn("as_of", F.last(day, ignorenulls=True).over(by)).withColumn("cells", F.split("line", r" \| ")).where((F.size("cells") >= 2) & F.col("as_of").isNotNull())
     out = out.withColumn("named", F.col("cells")[0]).withColumn("label", F.col("cells")[1])
     return label_to_notch(resolve_agency(out, "named", "agency"), "agency", "label", "notch").where("notch is not null").select("doc_id", "n", "agency", "label", "notch", "as_of")
+
+
+def current_rows(lines: DataFrame, names: list[str]) -> DataFrame:
+    """E-12: the rating in the row below a header "agency | ... short ... long ...", with why it gives none.
+
+    The row's first cell must be one of the entity's names; lines that begin with a cell mark go on with the row. Of
+    the agency's long-term labels in it the last counts if the header names the long term last, else the first.
+    """
+    from pyspark.sql import Window
+
+    from bondsight.functions.scales import resolve_agency, scale
+
+    cells, low = F.split("line", r" \| "), F.lower("line")
+    heads = resolve_agency(lines.where(low.contains("short") & low.contains("long") & F.col("line").contains(" | ")).select("doc_id", "n", cells[0].alias("named"), (F.instr(low, "long") > F.instr(low, "short")).alias("last")), "named", "agency")
+    heads = heads.where("agency is not null").select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), "agency", "last")
+    after = F.lead("line", 1, "").over(Window.partitionBy("doc_id").orderBy("n"))
+    rows = lines.withColumn("after", after).where(F.col("line").contains("|"))
+    row = F.concat(cells, F.when(F.col("after").startswith("|"), F.slice(F.split("after", r" \| "), 2, 99)).otherwise(F.array().cast("array<string>")))
+    both = rows.withColumn("row", row).join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("n") == F.col("_n") + 1))
+    known = F.broadcast(scale(lines.sparkSession).groupBy(F.col("agency").alias("_a")).agg(F.collect_list("label").alias("known")))
+    both = both.join(known, F.col("agency") == F.col("_a"))
+    labels = F.filter(F.slice("row", 2, 99), lambda x: F.array_contains("known", x))
+    skip = F.when(~F.lower(F.col("row")[0]).isin(*(x.lower() for x in names)), "entity_mismatch").when(F.size(labels) == 0, "no_long_term_label")
+    outlook = F.try_element_at(F.filter("row", lambda x: x.isin("stable", "negative", "positive", "developing")), F.lit(-1))
+    return both.select("doc_id", "n", "agency", F.when(F.col("last"), F.try_element_at(labels, F.lit(-1))).otherwise(F.try_element_at(labels, F.lit(1))).alias("label"), outlook.alias("outlook"), skip.alias("skip"))

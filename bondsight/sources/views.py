@@ -42,6 +42,22 @@ SENTENCES = (
     "Rating history\nS&P\n2023-01-15 | BBB+\n2024-02-20 | BBB",
     "Net debt fell to -1,234.5 and the margin was 12,5 by 30 June 2024.",
     "Acme Holdings plc and Delta Energy N.V. met the U.S. agency. It was approved.",
+    "S&P placed Acme Holdings plc on CreditWatch negative. Moody's put the rating on review for upgrade.",
+    "Fitch revised the outlook to negative from stable and affirmed the IDR at 'BBB'.",
+    "Moody's Investors Service affirmed its Baa2 rating. DBRS confirmed its opinion.",
+    "The group issued 500 million euros of senior notes with a seven-year tenor and a coupon of 4.5%.",
+    "CHF 500 million of green bonds were placed, maturing in 2031.",
+    "In the first quarter of 2022 sales rose; in the Third Quarter of 2023 they fell.",
+    "Management's plans alleviated the substantial doubt about the going concern.",
+    "Such losses could raise substantial doubt about the ability to continue as a going concern.",
+    "Management concluded that, if the sale fails, there is a material uncertainty about the going concern.",
+    "The company was in compliance with all covenants. The lenders waived the leverage covenant.",
+    "The group may breach the leverage covenant next year.",
+    "There are no liquidity concerns. Liquidity was strained by the closure.",
+    "Loans and bonds of a total of EUR 700 million were placed on 3rd May, 2024.",
+    "Moody's lowered the short-term rating to Ba1 from Baa3. Fitch cut it from Baa1 to BB.",
+    "Our ratings as of 2024-02-20\nAgency | Long term\nS&P | BBB+ | stable\nMoody's | Baa2 | negative\nNobody | A",
+    "S&P | Short term | Long term\nAcme Holdings plc | A-2 | BBB+ | stable\nFitch | Long term | Short term\nOther plc | BBB | F2\nMoody's | Long term | Short term\nAcme | Baa2\n| P-2 | negative",
 )
 
 

@@ -20,12 +20,12 @@ def digest(alerts: DataFrame, ts: str, every: str, delay: str = "1 hour") -> Dat
     return alerts.withWatermark(ts, delay).groupBy(F.window(ts, every).alias("w"), "priority").agg(F.count("*").alias("n"), F.collect_list("event_key").alias("event_keys")).select("w.start", "w.end", "priority", "n", "event_keys")
 
 
-def redecide(events: Callable[[], DataFrame], out: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def redecide(events: Callable[[], DataFrame], out: Callable[[DataFrame, int], None], leverage: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """ST-03: for foreachBatch: decide anew the issuers that a batch touches, over all their based events so far. Late
     events count by their effective day, so earlier decisions of the days after may change."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         touched = df.select("issuer_id").distinct()
-        out(rules.decide(events().join(touched, "issuer_id", "left_semi")), epoch)
+        out(rules.decide(events().join(touched, "issuer_id", "left_semi"), leverage), epoch)
 
     return batch

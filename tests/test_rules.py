@@ -82,8 +82,126 @@ def test_latest_reference_takes_every_quarter(spark):
     assert got == {1: "2024-09-30", 2: "2023-12-31", 3: "2024-03-05"}
 
 
+def sents(spark, *texts):
+    return spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, start long, text string")
+
+
+def test_rating_actions(spark):
+    from bondsight.operators import corpus
+
+    texts = [
+        "Moody's affirmed its Baa2 rating.", "Fitch affirmed the long-term IDR at 'BBB'.", "S&P placed the ratings on CreditWatch negative.", "Moody's put A3 notes under review for a possible upgrade.",
+        "Fitch revised the outlook to negative from stable.", "S&P affirmed its view.", "The outlook is stable.", "S&P lowered its rating to BB from BBB- and affirmed the notes.",
+    ]
+    got = {r.doc_id: (r.agency, r.event_type, r.rating, r.value, r.was) for r in corpus.actions(sents(spark, *texts)).collect()}
+    assert got == {
+        0: ("MOODYS", "affirmation", "Baa2", None, None), 1: ("FITCH", "affirmation", "BBB", None, None), 2: ("SP", "watch", None, "negative", None),
+        3: ("MOODYS", "watch", "A3", "positive", None), 4: ("FITCH", "outlook_change", None, "negative", "stable"),
+    }
+
+
+def test_rating_moves(spark):
+    from bondsight.operators import corpus
+
+    texts = [
+        "S&P downgraded Acme from BBB- to BB+.", "Moody's raised it to Baa3 from Ba1, and Fitch cut it to BB from BBB.", "S&P lowered the short-term rating from A to B.", "It was cut from BBB to BB.",
+        "Fitch moved it from BBB to BB.", "Moody's lowered it from BBB to BB.", "Moody's upgraded it from A3 to Baa1.", "from AAAx to BB",
+    ]
+    got = sorted((r.doc_id, r.agency, r.old, r.new, r.delta, r.skip) for r in corpus.transitions(sents(spark, *texts)).collect())
+    assert got == [
+        (0, "SP", "BBB-", "BB+", 1, None), (1, "FITCH", "BBB", "BB", 3, None), (1, "MOODYS", "Ba1", "Baa3", -1, None), (2, "SP", "A", "B", 9, "short_term"),
+        (3, None, "BBB", "BB", None, "no_agency"), (4, "FITCH", "BBB", "BB", 3, "no_verb"), (5, "MOODYS", "BBB", "BB", None, "label_not_in_scale"), (6, "MOODYS", "A3", "Baa1", 1, "direction_mismatch"),
+    ]
+
+
+def test_bond_terms(spark):
+    from bondsight.operators import corpus
+
+    texts = [
+        "The group issued CHF 500 million of senior notes.", "It placed 500 million euros of bonds with a seven-year tenor and a coupon of 4.5%.", "Green bonds of EUR 1.2 bn due 2031 were priced with a 3.25% coupon.",
+        "The issuer intends to issue notes of EUR 300 million.", "It decided not to call its AT1 instrument.", "Loans and notes of a total of EUR 2 bn were placed.", "Notes were placed.", "A walk in the park.",
+    ]
+    got = {r.doc_id: (r.event_type, r.amount, r.coupon, r.tenor, r.seniority, r.due, r.green, r.skip) for r in corpus.issuance(sents(spark, *texts)).collect()}
+    assert got == {
+        0: ("new_issue", 5e8, None, None, "senior", None, False, None), 1: ("new_issue", 5e8, 4.5, 7, None, None, False, None), 2: ("new_issue", 1.2e9, 3.25, None, None, 2031, True, None),
+        3: ("new_issue", 3e8, None, None, None, None, False, "intent_only"), 4: ("non_call", None, None, None, "AT1", None, False, None),
+        5: ("new_issue", 2e9, None, None, None, None, False, "total_with_loan"), 6: ("new_issue", None, None, None, None, None, False, "no_amount"),
+    }
+
+
+def test_risk_readings(spark):
+    from bondsight.operators import corpus, validate
+
+    texts = {
+        "There is substantial doubt about the going concern.": "stated", "There is no substantial doubt about it.": "denied", "Losses could raise substantial doubt.": "hypothetical", "If sales fall, material uncertainty remains.": "hypothetical",
+        "Plans alleviated the substantial doubt.": "alleviated", "Plans intended to mitigate the substantial doubt exist.": "stated", "Management evaluated whether conditions raise substantial doubt.": "hypothetical",
+        "Even if the sale closes, management concluded that there is substantial doubt.": "stated", "All is well.": None,
+    }
+    got = [r.x for r in sents(spark, *texts).orderBy("doc_id").select(corpus.going_concern(F.col("text")).alias("x")).collect()]
+    assert got == list(texts.values())
+    covenants = {"We breached the covenant.": "breached", "No breach of any covenant occurred.": "compliant", "We may breach the covenant.": "risk_of_breach", "We were in compliance with all covenants.": "compliant", "The covenant was agreed.": "mentioned", "Sales rose.": None, "We were not in compliance with the covenant.": "breached"}
+    got = [r.x for r in sents(spark, *covenants).orderBy("doc_id").select(validate.covenant_status(F.col("text")).alias("x")).collect()]
+    assert got == list(covenants.values())
+    liquid = {"Liquidity was strained.": True, "There are no liquidity concerns.": False, "Liquidity constraints could arise.": False, "We may not have sufficient liquidity.": True, "Liquidity is fine.": False}
+    got = [r.x for r in sents(spark, *liquid).orderBy("doc_id").select(validate.liquidity_stands(F.col("text")).alias("x")).collect()]
+    assert got == list(liquid.values())
+
+
+def test_current_ratings_table(spark):
+    from bondsight.sources import tables
+
+    text = "S&P | Short term | Long term\nAcme | A-2 | BBB+ | stable\nFitch | Long term | Short term\nOther | BBB | F2\nMoody's | Long term | Short term\nACME | Baa2\n| P-2 | negative\nDBRS | Short term | Long term\nAcme | R-1"
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "doc_id long, n int, line string")
+    got = {r.agency: (r.label, r.outlook, r.skip) for r in tables.current_rows(lines, ["Acme"]).collect()}
+    assert got == {"SP": ("BBB+", "stable", None), "FITCH": ("BBB", None, "entity_mismatch"), "MOODYS": ("Baa2", "negative", None), "DBRS": (None, None, "no_long_term_label")}
+
+
+def test_leverage_raises_a_priority(spark):
+    rows = [(1, "I", "SP", 5, 6, None, "none", DAY, "downgrade"), (2, "J", "SP", 5, 6, None, "none", DAY, "downgrade"), (3, "I", "SP", 6, 5, None, "none", DAY, "upgrade")]
+    based = rules.decide_base(rules.guidance_inputs(rules.with_state(rules.shaped(spark.createDataFrame(rows, EVENT), "rating"), spark.createDataFrame([], CAND))))
+    known = spark.createDataFrame([("I", DAY - dt.timedelta(9), 2.0), ("I", DAY, 4.6), ("I", DAY + dt.timedelta(1), 1.0), ("J", DAY, 4.5)], "issuer_id string, as_of date, leverage double")
+    got = {r.event_key: (r.priority, list(r.applied)) for r in rules.decide(based, known).collect()}
+    assert got == {1: ("P1", ["RAT-05", "MOD-03"]), 2: ("P2", ["RAT-05"]), 3: ("P3", ["RAT-09"])}
+
+
+def test_declared_charset_and_dropped_header(spark):
+    from bondsight.sources import tables
+
+    raw = [(1, "é".encode()), (2, b"<meta charset=iso-8859-1>\xe9"), (3, b"\x80 \xe9"), (4, b'<meta charset="nonsense">\xe9')]
+    got = {r.k: r.t for r in spark.createDataFrame(raw, "k int, b binary").select("k", tables.decoded(F.col("b")).alias("t")).collect()}
+    assert got == {1: "é", 2: "<meta charset=iso-8859-1>é", 3: "€ é", 4: '<meta charset="nonsense">é'}
+    page = "<header><h1>Name</h1><nav><a>x</a></nav>more</header><p>Text</p><header>Kept</header>"
+    assert tf.html_lines(page, True) == "Text\nKept" and tf.html_lines(page, False) == "Name\nx\nmore\nText\nKept"
+
+
+def test_segments(spark):
+    from bondsight.operators import validate
+
+    rows = [(1, "I", "Capex Chemicals", "x"), (2, "I", "Capex", "Capex for the Chemicals Europe fell"), (3, "I", "Capex", "Energy's ratio fell"), (4, "I", "Capex", "The energy business"), (5, "I", "Capex", "Group capex, not energy, fell"), (6, "J", "Energy", "Energy"), (7, "I", None, None)]
+    segments = spark.createDataFrame([("I", s) for s in ("Chemicals", "Chemicals Europe", "Energy")], "issuer_id string, segment string")
+    got = {r.id: r.segment for r in validate.segment_named(spark.createDataFrame(rows, "id int, issuer_id string, label string, quote string"), segments).collect()}
+    assert got == {1: "Chemicals", 2: "Chemicals Europe", 3: "Energy", 4: "Energy", 5: None, 6: None, 7: None}
+
+
+def test_longest_common_subsequence():
+    import random
+
+    from bondsight.operators.validate import best_window, common_length
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert common_length(a, b) == row[-1]
+    assert best_window("the quick brown fox", "so: the quikc brown fox ran")[1] == 4
+
+
 def test_queries_read_whole_texts(spark):
-    from bondsight.plans import corpus
+    from bondsight.plans import reading as corpus
 
     body = "S&P Global Ratings said so.\nA breach of the leverage covenant was reported on 17-Dec-2022.\nResults were in line with market expectations."
     docs = spark.createDataFrame([(11, body, "Results were in line with market expectations.", dt.date(2024, 9, 1))], "doc_id long, text string, added string, published date")
