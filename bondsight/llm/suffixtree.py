@@ -37,22 +37,15 @@ DEPTH, NEAR, LEAST, SMOOTH = 7, 3, 2, 4.0
 STOP = 0x0A  # white space is in no word, so this byte is free to mean the end
 WORD, RUN = 0, 1
 BATCH = 6_000_000
+SMALL = bytes(LOWER)
 END = U(0)  # the end among the word hashes
 
 
-def spelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All spellings in one array and where each begins: DEPTH spaces, the words with a space after each, the end."""
-    start, end, first = words(data, off)
-    size = end - start
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    total = np.concatenate([[0], np.cumsum(size + 1)])
-    begin = total[first] + np.arange(len(off)) * (DEPTH + 1)
-    out = np.full(begin[-1], 0x20, np.uint8)
-    n = np.cumsum(size) - size
-    src = np.arange(size.sum())
-    out[src + np.repeat(total[:-1] - n + row * (DEPTH + 1) + DEPTH, size)] = LOWER[data[src + np.repeat(start - n, size)]]
-    out[begin[1:] - 1] = STOP
-    return out, begin
+    lead, end = b" " * DEPTH, bytes([STOP])
+    lines = [b"".join((lead, b" ".join(words), b" " if words else b"", end)) for words in (t.translate(SMALL).split() for t in texts)]
+    return np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,16 +53,35 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _runs(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """At every place of the spellings the symbol and the `depth` before it as one number, and the place's row."""
-    line, begin = spelled(data, off)
-    key = np.zeros(len(line), U)
-    for back in range(depth + 1):
-        key[back:] |= line[: len(line) - back].astype(U) << U(8 * back)
-    lead = np.zeros(len(line), bool)
-    for k in range(DEPTH):
-        lead[begin[:-1] + k] = True
-    return key[~lead], np.repeat(np.arange(len(off) - 1), np.diff(begin) - DEPTH)
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with the inverse, in half the memory."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    of = np.empty(len(values), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], of
+
+
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """At every place of the spellings the symbol and the DEPTH bytes before it, and the first place of each text.
+
+    A run is one number: the nearest byte of the context first, the farthest seventh, the symbol last; so what shares an
+    ending sorts together. Eight bytes are read at every place as one number, whose parts are then turned round.
+    """
+    line, begin = spelled(texts)
+    n = len(line) - DEPTH
+    key = np.ndarray((max(n, 0),), "<u8", line, strides=(1,)).copy()  # the symbol is the highest byte here
+    symbol = key >> U(56)
+    key <<= U(8)
+    key |= symbol
+    del symbol
+    if len(texts) > 1:  # runs that reach over a text's beginning
+        inside = np.ones(n, bool)
+        for k in range(DEPTH):
+            inside[begin[1:-1] - DEPTH + k] = False
+        key = key[inside]
+    return key, np.cumsum(np.diff(begin) - DEPTH) - (np.diff(begin) - DEPTH)
 
 
 def _low(keys: np.ndarray, n: int) -> np.ndarray:
@@ -141,15 +153,17 @@ def _unplaned(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _wired(key: np.ndarray) -> np.ndarray:
-    """Runs with the context's nearest byte first and the symbol last, so that what shares an ending sorts together."""
-    return (key >> U(8)).byteswap() | key & U(255)
-
-
 def _unwired(wire: np.ndarray) -> np.ndarray:
+    """A run with the context's bytes in the text's order, the symbol still last."""
     return (wire & ~U(255)).byteswap() << U(8) | wire & U(255)
 
 
+def _rounded(logs: np.ndarray) -> np.ndarray:
+    """Single precision without the last 10 bits, 13 being enough; what is left compresses."""
+    bits = logs.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(1 << 9)) & np.uint32(0xFFFFFC00)).view(np.float32)
+
+
 PACK = "batch long, docs array<long>, held array<boolean>, sizes array<int>, data binary"
 ASK, TOLD = "kind int, bucket int, batch long, keys binary, counts binary", "batch long, kind int, bucket int, told binary"
 ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, totals boolean"
@@ -168,7 +182,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth]), ids, flags, lists(np.diff(off), one, pa.int32()), pa.array([_planes(data)], pa.binary())], names=["batch", "docs", "held", "sizes", "data"])
 
     held, size = [], 0
-    for batch in pieces(batches, limit=BATCH):
+    for batch in pieces(batches, limit=BATCH // 12):
         own = len(flat(batch.column("text"))[0])
         if held and size + own > BATCH:
             yield row(held)
@@ -183,24 +197,29 @@ class Batch:
     """A stored batch: its texts, distinct runs and words, and where each stands."""
 
     def __init__(self, row: dict) -> None:
-        self.data = _unplaned(row["data"], np.uint8)
-        self.off = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
+        raw, at = _unplaned(row["data"], np.uint8).tobytes(), np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))]).tolist()
+        self.texts = [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         self.taught = ~np.array(row["held"], bool)
 
     def each_run(self, buckets: int) -> tuple[np.ndarray, ...]:
-        """Distinct runs in wire order, each place's one and row, the order by bucket, and the buckets in that order."""
-        key, row = _runs(self.data, self.off, DEPTH)
-        wire, of = np.unique(_wired(key), return_inverse=True)
-        return wire, of, row, *_by_bucket(mixed(wire >> U(64 - 8 * NEAR)), buckets)
+        """Distinct runs, each place's one, each text's first place, the order by bucket, and the buckets in that order."""
+        key, first = _runs(self.texts)
+        key, of = _distinct(key)
+        return key, of, first, *_by_bucket(mixed(key >> U(64 - 8 * NEAR)), buckets)
 
     def each_word(self, buckets: int) -> tuple[np.ndarray, ...]:
         """The same of words and ends."""
-        start, end, first = words(self.data, self.off)
-        n = len(self.off) - 1
-        key = np.concatenate([word_hashes(LOWER[self.data], start, end), np.full(n, END)])
-        row = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
-        key, of = np.unique(key, return_inverse=True)
-        return key, of, row, *_by_bucket(key, buckets)
+        data, off = flat(pa.array(self.texts, pa.binary()))
+        start, end, first = words(data, off)
+        n = len(self.texts)
+        key = np.insert(word_hashes(LOWER[data], start, end), first[1:], END)
+        key, of = _distinct(key)
+        return key, of, first[:-1] + np.arange(n), *_by_bucket(key, buckets)
+
+    def taught_times(self, of: np.ndarray, first: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each kind stands in training texts."""
+        stands = np.repeat(self.taught, np.diff(np.append(first, len(of))))
+        return np.bincount(of[stands], minlength=kinds).astype(np.uint32)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +233,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for row in rows.to_pylist():
             b = Batch(row)
-            key, place = _runs(b.data, b.off, NEAR - 1)
-            key, n = np.unique(key[b.taught[place]].astype(np.uint32), return_counts=True)
+            key = _runs([t for t, own in zip(b.texts, b.taught, strict=True) if own])[0]
+            key, n = np.unique((_unwired(key) & U((1 << 8 * NEAR) - 1)).astype(np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
 
@@ -226,8 +245,9 @@ def _ask(buckets: int):
             for stored in rows.to_pylist():
                 b = Batch(stored)
                 for kind, parts in ((WORD, b.each_word), (RUN, b.each_run)):
-                    key, of, row, order, bucket = parts(buckets)
-                    n = np.bincount(of[b.taught[row]], minlength=len(key))[order].astype(np.uint32)
+                    key, of, first, order, bucket = parts(buckets)
+                    n = b.taught_times(of, first, len(key))[order]
+                    del of
                     key, at = key[order], runs(bucket)
                     ends = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
                     yield pa.RecordBatch.from_arrays([
@@ -248,7 +268,7 @@ def _tell(short):
             answer = n
         else:
             known = _unwired(every)
-            answer = run_logs(known, known[n > 0], n[n > 0], short_levels(*short.value)).astype(np.float32)
+            answer = _rounded(run_logs(known, known[n > 0], n[n > 0], short_levels(*short.value)))
         told = [_planes(answer[np.searchsorted(every, k)]) for k in keys]
         if kind == WORD:
             asked.append(-1)
@@ -265,15 +285,16 @@ def _scored(buckets: int):
             total, kinds = np.sum([_unplaned(x, np.int64) for x in values], 0).tolist()
             return pa.table([pa.array([x], t.type) for x, t in zip((None, None, total, kinds, None, None, True), EMPTY, strict=True)], schema=EMPTY)
         b = Batch(stored.to_pylist()[0])
-        n, sums = len(b.off) - 1, {}
+        sums = {}
         for k, parts, sort in ((WORD, b.each_word, np.int64), (RUN, b.each_run, np.float32)):
-            key, of, row, order, _ = parts(buckets)
+            key, of, first, order, _ = parts(buckets)
             answer = np.empty(len(key))
             answer[order] = np.concatenate([_unplaned(x, sort) for at, x in sorted((at, x) for at, x, own in zip(bucket, values, kind, strict=True) if own == k)])
-            sums[k] = np.bincount(row, (np.log10(answer + 1) if k == WORD else answer)[of], n)
             if k == WORD:
-                tokens, known = np.bincount(row, minlength=n), np.bincount(row, (answer > 0)[of], n)
-        columns = (stored["docs"].combine_chunks().flatten(), ~b.taught, tokens, known.astype(np.int64), sums[WORD], sums[RUN], np.zeros(n, bool))
+                tokens, known = np.diff(np.append(first, len(of))), np.add.reduceat((answer > 0)[of].astype(np.int64), first)
+                answer = np.log10(answer + 1)
+            sums[k] = np.add.reduceat(answer[of], first)  # every text has an end, so none is without a place
+        columns = (stored["docs"].combine_chunks().flatten(), ~b.taught, tokens, known, sums[WORD], sums[RUN], np.zeros(len(tokens), bool))
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(columns, EMPTY, strict=True)], schema=EMPTY)
 
     return scored
