@@ -11,11 +11,11 @@ by themselves.
 Each text gets BANDS * ROWS consistent samples; texts that agree in all ROWS samples of a band share a bucket. In a
 bucket each text is set against one centre, and pairs whose weighted Jaccard similarity, computed from both whole
 texts, reaches the threshold are links; components of links are classes. Buckets that still hold several components
-get another centre, ROUNDS times; what then remains is compared block against block: pairs whose samples allow the threshold
-are verified inside the task, which returns only the links that join components, so that no bucket is left with two
-components untested and no group is expanded into its pairs.
+get another centre, ROUNDS times; what then remains is compared block against block: every pair of different components is
+verified inside the task by its weighted shingles, and only the links that join components come back, so that no bucket
+is left with two components untested and no group is expanded into its pairs.
 
-Equal texts are one node. Null, empty and blank texts are in a class of their own each. A class's id is its smallest
+Equal texts are one node. Empty tables give no rows; other columns are not read, whatever their names. Null, empty and blank texts are in a class of their own each. A class's id is its smallest
 doc_id; rows with the same id and text stay or go together. A row without doc_id goes if its class has an id.
 """
 
@@ -37,7 +37,6 @@ BANDS, ROWS = 10, 3
 COMMON, FLOOR, TABLE, DAMP = 1000, 16, 20, 0.25
 SLICES = 64
 ROUNDS, BLOCK = 2, 512
-MAYBE = 0.5  # share of equal samples; under a similarity of 0.8, fewer has a probability of about 1 in 10,000
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,8 +153,8 @@ def _signed(weights):
             bands = mixed(sum(found[:, i::ROWS] * U(pow(BASE, i + 1, 1 << 64)) for i in range(ROWS)))[has].view(np.int64)
             off = np.concatenate([[0], np.cumsum(has)])
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("md5"), lists(bands.reshape(-1), off * BANDS, pa.int64()), binary((found[has] >> U(32)).astype(np.uint32).reshape(-1), off * BANDS * ROWS),
-            ], names=["doc_id", "md5", "bands", "samples"])
+                batch.column("doc_id"), batch.column("md5"), lists(bands.reshape(-1), off * BANDS, pa.int64()),
+            ], names=["doc_id", "md5", "bands"])
 
     return signed
 
@@ -180,18 +179,20 @@ def _similarity(weights, similar: float):
 
 
 def _linked(weights, similar: float):
-    """Links between two blocks of a bucket: of all pairs of different components whose samples allow it, each compared by
-    its shingles in the first band that brings the two together; pairs that a link found here already joins are skipped."""
+    """Links between two blocks of a bucket: all pairs of different components, each in the first band that brings the two
+    together. A text's shingles are looked up among all the task's at once, which gives its similarity with every other;
+    pairs that a link found here already joins are skipped."""
 
     def linked(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         node, root, side, band = (group[c].to_numpy() for c in ("node", "root", "side", "band"))
-        sign = numbers(group["samples"].chunk(0), np.uint32)[0].reshape(len(node), -1)
         bands = group["bands"].chunk(0).flatten().to_numpy().reshape(len(node), -1)[:, : band[0]]
         row, key, n = shingles(*flat(group["text"].chunk(0)))
         weight = weights.value.of(key, n)
         off = np.searchsorted(row, np.arange(len(node) + 1))
         total = np.add.reduceat(np.append(weight, 0.0), off[:-1])
+        order = np.argsort(key, kind="stable")
+        sorted_key, sorted_row, sorted_weight = key[order], row[order], weight[order]
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -200,15 +201,20 @@ def _linked(weights, similar: float):
             return x
 
         out: list[tuple[int, int]] = []
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left, right = np.flatnonzero(side != 1), side != 0
         for i in left:
-            j = right[(root[right] != root[i]) & ((sign[right] == sign[i]).mean(1) >= MAYBE) & ~(bands[right] == bands[i]).any(1)]
-            for k in (j[j > i] if side[i] == 2 else j).tolist():
-                if (a := top(int(root[i]))) == (b := top(int(root[k]))):
-                    continue
-                _, x, y = np.intersect1d(key[off[i] : off[i + 1]], key[off[k] : off[k + 1]], assume_unique=True, return_indices=True)
-                both = np.minimum(weight[off[i] + x], weight[off[k] + y]).sum()
-                if both >= (similar - 1e-12) * (total[i] + total[k] - both):
+            other = right & (root != root[i]) & ~(bands == bands[i]).any(1)
+            if side[i] == 2:
+                other[: i + 1] = False
+            if not other.any():
+                continue
+            own, own_weight = key[off[i] : off[i + 1]], weight[off[i] : off[i + 1]]
+            at, to = np.searchsorted(sorted_key, own, "left"), np.searchsorted(sorted_key, own, "right")
+            many = to - at
+            where = np.arange(many.sum()) + np.repeat(at - (np.cumsum(many) - many), many)
+            both = np.bincount(sorted_row[where], np.minimum(sorted_weight[where], np.repeat(own_weight, many)), len(node))
+            for k in np.flatnonzero(other & (both >= (similar - 1e-12) * (total[i] + total - both))).tolist():
+                if (a := top(int(root[i]))) != (b := top(int(root[k]))):
                     up[max(a, b)] = min(a, b)
                     out.append((int(node[i]), int(node[k])))
         a, b = np.array(out, np.int64).reshape(-1, 2).T
@@ -223,8 +229,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     docs = shared.documents(docs)
     weights = spark.sparkContext.broadcast(document_weights(docs.select("text")))
     hashed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"), "text")
-    signed = shared.settle(hashed.mapInArrow(_signed(weights), "doc_id long, md5 string, bands array<long>, samples binary"))
-    nodes = signed.where(F.size("bands") > 0).groupBy("md5").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+    signed = shared.settle(hashed.mapInArrow(_signed(weights), "doc_id long, md5 string, bands array<long>"))
+    nodes = signed.where(F.size("bands") > 0).groupBy("md5").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = shared.settle(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
@@ -251,7 +257,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         if not rest.limit(1).count():
             break
         if turn == ROUNDS:
-            more = nodes.select("node", "samples", "bands").join(texts, "node")
+            more = nodes.select("node", "bands").join(texts, "node")
             links = shared.settle(links.select("a", "b").unionByName(_blocks(rest.select("band", "key", "node", "root").join(more, "node"), weights, similar)))
             roots = components(links)
             break
@@ -286,5 +292,5 @@ def _blocks(rest: DataFrame, weights, similar: float) -> DataFrame:
     rest = rest.join(size, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     with_ = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    with_ = with_.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "samples", "bands", "text", side.alias("side"))
+    with_ = with_.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "bands", "text", side.alias("side"))
     return with_.groupBy("band", "key", "i", "j").applyInArrow(_linked(weights, similar), "a long, b long").distinct()

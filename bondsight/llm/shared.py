@@ -32,18 +32,27 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{base.rstrip('/')}/bondsight-{uuid.uuid4().hex}"
+    """A new folder below the one in spark.checkpoint.dir; where that is unset, a temporary one of a local session (tests),
+    and an error on a cluster, whose executors would not see each other's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or _own_dir()).rstrip('/')}/bondsight-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here, and the rows outlive executors."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a settled folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; others, whatever their names, go."""
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))

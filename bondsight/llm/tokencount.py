@@ -6,7 +6,8 @@ and its number of pieces are carried from byte to byte. Every distinct word of a
 by side. The rules are those of the tokenizers library's Unigram: of equal scores the longest piece stays; a character
 that is no piece may be passed at the lowest score less 10, and then counts one piece for each of its bytes.
 
-Null and empty texts have no words and no pieces. The automaton's table has a row for each vocabulary prefix.
+Null and empty texts have no words and no pieces. Rows are counted one by one, equal rows alike; empty tables give no
+rows; columns other than doc_id and text are not read, whatever their names. The automaton's table has a row for each vocabulary prefix.
 """
 
 from __future__ import annotations
