@@ -1,8 +1,9 @@
 """Operator 1, benchmark decontamination: a positional inverted index of the corpus, DataFrame functions only.
 
 Words are lower-cased (A-Z only) runs of letters, digits and non-ASCII characters. The index stores a row (term,
-document, position) for every place of every term in the corpus, so that it serves any later benchmark too. A phrase is
-found from its rarest term: each place of it proposes a start, the second rarest term's places, less its offset, are
+document, position) for every place in the corpus of every term that the test items hold, as places of other terms can't
+be in a phrase of theirs (another benchmark needs another index; without items, postings() stores all terms); and an
+end for each document, whose position is its number of words. A phrase is found from its rarest term: each place of it proposes a start, the second rarest term's places, less its offset, are
 intersected with those, and what is left with all other terms' places. The index itself is never shuffled as long as
 the documents that are left after two terms are fewer than BROADCAST_ROWS: they are counted, then broadcast to its scan;
 beyond that their join shuffles it.
@@ -25,7 +26,6 @@ SIZE = 10
 BROADCAST_ROWS = 1_000_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same runs before letters are made small
 KEY = ["k1", "k2"]
 
 
@@ -50,10 +50,21 @@ def item_words(items: DataFrame) -> DataFrame:
     return shared.settle(items.select(F.coalesce("item_id", F.lit("")).alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """The stored index: (term, k1, k2, pos) of all places in docs of all words; a term is its word's hash."""
-    places = shared.documents(docs).select(*key(), F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return shared.settle(places.select(F.xxhash64("word").alias("term"), *KEY, "pos"))
+def end() -> Column:
+    """The term of a document's end: that of the empty word, which no text holds."""
+    return F.xxhash64(F.lit(""))
+
+
+def postings(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """The stored index: (term, k1, k2, pos) of all places in docs of all words, or of those of items(words), and of the
+    ends; a term is its word's hash."""
+    places = shared.documents(docs).select(*key(), F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "word"))
+    places = places.select(F.xxhash64("word").alias("term"), *KEY, "pos")
+    if items is not None:
+        terms = items.select(F.explode(F.array_append("words", F.lit(""))).alias("word")).select(F.xxhash64("word").alias("term"))
+        ends = items.sparkSession.range(1).select(end().alias("term"))  # items may be none
+        places = places.join(small(shared.settle(terms.union(ends).distinct())), "term", "left_semi")
+    return shared.settle(places.select("term", *KEY, "pos"))
 
 
 def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +109,7 @@ def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
     """
     items = item_words(items)
     sets = items.select("item_id", F.array_distinct("words").alias("terms")).distinct().withColumn("win", F.xxhash64("item_id", "terms"))
-    index = postings(docs)
+    index = postings(docs, items)
     terms = ranked(sets, index)
     anchors = index.join(small(terms.where("rank = 1").select("term", "win", "n")), "term").select(*KEY, "win", "n", F.col("pos").alias("anchor"))
     others = anchors.join(small(terms.where("rank > 1").select("win", "term")), "win")
@@ -112,15 +123,16 @@ def proximity(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
     return shared.documents(docs).select("doc_id", *key()).join(places, KEY).select("doc_id", "item_id", "pos")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """All places (k1, k2, win, start, n) of the items' windows in docs, and which items have which window."""
-    wins, of = windows(item_words(items), size)
-    return shared.settle(phrases(postings(docs), wins)), of
+def occurrences(index: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """All places (k1, k2, win, start, n) of the items' windows in the index, and which items have which window."""
+    wins, of = windows(items, size)
+    return shared.settle(phrases(index, wins)), of
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """docs' own columns; rows that hold a window of an item go."""
-    found, _ = occurrences(docs, items, size)
+    items = item_words(items)
+    found, _ = occurrences(postings(docs, items), items, size)
     gone = shared.settle(found.select(*KEY).distinct())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key())
     return rows.join(small(gone), KEY, "left_anti").select("_row.*")
@@ -128,11 +140,13 @@ def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """One row for each row of docs: n_words, n_hit (words inside an occurrence), n_items, item_ids, contaminated."""
-    found, of = occurrences(docs, items, size)
+    items = item_words(items)
+    index = postings(docs, items)
+    found, of = occurrences(index, items, size)
     hit = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     named = found.select(*KEY, "win").distinct().join(small(of), "win").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words")
-    out = shared.documents(docs).select("doc_id", *key(), n_words).join(small(shared.settle(hit.join(named, KEY))), KEY, "left")
+    lengths = index.where(F.col("term") == end()).groupBy(*KEY).agg(F.max("pos").cast("long").alias("n_words"))
+    out = shared.documents(docs).select("doc_id", *key()).join(lengths, KEY, "left").join(small(shared.settle(hit.join(named, KEY))), KEY, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
