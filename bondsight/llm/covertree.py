@@ -10,13 +10,13 @@ the covering radius measured over all of them. Separation holds inside a block;
 everywhere.
 
 Two groups meet only if their centres' distance is at most both covering radii and the distance sought. Of groups that
-meet, each pair of blocks is one small task, which descends both subtrees level by level: a pair of nodes goes on to its
-children only if their distance is at most both covering radii and the distance sought, and at the bottom the vectors
-of the pairs left are compared. A task returns, for each node, its number of links there and the smallest node of its
+meet, SIDE blocks of the one and SIDE of the other are a small task, which descends each pair of subtrees level by level:
+a pair of nodes goes on to its children only if their distance is at most both covering radii and the distance sought,
+and at the bottom the vectors of the pairs left are compared. A task returns, for each node, its number of links there and the smallest node of its
 piece of the task's graph, which keeps the graph connected without listing pairs.
 
 Where distances concentrate (independent vectors of many dimensions) no covering radius rules anything out above single
-vectors; then all pairs of blocks meet, and shuffle grows with n * n / BLOCK. That is the method's own limit.
+vectors; then all pairs of blocks meet, and shuffle grows with n * n / (BLOCK * SIDE). That is the method's own limit.
 
 Vectors that are null, empty, zero or hold null or non-finite parts, and those without vec_id, link with nothing; vectors
 of different lengths neither. Huge and tiny parts are scaled before they are squared. Rows that share a vec_id are
@@ -36,6 +36,7 @@ from bondsight.llm.components import components
 
 COSINE = 0.95
 SAMPLE, BLOCK, GROUPS, ROWS = 4096, 2048, 512, 512
+SIDE = 4  # blocks on a side of a task
 TOP, LEVELS = 2.0, 7  # the root's radius, and how often it is halved
 SLACK = 1e-6  # a distance from a cosine is exact to about 1e-8
 TREE = "team int, block int, nodes binary, copies binary, vectors binary, counts array<int>, parents binary, centres binary, radii binary"
@@ -163,45 +164,51 @@ def _stored(task: pa.Table, row: int, width: int, kind: type) -> tuple[np.ndarra
 
 
 def _traverse(cosine: float, width: int, kind: type):
-    """Links between two blocks, or inside one."""
+    """Links between the blocks of both sides, or inside one side."""
 
     def traverse(task: pa.Table) -> pa.Table:
-        sides = [_stored(task, row, width, kind) for row in range(len(task))]
-        same = task["p"][0] == task["q"][0] and task["i"][0] == task["j"][0]
-        if not same and len(sides) == 1:  # a block without vectors
-            return _result(*[np.zeros(0, np.int64)] * 3)
-        (nodes_a, copies_a, x, a), (nodes_b, copies_b, y, b) = sides[0], sides[-1]
-        active = meeting(a, b, x, y, apart(cosine))
-        n = len(x)
-        node, links, root = np.concatenate([nodes_a, nodes_b[: 0 if same else None]]), np.zeros(n + (0 if same else len(y)), np.int64), np.arange(n + (0 if same else len(y)))
-        shift = 0 if same else n
-        rows, cols = np.flatnonzero(active.any(1)[a.parents[-1]]), np.flatnonzero(active.any(0)[b.parents[-1]])
-        edges = []
-        for i in range(0, len(rows), ROWS):
-            own = rows[i : i + ROWS]
-            hit = (x[own] @ y[cols].T >= cosine) & active[np.ix_(a.parents[-1][own], b.parents[-1][cols])]
-            if same:
-                hit &= own[:, None] != cols
-            if hit.any():
-                links[own] += hit @ copies_b[cols]
-                if not same:
-                    links[n + cols] += hit.T @ copies_a[own]
-                edges += _bridges(hit, own, cols + shift)
-        p, q = np.concatenate(edges, 1) if edges else (root[:0], root[:0])
-        while len(p):
-            low = np.minimum(root[p], root[q])
-            was = root.copy()
-            np.minimum.at(root, p, low)
-            np.minimum.at(root, q, low)
-            root = root[root]
-            if np.array_equal(root, was):
-                break
-        with_ = links > 0
-        return _result(node[with_], links[with_], node[root[with_]])
+        own = {c: task[c].to_numpy() for c in ("p", "q", "i", "j", "team", "block")}
+        left, right = (np.flatnonzero((own["team"] == own[t]) & (own["block"] // SIDE == own[n])) for t, n in (("p", "i"), ("q", "j")))
+        same = (own["p"] == own["q"]).all() and (own["i"] == own["j"]).all()
+        trees = {int(row): _stored(task, int(row), width, kind) for row in range(len(task))}
+        found = [_met(trees[int(x)], trees[int(y)], x == y, cosine) for n, x in enumerate(left) for y in (right[n:] if same else right)]
+        return pa.concat_tables([_result(*[np.zeros(0, np.int64)] * 3), *found])
 
     return traverse
 
 
+def _met(first: tuple, second: tuple, same: bool, cosine: float) -> pa.Table:
+    """Links between two blocks, or (same) inside one."""
+    (nodes_a, copies_a, x, a), (nodes_b, copies_b, y, b) = first, second
+    active = meeting(a, b, x, y, apart(cosine))
+    n, shift = len(x), 0 if same else len(x)
+    node = nodes_a if same else np.concatenate([nodes_a, nodes_b])
+    links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+    rows, cols = np.flatnonzero(active.any(1)[a.parents[-1]]), np.flatnonzero(active.any(0)[b.parents[-1]])
+    edges = []
+    for i in range(0, len(rows), ROWS):
+        own = rows[i : i + ROWS]
+        hit = (x[own] @ y[cols].T >= cosine) & active[np.ix_(a.parents[-1][own], b.parents[-1][cols])]
+        if same:
+            hit &= own[:, None] != cols
+        if hit.any():
+            links[own] += hit @ copies_b[cols]
+            if not same:
+                links[n + cols] += hit.T @ copies_a[own]
+            edges += _bridges(hit, own, cols + shift)
+    p, q = np.concatenate(edges, 1) if edges else (root[:0], root[:0])
+    while len(p):
+        low = np.minimum(root[p], root[q])
+        was = root.copy()
+        np.minimum.at(root, p, low)
+        np.minimum.at(root, q, low)
+        root = root[root]
+        if np.array_equal(root, was):
+            break
+    with_ = links > 0
+    return _result(node[with_], links[with_], node[root[with_]])
+
+
 def _bridges(hit: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
     """A forest that joins what `hit` joins: rows and columns take the smallest label until nothing changes."""
     rows, cols = np.arange(len(own)), np.full(len(other), len(own))
@@ -233,16 +240,18 @@ def _links(nodes: DataFrame, width: int, cosine: float, kind: type) -> DataFrame
     of, far, blocks = teams["team"].to_numpy(), teams["far"].to_numpy(), (-(-teams["n"] // BLOCK)).to_numpy()
     d = np.linalg.norm(centres[of][:, None] - centres[of][None], axis=2)
     meet = np.argwhere(np.triu(d <= far[:, None] + far[None] + apart(cosine)))
-    pairs = nodes.sparkSession.createDataFrame([(int(of[i]), int(of[j]), int(blocks[i]), int(blocks[j])) for i, j in meet], "p int, q int, np int, nq int")
+    sides = -(-blocks // SIDE)
+    pairs = nodes.sparkSession.createDataFrame([(int(of[i]), int(of[j]), int(sides[i]), int(sides[j])) for i, j in meet], "p int, q int, np int, nq int")
     blocks_of = nodes.sparkSession.createDataFrame([(int(t), int(b)) for t, b in zip(of, blocks, strict=True)], "team int, blocks int")
     placed = placed.join(F.broadcast(blocks_of), "team").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     trees = shared.settle(placed.select("team", "block", "node", "copies", "x").groupBy("team", "block").applyInArrow(_built(width), TREE))
     pairs = F.broadcast(pairs)  # at most GROUPS squared
-    own = F.struct(*trees.columns).alias("tree")
-    left = trees.select(own, "team", "block").join(pairs, F.col("team") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    left = left.where((F.col("p") < F.col("q")) | (F.col("block") <= F.col("other"))).select("p", "q", F.col("block").alias("i"), F.col("other").alias("j"), "tree.*")
-    right = trees.select(own, "team", "block").join(pairs, F.col("team") == F.col("q")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
-    right = right.where((F.col("p") < F.col("q")) | (F.col("other") < F.col("block"))).select("p", "q", F.col("other").alias("i"), F.col("block").alias("j"), "tree.*")
+    own, side = F.struct(*trees.columns).alias("tree"), F.floor(F.col("block") / SIDE).cast("int")
+    at = trees.select(own, "team", side.alias("side"))
+    left = at.join(pairs, F.col("team") == F.col("p")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    left = left.where((F.col("p") < F.col("q")) | (F.col("side") <= F.col("other"))).select("p", "q", F.col("side").alias("i"), F.col("other").alias("j"), "tree.*")
+    right = at.join(pairs, F.col("team") == F.col("q")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    right = right.where((F.col("p") < F.col("q")) | (F.col("other") < F.col("side"))).select("p", "q", F.col("other").alias("i"), F.col("side").alias("j"), "tree.*")
     return left.unionByName(right).groupBy("p", "q", "i", "j").applyInArrow(_traverse(cosine, width, kind), "node long, links long, root long")
 
 

@@ -310,7 +310,7 @@ def test_cover_tree(spark, monkeypatch, groups):
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     data += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, [1.0, 2.0], 1), (305, [1.0, 2.0], 1), (None, x[5].tolist(), 1), (306, [], None)]
     data += [(307, [1e200, 1e200], 1), (308, [3.0, 3.0], 1), (309, [1e-200, 2e-200], 1), (310, [5e-324, 1e-323], 1), (311, [-0.0, -3.0], 1), (312, [0.0, -4.0], 1)]
-    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "BLOCK", 20)  # so that there are several sides
     monkeypatch.setattr(covertree, "GROUPS", groups)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, node int")).collect()}
     link, root = linked(x)
