@@ -141,10 +141,10 @@ def run_logs(asked: np.ndarray, keys: np.ndarray, count: np.ndarray, short: list
     return np.log10(p)
 
 
-def _planes(values: np.ndarray) -> bytes:
+def _planes(values: np.ndarray, level: int = 3) -> bytes:
     """Numbers with their first bytes together, as those compress, and so on; the size leads."""
     raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _unplaned(raw: bytes, kind: type) -> np.ndarray:
@@ -159,9 +159,9 @@ def _unwired(wire: np.ndarray) -> np.ndarray:
 
 
 def _rounded(logs: np.ndarray) -> np.ndarray:
-    """Single precision without the last 10 bits, 13 being enough; what is left compresses."""
+    """Single precision without the last 12 bits, 11 being enough; what is left compresses."""
     bits = logs.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(1 << 9)) & np.uint32(0xFFFFFC00)).view(np.float32)
+    return ((bits + np.uint32(1 << 11)) & np.uint32(0xFFFFF000)).view(np.float32)
 
 
 PACK = "batch long, docs array<long>, held array<boolean>, sizes array<int>, data binary"
@@ -179,7 +179,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.array([0, len(table)])
         ids = pa.ListArray.from_arrays(pa.array(one, pa.int32()), table["doc_id"].chunk(0))
         flags = pa.ListArray.from_arrays(pa.array(one, pa.int32()), table["held_out"].chunk(0))
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth]), ids, flags, lists(np.diff(off), one, pa.int32()), pa.array([_planes(data)], pa.binary())], names=["batch", "docs", "held", "sizes", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth]), ids, flags, lists(np.diff(off), one, pa.int32()), pa.array([_planes(data, 6)], pa.binary())], names=["batch", "docs", "held", "sizes", "data"])
 
     held, size = [], 0
     for batch in pieces(batches, limit=BATCH // 12):

@@ -262,10 +262,10 @@ def test_rare_contexts_stay_in_the_tree(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
     assert b"zb" in stay and count[b"zb"] == {ord("c"): 2} and total[b""] > 400_000
-    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=1e-3)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=4e-3)
     monkeypatch.setattr(suffixtree, "BATCH", 3000)  # many batches and buckets: the same
     got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
-    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=1e-3)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=4e-3)
 
 
 def test_token_counts(docs, none):
