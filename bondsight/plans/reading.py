@@ -46,10 +46,10 @@ def historical(load):
     return docs.join(c.latest_reference(docs), "doc_id", "left").select("doc_id", F.coalesce(F.datediff("published", "latest") > tf.HISTORY_DAYS, F.lit(False)).alias("historical"))
 
 
-@R.query("X06_numbers", f"SELECT doc_id, CAST(len(x) AS INT) AS n, round(coalesce(list_sum(x), 0), 4) AS total, list_max(x) AS most FROM (SELECT doc_id, {t.numbers('text')} AS x FROM v_documents)")
+@R.query("X06_numbers", f"SELECT doc_id, CAST(len(x) AS INT) AS n, list_min(x) AS least, list_max(x) AS most, CAST(len(list_distinct(x)) AS INT) AS kinds FROM (SELECT doc_id, {t.numbers('text')} AS x FROM v_documents)")
 def numbers(load):
     found = load("v_documents").select("doc_id", tf.numbers(F.col("text")).alias("x"))
-    return found.select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 4).alias("total"), F.array_max("x").alias("most"))
+    return found.select("doc_id", F.size("x").alias("n"), F.array_min("x").alias("least"), F.array_max("x").alias("most"), F.size(F.array_distinct("x")).alias("kinds"))
 
 
 @R.query("X07_amounts", f"SELECT doc_id, {t.amount()} AS amount FROM v_documents")
