@@ -38,6 +38,7 @@ COSINE = 0.95
 SAMPLE, BLOCK, GROUPS, ROWS = 4096, 2048, 512, 512
 SIDE = 4  # blocks on a side of a task
 TOP, LEVELS = 2.0, 7  # the root's radius, and how often it is halved
+ROUNDING = np.float32(1e-5)  # of cosines in single precision, with room
 SLACK = 1e-6  # a distance from a cosine is exact to about 1e-8
 TREE = "team int, block int, nodes binary, copies binary, vectors binary, counts array<int>, parents binary, centres binary, radii binary"
 
@@ -115,17 +116,26 @@ class Tree:
 
 
 def meeting(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
-    """Dual descent: which nodes of both trees' last levels may hold vectors within reach of each other."""
+    """Dual descent: which nodes of both trees' last levels may hold vectors within reach of each other.
+
+    Bounds are compared as cosines in single precision, loosened by more than its rounding.
+    """
+    x, y = x.astype(np.float32), y.astype(np.float32)
     active = np.ones((1, 1), bool)
     for level in range(max(len(a.centres), len(b.centres))):
         if level:
             active = active[a.up(level)][:, b.up(level)]
         (p, r), (q, s) = a.at(level), b.at(level)
         rows, cols = np.flatnonzero(active.any(1)), np.flatnonzero(active.any(0))
+        other, far = y[q[cols]].T, s[cols].astype(np.float32) + np.float32(reach)
         for i in range(0, len(rows), ROWS):
             some = rows[i : i + ROWS]
-            d = distances(x[p[some]] @ y[q[cols]].T)
-            active[np.ix_(some, cols)] &= d <= r[some, None] + s[cols] + reach
+            bound = r[some, None].astype(np.float32) + far if r[some].any() else far
+            near = x[p[some]] @ other >= 1 - bound * bound / 2 - ROUNDING
+            if len(cols) == active.shape[1] and len(rows) == len(active):
+                active[i : i + ROWS] &= near
+            else:
+                active[np.ix_(some, cols)] &= near
     return active
 
 
