@@ -136,3 +136,18 @@ def runs(codes: np.ndarray) -> np.ndarray:
 
 def lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
+
+
+def joined(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, stay: np.ndarray) -> list[bytes]:
+    """Each row's staying words, joined by one space. start, end, first: as of words(); a word's gap lends the space."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(first))[stay]
+    start, end = start[stay], end[stay]
+    gap = start[1:][row[1:] == row[:-1]] - 1
+    out, mask = data.copy(), np.zeros(len(data) + 1, np.int8)
+    out[gap] = 0x20
+    mask[start] += 1
+    np.subtract.at(mask, end, 1)
+    keep = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
+    keep[gap] = True
+    ends, kept = np.concatenate([[0], np.cumsum(keep)])[off], out[keep].tobytes()
+    return [kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
