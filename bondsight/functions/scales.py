@@ -37,6 +37,19 @@ def alias_rows() -> list[tuple[str, str]]:
     return [(name, agency) for agency, names in AGENCY_NAMES.items() for name in dict.fromkeys(n.lower() for n in (agency, *names))]
 
 
+#: Alias in lower case to agency; agency to its labels, exact and (first of the scale) without case.
+AGENCY_OF = dict(alias_rows())
+LABELS = {(a, x.replace(" ", "")): x for a, x, _, _ in scale_rows()}
+FOLDED = {(a, x.replace(" ", "").lower()): x for a, x, _, _ in reversed(scale_rows())}
+DASHES = str.maketrans(dict.fromkeys("‐‑‒–—−", "-"))
+
+
+def label_of(agency: str, raw: str) -> str | None:
+    """J-05 for one cell of text: the scale's label, exact, or without case where the cell has only one case."""
+    plain = "".join(raw.split()).translate(DASHES)
+    return LABELS.get((agency, plain)) or (FOLDED.get((agency, plain.lower())) if plain in (plain.upper(), plain.lower()) else None)
+
+
 def values_sql(rows: list[tuple], columns: str) -> str:
     """An inline table that Spark SQL and ANSI SQL both read."""
     quoted = (", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in r) for r in rows)

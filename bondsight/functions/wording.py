@@ -54,6 +54,9 @@ GUIDANCE = {
     "withdrawn": near("withdraw withdraws withdrew withdrawn withdrawing", PLANS, 6),
 }
 
+#: Words one of which every pattern of guidance needs.
+GUIDANCE_NEEDS = [*PLANS, "expectations"]
+
 # Words of doubt, breach, impairment and strained liquidity; of denial, supposition, conclusion and relief.
 WEIGHTY = "substantial significant material".split()
 DOUBTS = [f"{w} {d}" for w in WEIGHTY for d in ("doubt", "uncertainty", "uncertainties")]
@@ -75,6 +78,8 @@ FLAGS = {
     "impairment": either(WEIGHTY, ["impairment", "impairments"], 6),
     "liquidity": f"{near(['liquidity'], STRAIN, 5)}|{phrase(['constrained', 'tight', 'strained', 'insufficient'], ['liquidity'])}",
 }
+#: Words one of which every flag needs: unable and able begin what UNABLE names.
+FLAGS_NEED = [*COVENANT, "doubt", "uncertainty", "uncertainties", "unable", "able", "impairment", "impairments", "liquidity"]
 #: What each flag's marker is, for a negation within five words before it.
 MARKERS = {"going_concern": [*DOUBTS, *UNABLE], "covenant": BREACH, "impairment": [f"{w} impairment" for w in WEIGHTY], "liquidity": ["liquidity", *STRAIN]}
 DENIED = {flag: before([n for n in NEGATIONS if n != "not"] if flag == "covenant" else NEGATIONS, marker, 5) + r"|(?i)\bdoes\s+not\s+cast\b|(?i)\bnot\s+(?:impacted|affected|exposed|in\s+breach|in\s+default)\b" for flag, marker in MARKERS.items()}
@@ -116,7 +121,8 @@ AFFIRMED = phrase(forms("affirm confirm"))
 SHORT_TERM = r"(?i)\bshort[\s-]term\b"
 
 # Bond prose.
-INSTRUMENT = phrase("bond bonds notes debenture debentures schuldschein schuldscheindarlehen instrument at1 hybrid")
+INSTRUMENTS = "bond bonds notes debenture debentures schuldschein schuldscheindarlehen instrument at1 hybrid".split()
+INSTRUMENT = phrase(INSTRUMENTS)
 COMPLETED = phrase("issued issues placed places priced prices launched launches completed sold raised successfully issuance issue placement offering")
 REDEEMED = phrase([*forms("redeem repay"), "redemption", "repayment", "will call", "has called", "decided to call"])
 NOT_CALLED = phrase(["not to call", "will not call", "does not intend to call", "non call", "not to redeem", "will not redeem", "not to exercise", "not exercise"])

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +27,15 @@ QUOTE = "[\"'“”‘’]"
 def sentences(docs: DataFrame) -> DataFrame:
     """X-02: (doc_id, start, end, text), one row a sentence; built once and shared by the extractors."""
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *s) for d, t in zip(f.doc_id, f.text.fillna(""), strict=True) for s in tf.sentences_of(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tf.sentences_of(t or "") for t in batch.column("text").to_pylist()]
+            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = [x for each in found for x in each]
+            columns = ([x[i] for x in flat] for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), *(pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "start", "end", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(split, "doc_id long, start long, end long, text string")
+    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, start long, end long, text string")
 
 
 def dates(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -74,9 +82,15 @@ def readings(sents: DataFrame, hits: Column, name: str) -> DataFrame:
     return sents.select("doc_id", "start", F.explode(hits).alias(name))
 
 
+def has_word(text: Column, some: list[str]) -> Column:
+    """Whether one of the words, in lower case, stands in the text: a cheap test before patterns that need one of them."""
+    return F.arrays_overlap(F.split(F.lower(text), r"[^a-z0-9_]+"), F.array(*map(F.lit, some)))
+
+
 def guidance_hits() -> Column:
     """E-05: the statuses that a sentence states."""
-    return F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(s)) for s, p in w.GUIDANCE.items())))
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(s)) for s, p in w.GUIDANCE.items())))
+    return F.when(has_word(F.col("text"), w.GUIDANCE_NEEDS), found).otherwise(F.array().cast("array<string>"))
 
 
 def guidance_scan(sents: DataFrame) -> DataFrame:
@@ -107,7 +121,8 @@ def flag_hits() -> Column:
             aside = F.when(reading != "stated", reading)
         return F.when(text.rlike(pattern), F.struct(F.lit(flag).alias("flag"), aside.alias("aside")))
 
-    return F.array_compact(F.array(*(hit(flag, pattern) for flag, pattern in w.FLAGS.items())))
+    none = F.array().cast("array<struct<flag:string,aside:string>>")
+    return F.when(has_word(text, w.FLAGS_NEED), F.array_compact(F.array(*(hit(flag, pattern) for flag, pattern in w.FLAGS.items())))).otherwise(none)
 
 
 def flag_scan(sents: DataFrame) -> DataFrame:
@@ -195,7 +210,7 @@ def bond() -> tuple[Column, Column, Column]:
     said = lambda *patterns: text.rlike("|".join(patterns))
     kind = F.when(said(w.NOT_CALLED), "non_call").when(said(w.REDEEMED), "redemption").when(said(w.TAPPED), "tap").otherwise("new_issue")
     skip = F.when(said(w.INTENT) & ~said(w.NOT_CALLED), "intent_only").when(said(w.TOTAL) & said(w.LOAN), "total_with_loan").when(tf.amount(text).isNull() & ~said(w.NOT_CALLED), "no_amount")
-    return said(w.INSTRUMENT) & said(w.COMPLETED, w.REDEEMED, w.NOT_CALLED, w.TAPPED, w.INTENT), kind, skip
+    return has_word(text, w.INSTRUMENTS) & said(w.INSTRUMENT) & said(w.COMPLETED, w.REDEEMED, w.NOT_CALLED, w.TAPPED, w.INTENT), kind, skip
 
 
 def issuance(sents: DataFrame) -> DataFrame:
@@ -220,27 +235,52 @@ def reference_zone(docs: DataFrame, heading: str, lines: int = 12) -> DataFrame:
     return each.withColumn("zone", F.coalesce(F.max(F.col("line").rlike(heading)).over(near), F.lit(False)))
 
 
-def dated_table(lines: DataFrame) -> DataFrame:
-    """E-13: rows "date | label" under the last line that names an agency."""
-    by = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.regexp_extract("line", rf"^({AGENCY})\s*$", 1)
-    out = lines.withColumn("named", F.last(F.when(named != "", named), ignorenulls=True).over(by))
-    day = F.try_to_date(F.regexp_extract("line", r"^(\d{4}-\d{2}-\d{2}) \| ", 1), "yyyy-MM-dd")
-    label = F.regexp_extract("line", rf"^\d{{4}}-\d{{2}}-\d{{2}} \| ({LABEL})$", 1)
-    return scales.resolve_agency(out.select("doc_id", "n", "named", day.alias("as_of"), label.alias("label")).where("as_of is not null and label != '' and named is not null"), "named", "agency")
+#: Aliases that one automaton holds at most (some tens of MB); more are read in as many passes as they fill.
+MOST_ALIASES = 500_000
 
 
-def resolve_alias(docs: DataFrame, aliases: DataFrame, chars: int = 3000) -> DataFrame:
-    """J-03: issuers whose alias stands between word bounds, case aside, in the first characters; several make it ambiguous.
+def alias_hits(docs: DataFrame, aliases: DataFrame, chars: int = 3000, most: int = MOST_ALIASES) -> DataFrame:
+    """J-03: (doc_id, issuer_id, alias): aliases that stand between word bounds, case aside, in a document's title (if it
+    has that column) and first characters.
 
-    Documents are cut into words and joined on the alias's first word, so that no document meets every alias.
+    The aliases are counted, dealt out by hash to blocks of about `most`, and each block is broadcast as one automaton
+    that reads every head once. Only hits are shuffled, no text.
     """
+    spark = docs.sparkSession
+    known = aliases.select("issuer_id", F.trim(F.lower("alias")).alias("alias")).where("alias != ''").distinct()
     head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, chars))
-    toks = docs.select("doc_id", head.alias("head")).select("doc_id", "head", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit(r"[\w&']+"), F.lit(0)))).alias("w"))
-    a = aliases.select("issuer_id", F.lower("alias").alias("alias")).withColumn("w", F.regexp_extract("alias", r"[\w&']+", 0))
-    hit = toks.join(a, "w").where(F.expr("head rlike concat('(?<![\\\\w])', '\\\\Q', alias, '\\\\E', '(?![\\\\w])')"))
-    by = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("issuer_id")).alias("issuers"), F.max_by("alias", F.length("alias")).alias("longest"))
-    return by.select("doc_id", F.when(F.size("issuers") == 1, F.col("issuers")[0]).alias("alias_issuer"), (F.size("issuers") > 1).alias("ambiguous"), "longest")
+    heads = docs.select("doc_id", F.concat_ws("\n", F.lower("title"), head).alias("head") if "title" in docs.columns else head.alias("head"))
+
+    def reader(table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for alias, issuers in table.value.items():
+                automaton.add_word(alias, (alias, issuers))
+            automaton.make_automaton()
+            word = lambda t, i: 0 <= i < len(t) and t[i].isascii() and t[i].isalnum()
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("head").to_pylist(), strict=True):
+                    met = {alias: issuers for end, (alias, issuers) in automaton.iter(text) if not word(text, end + 1) and not word(text, end - len(alias))}
+                    rows += [(doc, i, a) for a, issuers in met.items() for i in issuers]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "issuer_id", "alias"])
+
+        return read
+
+    blocks, found = max(1, -(-known.count() // most)), []
+    for block in range(blocks):
+        table: dict[str, list[str]] = {}
+        for row in known.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == block).toLocalIterator():
+            table.setdefault(row.alias, []).append(row.issuer_id)
+        if table:
+            found.append(heads.mapInArrow(reader(spark.sparkContext.broadcast(table)), "doc_id long, issuer_id string, alias string"))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "doc_id long, issuer_id string, alias string")
+
+
+def resolve_alias(docs: DataFrame, aliases: DataFrame, chars: int = 3000) -> DataFrame:
+    """J-03: the only issuer that a document's head names, or that there are several; and the longest alias found."""
+    by = alias_hits(docs, aliases, chars).groupBy("doc_id").agg(F.min("issuer_id").alias("a"), F.max("issuer_id").alias("b"), F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("longest"))
+    return by.select("doc_id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("alias_issuer"), (F.col("a") != F.col("b")).alias("ambiguous"), "longest")
 
 
 def resolve(docs: DataFrame, issuers: DataFrame, by_alias: DataFrame) -> DataFrame:

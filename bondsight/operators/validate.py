@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,45 +14,81 @@ from bondsight.functions.wording import RESOLUTIONS
 
 # Words by which a label fits a metric; who speaks for itself.
 METRIC_WORDS = {"revenue": "revenue|revenues|sales|turnover", "ebitda": "ebitda", "ebit": "ebit|operating result|operating profit|operating income", "fcf": "free cash flow|net cash flow|cash flow", "margin": "margin|return on sales"}
-FUZZY_FROM, GRAM = 90.0, 8
+#: Tenths of a quote and its place together that must be common; signs of a piece.
+COMMON, GRAM = 9, 3
 
 
-def common_length(a: str, b: str) -> int:
+def places_of(quote: str) -> dict[str, int]:
+    """Of each sign the places in the quote, as the bits of one integer."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(quote):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def common_length(places: dict[str, int], size: int, window: str) -> int:
     """Length of the longest common subsequence, a row of the table at a time as the bits of one integer."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    row = whole = (1 << len(a)) - 1
-    for y in b:
+    row = whole = (1 << size) - 1
+    for y in window:
         met = row & places.get(y, 0)
         row = (row + met | row - met) & whole
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
 
 
-def best_window(quote: str, text: str) -> tuple[float, int]:
-    """The best partial ratio of a quote in a text, 100 * 2 * common / (both lengths), over windows of the quote's length
-    that share a GRAM-character piece with it at a near offset; and where that window starts (-1: none)."""
-    starts = set()
-    for i in range(max(1, len(quote) - GRAM + 1)):
-        piece, at = quote[i : i + GRAM], -1
-        while (at := text.find(piece, at + 1)) >= 0:
-            starts.add(max(0, min(at - i, len(text) - len(quote))))
-    scored = ((100.0 * 2 * common_length(quote, w := text[s : s + len(quote)]) / (len(quote) + len(w) or 1), -s) for s in starts)
-    score, s = max(scored, default=(0.0, 1))
-    return score, -s
+def pieces(text: str) -> np.ndarray:
+    """A number for each GRAM signs that follow each other, equal for equal signs only."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points[:-2] << 42 | points[1:-1] << 21 | points[2:] if len(points) >= GRAM else points[:0]
 
 
-def fuzzy_spans(residue: DataFrame, docs: DataFrame) -> DataFrame:
-    """V-02: of statements that no exact rule placed, the best window's score and start where the score passes; others stay null."""
+def candidate_windows(quote: str, text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every window that can pass: of the quote's length, or shorter at either end of the text.
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [best_window(q, t) if q and t else (0.0, -1) for q, t in zip(f.quote, f.text, strict=True)]
-            ok = [s >= FUZZY_FROM for s, _ in found]
-            yield pd.DataFrame({"doc_id": f.doc_id, "k": f.k, "score": [s for s, _ in found], "start": pd.array([a if o else None for (_, a), o in zip(found, ok, strict=True)], "Int64"), "match": ["fuzzy" if o else "none" for o in ok]})
+    A window that passes differs by at most (both lengths) / 10 signs put in or taken out; each of those spoils at most
+    GRAM of the quote's pieces, and the others stand in the window. Windows that hold fewer of them are left out, and
+    nothing is lost.
+    """
+    m, n = len(quote), len(text)
+    here = np.concatenate([[0], np.cumsum(np.isin(pieces(text), pieces(quote)))])
+    held = lambda start, end: here[np.maximum(end - GRAM + 1, start).clip(0, len(here) - 1)] - here[np.minimum(start, len(here) - 1)]
+    starts = np.arange(n - m + 1)
+    for s in starts[held(starts, starts + m) >= m - GRAM + 1 - GRAM * (2 * m // 10)]:
+        yield int(s), int(s) + m
+    for size in range(-(-COMMON * m // (20 - COMMON)), m):  # shorter ones can't have enough in common
+        for s in {0, n - size}:
+            if held(np.array(s), np.array(s + size)) >= m - GRAM + 1 - GRAM * ((m + size) // 10):
+                yield s, s + size
+
+
+def best_window(quote: str, text: str) -> tuple[float, int, int]:
+    """The best partial ratio of a quote in a text, 100 * 2 * common / (both lengths), with the window's start and end
+    (ties: the first, then the longest); (0, -1, -1) if no window has nine tenths in common. A text shorter than its quote
+    is looked for in the quote, and its place is all of it."""
+    if len(quote) > len(text):
+        return (found[0], 0, len(text)) if (found := best_window(text, quote))[0] else found
+    places, best = places_of(quote), (0.0, -1, -1)
+    for s, e in candidate_windows(quote, text):
+        common, both = common_length(places, len(quote), text[s:e]), len(quote) + e - s
+        if 20 * common >= COMMON * both and (score := 200.0 * common / both, -s, e) > (best[0], -best[1], best[2]):
+            best = (score, s, e)
+    return best
+
+
+def fuzzy_spans(residue: DataFrame, docs: DataFrame) -> DataFrame:
+    """V-02: of statements (doc_id, k, quote) that no exact rule placed, the best window where one passes; null places otherwise."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("quote").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            found = [best_window(q, t) if q and t else (0.0, -1, -1) for q, t in pairs]
+            at = [[None if x[i] < 0 else x[i] for x in found] for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("k"), pa.array([x[0] for x in found], pa.float64()),
+                *(pa.array(x, pa.int64()) for x in at), pa.array(["none" if x is None else "fuzzy" for x in at[0]]),
+            ], names=["doc_id", "k", "score", "start", "end", "match"])
 
     both = residue.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", "quote", "text")
-    return both.mapInPandas(place, "doc_id long, k long, score double, start long, match string")
+    return both.mapInArrow(place, "doc_id long, k long, score double, start long, end long, match string")
 
 
 def metric_match(label: Column, metric: Column, quote: Column) -> Column:

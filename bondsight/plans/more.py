@@ -90,8 +90,11 @@ def gold_build_check(load):
 
 @R.query("V02_span_fuzzy")
 def span_fuzzy(load):
+    """Each document's passage, every twelfth sign of it replaced or left out; so many as a place may differ by, or more."""
+    signs = F.split("added", "")
+    told = F.transform(signs, lambda x, i: F.when((i + F.col("doc_id")) % 12 != 0, x).when(F.col("doc_id") % 3 == 0, F.lit("#")).when((F.col("doc_id") % 3 == 1) | (i % 2 == 0), F.lit("")).otherwise(F.concat(F.lit("~"), F.lit("#"))))
     docs = load("v_documents")
-    quotes = docs.select("doc_id", F.lit(0).cast("long").alias("k"), F.concat(F.expr("substr(added, 1, 20)"), F.lit("x"), F.expr("substr(added, 22, 40)")).alias("quote"))
+    quotes = docs.select("doc_id", F.lit(0).cast("long").alias("k"), F.array_join(told, "").alias("quote"))
     return v.fuzzy_spans(quotes, docs)
 
 

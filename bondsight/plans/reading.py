@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from bondsight.functions import textfns as tf
 from bondsight.functions import wording as w
 from bondsight.operators import corpus as c
+from bondsight.operators import profiles as p
 from bondsight.operators import validate as v
 from bondsight.plans import twins as t
 from bondsight.plans.registry import Registry
-from bondsight.sources import tables as src
 from bondsight.sources.views import quoted as q
 
 R = Registry()
@@ -156,43 +156,31 @@ def recap_suppression(load):
     return c.suppress(c.issuance(sents).where("skip is null").select("doc_id"), c.guidance_scan(sents).select("doc_id").distinct())
 
 
-AS_OF = r"(?i)\bratings?\b.*\bas of (\d{4}-\d{2}-\d{2})"
-CELLS = {"cells": f"SELECT doc_id, n, line, last_value(try_cast({t.group(AS_OF, 1, 'line')} AS DATE) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS as_of, string_split(line, ' | ') AS c FROM raw"}
+TABLE = "doc_id, n, agency, label, notch, outlook, watch, as_of, skip"
 
 
-@R.query("E11_ratings_table_as_of", "SELECT doc_id, s.agency, s.label, notch, as_of FROM cells JOIN v_aliases a ON lower(trim(c[1])) = alias JOIN v_scale s ON s.agency = a.agency AND s.label = c[2] WHERE len(c) >= 2 AND as_of IS NOT NULL", **t.LINES, **CELLS)
-def ratings_table_as_of(load):
-    lines = load("v_documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return src.table_rows(lines).select("doc_id", "agency", "label", "notch", "as_of")
-
-
-@R.query("E12_ratings_table_current", """SELECT doc_id, agency, label, outlook, skip FROM (
-SELECT h.doc_id, h.agency, CASE WHEN lower(e.row[1]) NOT IN ('acme holdings plc', 'acme') THEN 'entity_mismatch' WHEN len(l) = 0 THEN 'no_long_term_label' END AS skip,
-       CASE WHEN h.last THEN l[-1] ELSE l[1] END AS label, list_filter(e.row, lambda x: x IN ('stable', 'negative', 'positive', 'developing'))[-1] AS outlook
-FROM heads h JOIN (SELECT doc_id, n, len(regexp_extract_all(line, '\\|')) AS w, list_concat(string_split(line, ' | '), CASE WHEN after LIKE '|%' THEN string_split(after, ' | ')[2:] ELSE [] END) AS row FROM (SELECT *, lead(line, 1, '') OVER (PARTITION BY doc_id ORDER BY n) AS after FROM raw)) e ON e.doc_id = h.doc_id AND e.n = h.n + 1 AND e.w > 0
-CROSS JOIN LATERAL (SELECT coalesce(list(x ORDER BY i), []) AS l FROM (SELECT unnest(e.row[2:]) AS x, generate_subscripts(e.row[2:], 1) AS i) JOIN v_scale s ON s.label = x AND s.agency = h.agency) z)""".replace("\\\\", "\\"), **t.LINES,
-    heads="SELECT doc_id, n, agency, strpos(lower(line), 'long') > strpos(lower(line), 'short') AS last FROM raw JOIN v_aliases ON lower(trim(string_split(line, ' | ')[1])) = alias WHERE contains(line, ' | ') AND contains(lower(line), 'short') AND contains(lower(line), 'long')")
-def ratings_table_current(load):
-    lines = load("v_documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return src.current_rows(lines, ["Acme Holdings plc", "Acme"]).select("doc_id", "agency", "label", "outlook", "skip")
+def tables(load, profile, names=None):
+    return p.rating_rows(load("v_documents"), profile, names).select(*TABLE.split(", "))
 
 
-DATED_ROWS = {"rows": rf"""SELECT doc_id, agency, as_of, label FROM (SELECT doc_id, n, last_value({t.group(rf'^({c.AGENCY})[ \t]*$', 1, 'line')} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS named,
-  try_cast({t.group(r'^(\d{4}-\d{2}-\d{2}) \| ', 1, 'line')} AS DATE) AS as_of, {t.group(rf'^\d{{4}}-\d{{2}}-\d{{2}} \| ({c.LABEL})$', 1, 'line')} AS label FROM raw) JOIN v_aliases ON lower(trim(named)) = alias WHERE as_of IS NOT NULL AND label IS NOT NULL"""}
+@R.query("E11_ratings_table_as_of", f"SELECT {TABLE} FROM table_rows", **t.AS_OF_WALK, **t.ROWS_READ)
+def ratings_table_as_of(load):
+    return tables(load, "as_of")
 
 
-def dated_rows(load):
-    return c.dated_table(load("v_documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")))
+@R.query("E12_ratings_table_current", f"SELECT {TABLE} FROM table_rows", **t.CURRENT_WALK, **t.ROWS_READ)
+def ratings_table_current(load):
+    return tables(load, "current", ["Acme Holdings plc", "Acme"])
 
 
-@R.query("E13_ratings_table_dated", "SELECT doc_id, agency, as_of, label FROM rows", **t.LINES, **DATED_ROWS)
+@R.query("E13_ratings_table_dated", f"SELECT {TABLE} FROM table_rows", **t.DATED_WALK, **t.ROWS_READ)
 def ratings_table_dated(load):
-    return dated_rows(load).select("doc_id", "agency", "as_of", "label")
+    return tables(load, "dated")
 
 
-@R.query("E14_observation_build", "SELECT 'obs_' || substr(sha256(doc_id || chr(31) || agency || chr(31) || CAST(as_of AS VARCHAR) || chr(31) || label), 1, 20) AS observation_id, doc_id, agency, as_of, label, 'stated' AS basis, published AS observed_at FROM rows JOIN v_documents USING (doc_id)", **t.LINES, **DATED_ROWS)
+@R.query("E14_observation_build", "SELECT 'obs_' || substr(sha256(doc_id || chr(31) || agency || chr(31) || CAST(as_of AS VARCHAR) || chr(31) || label), 1, 20) AS observation_id, doc_id, agency, as_of, label, 'stated' AS basis, published AS observed_at FROM table_rows JOIN v_documents USING (doc_id) WHERE skip IS NULL", **t.DATED_WALK, **t.ROWS_READ)
 def observation_build(load):
-    rows = dated_rows(load).join(load("v_documents").select("doc_id", F.col("published").alias("observed_at")), "doc_id")
+    rows = tables(load, "dated").where("skip is null").join(load("v_documents").select("doc_id", F.col("published").alias("observed_at")), "doc_id")
     key = F.concat_ws("\x1f", F.col("doc_id").cast("string"), "agency", F.col("as_of").cast("string"), "label")
     return rows.select(F.concat(F.lit("obs_"), F.substring(F.sha2(key, 256), 1, 20)).alias("observation_id"), "doc_id", "agency", "as_of", "label", F.lit("stated").alias("basis"), "observed_at")
 
@@ -267,7 +255,7 @@ def covenant_resolution(load):
 
 ALIASES = [("ISS1", "Acme Holdings plc"), ("ISS2", "Delta Energy N.V"), ("ISS2", "Delta Energy"), ("ISS3", "Nobody Inc"), ("ISS4", "the group")]
 FOUND = {"found": "SELECT doc_id, CASE WHEN count(DISTINCT issuer_id) = 1 THEN min(issuer_id) END AS alias_issuer, count(DISTINCT issuer_id) > 1 AS ambiguous FROM (" + " UNION ALL ".join(
-    rf"SELECT doc_id, {q(i)} AS issuer_id FROM v_documents WHERE regexp_matches(lower(substr(text, 1, 3000)), {q(rf'(?:^|[^\w]){a.lower().replace(".", chr(92) + ".")}(?:[^\w]|$)')})" for i, a in ALIASES) + ") GROUP BY 1"}
+    rf"SELECT doc_id, {q(i)} AS issuer_id FROM v_documents WHERE regexp_matches(lower(substr(text, 1, 3000)), {q(rf'(?:^|[^a-z0-9]){a.lower().replace(".", chr(92) + ".")}(?:[^a-z0-9]|$)')})" for i, a in ALIASES) + ") GROUP BY 1"}
 
 
 def aliases(load):

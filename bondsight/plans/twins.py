@@ -156,3 +156,60 @@ COVENANT = picked({
     "breached": f"{says(w.BREACHED)} AND NOT {says(w.BREACH_DENIED)} AND NOT {says(w.BREACH_SUPPOSED)}", "risk_of_breach": says(w.ANTICIPATED), "compliant": says(w.COMPLIANT),
 }, "'mentioned'")
 IS_COVENANT = says(rf"(?i){w.words(w.COVENANT)}")
+
+# Rating tables: a recursive walk takes a line of each document at a time; what a row says is then read by joins.
+_NAME = r"lower(trim(regexp_replace(regexp_replace(replace(c[1], '’', ''''), '(\(\w{1,2}\)|[*†‡])+$', ''), '\s+', ' ', 'g')))"
+_STATED = rf"(?i)\bas of\s+((?:{'|'.join(tf.MONTHS)})\s+\d{{1,2}},\s+\d{{4}})\b"
+_DAY = rf"try_strptime(regexp_replace({group(_STATED, 1, 'line')}, '\s+', ' ', 'g'), '%B %d, %Y')"
+_LONG, _SHORT = "strpos(replace(lower(line), '-', ' '), 'long term')", "strpos(replace(lower(line), '-', ' '), 'short term')"
+FEATURES = LINES | {
+    "split": "SELECT doc_id, n, line, list_transform(string_split(line, '|'), lambda x: trim(x)) AS c FROM raw WHERE doc_id IN (SELECT doc_id FROM raw WHERE contains(line, '|'))",
+    "feat": f"""SELECT s.*, len(c) AS w, agency AS ag, lead(c) OVER (PARTITION BY s.doc_id ORDER BY n) AS after, CASE WHEN {_LONG} > 0 THEN {_SHORT} > 0 AND {_SHORT} < {_LONG} END AS hl,
+      CASE WHEN contains(lower(line), 'rating') THEN CAST({_DAY} AS DATE) END AS h FROM split s LEFT JOIN v_aliases ON {_NAME} = alias""",
+}
+AS_OF_WALK = FEATURES | {
+    # o: 1 waits for a table, 2 is in one; t, k: lines waited, rows; j: this line was read with the one before
+    "walk": """SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, 0 AS o, CAST(NULL AS DATE) AS d, 0 AS t, 0 AS k, false AS l, false AS j, false AS hit FROM feat
+UNION ALL SELECT doc_id, n, x.o, x.d, x.t, x.k, x.l, x.j, x.hit FROM (SELECT f.doc_id, f.n, CASE
+  WHEN walk.j THEN {'o': walk.o, 'd': walk.d, 't': walk.t, 'k': walk.k, 'l': walk.l, 'j': false, 'hit': false}
+  WHEN walk.o > 0 AND f.ag IS NOT NULL AND (f.w > 1 OR (len(f.after) > 1 AND f.after[1] = '')) THEN {'o': CASE WHEN walk.k = 7 THEN 0 ELSE 2 END, 'd': walk.d, 't': walk.t, 'k': walk.k + 1, 'l': walk.l, 'j': f.w = 1, 'hit': true}
+  WHEN walk.o = 1 THEN {'o': CASE WHEN walk.t = 3 THEN 0 ELSE 1 END, 'd': walk.d, 't': walk.t + 1, 'k': walk.k, 'l': coalesce(f.hl, walk.l), 'j': false, 'hit': false}
+  WHEN f.h IS NOT NULL THEN {'o': 1, 'd': f.h, 't': 0, 'k': 0, 'l': false, 'j': false, 'hit': false}
+  ELSE {'o': 0, 'd': NULL, 't': 0, 'k': 0, 'l': false, 'j': false, 'hit': false} END AS x
+FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n + 1)""",
+    "hits": "SELECT f.doc_id, f.n, ag AS agency, walk.d AS as_of, walk.l AS last, CASE WHEN f.w = 1 THEN after ELSE c END AS row, CAST(NULL AS VARCHAR) AS skip FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n WHERE walk.hit",
+}
+_ON, _NEW = "(walk.p = 2 AND f.line LIKE '|%')", "(walk.p = 1 AND f.w > 1 AND f.c[1] <> '' AND f.ag IS NULL)"
+CURRENT_WALK = FEATURES | {
+    # p: 1 after a header, 2 in an entity's row, which began at line s
+    "walk": f"""SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, 0 AS p, CAST(NULL AS VARCHAR) AS a, false AS l, CAST(0 AS BIGINT) AS s FROM feat
+UNION ALL SELECT f.doc_id, f.n, CASE WHEN {_ON} OR {_NEW} THEN 2 WHEN f.w > 1 AND f.ag IS NOT NULL AND f.hl IS NOT NULL THEN 1 ELSE 0 END,
+  CASE WHEN {_ON} OR {_NEW} THEN walk.a ELSE f.ag END, CASE WHEN {_ON} OR {_NEW} THEN walk.l ELSE coalesce(f.hl, false) END, CASE WHEN {_ON} THEN walk.s ELSE f.n END
+FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n + 1""",
+    "hits": r"""SELECT doc_id, n, agency, CAST(NULL AS DATE) AS as_of, last, row, CASE WHEN regexp_replace(lower(row[1]), '\s+', ' ', 'g') NOT IN ('acme holdings plc', 'acme') THEN 'entity_mismatch' END AS skip
+FROM (SELECT walk.doc_id, walk.s AS n, walk.a AS agency, bool_or(walk.l) AS last, flatten(list(CASE WHEN walk.s = walk.n THEN f.c ELSE f.c[2:] END ORDER BY walk.n)) AS row
+      FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n WHERE walk.p = 2 GROUP BY 1, 2, 3)""",
+}
+#: A cell that is a date as a whole, in the usual spellings.
+_CELL_DAY = "coalesce(" + ", ".join(f"try_strptime(replace(replace(f.c[1], '.', ''), '-', ' '), '{x}')" for x in ("%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y")) + ")"
+DATED_WALK = FEATURES | {
+    # p: 1 after an agency alone on its line, 2 in its table
+    "walk": f"""SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, 0 AS p, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS DATE) AS d FROM feat
+UNION ALL SELECT f.doc_id, f.n, CASE WHEN walk.p = 2 AND f.w > 1 AND {_CELL_DAY} IS NOT NULL THEN 2 WHEN walk.p = 1 AND f.w > 1 AND contains(lower(f.line), 'date') AND contains(lower(f.line), 'rating') THEN 2 WHEN f.w = 1 AND f.ag IS NOT NULL THEN 1 ELSE 0 END,
+  CASE WHEN walk.p > 0 AND f.w > 1 THEN walk.a ELSE f.ag END, CASE WHEN walk.p = 2 AND f.w > 1 THEN CAST({_CELL_DAY} AS DATE) END
+FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n + 1""",
+    "hits": "SELECT f.doc_id, f.n, walk.a AS agency, walk.d AS as_of, false AS last, c AS row, CAST(NULL AS VARCHAR) AS skip FROM walk JOIN feat f ON f.doc_id = walk.doc_id AND f.n = walk.n WHERE walk.p = 2 AND walk.d IS NOT NULL",
+}
+_PLAIN = r"regexp_replace(translate(cell, '‐‑‒–—−', '------'), '\s+', '', 'g')"
+_WATCHED = picked({k: " OR ".join(f"contains(lower(cell), {q(m)})" for m in marks) for k, marks in tf.WATCHES.items()})
+ROWS_READ = {
+    "cells": f"SELECT doc_id, n, agency, last, cell, i, {_PLAIN} AS plain, {_WATCHED} AS watch, CASE WHEN lower(cell) IN ({', '.join(map(q, tf.OUTLOOKS))}) THEN lower(cell) END AS outlook FROM (SELECT doc_id, n, agency, last, unnest(row) AS cell, generate_subscripts(row, 1) AS i FROM hits)",
+    "known": """SELECT c.*, coalesce(e.label, CASE WHEN plain = upper(plain) OR plain = lower(plain) THEN f.label END) AS label FROM cells c LEFT JOIN v_scale e ON e.agency = c.agency AND replace(e.label, ' ', '') = plain
+      LEFT JOIN (SELECT agency, lower(replace(label, ' ', '')) AS low, arg_min(label, seq) AS label FROM v_scale GROUP BY 1, 2) f ON f.agency = c.agency AND f.low = lower(plain)""",
+    "chosen": "SELECT doc_id, n, CASE WHEN bool_or(last) THEN max(i) ELSE min(i) END AS pos FROM known WHERE label IS NOT NULL AND i > 1 GROUP BY 1, 2",
+    "viewed": "SELECT k.doc_id, k.n, arg_min({'o': CASE WHEN watch IS NULL THEN outlook END, 'w': watch}, i) AS v FROM known k JOIN chosen x ON x.doc_id = k.doc_id AND x.n = k.n AND i > x.pos WHERE outlook IS NOT NULL OR watch IS NOT NULL GROUP BY 1, 2",
+    "table_rows": """SELECT h.doc_id, CAST(h.n - 1 AS INT) AS n, h.agency, CASE WHEN h.skip IS NULL THEN k.label END AS label, CASE WHEN h.skip IS NULL THEN notch END AS notch, CASE WHEN h.skip IS NULL THEN v.o END AS outlook,
+      CASE WHEN h.skip IS NULL AND k.label IS NOT NULL THEN coalesce(v.w, 'none') END AS watch, CASE WHEN h.skip IS NULL AND k.label IS NOT NULL THEN as_of END AS as_of, coalesce(h.skip, CASE WHEN k.label IS NULL THEN 'no_long_term_label' END) AS skip
+      FROM hits h LEFT JOIN chosen x ON x.doc_id = h.doc_id AND x.n = h.n LEFT JOIN known k ON k.doc_id = h.doc_id AND k.n = h.n AND k.i = x.pos
+      LEFT JOIN viewed ON viewed.doc_id = h.doc_id AND viewed.n = h.n LEFT JOIN v_scale s ON s.agency = h.agency AND s.label = k.label""",
+}

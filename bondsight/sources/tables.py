@@ -191,41 +191,3 @@ def gold_build(labels: DataFrame, docs: DataFrame) -> DataFrame:
     both = labels.join(docs.select("doc_id", "text"), "doc_id")
     problem = F.when(~F.contains("text", "quote"), "quote not found").when((F.col("status") == "breached") & ~F.col("quote").rlike(r"(?i)\bbreach"), "status not supported")
     return both.select("doc_id", (F.expr("instr(text, quote)") - 1).alias("start"), problem.alias("problem"))
-
-
-def table_rows(lines: DataFrame) -> DataFrame:
-    """E-11: rating rows "agency | label" of a document after a heading line "ratings ... as of <date>", dated by it."""
-    from pyspark.sql import Window
-
-    from bondsight.functions.scales import label_to_notch, resolve_agency
-
-    by = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    day = F.try_to_date(F.regexp_extract("line", r"(?i)ratings?\b.*\bas of (\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    out = lines.withColumn("as_of", F.last(day, ignorenulls=True).over(by)).withColumn("cells", F.split("line", r" \| ")).where((F.size("cells") >= 2) & F.col("as_of").isNotNull())
-    out = out.withColumn("named", F.col("cells")[0]).withColumn("label", F.col("cells")[1])
-    return label_to_notch(resolve_agency(out, "named", "agency"), "agency", "label", "notch").where("notch is not null").select("doc_id", "n", "agency", "label", "notch", "as_of")
-
-
-def current_rows(lines: DataFrame, names: list[str]) -> DataFrame:
-    """E-12: the rating in the row below a header "agency | ... short ... long ...", with why it gives none.
-
-    The row's first cell must be one of the entity's names; lines that begin with a cell mark go on with the row. Of
-    the agency's long-term labels in it the last counts if the header names the long term last, else the first.
-    """
-    from pyspark.sql import Window
-
-    from bondsight.functions.scales import resolve_agency, scale
-
-    cells, low = F.split("line", r" \| "), F.lower("line")
-    heads = resolve_agency(lines.where(low.contains("short") & low.contains("long") & F.col("line").contains(" | ")).select("doc_id", "n", cells[0].alias("named"), (F.instr(low, "long") > F.instr(low, "short")).alias("last")), "named", "agency")
-    heads = heads.where("agency is not null").select(F.col("doc_id").alias("_d"), F.col("n").alias("_n"), "agency", "last")
-    after = F.lead("line", 1, "").over(Window.partitionBy("doc_id").orderBy("n"))
-    rows = lines.withColumn("after", after).where(F.col("line").contains("|"))
-    row = F.concat(cells, F.when(F.col("after").startswith("|"), F.slice(F.split("after", r" \| "), 2, 99)).otherwise(F.array().cast("array<string>")))
-    both = rows.withColumn("row", row).join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("n") == F.col("_n") + 1))
-    known = F.broadcast(scale(lines.sparkSession).groupBy(F.col("agency").alias("_a")).agg(F.collect_list("label").alias("known")))
-    both = both.join(known, F.col("agency") == F.col("_a"))
-    labels = F.filter(F.slice("row", 2, 99), lambda x: F.array_contains("known", x))
-    skip = F.when(~F.lower(F.col("row")[0]).isin(*(x.lower() for x in names)), "entity_mismatch").when(F.size(labels) == 0, "no_long_term_label")
-    outlook = F.try_element_at(F.filter("row", lambda x: x.isin("stable", "negative", "positive", "developing")), F.lit(-1))
-    return both.select("doc_id", "n", "agency", F.when(F.col("last"), F.try_element_at(labels, F.lit(-1))).otherwise(F.try_element_at(labels, F.lit(1))).alias("label"), outlook.alias("outlook"), skip.alias("skip"))

@@ -58,6 +58,12 @@ SENTENCES = (
     "Moody's lowered the short-term rating to Ba1 from Baa3. Fitch cut it from Baa1 to BB.",
     "Our ratings as of 2024-02-20\nAgency | Long term\nS&P | BBB+ | stable\nMoody's | Baa2 | negative\nNobody | A",
     "S&P | Short term | Long term\nAcme Holdings plc | A-2 | BBB+ | stable\nFitch | Long term | Short term\nOther plc | BBB | F2\nMoody's | Long term | Short term\nAcme | Baa2\n| P-2 | negative",
+    "Debt ratings as of June 30, 2024 were as follows\nThey are unsolicited.\nAgency | Short-term | Long-term | Outlook\nS&P(1) | A-2 | BBB+ | Stable\nMoody’s  Investors Service\n| P-2 | Baa2 | Review for downgrade\nFitch** | F2 | WD\nTotal | 3",
+    "Credit ratings as of February 30, 2024\nS&P | BBB",
+    "Ratings as of May 1, 2024\none\ntwo\nRatings as of May 2, 2023\nFitch | bbb- | none | RWN\nFitch | BBB\nRatings as of May 3, 2022\na\nb\nc\nd\nFitch | BBB",
+    "The credit rating, as of December 31, 2023, is shown\nS&P | A\nS&P | A-\nS&P | A+\nFitch | AA\nFitch | AA-\nFitch | AA+\nMoody's | A1\nMoody's | A2\nMoody's | A3",
+    "Fitch Ratings | Short-Term | Long-Term | Outlook\nAcme | F2\n| unsolicited\n| BBB+\n| Rating Watch Negative | stable\nS&P | Long-Term\nMoody's | Long-Term\nACME  holdings plc | Baa1 | bbb | Positive\nMoody's | Long-Term\n| Baa2",
+    "Fitch Ratings\nDate | Rating | Outlook\nMarch 5, 2024 | BBB+ | Stable\n8 Jul 2023 | NR\n17-Dec-2022 | bbb | Negative\nMay 2022 | A\nMoody's\nYear | Rating\nMay 1, 2024 | Baa1\nS&P\nRating | Date\nDec. 1, 2021 or so | BB",
 )
 
 
@@ -164,4 +170,4 @@ def oracle(sql: str, **extra: str) -> str:
     """The statement with its views, and named extra views after them, as common table expressions for DuckDB."""
     whole = sql + " ".join(extra.values())
     ctes = [f"{v} AS ({text(v, False)})" for v in needed(whole)] + [f"{k} AS ({v})" for k, v in extra.items()]
-    return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
+    return f"WITH RECURSIVE {', '.join(ctes)} {sql}" if ctes else sql

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from bondsight.functions import textfns as tf
-from bondsight.operators import dedup, rules, state
+from bondsight.operators import dedup, profiles, rules, state
 
 DAY = dt.date(2024, 6, 1)
 CAND = "issuer_id string, agency string, notch int, as_of date, rating_type string, origin string, outlook string, source string"
@@ -147,13 +147,37 @@ def test_risk_readings(spark):
     assert got == list(liquid.values())
 
 
+def table_of(spark, text, profile, names=None):
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    found = profiles.rating_rows(docs, profile, names).orderBy("start").collect()
+    assert all(text[r.start : r.end].startswith(text.split("\n")[r.n]) for r in found)
+    return [(r.agency, r.label, r.outlook, r.watch, r.as_of, r.skip) for r in found]
+
+
 def test_current_ratings_table(spark):
-    from bondsight.sources import tables
+    text = "S&P | Short term | Long term\nAcme | A-2 | BBB+ | stable\nFitch | Long term | Short term\nOther | BBB | F2\nMoody's | Long term | Short term\nACME | Baa2\n| P-2\n| x\n| negative\nDBRS | Short-term | Long-term\nAcme | R-1\nFitch | Long-Term\nMoody's | Long-Term\n | Baa1"
+    assert table_of(spark, text, "current", ["Acme"]) == [
+        ("SP", "BBB+", "stable", "none", None, None), ("FITCH", None, None, None, None, "entity_mismatch"), ("MOODYS", "Baa2", "negative", "none", None, None), ("DBRS", None, None, None, None, "no_long_term_label"),
+    ]
+    assert [r[5] for r in table_of(spark, text, "current")] == [None, None, None, "no_long_term_label"]  # no names: any entity
+
+
+def test_ratings_table_as_of(spark):
+    """Split rows, footnotes, a header that names the long term last, a heading inside the wait, one row too many."""
+    day = dt.date(2024, 6, 30)
+    text = "Our RATINGS as of June 30, 2024:\na\nAgency | Short Term | Long Term\nRatings as of May 1, 2020\nS&P(1) | A-2 | BBB+ | CreditWatch Negative\nMoody's*\n | P-2 | Baa2 | x | Stable\nFitch | F2\nend\nFitch | BBB"
+    assert table_of(spark, text, "as_of") == [("SP", "BBB+", None, "negative", day, None), ("MOODYS", "Baa2", "stable", "none", day, None), ("FITCH", None, None, None, None, "no_long_term_label")]
+    nine = "rating as of June 30, 2024\n" + "\n".join(["Fitch | bbb-"] * 9)
+    assert [r[1] for r in table_of(spark, nine, "as_of")] == ["BBB-"] * 8
+    for none in ("rating as of 2024-06-30\nFitch | BBB", "rating as of June 31, 2024\nFitch | BBB", "rating as of June 30, 2024\na\nb\nc\nd\nFitch | BBB", "as of June 30, 2024\nFitch | BBB", "rating as of Jun 30, 2024\nFitch | BBB"):
+        assert table_of(spark, none, "as_of") == []
+    late = "rating as of June 30, 2024\na\nb\nc\nFitch | BBB\nrating as of May 5, 2023\nFitch | A"
+    assert [(r[1], r[4]) for r in table_of(spark, late, "as_of")] == [("BBB", day), ("A", dt.date(2023, 5, 5))]
+
 
-    text = "S&P | Short term | Long term\nAcme | A-2 | BBB+ | stable\nFitch | Long term | Short term\nOther | BBB | F2\nMoody's | Long term | Short term\nACME | Baa2\n| P-2 | negative\nDBRS | Short term | Long term\nAcme | R-1"
-    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "doc_id long, n int, line string")
-    got = {r.agency: (r.label, r.outlook, r.skip) for r in tables.current_rows(lines, ["Acme"]).collect()}
-    assert got == {"SP": ("BBB+", "stable", None), "FITCH": ("BBB", None, "entity_mismatch"), "MOODYS": ("Baa2", "negative", None), "DBRS": (None, None, "no_long_term_label")}
+def test_ratings_table_dated(spark):
+    text = "Fitch\nRating | Date\n5 March 2024 | A | A- | positive\nDec. 17, 2022 | NR\n1 May 2021 (x) | B\n1 May 2020 | B\nS&P\nLabel | Day\n1 May 2020 | B\nS&P\nx\nDate | Rating\n1 May 2020 | B"
+    assert table_of(spark, text, "dated") == [("FITCH", "A", "positive", "none", dt.date(2024, 3, 5), None), ("FITCH", None, None, None, None, "no_long_term_label")]
 
 
 def test_leverage_raises_a_priority(spark):
