@@ -129,6 +129,15 @@ def matrix(events: DataFrame) -> DataFrame:
     return events.select("event_key", "family", F.explode(rows).alias("r")).select("event_key", "family", "r.*")
 
 
+def named(rank: Column) -> Column:
+    return F.when(rank == 3, "P1").when(rank == 2, "P2").when(rank == 1, "P3")
+
+
+def raised(rank: Column, by: Column, to_first: Column) -> Column:
+    """The final rank: raised by so many, or to the first; none stays none."""
+    return F.when(rank > 0, F.least(F.lit(3), F.greatest(rank + by, F.when(to_first, 3).otherwise(0))))
+
+
 def decide(based: DataFrame, leverage: DataFrame | None = None, threshold: float = LEVERAGE_ABOVE) -> DataFrame:
     """Modifiers and the final priority. MOD-01: a negative event whose issuer's weakest rating stands at the last
     investment grade is raised by one. MOD-02: a negative P2 event with WINDOW_EVENTS such in the WINDOW_DAYS up to its
@@ -146,12 +155,10 @@ def decide(based: DataFrame, leverage: DataFrame | None = None, threshold: float
     else:
         df = with_leverage(df, leverage)
     df = df.withColumn("mod03", F.coalesce(F.col("negative") & (F.col("leverage") > threshold), F.lit(False)))
-    raised = F.least(F.lit(3), F.greatest(F.col("base_rank") + F.col("mod01").cast("int") + F.col("mod03").cast("int"), F.when(F.col("mod02"), 3).otherwise(0)))
     decided = F.col("base_rank") > 0
-    final = F.when(decided, raised)
-    name = lambda r: F.when(r == 3, "P1").when(r == 2, "P2").when(r == 1, "P3")
+    final = raised(F.col("base_rank"), F.col("mod01").cast("int") + F.col("mod03").cast("int"), F.col("mod02"))
     applied = F.concat(F.col("triggered"), F.array_compact(F.array(*(F.when(F.col(m.lower().replace("-", "")) & decided, F.lit(m)) for m in MODIFIERS))))
-    return df.withColumn("base_priority", name(F.col("base_rank"))).withColumn("priority", name(final)).withColumn("applied", applied).withColumn("decision_status", F.when(decided, "DECIDED").otherwise("NO_APPLICABLE_RULE"))
+    return df.withColumn("base_priority", named(F.col("base_rank"))).withColumn("priority", named(final)).withColumn("applied", applied).withColumn("decision_status", F.when(decided, "DECIDED").otherwise("NO_APPLICABLE_RULE"))
 
 
 def decide_all(rating: DataFrame, earnings: DataFrame, issuance: DataFrame, found: DataFrame, leverage: DataFrame | None = None) -> DataFrame:

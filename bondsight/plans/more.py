@@ -69,12 +69,6 @@ def universe_load(load):
     return each.join(shared, "alias").groupBy("alias").agg(F.count_distinct("issuer_id").alias("n"))
 
 
-@R.query("S15_fixture_replay", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing_bytes' ELSE 'present' END AS status FROM v_documents WHERE published >= DATE '2024-03-01'")
-def fixture_replay(load):
-    m = load("v_documents").select("doc_id", F.col("published").alias("day"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("raw_hash"))
-    return src.replayed(m, m.where("doc_id % 5 != 0"), F.lit("2024-03-01").cast("date")).select("doc_id", "status")
-
-
 @R.query("S12_table_sinks", "SELECT event_key, CASE WHEN event_key % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM v_rating_events")
 def table_sinks(load):
     e = load("v_rating_events").select("event_key")

@@ -220,12 +220,6 @@ def cache_lookup(load):
     return rp.cache_lookup(e, e.where("event_id % 4 = 0").select("cache_key")).select("event_id", "hit")
 
 
-@R.query("S02_select_filings", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS filing_date, o_orderpriority AS form FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-06-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
-def select_filings(load):
-    day = F.col("o_orderdate").cast("date")
-    return load("orders").where((day >= F.lit("1996-06-01").cast("date")) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", day.alias("filing_date"), F.col("o_orderpriority").alias("form"))
-
-
 @R.query("E18_outcome", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM v_pred WHERE validation_status = 'VALID') THEN 'EVENTS' WHEN doc_id IN (SELECT doc_id FROM v_pred) THEN 'OBSERVATIONS_ONLY' ELSE 'NO_EVENT' END AS outcome FROM documents")
 def outcome(load):
     p = load("v_pred")

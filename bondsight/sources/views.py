@@ -167,7 +167,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(sql: str, **extra: str) -> str:
-    """The statement with its views, and named extra views after them, as common table expressions for DuckDB."""
+    """The statement with its views, and named extra views after them, as common table expressions for DuckDB;
+    an extra view may name itself."""
     whole = sql + " ".join(extra.values())
     ctes = [f"{v} AS ({text(v, False)})" for v in needed(whole)] + [f"{k} AS ({v})" for k, v in extra.items()]
-    return f"WITH RECURSIVE {', '.join(ctes)} {sql}" if ctes else sql
+    again = any(re.search(rf"\b(?:FROM|JOIN) {k}\b", v) for k, v in extra.items())
+    return f"WITH {'RECURSIVE ' if again else ''}{', '.join(ctes)} {sql}" if ctes else sql

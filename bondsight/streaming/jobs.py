@@ -1,31 +1,125 @@
-"""Documents as they land, alert digests, and decisions that late events change: Structured Streaming."""
+"""Documents to decisions as they land, alert digests, and decisions that late events change: Structured Streaming."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bondsight.operators import rules
 
+#: Hours between the digests of a priority; those without are sent at once.
+DIGEST_HOURS = {"P2": 4, "P3": 24}
+DAY_MS = 86_400_000
+
 
 def new_documents(stream: DataFrame, ts: str, content: str, delay: str = "1 day") -> DataFrame:
     """ST-01: each content once within the watermark; restarts go on from the checkpoint."""
     return stream.withColumn("content_hash", F.sha2(content, 256)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def digest(alerts: DataFrame, ts: str, every: str, delay: str = "1 hour") -> DataFrame:
-    """ST-02: alerts of a priority in tumbling windows of effective time; a window is sent when the watermark passes it."""
-    return alerts.withWatermark(ts, delay).groupBy(F.window(ts, every).alias("w"), "priority").agg(F.count("*").alias("n"), F.collect_list("event_key").alias("event_keys")).select("w.start", "w.end", "priority", "n", "event_keys")
-
+def once(steps: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
+    """ST-01: for foreachBatch: each step's rows of a batch, written below path/<step>/batch=<its number>.
 
-def redecide(events: Callable[[], DataFrame], out: Callable[[DataFrame, int], None], leverage: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """ST-03: for foreachBatch: decide anew the issuers that a batch touches, over all their based events so far. Late
-    events count by their effective day, so earlier decisions of the days after may change."""
+    A step reads what the step before has written, so that all of a batch's tables tell the same. A batch that is begun
+    again after a failure has the same number and the same input, and its folders are written anew as a whole: rows are
+    there once, whatever was half done.
+    """
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        touched = df.select("issuer_id").distinct()
-        out(rules.decide(events().join(touched, "issuer_id", "left_semi"), leverage), epoch)
+    def batch(df: DataFrame, number: int) -> None:
+        for name, step in steps.items():
+            at = f"{path}/{name}/batch={number}"
+            df = step(df)
+            df.write.mode("overwrite").parquet(at)
+            df = df.sparkSession.read.schema(df.schema).parquet(at)
 
     return batch
+
+
+def digest(alerts: DataFrame, ts: str, hours: dict[str, int] | None = None, delay: str = "1 hour") -> DataFrame:
+    """ST-02: one stream in tiers: (start, end, priority, n, event_keys).
+
+    Alerts of a priority without a digest pass through at once, each its own row from its time to its time, however late.
+    Those of the others wait in tumbling windows of effective time, which are sent when the watermark passes their end;
+    rows that come late but before that are counted in their window.
+    """
+    hours = DIGEST_HOURS if hours is None else hours
+    known = alerts.withWatermark(ts, delay)
+    row = lambda df: df.select("start", "end", "priority", "n", "event_keys")
+    at_once = alerts.where(~F.col("priority").isin(*hours)).select(F.col(ts).alias("start"), F.col(ts).alias("end"), "priority", F.lit(1).cast("long").alias("n"), F.array("event_key").alias("event_keys"))
+    out = row(at_once)
+    for priority, every in hours.items():
+        windows = known.where(F.col("priority") == priority).groupBy(F.window(ts, f"{every} hours").alias("w"), "priority").agg(F.count("*").alias("n"), F.collect_list("event_key").alias("event_keys"))
+        out = out.unionByName(row(windows.select("w.start", "w.end", "priority", "n", "event_keys")))
+    return out
+
+
+class Trailing(StatefulProcessor):
+    """ST-03: an issuer's negative P2 events by effective day; an event decides anew the days it can change, and no others.
+
+    State: a day's events. A timer drops a day when the watermark has passed the last day that it can change.
+    """
+
+    def __init__(self, days: int, least: int) -> None:
+        self.span, self.least = days, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day int", "keys array<bigint>, families array<string>, raises array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).drop_duplicates(["event_key", "family"])
+        for day, part in new.groupby("day"):
+            held = self.days.getValue((int(day),)) or ([], [], [])
+            known = set(zip(held[0], held[1], strict=True))
+            fresh = [(int(r.event_key), r.family, int(r.raises)) for r in part.itertuples() if (r.event_key, r.family) not in known]
+            self.days.updateValue((int(day),), tuple([*a, *b] for a, b in zip(held, zip(*fresh, strict=True), strict=True)) if fresh else held)
+            self.handle.registerTimer((int(day) + self.span + 1) * DAY_MS)
+        held = {k[0]: v for k, v in self.days.iterator()}
+        arrived = sorted(set(new.day))
+        out = []
+        for day, (keys, families, raises) in held.items():
+            if any(x <= day <= x + self.span for x in arrived):
+                recent = sum(len(v[0]) for d, v in held.items() if day - self.span <= d <= day)
+                out += [(key[0], k, f, r, recent, recent >= self.least) for k, f, r in zip(keys, families, raises, strict=True)]
+        yield pd.DataFrame(out, columns=["issuer_id", "event_key", "family", "raises", "recent", "mod02"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.span - 1,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """Keyed state with timers needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def redecide(based: DataFrame, delay: str, window: int = rules.WINDOW_DAYS, least: int = rules.WINDOW_EVENTS) -> DataFrame:
+    """ST-03: a stream of based events (issuer_id, event_key, family, eff, base_rank, negative, mod01, mod03) to decisions
+    (event_key, family, priority, mod02, recent), again for each event that a later arrival changes.
+
+    Only negative P2 events look at others, so only they are keyed by issuer and kept; the rest pass through. Events may
+    come as late as `delay`; the decision of an event with the largest `recent` is the last, as counts only grow.
+    """
+    with_state_store(based.sparkSession)
+    rows = based.withColumn("raises", F.coalesce(F.col("mod01").cast("int"), F.lit(0)) + F.coalesce(F.col("mod03").cast("int"), F.lit(0)))
+    p2 = F.coalesce(F.col("negative") & (F.col("base_rank") == rules.RANK["P2"]), F.lit(False))
+    done = lambda df, mod02, rank: df.select("event_key", "family", rules.named(rules.raised(rank, F.col("raises"), mod02)).alias("priority"), mod02.alias("mod02"), "recent")
+    alone = done(rows.where(~p2 | F.col("eff").isNull()).withColumn("recent", F.lit(0).cast("long")), F.lit(False), F.col("base_rank"))
+    timed = rows.where(p2 & F.col("eff").isNotNull()).withColumn("at", F.col("eff").cast("timestamp")).withWatermark("at", delay)
+    timed = timed.select("issuer_id", "event_key", "family", "raises", F.unix_date("eff").alias("day"), "at")
+    kept = timed.groupBy("issuer_id").transformWithStateInPandas(Trailing(window, least), "issuer_id string, event_key long, family string, raises int, recent long, mod02 boolean", "Append", "EventTime")
+    return alone.unionByName(done(kept, F.col("mod02"), F.lit(rules.RANK["P2"])))
+
+
+def last_decisions(log: DataFrame) -> DataFrame:
+    """ST-03: the decision that stands of each event."""
+    return log.groupBy("event_key", "family").agg(F.max_by(F.struct("priority", "mod02"), "recent").alias("d")).select("event_key", "family", "d.*")
+
