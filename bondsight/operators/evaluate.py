@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,24 +50,6 @@ def field_agreement(matched: DataFrame) -> DataFrame:
     return rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("same").alias("agreement"))
 
 
-def first_fit(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """J-17: one-to-one, first fit by prediction then gold order, on overlapping spans. Overlap is no equivalence, so a
-    document's pairs are walked in order; a group is the overlapping pairs of one document."""
-    v = pred.where("validation_status = 'VALID'").select("doc_id", "idx", "s0", "s1", "status")
-    pairs = v.join(gold.select("doc_id", "k", F.col("s0").alias("g0"), F.col("s1").alias("g1"), "split", F.col("status").alias("gold_status")), "doc_id").where("s0 < g1 and g0 < s1")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done, keep = set(), set(), []
-        for i, (idx, k) in enumerate(zip(pdf.sort_values(["idx", "k"]).idx, pdf.sort_values(["idx", "k"]).k, strict=True)):
-            if idx not in done and k not in used:
-                done.add(idx)
-                used.add(k)
-                keep.append(i)
-        return pdf.sort_values(["idx", "k"]).iloc[keep][["doc_id", "idx", "k", "split", "status", "gold_status"]]
-
-    return pairs.groupBy("doc_id").applyInPandas(walk, "doc_id long, idx long, k long, split string, status string, gold_status string")
-
-
 def unmatched_overlapping(pred: DataFrame, matched: DataFrame, passages: DataFrame) -> DataFrame:
     """J-18: valid predictions without a match that overlap an ineligible passage (doc_id, p0, p1)."""
     left = pred.where("validation_status = 'VALID'").join(matched.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti")

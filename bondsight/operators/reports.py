@@ -59,22 +59,6 @@ def spend(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(F.broadcast(p), "model").withColumn("cost", (F.col("input_tokens") * F.col("i") + F.col("output_tokens") * F.col("o")) / 1e6).drop("i", "o")
 
 
-def budget_gate(calls: DataFrame, limit: int) -> DataFrame:
-    """A-11: calls (run_id, call_id, estimate, actual) of a run in order: refused if spent + estimate passes the limit, and
-    then free; later smaller ones may pass. A run's calls are folded as one array; runs are parallel."""
-    row = F.struct("call_id", "estimate", "actual")
-    runs = calls.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("calls"))
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<struct<call_id:bigint,refused:boolean,spent:bigint>>").alias("log"))
-
-    def step(acc: Column, x: Column) -> Column:
-        refused = acc["spent"] + x["estimate"] > limit
-        spent = (acc["spent"] + F.when(refused, 0).otherwise(x["actual"])).cast("bigint")
-        entry = F.struct(x["call_id"].cast("bigint").alias("call_id"), refused.alias("refused"), spent.alias("spent"))
-        return F.struct(spent.alias("spent"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    return runs.select("run_id", F.explode(F.aggregate("calls", start, step)["log"]).alias("x")).select("run_id", "x.*")
-
-
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """C-08: one row for each row that breaks a check."""
     return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("check_name"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in checks.items()))

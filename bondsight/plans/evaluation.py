@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bondsight.operators import evaluate as ev
+from bondsight.operators import folds
 from bondsight.plans.registry import Registry
 
 R = Registry()
@@ -25,9 +26,18 @@ def gold_match(load):
     return matched(load).select("doc_id", "k", "idx", "metric")
 
 
-@R.query("J17_gold_span_match")
+#: Overlapping pairs in order, walked one at a time with what is taken.
+FIT = {
+    "pairs": "SELECT g.doc_id, g.k, p.idx, g.split, p.status, g.status AS gold_status, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.k, p.idx) AS rn FROM v_gold g JOIN v_pred p ON g.doc_id = p.doc_id AND p.validation_status = 'VALID' AND p.s0 < g.s1 AND g.s0 < p.s1",
+    "fit": """SELECT doc_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ks, CAST([] AS BIGINT[]) AS ids, false AS hit FROM (SELECT DISTINCT doc_id FROM pairs)
+UNION ALL SELECT p.doc_id, p.rn, CASE WHEN fresh THEN list_append(ks, p.k) ELSE ks END, CASE WHEN fresh THEN list_append(ids, p.idx) ELSE ids END, fresh
+FROM (SELECT q.*, ks, ids, NOT list_contains(ks, q.k) AND NOT list_contains(ids, q.idx) AS fresh FROM fit JOIN pairs q ON q.doc_id = fit.doc_id AND q.rn = fit.rn + 1) p""",
+}
+
+
+@R.query("J17_gold_span_match", "SELECT doc_id, idx, k, split, status, gold_status FROM fit JOIN pairs USING (doc_id, rn) WHERE hit", **FIT)
 def gold_span_match(load):
-    return ev.first_fit(load("v_gold"), load("v_pred"))
+    return folds.first_fit(load("v_gold"), load("v_pred"))
 
 
 @R.query("J18_ineligible_overlap", "SELECT doc_id, idx FROM v_pred p WHERE validation_status = 'VALID' AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.idx = p.idx) AND EXISTS (SELECT 1 FROM v_gold g WHERE g.doc_id = p.doc_id AND g.k % 2 = 1 AND p.s0 < g.s1 AND g.s0 < p.s1)", **M)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bondsight.operators import folds
 from bondsight.operators import reports as rp
 from bondsight.plans.rating import ALL, BEFORE, CAND, NAME, before, decided  # noqa: F401
 from bondsight.plans.registry import Registry
@@ -123,7 +124,7 @@ SELECT * FROM f)"""
 @R.query("A11_budget_gate", "SELECT run_id, call_id, refused, spent FROM gate", calls=CALLS, gate=GATE)
 def budget_gate(load):
     calls = load("v_calls").select("run_id", "call_id", (F.col("input_tokens") + F.col("output_tokens") * 5).alias("estimate"), (F.col("input_tokens") + F.col("output_tokens") * 4).alias("actual"))
-    return rp.budget_gate(calls, 60_000)
+    return folds.budget_gate(calls, 60_000)
 
 
 @R.query("A12_spend_ledger", "SELECT run_id, call_id, round(CAST(sum(cost) OVER (PARTITION BY run_id ORDER BY call_id) AS DOUBLE), 6) AS spent FROM spend", spend=SPEND)

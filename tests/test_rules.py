@@ -244,28 +244,6 @@ def test_fuzzy_spans_of_every_document(spark):
     assert sorted((r.doc_id, r.match) for r in more.span_fuzzy(lambda name: docs).collect()) == [(1, "fuzzy"), (5, "fuzzy"), (18, "fuzzy")]
 
 
-def test_first_fit_of_overlapping_spans(spark):
-    """J-17 against a plain walk over random spans."""
-    import random
-
-    from bondsight.operators import evaluate
-
-    rng = random.Random(5)
-    span = lambda: (lambda a: (a, a + rng.randint(1, 30)))(rng.randint(0, 100))
-    gold = [(d, k, *span(), "dev", "cut") for d in range(8) for k in range(6)]
-    pred = [(d, i, *span(), "VALID" if rng.random() < 0.8 else "INVALID", "cut") for d in range(9) for i in range(6)]
-    want = set()
-    for d in range(9):
-        taken = set()
-        for _, i, a, b, ok, _ in (p for p in pred if p[0] == d and p[4] == "VALID"):
-            k = next((g[1] for g in gold if g[0] == d and g[1] not in taken and a < g[3] and g[2] < b), None)
-            if k is not None:
-                taken.add(k)
-                want.add((d, k, i))
-    found = evaluate.first_fit(spark.createDataFrame(gold, "doc_id long, k long, s0 long, s1 long, split string, status string"), spark.createDataFrame(pred, "doc_id long, idx long, s0 long, s1 long, validation_status string, status string"))
-    assert {(r.doc_id, r.k, r.idx) for r in found.collect()} == want and len(want) > 10
-
-
 def test_greedy_of_a_hot_key(spark):
     """D-03 against a plain fold: many events a day, days without gaps, null days and null keys."""
     import random
