@@ -64,7 +64,7 @@ UNABLE = [f"{x} to continue as a going concern" for x in ("unable", "not be able
 BREACH = [*forms("breach violate"), "breaches", "violation", "violations", "non compliance", "noncompliance", "not in compliance"]
 COVENANT = "covenant covenants".split()
 STRAIN = "concern concerns constraint constraints constrained shortfall shortfalls pressure pressures tightened tightening strained insufficient".split()
-NEGATIONS = "no not without never neither nor".split()
+NEGATIONS = [*"no not without never neither nor".split(), "free of", "absence of"]
 MODALS = "may might could would can if when should unless potential future any".split()
 EVALUATION = [*forms("evaluate assess"), "evaluation", "assessment", "whether"]
 CONCLUSIONS = "concluded determined identified believes".split()
@@ -82,26 +82,33 @@ FLAGS = {
 FLAGS_NEED = [*COVENANT, "doubt", "uncertainty", "uncertainties", "unable", "able", "impairment", "impairments", "liquidity"]
 #: What each flag's marker is, for a negation within five words before it.
 MARKERS = {"going_concern": [*DOUBTS, *UNABLE], "covenant": BREACH, "impairment": [f"{w} impairment" for w in WEIGHTY], "liquidity": ["liquidity", *STRAIN]}
-DENIED = {flag: before([n for n in NEGATIONS if n != "not"] if flag == "covenant" else NEGATIONS, marker, 5) + r"|(?i)\bdoes\s+not\s+cast\b|(?i)\bnot\s+(?:impacted|affected|exposed|in\s+breach|in\s+default)\b" for flag, marker in MARKERS.items()}
+#: What is denied after its own negation: nothing casts doubt, nobody is affected or in default.
+UNTOUCHED = [*forms("affect impact expose"), "cast", "in breach", "in default"]
+DENIED = {flag: before([n for n in NEGATIONS if n != "not"] if flag == "covenant" else NEGATIONS, marker, 5) + "|" + near(["not"], UNTOUCHED, 1) for flag, marker in MARKERS.items()}
 SUPPOSED = {flag: before(MODALS, marker, 6) + f"|{near(MARKERS[flag], ['if', 'could', 'might', 'may', 'would'], 2)}" for flag, marker in MARKERS.items()}
 
 DOUBT_DENIED = before(NEGATIONS, [*DOUBTS, *UNABLE], 5)
 DOUBT_SUPPOSED = before(MODALS, [*DOUBTS, *UNABLE], 6)
 DOUBT_WEIGHED = before(EVALUATION, [*DOUBTS, *UNABLE], 20)
-DOUBT_CONDITION = r"(?i)^\s*(?:if|should|unless|were)\b"
+DOUBT_CONDITION = rf"(?i)^\W*{words(['if', 'should', 'unless', 'were'])}\b"
 DOUBT_CONCLUDED = before(CONCLUSIONS, [*DOUBTS, *UNABLE], 30)
 RELIEVED, RELIEF_OPEN = phrase(RELIEF), before(NOT_YET, RELIEF, 4)
 
 # Liquidity topics and worries, covenant compliance and anticipation, resolutions.
 LIQUIDITY_TOPIC = f"(?i)\\b{words(['liquidity', 'cash', 'credit line', 'credit lines', 'credit facility', 'credit facilities', 'line of credit', 'lines of credit', 'revolving', 'liquid assets'])}\\b"
-WORRY = [*STRAIN, *forms("weaken deteriorate"), "tight", "stress", "stressed", "squeeze", "deterioration", "insufficiency", "uncertainty", "uncertainties", "substantial doubt", "at risk", "risk of", "unable to meet", "unable to fund", "unable to service", "unable to repay"]
+WORRY = [*STRAIN, *forms("weaken deteriorate"), "tight", "stress", "stressed", "squeeze", "deterioration", "insufficiency", "uncertainty", "uncertainties", "substantial doubt", "at risk", "risk of", *(f"unable to {v}" for v in ("meet", "fund", "service", "repay"))]
+WORRY += [f"{d} {v}" for d in ("difficulty", "difficulties", "difficulty in", "difficulties in") for v in ("meeting", "funding", "refinancing")]
+WORRY += [f"{d} {p} liquidity" for d in [*forms("reduce"), "reduction"] for p in ("in", "of", "of our", "in our", "our")]
 WORRIED, WORRY_DENIED = phrase(WORRY), before(NEGATIONS, WORRY, 5)
 NOT_ENOUGH = near("not no never cannot", ["sufficient", "adequate", "enough", "assurance", "able to meet", "able to maintain", "able to fund"], 9)
 ADVERSE = near(MODALS[:4], [f"adversely {v}" for v in forms("affect impact")], 3)
 COMPLIANT = f"{phrase(['are', 'were', 'is', 'was', 'remain', 'remains', 'remained'], ['in compliance'])}|{phrase(['complied with'])}|{before(['no'], ['breach', 'violation', 'default', 'event of default'], 4)}|{phrase(['not in'], ['breach', 'default'])}"
-ANTICIPATED = f"{near(['may', 'might', 'could'], ['breach', 'not comply', 'result in a breach'], 3)}|{near(forms('anticipate expect'), ['non compliance', 'breach', 'not be in compliance', 'unable to comply'], 6)}|{phrase(['risk of'], ['breach', 'default', 'a breach', 'non compliance'])}|{phrase(['unable to'], ['comply', 'meet', 'maintain'])}"
-BREACHED = f"{phrase(BREACH)}|{phrase(['failed to', 'failure to', 'did not'], ['comply', 'meet', 'maintain', 'satisfy'])}"
-BREACH_DENIED, BREACH_SUPPOSED = before([n for n in NEGATIONS if n != "not"], BREACH, 5), before(["future", "potential", "any", "if", "should", "may", "might", "could", "would"], BREACH, 4)
+ANTICIPATED = f"{near(['will'], ['not remain in compliance', 'not be in compliance'], 1)}|{near(['may', 'might', 'could'], ['breach', 'not comply', 'result in a breach'], 3)}|{near(forms('anticipate expect'), ['non compliance', 'breach', 'not be in compliance', 'unable to comply'], 6)}|{phrase(['risk of'], ['breach', 'default', 'a breach', 'non compliance'])}|{phrase(['unable to'], ['comply', 'meet', 'maintain'])}"
+#: A default is a breach where the sentence ties it to a covenant or to compliance.
+DEFAULTS = either(["event of default", "events of default"], ["covenant", "covenants", "compliance"], 12)
+BREACHED = f"{phrase(BREACH)}|{phrase(['failed to', 'failure to', 'did not'], ['comply', 'meet', 'maintain', 'satisfy'])}|{phrase(['has', 'have', 'had'], ['not met'])}|{DEFAULTS}"
+_BREACHES = [*BREACH, "event of default", "events of default"]
+BREACH_DENIED, BREACH_SUPPOSED = before([n for n in NEGATIONS if n != "not"], _BREACHES, 5), before(["future", "potential", "any", "if", "should", "may", "might", "could", "would"], _BREACHES, 4)
 RESOLUTIONS = {
     "waived": phrase("waive waived waiver waivers waiving"),
     "amended": phrase("amend amended amendment amendments amending"),
@@ -123,11 +130,13 @@ SHORT_TERM = r"(?i)\bshort[\s-]term\b"
 # Bond prose.
 INSTRUMENTS = "bond bonds notes debenture debentures schuldschein schuldscheindarlehen instrument at1 hybrid".split()
 INSTRUMENT = phrase(INSTRUMENTS)
-COMPLETED = phrase("issued issues placed places priced prices launched launches completed sold raised successfully issuance issue placement offering")
-REDEEMED = phrase([*forms("redeem repay"), "redemption", "repayment", "will call", "has called", "decided to call"])
-NOT_CALLED = phrase(["not to call", "will not call", "does not intend to call", "non call", "not to redeem", "will not redeem", "not to exercise", "not exercise"])
-TAPPED = phrase(["tap", "taps", "tapped", *forms("reopen"), "increased the size", "increased the volume"])
-INTENT = phrase([*forms("consider plan intend"), "may issue", "could issue", "subject to market conditions", "mandated"])
+#: Verbs of selling a bond and of taking it back, by lemma.
+SELL, BACK = "issue place price launch complete raise", "call redeem repay exercise"
+COMPLETED = phrase([*forms(SELL), "sold", "successfully", "issuance", "placement", "offering"])
+NOT_CALLED = f"{near(['not'], forms(BACK), 4)}|{phrase(['non call'])}"
+REDEEMED = f"{phrase([*forms('redeem repay'), 'redemption', 'repayment'])}|{near(['will', 'has', 'decided'], ['call', 'called'], 2)}"
+TAPPED = f"{phrase([*forms('reopen'), 'tap', 'taps', 'tapped'])}|{near(forms('increase'), ['size', 'volume'], 2)}"
+INTENT = f"{phrase(forms('plan intend consider mandate'))}|{near(MODALS[:4], forms(SELL), 1)}|{phrase(['subject to'], ['market'], ['conditions'])}"
 LOAN, TOTAL = phrase("loan loans facility facilities"), phrase("total aggregate combined")
 GREEN = phrase(["green"], "bond bonds notes loan")
 SENIORITIES = {"AT1": ["additional tier 1", "at1"], "T2": ["tier 2", "t2"], "hybrid": ["hybrid"], "subordinated": ["subordinated"], "senior": ["senior"]}

@@ -24,18 +24,38 @@ FREE = r"(?:[^\w+-]|$)"
 QUOTE = "[\"'“”‘’]"
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """X-02: (doc_id, start, end, text), one row a sentence; built once and shared by the extractors."""
+def sentences(docs: DataFrame, *keep: str) -> DataFrame:
+    """X-02: (doc_id, start, end, text), one row a sentence, with the document's columns in `keep`."""
+    own = docs.select("doc_id", "text", *keep)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tf.sentences_of(t or "") for t in batch.column("text").to_pylist()]
-            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = [x for each in found for x in each]
-            columns = ([x[i] for x in flat] for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), *(pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "start", "end", "text"])
+            columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *columns, *(batch.column(c).take(at) for c in keep)], names=["doc_id", "start", "end", "text", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, start long, end long, text string")
+    kept = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in keep)
+    return own.mapInArrow(split, f"doc_id long, start long, end long, text string{kept}")
+
+
+@F.pandas_udf("date")
+def latest_day(texts: pd.Series) -> pd.Series:
+    """X-04 for short texts: the latest of each one's spelled dates."""
+    return pd.Series([max((d for d, _, _ in tf.find_dates(t)), default=None) if t else None for t in texts], dtype=object)
+
+
+def historical(text: Column, published: Column) -> Column:
+    """X-05 for a sentence: every day it refers to, quarter ends too, lies more than HISTORY_DAYS before the document's.
+
+    Only sentences with a year have their dates read.
+    """
+    nth, year = (F.regexp_extract_all(text, F.lit(QUARTER), F.lit(g)) for g in (1, 2))
+    end_of = F.create_map(*(F.lit(x) for pair in QUARTER_ENDS.items() for x in pair))
+    ends = F.array_max(F.zip_with(nth, year, lambda n, y: F.to_date(F.concat(y, end_of[F.lower(n)]))))
+    latest = F.greatest(latest_day(F.when(text.rlike(r"\d{4}"), text)), ends)
+    return F.coalesce(F.datediff(published, latest) > tf.HISTORY_DAYS, F.lit(False))
 
 
 def dates(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -126,8 +146,16 @@ def flag_hits() -> Column:
 
 
 def flag_scan(sents: DataFrame) -> DataFrame:
-    """E-06: a row for each flag a sentence raises, with why it is set aside (null: it stands)."""
-    return readings(sents, flag_hits(), "hit").select("doc_id", "start", "hit.flag", "hit.aside")
+    """E-06: (doc_id, start, flag, aside, first): a row for each flag a sentence raises, why it is set aside (null: it
+    stands), and whether it is the document's first of that flag that stands.
+
+    sents: with `published`. A sentence all of whose dates are history is set aside before anything else is asked.
+    """
+    hits = sents.select("doc_id", "start", "text", "published", F.explode(flag_hits()).alias("hit"))
+    aside = F.when(historical(F.col("text"), F.col("published")), "historical").otherwise(F.col("hit.aside"))
+    rows = hits.select("doc_id", "start", F.col("hit.flag").alias("flag"), aside.alias("aside"))
+    order = Window.partitionBy("doc_id", "flag").orderBy(F.col("aside").isNotNull(), "start")
+    return rows.withColumn("first", F.col("aside").isNull() & (F.row_number().over(order) == 1))
 
 
 def going_concern(text: Column) -> Column:
@@ -336,6 +364,20 @@ QUARTER_ENDS = {"first": "-03-31", "second": "-06-30", "third": "-09-30", "fourt
 QUARTER = rf"(?i)\b({'|'.join(QUARTER_ENDS)})[\s-]+quarter\b[^\d.;]{{0,20}}\b(20\d\d)\b"
 
 
+def document_date(docs: DataFrame, head: int = 600) -> DataFrame:
+    """N-09: (doc_id, day): the day of publication, else the first date in the text's first characters, else the URL's: an
+    ISO date in its path, or the last spelled one, signs between words aside.
+
+    docs: (doc_id, text, published, url). Only documents without a day of publication are read.
+    """
+    path = F.substring_index("url", "?", 1)
+    iso = F.try_to_date(F.regexp_extract(path, r"20\d\d-\d\d-\d\d", 0), "yyyy-MM-dd")
+    open_ = docs.where("published is null")
+    first = dates(open_.select("doc_id", F.substring("text", 1, head).alias("text"))).groupBy("doc_id").agg(F.min_by("day", "start").alias("_head"))
+    last = dates(open_.select("doc_id", F.regexp_replace(path, "[-_/]", " ").alias("text"))).groupBy("doc_id").agg(F.max_by("day", "start").alias("_url"))
+    return docs.join(first, "doc_id", "left").join(last, "doc_id", "left").select("doc_id", F.coalesce("published", "_head", iso, "_url").alias("day"))
+
+
 def latest_reference(docs: DataFrame) -> DataFrame:
     """X-04: the latest of a text's dates and ends of "nth quarter of year"; documents without any are left out."""
     nth, year = (F.regexp_extract_all("text", F.lit(QUARTER), F.lit(g)) for g in (1, 2))
@@ -377,13 +419,15 @@ def suppress(found: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def extract_all(sents: DataFrame) -> DataFrame:
-    """E-16, E-17: (doc_id, start, branch, skip) of all extractors; skip is null for what stands.
+    """E-16, E-17: (doc_id, start, branch, skip) of all extractors; skip is null for what stands. sents: with `published`.
 
-    All branches read a sentence in one pass; only what they found meets the scales.
+    All branches read a sentence in one pass; only what they found meets the scales, and flags the dates of their sentence.
     """
     told, _, skip = bond()
     found = F.concat(
-        moves(), F.transform(guidance_hits(), lambda s: _found("guidance")), F.transform(flag_hits(), lambda h: _found("flag", h["aside"])),
+        moves(), F.transform(guidance_hits(), lambda s: _found("guidance")), F.transform(flag_hits(), lambda h: _found("flag", h["aside"], old=F.col("text"))),
         F.when(told, F.array(_found("issuance", skip))).otherwise(F.array().cast(MOVED)),
     )
-    return judged(readings(sents, found, "x").select("doc_id", "start", "x.*")).select("doc_id", "start", "branch", "skip")
+    each = sents.select("doc_id", "start", "published", F.explode(found).alias("x")).select("doc_id", "start", "published", "x.*")
+    past = (F.col("branch") == "flag") & historical(F.when(F.col("branch") == "flag", F.col("old")), F.col("published"))
+    return judged(each.withColumn("skip", F.when(past, "historical").otherwise(F.col("skip")))).select("doc_id", "start", "branch", "skip")

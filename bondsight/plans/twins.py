@@ -55,20 +55,26 @@ SENTS = LINES | {
 
 MONTH = "CASE x " + " ".join(f"WHEN {q(name)} THEN {n}" for name, n in tf.MONTH_OF.items()) + " END"
 NEXT = ", ".join([*(f"lead(x, {i}, '') OVER w AS f{i}" for i in range(1, 7)), *(f"lag(x, {i}, '') OVER w AS b{i}" for i in range(1, 5))])
-DATES = {
-    "parts": "SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+|[0-9]+|[^a-z0-9]+') AS p FROM v_documents WHERE regexp_matches(text, '[0-9]{4}'))",
-    "beside": f"SELECT *, {MONTH} AS m, {NEXT} FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY m IS NOT NULL",
-    "paired": r"""SELECT doc_id, i, m,
+def dates_of(source: str, key: str = "doc_id", names: str = "") -> dict[str, str]:
+    """The spelled dates of source (key, text): `dated`, with each table's name behind `names`."""
+    p = names
+    return {
+        f"{p}parts": f"SELECT {key}, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z]+|[0-9]+|[^a-z0-9]+') AS p FROM {source} WHERE regexp_matches(text, '[0-9]{{4}}'))",
+        f"{p}beside": f"SELECT *, {MONTH} AS m, {NEXT} FROM {p}parts WINDOW w AS (PARTITION BY {key} ORDER BY i) QUALIFY m IS NOT NULL",
+        f"{p}paired": f"SELECT {key}, i, m," + r"""
        regexp_matches(f1, '^\.*[ \t\n\r]+$') AND regexp_matches(f2, '^[0-9]{1,2}$') AND NOT regexp_matches(b1, '[\p{L}\p{N}]$') AS day_after,
        CASE WHEN f3 IN ('st', 'nd', 'rd', 'th') THEN f4 ELSE f3 END AS g_gap, CASE WHEN f3 IN ('st', 'nd', 'rd', 'th') THEN f5 ELSE f4 END AS g_year, CASE WHEN f3 IN ('st', 'nd', 'rd', 'th') THEN f6 ELSE f5 END AS g_then,
        regexp_matches(f1, '^[.,]*[ \n\t-]') AND regexp_matches(b1, '^[ \n\t-]$') AS day_before,
        CASE WHEN b2 IN ('st', 'nd', 'rd', 'th') THEN b3 ELSE b2 END AS d_day, CASE WHEN b2 IN ('st', 'nd', 'rd', 'th') THEN b4 ELSE b3 END AS d_lead, f1, f2, f3
-FROM beside""",
-    "spelled": r"""SELECT doc_id, i, CASE
+    """ + f" FROM {p}beside",
+        f"{p}spelled": f"SELECT {key}, i, CASE" + r"""
          WHEN day_after AND regexp_matches(g_gap, '^,*[ \t\n\r]+$') AND regexp_matches(g_year, '^[0-9]{4}$') AND NOT regexp_matches(g_then, '^[\p{L}\p{N}]') THEN try_cast(g_year || '-' || m || '-' || f2 AS DATE)
-         WHEN day_before AND regexp_matches(d_day, '^[0-9]{1,2}$') AND regexp_matches(f2, '^[0-9]{4}$') AND NOT regexp_matches(f3, '^[\p{L}\p{N}]') AND NOT regexp_matches(d_lead, '[\p{L}\p{N}]$') THEN try_cast(f2 || '-' || m || '-' || d_day AS DATE) END AS day FROM paired""",
-    "dated": "SELECT doc_id, day FROM spelled WHERE day IS NOT NULL",
-}
+         WHEN day_before AND regexp_matches(d_day, '^[0-9]{1,2}$') AND regexp_matches(f2, '^[0-9]{4}$') AND NOT regexp_matches(f3, '^[\p{L}\p{N}]') AND NOT regexp_matches(d_lead, '[\p{L}\p{N}]$') THEN try_cast(f2 || '-' || m || '-' || d_day AS DATE) END AS day""" + f" FROM {p}paired",
+        f"{p}dated": f"SELECT {key}, day, i FROM {p}spelled WHERE day IS NOT NULL",
+    }
+
+
+DATES = dates_of("v_documents")
 ENDS = "CASE lower(n) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in c.QUARTER_ENDS.items()) + " END"
 LATEST = DATES | {
     "quarters": f"SELECT doc_id, CAST(y || {ENDS} AS DATE) AS day FROM (SELECT doc_id, unnest({every(c.QUARTER, 1)}) AS n, unnest({every(c.QUARTER, 2)}) AS y FROM v_documents)",
@@ -107,7 +113,14 @@ def aside(flag: str) -> str:
     return f"nullif({READING}, 'stated')" if flag == "going_concern" else picked({"denied": says(w.DENIED[flag]), "hypothetical": says(w.SUPPOSED[flag])})
 
 
-FLAGGED = " UNION ALL ".join(f"SELECT doc_id, start, {q(flag)} AS flag, {aside(flag)} AS aside FROM sents WHERE {says(p)}" for flag, p in w.FLAGS.items())
+#: Flags of sentences, those whose own dates are all history set aside first.
+FLAGS = {
+    "raised": " UNION ALL ".join(f"SELECT doc_id, start, text, {q(flag)} AS flag, {aside(flag)} AS aside FROM sents WHERE {says(p)}" for flag, p in w.FLAGS.items()),
+    "told": "SELECT DISTINCT doc_id, start, text FROM raised",
+    **dates_of("told", "doc_id, start", "s_"),
+    "s_latest": f"SELECT doc_id, start, max(day) AS latest FROM (SELECT doc_id, start, day FROM s_dated UNION ALL SELECT doc_id, start, CAST(y || {ENDS} AS DATE) FROM (SELECT doc_id, start, unnest({every(c.QUARTER, 1)}) AS n, unnest({every(c.QUARTER, 2)}) AS y FROM told)) GROUP BY 1, 2",
+    "flagged": "SELECT doc_id, start, flag, CASE WHEN date_diff('day', latest, published) > 365 THEN 'historical' ELSE aside END AS aside FROM raised JOIN (SELECT doc_id, published FROM v_documents) USING (doc_id) LEFT JOIN s_latest USING (doc_id, start)",
+}
 STATUSES = f"SELECT doc_id, start, unnest({GUIDANCE}) AS status FROM sents"
 
 AGENCIES = every(f"({c.AGENCY})", 1)
@@ -144,7 +157,7 @@ BONDS = f"""SELECT doc_id, start, {_KIND} AS event_type, {amount()} AS amount, t
   CASE WHEN {says(w.INTENT)} AND NOT {says(w.NOT_CALLED)} THEN 'intent_only' WHEN {says(w.TOTAL)} AND {says(w.LOAN)} THEN 'total_with_loan' WHEN {amount()} IS NULL AND NOT {says(w.NOT_CALLED)} THEN 'no_amount' END AS skip
 FROM sents WHERE {says(w.INSTRUMENT)} AND {says('|'.join((w.COMPLETED, w.REDEEMED, w.NOT_CALLED, w.TAPPED, w.INTENT)))}"""
 ALL = SENTS | {
-    "moved": MOVED, "judged": JUDGED, "statuses": STATUSES, "flagged": FLAGGED, "bonds": BONDS,
+    "moved": MOVED, "judged": JUDGED, "statuses": STATUSES, **FLAGS, "bonds": BONDS,
     "branches": "SELECT doc_id, start, 'rating' AS branch, skip FROM judged UNION ALL SELECT doc_id, start, 'guidance', NULL FROM statuses UNION ALL SELECT doc_id, start, 'flag', aside FROM flagged UNION ALL SELECT doc_id, start, 'issuance', skip FROM bonds",
 }
 NAMED = f"SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest({every(c.ENTITY, 1)}) AS name FROM sents) WHERE NOT regexp_matches(name, {q(rf'\b(?:{c.AGENCY})\b')})"

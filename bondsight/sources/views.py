@@ -63,6 +63,10 @@ SENTENCES = (
     "Ratings as of May 1, 2024\none\ntwo\nRatings as of May 2, 2023\nFitch | bbb- | none | RWN\nFitch | BBB\nRatings as of May 3, 2022\na\nb\nc\nd\nFitch | BBB",
     "The credit rating, as of December 31, 2023, is shown\nS&P | A\nS&P | A-\nS&P | A+\nFitch | AA\nFitch | AA-\nFitch | AA+\nMoody's | A1\nMoody's | A2\nMoody's | A3",
     "Fitch Ratings | Short-Term | Long-Term | Outlook\nAcme | F2\n| unsolicited\n| BBB+\n| Rating Watch Negative | stable\nS&P | Long-Term\nMoody's | Long-Term\nACME  holdings plc | Baa1 | bbb | Positive\nMoody's | Long-Term\n| Baa2",
+    "On March 31, 2020 we breached the leverage covenant. We breached the leverage covenant again on June 30, 2024. On 1 July 2024 we violated a covenant.",
+    "We breached the leverage covenant. A breach of the covenant was found in the first quarter of 2019. Liquidity was strained in 2019. Liquidity was strained by June 30, 2018.",
+    "The company has not met the leverage covenant. An event of default under the notes occurred, as a covenant was not kept. We will not remain in compliance with the covenant.",
+    "We had difficulty meeting payments; liquidity fell. Our business is free of liquidity pressure. A reduction of our liquidity was seen. In the absence of liquidity constraints we paid.",
     "Fitch Ratings\nDate | Rating | Outlook\nMarch 5, 2024 | BBB+ | Stable\n8 Jul 2023 | NR\n17-Dec-2022 | bbb | Negative\nMay 2022 | A\nMoody's\nYear | Rating\nMay 1, 2024 | Baa1\nS&P\nRating | Date\nDec. 1, 2021 or so | BB",
 )
 
