@@ -29,9 +29,20 @@ def phrase(*parts: Iterable[str] | str) -> str:
     return r"(?i)\b" + r"\s+".join(words(p) for p in parts) + r"\b"
 
 
+def _led(first: Iterable[str] | str, then: str, gap: int, between: str) -> str:
+    """One of `first`, at most gap - 1 words, `then`. A figure after "may" makes it a month."""
+    some = first.split() if isinstance(first, str) else list(first)
+    plain = [x for x in some if x != "may"]
+    found = [rf"(?i)\b{words(plain)}\b(?:{between}\w+){{0,{gap - 1}}}?{between}{then}\b"] if plain else []
+    if "may" in some:
+        more = rf"(?:{between}[^\W\d]\w*(?:{between}\w+){{0,{gap - 2}}}?)?" if gap > 1 else ""
+        found.append(rf"(?i)\bmay\b{more}{between}{then}\b")
+    return "|".join(found)
+
+
 def near(first: Iterable[str] | str, then: Iterable[str] | str, gap: int) -> str:
     """A word of `then` at most `gap` words after one of `first`, in the same clause."""
-    return rf"(?i)\b{words(first)}\b(?:[^\w.;]+\w+){{0,{gap - 1}}}?[^\w.;]+{words(then)}\b"
+    return _led(first, words(then), gap, r"[^\w.;]+")
 
 
 def either(a: Iterable[str] | str, b: Iterable[str] | str, gap: int) -> str:
@@ -41,7 +52,7 @@ def either(a: Iterable[str] | str, b: Iterable[str] | str, gap: int) -> str:
 
 def before(some: Iterable[str] | str, marker: Iterable[str] | str, within: int) -> str:
     """One of `some` among the `within` words before a marker."""
-    return rf"(?i)\b{words(some)}\b(?:\W+\w+){{0,{within - 1}}}?\W+{words(marker)}\b"
+    return _led(some, words(marker), within, r"\W+")
 
 
 # Statuses of guidance by verb, and what the verbs are about.

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from bondsight.functions import scales
 from bondsight.functions import textfns as tf
@@ -40,7 +41,7 @@ def sentences(docs: DataFrame, *keep: str) -> DataFrame:
     return own.mapInArrow(split, f"doc_id long, start long, end long, text string{kept}")
 
 
-@F.pandas_udf("date")
+@F.pandas_udf(DateType())
 def latest_day(texts: pd.Series) -> pd.Series:
     """X-04 for short texts: the latest of each one's spelled dates."""
     return pd.Series([max((d for d, _, _ in tf.find_dates(t)), default=None) if t else None for t in texts], dtype=object)

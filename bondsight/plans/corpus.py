@@ -89,12 +89,6 @@ def unique_quote_find(load):
     return c.quote_places(moved, load("v_documents")).select("doc_id", "k", F.when(F.col("match") == "unique", F.col("at")).alias("start"))
 
 
-@R.query("V01_span_exact", "SELECT doc_id, k, 'exact' AS match FROM spans", spans=SPANS)
-def span_exact(load):
-    s = spans(load).withColumn("s1", F.col("s0") + F.length("quote"))
-    return c.quote_places(s, load("v_documents")).select("doc_id", "k", "match")
-
-
 @R.query("E03_filing_items", "SELECT event_key, item, CASE item WHEN '2.04' THEN 'obligation_acceleration' WHEN '2.02' THEN 'earnings_release' END AS event_type FROM v_earnings_events WHERE item IS NOT NULL")
 def filing_items(load):
     return src.filing_events(load("v_earnings_events").select("event_key", F.array_compact(F.array("item")).alias("items"))).select("event_key", "item", "event_type")
@@ -141,29 +135,6 @@ def statement_rebind(load):
     return src.rebind(s.drop("quote"), load("v_documents")).select("doc_id", "k", "bound")
 
 
-@R.query("V14_verdict", "SELECT doc_id, k, CASE WHEN current_lower < 40 AND period IS NOT NULL THEN 'VALID' ELSE 'INVALID' END AS verdict FROM v_gold")
-def verdict(load):
-    return c.verdict(load("v_gold"), {"numbers": F.col("current_lower") < 40, "period": F.col("period").isNotNull()}).select("doc_id", "k", "verdict")
-
-
-def answers(load):
-    """A cached answer for each document: its predicted statements as JSON; offsets of each 7th document are out of order."""
-    each = F.struct("metric", F.when(F.col("doc_id") % 7 == 0, F.col("s1")).otherwise(F.col("s0")).cast("int").alias("start"), F.when(F.col("doc_id") % 7 == 0, F.col("s0")).otherwise(F.col("s1")).cast("int").alias("end"))
-    listed = load("v_pred").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", each.alias("s")))).alias("l"))
-    return listed.select("doc_id", F.to_json(F.struct(F.transform("l", lambda x: x["s"]).alias("statements"))).alias("answer"))
-
-
-@R.query("V15_statement_ids", "SELECT doc_id, CAST(idx AS INT) AS idx, sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR)) AS statement_id, metric, CAST(s0 AS INT) AS start, CAST(s1 AS INT) AS \"end\" FROM v_pred WHERE doc_id % 7 <> 0")
-def statement_ids(load):
-    parsed = src.parse_answers(answers(load)).where("idx is not null")
-    return parsed.select("doc_id", "idx", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")), 256).alias("statement_id"), "metric", "start", "end")
-
-
-@R.query("V16_answer_parse", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'schema_failure' ELSE 'ok' END AS run_status, CASE WHEN doc_id % 7 <> 0 THEN count(*) ELSE 0 END AS n FROM v_pred GROUP BY 1")
-def answer_parse(load):
-    return src.parse_answers(answers(load)).groupBy("doc_id", "run_status").agg(F.count("idx").alias("n"))
-
-
 @R.query("L08_claim_verify", """SELECT p.doc_id * 10 + p.idx AS claim_id, CASE WHEN p.idx = 3 THEN 'no_citation' WHEN g.k IS NULL THEN 'unknown_fact' WHEN g.current_lower <> p.current_lower THEN 'unsupported_figure' ELSE 'verified' END AS status
 FROM v_pred p LEFT JOIN v_gold g ON g.doc_id = p.doc_id AND g.k = p.idx""")
 def claim_verify(load):

@@ -16,7 +16,6 @@ ITEMS = [
 ]
 #: Character sets that Spark's decode() knows besides UTF-8.
 CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32")
-ANSWER = "statements array<struct<metric:string,start:int,end:int>>"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,14 +72,6 @@ def page_links(pages: DataFrame, pattern: str, most: int) -> DataFrame:
     return listed.select("page_id", F.posexplode("l").alias("n", "x")).select("page_id", "n", "x.url")
 
 
-def parse_answers(rows: DataFrame) -> DataFrame:
-    """V-16: cached answers to statement rows, or one row with schema_failure; offsets must be in order."""
-    parsed = rows.withColumn("a", F.from_json("answer", ANSWER))
-    good = F.col("a.statements").isNotNull() & F.coalesce(F.forall("a.statements", lambda s: s["end"] > s["start"]), F.lit(False))
-    each = parsed.select("doc_id", F.when(good, "ok").otherwise("schema_failure").alias("run_status"), F.posexplode_outer(F.when(good, F.col("a.statements"))).alias("idx", "s"))
-    return each.select("doc_id", "run_status", "idx", "s.*")
-
-
 def rebind(statements: DataFrame, docs: DataFrame) -> DataFrame:
     """J-22: `bound`: the text at a statement's offsets has the recorded hash."""
     both = statements.join(docs.select("doc_id", "text"), "doc_id")

@@ -67,6 +67,8 @@ SENTENCES = (
     "We breached the leverage covenant. A breach of the covenant was found in the first quarter of 2019. Liquidity was strained in 2019. Liquidity was strained by June 30, 2018.",
     "The company has not met the leverage covenant. An event of default under the notes occurred, as a covenant was not kept. We will not remain in compliance with the covenant.",
     "We had difficulty meeting payments; liquidity fell. Our business is free of liquidity pressure. A reduction of our liquidity was seen. In the absence of liquidity constraints we paid.",
+    "We lowered our revenue guidance to EUR 95 million from EUR 110 million for 2024.",
+    "There is substantial doubt about our ability to continue as a going concern, as of March 31, 2019.",
     "Fitch Ratings\nDate | Rating | Outlook\nMarch 5, 2024 | BBB+ | Stable\n8 Jul 2023 | NR\n17-Dec-2022 | bbb | Negative\nMay 2022 | A\nMoody's\nYear | Rating\nMay 1, 2024 | Baa1\nS&P\nRating | Date\nDec. 1, 2021 or so | BB",
 )
 
@@ -145,6 +147,25 @@ FROM events""",
 }
 
 
+KIND_NAMES = ("guidance", "liquidity", "covenant", "going_concern")
+_STATUSES = {"guidance": ("cut", "raised", "mentioned", "cut"), "liquidity": ("concern", "stable", "deteriorated", "mentioned"), "covenant": ("breached", "compliant", "risk_of_breach", "mentioned"), "going_concern": ("doubt", "alleviated", "negated", "mentioned")}
+_STATUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {pick(x, 'floor(doc_id / 4)')}" for k, x in _STATUSES.items()) + " END"
+_PERIOD = """CASE doc_id % 3 WHEN 0 THEN '"2024"' WHEN 1 THEN '"FY 2031"' ELSE 'null' END"""
+_FIELDS = f"""'"status":"' || CASE WHEN m = 1 THEN 'awful' ELSE {_STATUS} END || '","period":' || {_PERIOD} || CASE WHEN m = 2 THEN ',"note":"x"' ELSE '' END || CASE kind
+  WHEN 'guidance' THEN ',"metric":"' || {pick(('revenue', 'ebitda', 'revenue', 'other'), 'doc_id')} || '","metric_label":"revenue ","basis":"absolute","unit":"' || {pick(('EUR_MN', 'USD_MN', 'EUR_MN', 'PCT', 'EUR_BN'), 'doc_id')} || '","current_lower":95' || CASE WHEN doc_id % 5 = 0 THEN ',"previous_upper":111.5' WHEN doc_id % 5 = 1 THEN ',"previous_upper":null' ELSE '' END
+  WHEN 'covenant' THEN ',"risk_type":"covenant","covenant_label":"Leverage","agreement":"senior notes"' || {pick(('', ',"resolution":"waived"', ',"resolution":"none"'), 'doc_id')}
+  WHEN 'liquidity' THEN ',"risk_type":"liquidity","value":1e3' ELSE ',"risk_type":"going_concern"' END"""
+_QUOTE = "CASE WHEN m = 4 THEN '' ELSE ',\"evidence_quote\":\"' || quote || CASE WHEN m = 8 THEN ' and nobody ever said so in public' ELSE '' END || '\"' END"
+_PLACE = "CAST(CASE WHEN m = 3 THEN s1 WHEN m = 7 THEN s0 + 5 ELSE s0 END AS VARCHAR(20))", "CAST(CASE WHEN m = 3 THEN s0 WHEN m = 7 THEN s1 + 5 ELSE s1 END AS VARCHAR(20))"
+#: Cached answers of every kind for each document: most quote its passage, others are broken off, misspelt, moved or foreign.
+VIEWS["v_answers"] = tuple(f"""
+SELECT doc_id, kind, CASE m WHEN 0 THEN '{{"statements":[' WHEN 6 THEN '{{"statements":[]}}' WHEN 9 THEN '{{"statements":{{"a":1}}}}' WHEN 11 THEN '{{"has":true}}'
+  ELSE '{{"statements":[' || one || CASE WHEN m = 10 THEN ',' || replace(one, '"end_offset":', '"end_offset":-') ELSE '' END || ']}}' END AS answer
+FROM (SELECT doc_id, kind, m, '{{' || {_FIELDS} || {_QUOTE} || ',"start_offset":' || CASE WHEN m = 5 THEN '"7"' ELSE {_PLACE[0]} END || ',"end_offset":' || {_PLACE[1]} || '}}' AS one
+      FROM (SELECT doc_id, kind, CAST((doc_id + length(kind)) % 17 AS INT) AS m, split_part(added, chr(10), 1) AS quote, length(text) - length(added) AS s0, length(text) - length(added) + length(split_part(added, chr(10), 1)) AS s1
+            FROM v_documents {kinds}) x) y""" for kinds in (f"LATERAL VIEW explode(array({', '.join(map(quoted, KIND_NAMES))})) t AS kind", f", (VALUES {', '.join(f'({quoted(k)})' for k in KIND_NAMES)}) t(kind)"))
+
+
 def text(name: str, spark: bool) -> str:
     view = VIEWS[name]
     sql = view if isinstance(view, str) else view[0 if spark else 1]
@@ -165,9 +186,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = text(name, True)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     tables |= {v: view(spark, sf_dir, v) for v in VIEWS if v != name and re.search(rf"\b{v}\b", sql)}
+    if not tables:
+        return spark.sql(sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"(?<=FROM |JOIN ){t}\b", f"{{{t}}}", sql)
-    return spark.sql(sql.replace("{{", "{"), **tables) if tables else spark.sql(sql)
+    return spark.sql(sql, **tables)
 
 
 def oracle(sql: str, **extra: str) -> str:
