@@ -4,14 +4,17 @@ A text is spelled in lower case (A-Z), each white-space word followed by one spa
 spellings every run of DEPTH + 1 bytes is counted. A context of up to DEPTH bytes stays in the tree if it holds LEAST
 symbols or more, a fixed number whatever the corpus, and if its next-symbol distribution diverges from that of its
 suffix one byte shorter: the likelihood gained must pass the Bayesian information criterion. A retained context's
-distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols. DEPTH is at most 7, as
-a run is one 64-bit number.
+distribution is smoothed towards its suffix's, the root's by adding one for each of 256 symbols. DEPTH, the order bound
+that the method asks for, is at most 7 here, as a run is one 64-bit number.
 
 The tree is never in one place. Texts are packed once into stored batches of about BATCH bytes (one text at least). Of
 a batch each distinct run goes once, with its count in training, to the bucket of its context's last NEAR bytes, where
 all longer contexts with that ending lie; what a batch repeats costs nothing more, so a line or passage in a third of
-all texts weighs one run a batch. The bucket sums, retains, smooths, and answers with one logarithm a run. Contexts
-shorter than NEAR, at most 256 ** (NEAR - 1) however large the corpus, are known to every task.
+all texts weighs one run a batch. An ending with more than HOT times a bucket's share of all places is dealt out in
+parts by the byte before it, and each part is also told how often which symbol follows the ending as a whole. The bucket
+sums, retains, smooths, and answers: for each run the length of its longest retained context, and for each such context
+and symbol its logarithm once, in single precision; the batch knows which of its runs share one. Contexts shorter than
+NEAR, at most 256 ** (NEAR - 1) however large the corpus, are known to every task.
 
 The base is the add-one unigram over words and the end. Its counts travel the same way: a batch asks for each distinct
 word once, the word's bucket sums and answers.
@@ -37,6 +40,7 @@ DEPTH, NEAR, LEAST, SMOOTH = 7, 3, 2, 4.0
 STOP = 0x0A  # white space is in no word, so this byte is free to mean the end
 WORD, RUN = 0, 1
 BATCH = 6_000_000
+HOT = 4
 SMALL = bytes(LOWER)
 END = U(0)  # the end among the word hashes
 
@@ -49,8 +53,11 @@ def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    """The distinct keys, and the sum of each one's counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, at = keys[order], runs(keys[order])[:-1]
+    return keys[at], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +117,15 @@ class Level:
             gain = np.add.reduceat(self.count * np.log(self.count / np.repeat(self.all, kinds) / base), at)
             self.kept = (self.all >= LEAST) & (gain > 0.5 * kinds * np.log(self.all))
 
-    def smoothed(self, keys: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
-        """The probability of each run's last symbol after n bytes, from that after n - 1."""
+    def smoothed(self, keys: np.ndarray, n: int, p: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The probability of each run's last symbol after n bytes, from that after n - 1; depth: n where a context is retained."""
         own = _low(keys, n + 1)
         at, hit = _found(self.contexts, own >> U(8))
         i = np.flatnonzero(hit & self.kept[at] if len(self.kept) else hit)
         where, seen = _found(self.keys, own[i])
         times = np.where(seen, self.count[where], 0) if len(self.count) else np.zeros(len(i))
         p[i] = (times + SMOOTH * p[i]) / (self.all[at[i]] + SMOOTH)
+        depth[i] = n
         return p
 
 
@@ -129,16 +137,74 @@ def short_levels(keys: np.ndarray, count: np.ndarray) -> list[Level]:
     return out
 
 
-def run_logs(asked: np.ndarray, keys: np.ndarray, count: np.ndarray, short: list[Level]) -> np.ndarray:
-    """log10 of the probability of each asked run's last symbol. keys, count: all training runs with the same endings."""
+class Dealing:
+    """Which bucket a run goes to: by its context's last NEAR bytes, and parts of the hot endings by one byte more.
+
+    hot: the hot endings as the bytes stand in a text; parts: how many each is dealt out to.
+    """
+
+    def __init__(self, buckets: int, grams: np.ndarray, count: np.ndarray) -> None:
+        share = max(count.sum() / buckets, 1)
+        some = np.flatnonzero(count > HOT * share)
+        self.buckets, self.hot, self.parts = buckets, grams[some], np.ceil(count[some] / share / 2).astype(U)
+
+    def part_hash(self, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return mixed(self.hot[at] << U(16) | part + U(1))
+
+    def hashes(self, wire: np.ndarray) -> np.ndarray:
+        out = mixed(wire >> U(64 - 8 * NEAR))
+        if len(self.hot):
+            at, hit = _found(self.hot, _low(_unwired(wire) >> U(8), NEAR))
+            at = at[hit]
+            out[hit] = self.part_hash(at, mixed(wire[hit] >> U(56 - 8 * NEAR) & U(255)) % self.parts[at])
+        return out
+
+    def wholes(self, wire: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, runs of NEAR + 1 bytes, counts) for every bucket that holds a part of a hot ending: its symbols' counts."""
+        if not len(self.hot):
+            return
+        low = _low(_unwired(wire), NEAR + 1)
+        at, hit = _found(self.hot, low >> U(8))
+        hit &= times > 0
+        keys, n = _merged([(low[hit], times[hit])])
+        of = _found(self.hot, keys >> U(8))[0]
+        every = [(b, i) for i, parts in enumerate(self.parts) for b in np.unique(self.part_hash(np.full(int(parts), i), np.arange(int(parts), dtype=U)) % U(self.buckets)).tolist()]
+        held: dict[int, list[int]] = {}
+        for b, i in every:
+            held.setdefault(b, []).append(i)
+        for b, some in held.items():
+            mine = np.isin(of, some)
+            if mine.any():
+                yield b, keys[mine], n[mine]
+
+
+def run_logs(asked: np.ndarray, keys: np.ndarray, count: np.ndarray, short: list[Level], hot: np.ndarray, whole: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability of each asked run's last symbol, and the length of its longest retained context.
+
+    keys, count: all training runs with the same endings; of the hot endings a part, but `whole` has the counts by symbol.
+    """
     root = np.zeros(256, np.int64)
     root[short[0].keys.astype(int)] = short[0].count
-    p = ((root + 1) / (root.sum() + 256))[_low(asked, 1).astype(int)]
+    p, depth = ((root + 1) / (root.sum() + 256))[_low(asked, 1).astype(int)], np.zeros(len(asked), np.uint8)
     up = short[-1]
     for n in range(1, DEPTH + 1):
-        level = short[n] if n < NEAR else Level(keys, count, n, up)
-        p, up = level.smoothed(asked, n, p), level
-    return np.log10(p)
+        if n == NEAR and len(hot):
+            cold = ~_found(hot, _low(keys >> U(8), NEAR))[1]
+            level = Level(np.concatenate([keys[cold], whole[0]]), np.concatenate([count[cold], whole[1]]), n, up)
+        else:
+            level = short[n] if n < NEAR else Level(keys, count, n, up)
+        p, up = level.smoothed(asked, n, p, depth), level
+    return np.log10(p), depth
+
+
+def by_context(known: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context: the runs whose longest retained one it is, and their first and own number among the
+    distinct contexts with symbol. known: as _unwired gives them."""
+    for n in range(DEPTH + 1):
+        some = np.flatnonzero(depth == n)
+        if len(some):
+            _, first, own = np.unique(_low(known[some], n + 1), return_index=True, return_inverse=True)
+            yield some, first, own
 
 
 def _planes(values: np.ndarray, level: int = 3) -> bytes:
@@ -158,14 +224,8 @@ def _unwired(wire: np.ndarray) -> np.ndarray:
     return (wire & ~U(255)).byteswap() << U(8) | wire & U(255)
 
 
-def _rounded(logs: np.ndarray) -> np.ndarray:
-    """Single precision without the last 12 bits, 11 being enough; what is left compresses."""
-    bits = logs.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(1 << 11)) & np.uint32(0xFFFFF000)).view(np.float32)
-
-
 PACK = "batch long, docs array<long>, held array<boolean>, sizes array<int>, data binary"
-ASK, TOLD = "kind int, bucket int, batch long, keys binary, counts binary", "batch long, kind int, bucket int, told binary"
+ASK, TOLD = "kind int, bucket int, batch long, keys binary, counts binary", "batch long, kind int, bucket int, depths binary, told binary"
 ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, totals boolean"
 
 
@@ -201,11 +261,24 @@ class Batch:
         self.texts = [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         self.taught = ~np.array(row["held"], bool)
 
-    def each_run(self, buckets: int) -> tuple[np.ndarray, ...]:
+    def each_run(self, deal: Dealing) -> tuple[np.ndarray, ...]:
         """Distinct runs, each place's one, each text's first place, the order by bucket, and the buckets in that order."""
         key, first = _runs(self.texts)
         key, of = _distinct(key)
-        return key, of, first, *_by_bucket(mixed(key >> U(64 - 8 * NEAR)), buckets)
+        return key, of, first, *_by_bucket(deal.hashes(key), deal.buckets)
+
+    def taught_runs(self, deal: Dealing) -> tuple[np.ndarray, ...]:
+        """Distinct runs and how often each stands in training texts, the order by bucket, and the buckets in that order.
+
+        Sorting is quicker than sorting with places, which asking doesn't need.
+        """
+        key, first = _runs(self.texts)
+        own = np.sort(key[np.repeat(self.taught, np.diff(np.append(first, len(key))))])
+        key.sort()
+        key = key[runs(key)[:-1]]
+        at, times = runs(own), np.zeros(len(key), np.uint32)
+        times[np.searchsorted(key, own[at[:-1]])] = np.diff(at)
+        return key, times, *_by_bucket(deal.hashes(key), deal.buckets)
 
     def each_word(self, buckets: int) -> tuple[np.ndarray, ...]:
         """The same of words and ends."""
@@ -238,63 +311,82 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
 
-def _ask(buckets: int):
+def _ask(shared_):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words and runs of a batch by bucket, with how often each is in its training texts."""
+        """The distinct words and runs of a batch by bucket, with how often each is in its training texts; under batch -1
+        what the parts of hot endings must know of the whole."""
+        deal = Dealing(*shared_.value)
         for rows in batches:
             for stored in rows.to_pylist():
                 b = Batch(stored)
-                for kind, parts in ((WORD, b.each_word), (RUN, b.each_run)):
-                    key, of, first, order, bucket = parts(buckets)
-                    n = b.taught_times(of, first, len(key))[order]
-                    del of
-                    key, at = key[order], runs(bucket)
-                    ends = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([kind] * len(ends), pa.int32()), pa.array(bucket[at[:-1]], pa.int32()), pa.array([stored["batch"]] * len(ends), pa.int64()),
-                        pa.array([_planes(np.diff(key[i:j], prepend=U(0))) for i, j in ends], pa.binary()), pa.array([_planes(n[i:j]) for i, j in ends], pa.binary()),
-                    ], names=["kind", "bucket", "batch", "keys", "counts"])
+                key, of, first, order, bucket = b.each_word(deal.buckets)
+                n = b.taught_times(of, first, len(key))
+                parts = [(WORD, stored["batch"], int(bucket[i]), key[order[i:j]], n[order[i:j]]) for i, j in _spans(bucket)]
+                key, n, order, bucket = b.taught_runs(deal)
+                parts += [(RUN, stored["batch"], int(bucket[i]), key[order[i:j]], n[order[i:j]]) for i, j in _spans(bucket)]
+                parts += [(RUN, -1, at, keys, times.astype(np.uint32)) for at, keys, times in deal.wholes(key, n)]
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array([x[k] for x in parts], kind) for k, kind in ((0, pa.int32()), (2, pa.int32()), (1, pa.int64()))),
+                    pa.array([_planes(np.diff(x[3], prepend=U(0))) for x in parts], pa.binary()), pa.array([_planes(x[4]) for x in parts], pa.binary()),
+                ], names=["kind", "bucket", "batch", "keys", "counts"])
 
     return ask
 
 
-def _tell(short):
+def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    at = runs(sorted_).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _tell(shared_):
     def tell(group: pa.Table) -> pa.Table:
         """Of a bucket's runs the logarithms, of its words the counts; and under batch -1 how many tokens and kinds of word it has."""
-        kind, bucket, asked = group["kind"][0].as_py(), group["bucket"][0].as_py(), group["batch"].to_pylist()
-        keys = [np.cumsum(_unplaned(x, np.uint64), dtype=U) for x in group["keys"].to_pylist()]
-        every, n = _merged([(k, _unplaned(c, np.uint32)) for k, c in zip(keys, group["counts"].to_pylist(), strict=True)])
+        kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
+        parts = [(b, np.cumsum(_unplaned(k, np.uint64), dtype=U), _unplaned(c, np.uint32)) for b, k, c in zip(*(group[c].to_pylist() for c in ("batch", "keys", "counts")), strict=True)]
+        asked = [(b, k) for b, k, _ in parts if b >= 0]
+        every, n = _merged([(k, c) for b, k, c in parts if b >= 0] or [(np.zeros(0, U), np.zeros(0, np.int64))])
+        rows = []
         if kind == WORD:
-            answer = n
+            rows = [(b, b"", _planes(n[np.searchsorted(every, k)])) for b, k in asked]
+            rows.append((-1, b"", _planes(np.array([n.sum(), (n > 0).sum()]))))
         else:
-            known = _unwired(every)
-            answer = _rounded(run_logs(known, known[n > 0], n[n > 0], short_levels(*short.value)))
-        told = [_planes(answer[np.searchsorted(every, k)]) for k in keys]
-        if kind == WORD:
-            asked.append(-1)
-            told.append(_planes(np.array([n.sum(), (n > 0).sum()])))
-        return pa.table({"batch": pa.array(asked, pa.int64()), "kind": pa.array([kind] * len(told), pa.int32()), "bucket": pa.array([bucket] * len(told), pa.int32()), "told": pa.array(told, pa.binary())})
+            grams = shared_.value[1:]
+            known, hot = _unwired(every), Dealing(*shared_.value).hot
+            whole = _merged([(k, c) for b, k, c in parts if b < 0] or [(np.zeros(0, U), np.zeros(0, np.int64))])
+            logs, depth = run_logs(known, known[n > 0], n[n > 0], short_levels(*grams), hot, whole)
+            logs = logs.astype(np.float32)
+            for b, k in asked:
+                at = np.searchsorted(every, k)
+                values = [logs[at[some[first]]] for some, first, _ in by_context(known[at], depth[at])]
+                rows.append((b, _planes(depth[at]), _planes(np.concatenate(values))))
+        columns = [[x[0] for x in rows], [kind] * len(rows), [bucket] * len(rows), [x[1] for x in rows], [x[2] for x in rows]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "kind", "bucket", "depths", "told"])
 
     return tell
 
 
-def _scored(buckets: int):
+def _scored(shared_):
     def scored(stored: pa.Table, told: pa.Table) -> pa.Table:
-        kind, bucket, values = told["kind"].to_pylist(), told["bucket"].to_pylist(), told["told"].to_pylist()
+        replies = list(zip(*(told[c].to_pylist() for c in ("bucket", "kind", "depths", "told")), strict=True))
         if not len(stored):
-            total, kinds = np.sum([_unplaned(x, np.int64) for x in values], 0).tolist()
+            total, kinds = np.sum([_unplaned(x, np.int64) for *_, x in replies if x], 0).tolist()
             return pa.table([pa.array([x], t.type) for x, t in zip((None, None, total, kinds, None, None, True), EMPTY, strict=True)], schema=EMPTY)
-        b = Batch(stored.to_pylist()[0])
-        sums = {}
-        for k, parts, sort in ((WORD, b.each_word, np.int64), (RUN, b.each_run, np.float32)):
-            key, of, first, order, _ = parts(buckets)
-            answer = np.empty(len(key))
-            answer[order] = np.concatenate([_unplaned(x, sort) for at, x in sorted((at, x) for at, x, own in zip(bucket, values, kind, strict=True) if own == k)])
-            if k == WORD:
-                tokens, known = np.diff(np.append(first, len(of))), np.add.reduceat((answer > 0)[of].astype(np.int64), first)
-                answer = np.log10(answer + 1)
-            sums[k] = np.add.reduceat(answer[of], first)  # every text has an end, so none is without a place
-        columns = (stored["docs"].combine_chunks().flatten(), ~b.taught, tokens, known, sums[WORD], sums[RUN], np.zeros(len(tokens), bool))
+        b, deal = Batch(stored.to_pylist()[0]), Dealing(*shared_.value)
+        of_kind = lambda kind: [(d, x) for _, k, d, x in sorted(replies, key=lambda r: r[0]) if k == kind]
+        key, of, first, order, _ = b.each_word(deal.buckets)
+        answer = np.empty(len(key))
+        answer[order] = np.concatenate([_unplaned(x, np.int64) for _, x in of_kind(WORD)])
+        tokens, known = np.diff(np.append(first, len(of))), np.add.reduceat((answer > 0)[of].astype(np.int64), first)
+        base = np.add.reduceat(np.log10(answer + 1)[of], first)  # every text has an end, so none is without a place
+        key, of, first, order, bucket = b.each_run(deal)
+        logs = np.empty(len(key), np.float32)
+        for (i, j), (depths, x) in zip(_spans(bucket), of_kind(RUN), strict=True):
+            mine, values, done = order[i:j], _unplaned(x, np.float32), 0
+            for some, distinct, own in by_context(_unwired(key[mine]), _unplaned(depths, np.uint8)):
+                logs[mine[some]] = values[done : done + len(distinct)][own]
+                done += len(distinct)
+        score = np.add.reduceat(logs[of].astype(np.float64), first)
+        columns = (stored["docs"].combine_chunks().flatten(), ~b.taught, tokens, known, base, score, np.zeros(len(tokens), bool))
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(columns, EMPTY, strict=True)], schema=EMPTY)
 
     return scored
@@ -314,10 +406,10 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     # neighbouring splits are read together, so that batches are full
     stored = shared.settle(docs.coalesce(int(size / BATCH) + 1).mapInArrow(_pack, PACK))
     grams = stored.mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 256 ** NEAR
-    short = spark.sparkContext.broadcast((grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
-    buckets = shared.bucket_count(docs, size, BATCH)
-    told = stored.mapInArrow(_ask(buckets), ASK).groupBy("kind", "bucket").applyInArrow(_tell(short), TOLD)
-    rows = shared.settle(stored.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scored(buckets), ROW))
+    buckets, grams = shared.bucket_count(docs, size, BATCH), grams.sort_values("key")
+    known = spark.sparkContext.broadcast((buckets, grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
+    told = stored.mapInArrow(_ask(known), ASK).groupBy("kind", "bucket").applyInArrow(_tell(known), TOLD)
+    rows = shared.settle(stored.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scored(known), ROW))
     n, kinds = rows.where("totals").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + kinds + 1)))
     return rows.where("not totals").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

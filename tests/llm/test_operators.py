@@ -262,10 +262,22 @@ def test_rare_contexts_stay_in_the_tree(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
     assert b"zb" in stay and count[b"zb"] == {ord("c"): 2} and total[b""] > 400_000
-    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=4e-3)
-    monkeypatch.setattr(suffixtree, "BATCH", 3000)  # many batches and buckets: the same
-    got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
-    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=2e-5, atol=4e-3)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=3e-7, atol=1e-4)  # whole logarithms
+    for batch, hot in ((3000, 1e9), (40_000, 0.2), (3000, 4)):  # many batches and buckets, endings in parts or not: the same
+        monkeypatch.setattr(suffixtree, "BATCH", batch)
+        monkeypatch.setattr(suffixtree, "HOT", hot)
+        got = {r.doc_id: r.score for r in suffixtree.score(docs, F.col("doc_id") % 7 == 2).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=3e-7, atol=1e-4)
+
+
+def test_hot_endings_are_dealt_out_in_parts():
+    grams, count = np.array([1, 2, 3, 4], np.uint64), np.array([1000, 10, 10, 5])
+    deal = suffixtree.Dealing(16, grams, count)
+    assert deal.hot.tolist() == [1] and deal.parts.tolist() == [8]
+    wire = suffixtree._unwired(np.arange(256, dtype=np.uint64) << np.uint64(32) | np.uint64(1 << 8 | 99))  # the byte before the ending varies
+    assert len(set((deal.hashes(wire) % np.uint64(16)).tolist())) > 3
+    told = {b: (k.tolist(), n.tolist()) for b, k, n in deal.wholes(wire, np.ones(256, np.int64))}
+    assert set(told) >= set((deal.hashes(wire) % np.uint64(16)).tolist()) and all(x == ([1 << 8 | 99], [256]) for x in told.values())
 
 
 def test_token_counts(docs, none):
