@@ -1,12 +1,14 @@
 """Operator 1, benchmark decontamination: a positional inverted index of the corpus, DataFrame functions only.
 
 Words are lower-cased (A-Z only) runs of letters, digits and non-ASCII characters. The index stores a row (term,
-document, position) for every place in the corpus of every term that the test items hold, as places of other terms can't
-be in a phrase of theirs (another benchmark needs another index; without items, postings() stores all terms); and an
-end for each document, whose position is its number of words. A phrase is found from its rarest term: each place of it proposes a start, the second rarest term's places, less its offset, are
-intersected with those, and what is left with all other terms' places. The index itself is never shuffled as long as
-the documents that are left after two terms are fewer than BROADCAST_ROWS: they are counted, then broadcast to its scan;
-beyond that their join shuffles it.
+document, position) for every place of every term, or where the items are known of every term that they hold, as places
+of others can't be in a phrase of theirs; and an end for each document, whose position is its number of words. Rows are
+dealt out to buckets by document once, when they are stored. A stored index of all terms serves any benchmark.
+
+A phrase is found from its rarest term: each place of it proposes a start, the second rarest term's places, less its
+offset, are intersected with those, and what is left with all other terms' places: the documents that are left go to
+their buckets and meet the index there, so that it is never shuffled again, however many they are. The plan is the same
+at every size, but for the items' own tables.
 
 Phrases are windows of `size` consecutive item words; an item with fewer, but not none, is one window. Null and empty
 texts have no words. A document is known by two 64-bit hashes of its id and text, so that null, repeated and extreme
@@ -55,16 +57,21 @@ def end() -> Column:
     return F.xxhash64(F.lit(""))
 
 
+#: Bytes of text whose places one bucket of the index holds.
+BUCKET_TEXT = 12e6
+
+
 def postings(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """The stored index: (term, k1, k2, pos) of all places in docs of all words, or of those of items(words), and of the
-    ends; a term is its word's hash."""
+    ends; a term is its word's hash. In buckets by k1."""
+    buckets = shared.bucket_count(docs, shared.text_bytes(shared.documents(docs)), BUCKET_TEXT)
     places = shared.documents(docs).select(*key(), F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "word"))
     places = places.select(F.xxhash64("word").alias("term"), *KEY, "pos")
     if items is not None:
         terms = items.select(F.explode(F.array_append("words", F.lit(""))).alias("word")).select(F.xxhash64("word").alias("term"))
         ends = items.sparkSession.range(1).select(end().alias("term"))  # items may be none
         places = places.join(small(shared.settle(terms.union(ends).distinct())), "term", "left_semi")
-    return shared.settle(places.select("term", *KEY, "pos"))
+    return shared.dealt(places.select("term", *KEY, "pos"), "k1", buckets)
 
 
 def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +105,8 @@ def phrases(index: DataFrame, wins: DataFrame) -> DataFrame:
     met = lists.select(*KEY, F.col("term").alias("term2"), F.col("pos").alias("at"))
     two = shared.settle(more.where("n = 1").select(*KEY, "win", "n", "start").unionByName(more.where("n > 1").join(met, [*KEY, "term2", "at"]).select(*KEY, "win", "n", "start")).distinct())
     rest = two.where("n > 2").join(small(terms.where("rank > 2").select("win", "term", "off")), "win").withColumn("pos", F.col("start") + F.col("off"))
-    near = index.join(small(shared.settle(two.where("n > 2").select(*KEY).distinct())), KEY, "left_semi")
+    left = two.where("n > 2").select("k1").distinct().hint("shuffle_hash")  # by k1 alone, as the index lies
+    near = index.join(left, "k1", "left_semi").join(small(terms.where("rank > 2").select("term").distinct()), "term", "left_semi")
     full = rest.join(near, [*KEY, "term", "pos"]).groupBy(*KEY, "win", "n", "start").agg(F.count_distinct("pos").alias("met")).where("met = n - 2")
     return two.where("n <= 2").unionByName(full.drop("met"))
 
@@ -138,10 +146,13 @@ def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.join(small(gone), KEY, "left_anti").select("_row.*")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row for each row of docs: n_words, n_hit (words inside an occurrence), n_items, item_ids, contaminated."""
+def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index: DataFrame | None = None) -> DataFrame:
+    """One row for each row of docs: n_words, n_hit (words inside an occurrence), n_items, item_ids, contaminated.
+
+    index: of postings(docs), stored before; without one, that of the items' terms is made.
+    """
     items = item_words(items)
-    index = postings(docs, items)
+    index = postings(docs, items) if index is None else index
     found, of = occurrences(index, items, size)
     hit = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     named = found.select(*KEY, "win").distinct().join(small(of), "win").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))

@@ -55,6 +55,18 @@ def test_decontaminate_extreme_ids_and_clashing_columns(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {0, 5}
 
 
+def test_second_benchmark_on_a_stored_index(spark, docs):
+    """One index of all terms serves two benchmarks; it is read by document without a shuffle."""
+    index = decontaminate.postings(docs)
+    texts = [r[1] for r in rows()]
+    for items in ([(1, texts[9]), (2, "one")], [(3, " ".join(texts[12].split()[50:61])), (4, texts[4]), (5, "no such words")], []):
+        some = spark.createDataFrame(items, "item_id long, text string")
+        key = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in df.collect())
+        assert key(decontaminate.contaminated(docs, some, index=index)) == key(decontaminate.contaminated(docs, some))
+    met = index.join(index.select("k1").distinct().hint("shuffle_hash"), "k1", "left_semi")
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x x beta"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta"), (8, "")], "item_id long, text string")
