@@ -47,13 +47,18 @@ def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """As settle, but stored in buckets by the key: joins and aggregates by it alone read it without a shuffle."""
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As settle, but stored in buckets by the key: what groups or joins by it alone reads it without a shuffle."""
     name = f"bondsight_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", shared_dir(df.sparkSession)).saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("path", shared_dir(df.sparkSession)).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
+def dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """bucketed, after one shuffle by the key, so that a bucket is one file."""
+    return bucketed(df.repartition(buckets, key), key, buckets)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a settled folder that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

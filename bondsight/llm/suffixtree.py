@@ -79,10 +79,8 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     line, begin = spelled(texts)
     n = len(line) - DEPTH
     key = np.ndarray((max(n, 0),), "<u8", line, strides=(1,)).copy()  # the symbol is the highest byte here
-    symbol = key >> U(56)
     key <<= U(8)
-    key |= symbol
-    del symbol
+    key |= line[DEPTH : DEPTH + len(key)]
     if len(texts) > 1:  # runs that reach over a text's beginning
         inside = np.ones(n, bool)
         for k in range(DEPTH):
@@ -322,6 +320,7 @@ def _ask(shared_):
                 key, of, first, order, bucket = b.each_word(deal.buckets)
                 n = b.taught_times(of, first, len(key))
                 parts = [(WORD, stored["batch"], int(bucket[i]), key[order[i:j]], n[order[i:j]]) for i, j in _spans(bucket)]
+                del of, first
                 key, n, order, bucket = b.taught_runs(deal)
                 parts += [(RUN, stored["batch"], int(bucket[i]), key[order[i:j]], n[order[i:j]]) for i, j in _spans(bucket)]
                 parts += [(RUN, -1, at, keys, times.astype(np.uint32)) for at, keys, times in deal.wholes(key, n)]
@@ -404,7 +403,8 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     docs = shared.documents(docs).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = shared.text_bytes(docs)
     # neighbouring splits are read together, so that batches are full
-    stored = shared.settle(docs.coalesce(int(size / BATCH) + 1).mapInArrow(_pack, PACK))
+    packed = docs.coalesce(int(size / BATCH) + 1).mapInArrow(_pack, PACK)
+    stored = shared.bucketed(packed, "batch", shared.bucket_count(docs, size, BATCH))  # read again where the answers meet the texts
     grams = stored.mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 256 ** NEAR
     buckets, grams = shared.bucket_count(docs, size, BATCH), grams.sort_values("key")
     known = spark.sparkContext.broadcast((buckets, grams["key"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.int64)))
