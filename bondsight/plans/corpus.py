@@ -9,6 +9,7 @@ from bondsight.operators import corpus as c
 from bondsight.plans.reading import FOUND, aliases
 from bondsight.plans.registry import Registry
 from bondsight.sources import tables as src
+from bondsight.sources.views import pick
 
 R = Registry()
 
@@ -31,14 +32,27 @@ def boilerplate_drop(load):
     return c.page_lines(load("pages"), page=True).withColumnRenamed("text", "page_text")
 
 
-@R.query("N04_decode_bytes", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+#: The head of a page that declares no charset, its own, a wrong one, or one that nobody knows.
+DECLARED = ("<meta>", "<meta charset=\"ISO-8859-1\">", "<meta>", "<meta charset=iso-8859-1>", "<meta charset='x-none'>")
+
+
+@R.query("N04_decode_bytes", f"SELECT doc_id, {pick(DECLARED, 'doc_id')} || CASE WHEN doc_id % 5 IN (0, 3) THEN coalesce(text, '') ELSE regexp_replace(coalesce(text, ''), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') END AS text FROM documents")
 def decode_bytes(load):
-    return load("documents").select("doc_id", src.decoded(F.coalesce("text", F.lit("")).cast("binary")).alias("text"))
+    """Documents as UTF-8 and as Western bytes, with charsets declared rightly, wrongly, not at all, and unknown ones."""
+    k = F.col("doc_id") % 5
+    told = F.concat(F.get(F.array(*map(F.lit, DECLARED)), k.cast("int")), F.coalesce("text", F.lit("")))
+    raw = F.when(k.isin(0, 3), told.cast("binary")).otherwise(F.encode(told, "iso-8859-1"))
+    return load("documents").select("doc_id", src.decoded(raw).alias("text"))
 
 
-@R.query("N05_normaliser_choice", "SELECT page_id, CASE WHEN url LIKE '%.pdf' THEN 'reject_pdf' WHEN page_id % 2 = 0 THEN 'issuer_page' ELSE 'filing' END AS normaliser FROM pages")
+@R.query("N05_normaliser_choice", "SELECT page_id, CASE WHEN page_id % 7 = 0 OR page_id % 11 = 3 THEN 'reject_pdf' WHEN regexp_matches(url, '^https://') THEN 'issuer_page' ELSE 'filing' END AS normaliser FROM pages")
 def normaliser_choice(load):
-    return load("pages").select("page_id", F.when(F.col("url").endswith(".pdf"), "reject_pdf").when(F.col("page_id") % 2 == 0, "issuer_page").otherwise("filing").alias("normaliser"))
+    """Pages with media types (some with parameters, wrong or none) and bytes, some of which begin as PDF."""
+    k = F.col("page_id")
+    media = F.when(k % 7 == 0, " Application/PDF; q=1").when(k % 3 == 0, "text/html; charset=utf-8").when(k % 3 == 1, "application/octet-stream")
+    raw = F.when(k % 11 == 3, F.concat(F.lit("%PDF-1.7 "), "html")).otherwise(F.concat(F.lit(" %PDF-"), "html")).cast("binary")
+    kind = F.when(F.parse_url("url", F.lit("PROTOCOL")) == "https", "ir").otherwise("edgar")
+    return load("pages").select("page_id", src.normaliser(media, raw, kind).alias("normaliser"))
 
 
 @R.query("N06_two_hashes", r"SELECT doc_id, sha256(coalesce(text, '')) AS raw_hash, sha256(array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(coalesce(text, '')), " + WIDE_SQL + r"), chr(10)), lambda l: regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')), lambda l: l <> ''), chr(10))) AS text_hash, CAST(strlen(coalesce(text, '')) AS INT) AS raw_size FROM documents")
@@ -57,9 +71,13 @@ def readable_text(load):
     return load("v_documents").select("doc_id", tf.readable(F.col("text")).alias("readable"))
 
 
-@R.query("N08_document_kind", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'edgar' WHEN source = 'src2' THEN 'press_release' ELSE 'other' END AS kind FROM documents")
+@R.query("N08_document_kind", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'edgar' WHEN doc_id % 4 = 0 THEN 'press_release' WHEN doc_id % 4 = 1 THEN 'rating_report' ELSE 'other' END AS kind FROM documents")
 def document_kind(load):
-    return load("documents").select("doc_id", F.when(F.col("source") == "src1", "edgar").otherwise(F.coalesce(F.when(F.col("source") == "src2", "press_release"), F.lit("other"))).alias("kind"))
+    """Kinds out of a JSON text of provenance, which may lack the kind, have an empty one, or be broken."""
+    k = F.col("doc_id") % 4
+    extra = F.when(k == 0, '{"document_type":"press_release","x":1}').when(k == 1, '{"document_type":"rating_report"}').when(k == 2, '{"document_type":""}').otherwise('{"document_type')
+    source_type = F.when(F.col("source") == "src1", "edgar").otherwise(F.col("source"))
+    return load("documents").select("doc_id", src.document_kind(source_type, F.get_json_object(extra, "$.document_type")).alias("kind"))
 
 
 SPANS = "SELECT doc_id, k, s0, s1, substr(text, CAST(s0 AS INT) + 1, 30) AS quote FROM v_gold g JOIN (SELECT doc_id AS d, text FROM v_documents) ON d = doc_id"
@@ -129,10 +147,13 @@ def resolve_cascade(load):
     return c.resolve(docs, issuers(load), by_alias)
 
 
-@R.query("J22_statement_rebind", "SELECT doc_id, k, doc_id % 7 <> 0 AS bound FROM spans", spans=SPANS)
+@R.query("J22_statement_rebind", "SELECT s.doc_id, k, substr(CASE WHEN length(text) % 3 = 0 THEN chr(10) || text WHEN length(text) % 3 = 1 THEN replace(text, 'e', 'E') ELSE text END, CAST(s0 AS INT) + 1, CAST(length(quote) AS INT)) = quote AS bound FROM spans s JOIN v_documents d ON s.doc_id = d.doc_id", spans=SPANS)
 def statement_rebind(load):
-    s = spans(load).withColumn("hash", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("quote", F.lit("x"))).otherwise(F.col("quote")), 256)).withColumn("s1", F.col("s0") + F.length("quote"))
-    return src.rebind(s.drop("quote"), load("v_documents")).select("doc_id", "k", "bound")
+    """Statements recorded on documents that have changed since: a line before, other letters, or nothing."""
+    s = spans(load).withColumn("hash", F.sha2("quote", 256)).withColumn("s1", F.col("s0") + F.length("quote"))
+    k = F.length("text") % 3
+    changed = F.when(k == 0, F.concat(F.lit("\n"), "text")).when(k == 1, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text"))
+    return src.rebind(s.drop("quote"), load("v_documents").select("doc_id", changed.alias("text"))).select("doc_id", "k", "bound")
 
 
 @R.query("L08_claim_verify", """SELECT p.doc_id * 10 + p.idx AS claim_id, CASE WHEN p.idx = 3 THEN 'no_citation' WHEN g.k IS NULL THEN 'unknown_fact' WHEN g.current_lower <> p.current_lower THEN 'unsupported_figure' ELSE 'verified' END AS status

@@ -11,24 +11,34 @@ from bondsight.plans.corpus import SPANS, spans
 from bondsight.plans.rating import ALL, decided
 from bondsight.plans.registry import Registry
 from bondsight.sources import tables as src
+from bondsight.sources.views import quoted
 
 R = Registry()
 
 
-@R.query("M06_outlook_watch", "SELECT event_key, CASE WHEN watch = 'none' THEN new_outlook END AS outlook, watch FROM v_rating_events")
+#: Cells as agencies and issuers spell them, with outlook and watch as they should be read.
+CELLS = [
+    ("Stable", "stable", "none"), (" NEGATIVE ", "negative", "none"), ("Developing", "developing", "none"), ("stabel", None, "none"), ("Négative", None, "none"), ("", None, "none"), (None, None, "none"), ("Outlook stable", None, "none"),
+    ("Review for downgrade", None, "negative"), ("On CreditWatch Positive", None, "positive"), ("rating watch negative (RWN)", None, "negative"), ("Review direction uncertain", None, "developing"), ("under review", None, "none"), ("Stable; RWP", None, "positive"),
+]
+
+
+@R.query("M06_outlook_watch", f"SELECT event_key, CASE event_key % {len(CELLS)} " + " ".join(f"WHEN {i} THEN {quoted(o)}" for i, (_, o, _) in enumerate(CELLS)) + f" END AS outlook, CASE event_key % {len(CELLS)} " + " ".join(f"WHEN {i} THEN {quoted(w)}" for i, (*_, w) in enumerate(CELLS)) + " END AS watch FROM v_rating_events")
 def outlook_watch(load):
-    """Free text made of the event's own outlook or watch, in the agencies' wordings."""
-    w = F.col("watch")
-    watched = F.when(w == "negative", "Review for downgrade").when(w == "positive", "CreditWatch Positive").otherwise("Rating Watch Evolving")
-    outlook, watch = src.outlook_watch(F.when(w != "none", watched).otherwise(F.concat(F.lit(" "), F.initcap("new_outlook"))))
-    return load("v_rating_events").select("event_key", outlook.alias("outlook"), F.coalesce(watch, F.lit("none")).alias("watch"))
+    cells = F.array(*(F.lit(c) for c, *_ in CELLS))
+    outlook, watch = src.outlook_watch(F.get(cells, (F.col("event_key") % len(CELLS)).cast("int")))
+    return load("v_rating_events").select("event_key", outlook.alias("outlook"), watch.alias("watch"))
+
 
+#: Dates as seed files spell them; only a full day is one.
+SPELLED = [("2024-05-06", "2024-05-06"), (" 2024-02-29 ", "2024-02-29"), ("2023-02-29", None), ("2024-05", None), ("2024", None), ("May 6, 2024", None), ("2024-5-6", None), ("2024-05-06T00:00", None), ("06/05/2024", None), ("", None), (None, None)]
 
-@R.query("M07_partial_date", "SELECT event_key, CASE WHEN event_key % 3 = 0 THEN eff END AS as_of FROM v_rating_events")
+
+@R.query("M07_partial_date", f"SELECT event_key, CASE event_key % {len(SPELLED) + 1} " + " ".join(f"WHEN {i} THEN CAST({quoted(d)} AS DATE)" for i, (_, d) in enumerate(SPELLED)) + " ELSE eff END AS as_of FROM v_rating_events")
 def partial_date(load):
-    k = F.col("event_key") % 3
-    text = F.when(k == 0, F.col("eff").cast("string")).when(k == 1, F.date_format("eff", "yyyy-MM")).otherwise(F.date_format("eff", "yyyy"))
-    return load("v_rating_events").select("event_key", src.partial_date(text).alias("as_of"))
+    texts = F.array(*(F.lit(x) for x, _ in SPELLED))
+    at = (F.col("event_key") % (len(SPELLED) + 1)).cast("int")
+    return load("v_rating_events").select("event_key", src.partial_date(F.when(at < len(SPELLED), F.get(texts, at)).otherwise(F.col("eff").cast("string"))).alias("as_of"))
 
 
 @R.query("M08_verification_rank", "SELECT event_key, event_key % 5 >= 3 AS enough FROM v_rating_events")
@@ -69,10 +79,17 @@ def universe_load(load):
     return each.join(shared, "alias").groupBy("alias").agg(F.count_distinct("issuer_id").alias("n"))
 
 
-@R.query("S12_table_sinks", "SELECT event_key, CASE WHEN event_key % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM v_rating_events")
+@R.query("S12_table_sinks", "SELECT issuer_id, arg_max(new_notch, (eff, event_key)) AS notch, CASE WHEN max(eff) >= DATE '1999-01-01' THEN 'second' ELSE 'first' END AS run FROM v_rating_events WHERE agency = 'SP' GROUP BY 1")
 def table_sinks(load):
-    e = load("v_rating_events").select("event_key")
-    return src.upserted(e.withColumn("version", F.lit("old")), e.where("event_key % 4 = 0").withColumn("version", F.lit("new")), "event_key")
+    """The last notch of each issuer, stored in two runs: the second replaces issuers with later events, and is given twice."""
+    e = load("v_rating_events").where("agency = 'SP'")
+    spark, path = e.sparkSession, src.shared_folder(e.sparkSession)
+    last = lambda df, run: df.groupBy("issuer_id").agg(F.max_by("new_notch", F.struct("eff", "event_key")).alias("notch")).withColumn("run", F.lit(run))
+    cut = F.lit("1999-01-01").cast("date")
+    for _ in range(2):
+        src.insert_absent(spark, last(e.where(F.col("eff") < cut), "first"), path, "issuer_id")
+    touched = e.join(e.where(F.col("eff") >= cut).select("issuer_id").distinct(), "issuer_id", "left_semi")
+    return src.upserted(spark.read.parquet(path), last(touched, "second"), "issuer_id")
 
 
 @R.query("C10_gold_build_check", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quote not found' WHEN NOT regexp_matches(added, '(?i)\\bbreach') THEN 'status not supported' END AS problem FROM v_documents")
@@ -113,7 +130,17 @@ def scope_match(load):
     return v.segment_named(rows, load("customer").select(F.lit("I").alias("issuer_id"), segment.alias("segment")).distinct())
 
 
-R.queries["J19_segment_guard"], R.oracles["J19_segment_guard"] = R.queries["V07_scope_match"], R.oracles["V07_scope_match"]
+SEGMENTS = ("widget", "small widget", "cold widget", "brand 1", "brand")
+
+
+@R.query("J19_segment_guard", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN list_max(hits) WHEN 3 THEN CASE WHEN len(hits) > 0 THEN list_max(hits) END WHEN 1 THEN list_max(hits) ELSE NULL END AS segment FROM (SELECT p_partkey, list_filter(" + str(list(SEGMENTS)) + ", lambda s: CASE p_partkey % 5 WHEN 0 THEN regexp_matches(lower(p_name), '^' || s || '\\b') WHEN 1 THEN regexp_matches(lower(p_name), '\\b' || s || '\\b') WHEN 3 THEN regexp_matches(lower(p_name), '\\b' || s || '$') ELSE false END) AS h FROM part), LATERAL (SELECT list_transform(list_sort(list_transform(h, lambda x: lpad(CAST(length(x) AS VARCHAR), 3, '0') || x)), lambda x: x[4:]) AS k), LATERAL (SELECT [k[-1]] AS hits)")
+def segment_guard(load):
+    """Parts as segments: their names begin a sentence, stand in a label, follow a lead, hold something, or are mere mentions."""
+    k, name = F.col("p_partkey") % 5, F.lower("p_name")
+    quote = F.when(k == 0, F.concat(F.initcap("p_name"), F.lit(" sales rose"))).when(k == 1, F.lit("Sales rose")).when(k == 2, F.concat(F.lit("We sold many "), name, F.lit(" items"))).when(k == 3, F.concat(F.lit("The ratio, as to one "), name, F.lit("'s owner, rose"))).otherwise(F.concat(F.lit("Not a "), name, F.lit(", but all")))
+    rows = load("part").select(F.col("p_partkey").alias("id"), F.lit("I").alias("issuer_id"), F.when(k == 1, F.concat(F.lit("Sales "), name)).otherwise("Sales").alias("label"), quote.alias("quote"))
+    segments = rows.sparkSession.createDataFrame([("I", x) for x in SEGMENTS], "issuer_id string, segment string")
+    return v.segment_named(rows, segments)
 
 
 @R.query("V08_issuer_voice", "SELECT doc_id, NOT (doc_id % 4 = 0 AND doc_id % 3 = 0) AS ok FROM documents")

@@ -29,7 +29,8 @@ STATE = {"cand": CAND, "before": BEFORE.format(events="v_rating_events"), "after
 
 def before(load):
     events = load("v_rating_events")
-    found = state.candidates(load("v_rating_candidates").limit(0), load("v_rating_candidates"), events)
+    known = load("v_rating_candidates")
+    found = state.candidates(known.where("origin = 'seed'"), known.where("origin != 'seed'"), events)
     return events, found
 
 

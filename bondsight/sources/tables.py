@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bondsight.functions import textfns as tf
+
 #: Filing items and prospectus forms that make events, with the event's family.
 ITEMS = [
     ("1.01", "other", "material_agreement"), ("2.01", "other", "acquisition_or_disposition"), ("2.02", "earnings", "earnings_release"), ("2.03", "issuance", "direct_financial_obligation"),
@@ -39,6 +42,18 @@ def decoded(raw: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), declared, western(raw))
 
 
+def normaliser(content_type: Column, raw: Column, kind: Column) -> Column:
+    """N-05: PDF by media type or by its first bytes, which nothing here reads; else by the kind of source."""
+    media = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    pdf = (media == "application/pdf") | (F.coalesce(F.substring(raw, 1, 5), F.lit(b"")) == F.lit(b"%PDF-"))
+    return F.when(pdf, "reject_pdf").when(kind == "ir", "issuer_page").otherwise("filing")
+
+
+def document_kind(source_type: Column, stated: Column) -> Column:
+    """N-08: filings are of one kind; other documents of what their provenance states, if anything."""
+    return F.when(source_type == "edgar", "edgar").otherwise(F.coalesce(F.nullif(stated, F.lit("")), F.lit("other")))
+
+
 def filings(index: DataFrame) -> DataFrame:
     """S-01: one row a filing of parallel arrays; rows without date or document go."""
     zipped = index.select("cik", F.posexplode(F.arrays_zip("form", "filingDate", "primaryDocument")).alias("i", "f"))
@@ -106,11 +121,11 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
 
 
 def outlook_watch(text: Column) -> tuple[Column, Column]:
-    """M-06: free text to outlook and watch; a watch leaves the outlook null."""
+    """M-06: free text to outlook and watch; a watch leaves the outlook null, unknown text gives neither."""
     low = F.lower(F.trim(text))
-    watched = low.contains("watch") | low.contains("review")
-    watch = F.when(watched & (low.contains("neg") | low.contains("downgrade")), "negative").when(watched & (low.contains("pos") | low.contains("upgrade")), "positive").when(watched, "developing").otherwise("none")
-    return F.when(low.isin("positive", "stable", "negative", "developing"), low), watch
+    marked = lambda marks: reduce(lambda a, m: a | low.contains(m), marks, F.lit(False))
+    watch = F.coalesce(*(F.when(marked(marks), w) for w, marks in tf.WATCHES.items()), F.lit("none"))
+    return F.when((watch == "none") & low.isin(*tf.OUTLOOKS), low), watch
 
 
 def partial_date(text: Column) -> Column:
