@@ -13,7 +13,9 @@ at every size, but for the items' own tables.
 Phrases are windows of `size` consecutive item words; an item with fewer, but not none, is one window. Null and empty
 texts have no words. A document is known by two 64-bit hashes of its id and text, so that null, repeated and extreme
 ids do no harm, and equal rows of docs give equal rows. A null item_id counts as the id of an empty string. Empty tables
-give no rows, or documents without hits. Other columns are not read, whatever their names.
+give no rows, or documents without hits. Other columns are not read, whatever their names. A very long
+text is cut by one task, and leaves it as one row for each place of an item's term. Terms of equal frequency are taken in
+the order of their hashes and offsets, which changes no result.
 Items' tables are broadcast only below BROADCAST_ROWS rows, counted first; above, the joins shuffle.
 """
 

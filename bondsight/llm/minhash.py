@@ -15,7 +15,9 @@ get another centre, ROUNDS times; what then remains is compared block against bl
 verified inside the task by its weighted shingles, and only the links that join components come back, so that no bucket
 is left with two components untested and no group is expanded into its pairs.
 
-Equal texts are one node. Empty tables give no rows; other columns are not read, whatever their names. Null, empty and blank texts are in a class of their own each. A class's id is its smallest
+Equal texts are one node. Empty tables give no rows; other columns are not read, whatever their names. A text longer than
+a batch is a batch of its own, and where it is verified its task holds it whole. Null, empty and blank texts are in a
+class of their own each. A class's id is its smallest
 doc_id; rows with the same id and text stay or go together. A row without doc_id goes if its class has an id.
 """
 

@@ -5,9 +5,10 @@ and share all sizes; no source's target exceeds `most` times its size, and what
 A source's target is so many whole passes over its documents and a rest. The rest goes to the documents whose hash is
 below a threshold: sizes are summed by source and leading hash digit, the digit is found in which the sum passes the
 rest, and only that digit's documents are summed by their next digit. No sort of documents, and the same documents
-whenever it runs. A document's hash is of its id and text; equal rows go together. Null text has size 0, and a source whose
-sizes are all 0 has target 0. Empty tables give no rows. Columns other than doc_id, text and source are not read; rows that
-are repeated keep all columns, whatever their names.
+whenever it runs. A document's hash is of its id and text; equal rows go together. Null text has size 0, and a source
+whose sizes are all 0 has target 0. A very long text is one size; if its source's rest ends inside its hash digit, it
+goes in if that brings the sum nearer. Empty tables give no rows. Columns other than doc_id, text and source are not
+read; rows that are repeated keep all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ document is scored). As mean and softmax are linear below the exponent, the fitt
 Empty and null texts have no feature and get the bias alone, a score of the labels' rates. Rows without a label, with
 a null label or another value than 0 and 1 aren't learned from; without any label all scores are 0.5. Only doc_id and
 text are read of the documents, doc_id only to find labels; several labels of a doc_id all count, and so do several
-documents of a label. Empty tables give no rows, and other columns, whatever their names, play no part. Texts reach
+documents of a label; equal rows have equal scores, and where hashes tie at the sample's end the smaller id and label
+are taken. Very long texts are scored and learned from whole, a task holding one at a time. Empty tables give no rows, and other columns, whatever their names, play no part. Texts reach
 Python alone, PIECE bytes of them at a time; the labelled sample's features are written to the shared folder by as
 many tasks as the scan has, and one task reads at most `sample` of those rows, in the order of a hash.
 """

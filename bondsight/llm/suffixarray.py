@@ -16,7 +16,8 @@ only which suffixes agree in SIZE bytes, and those are neighbours in one bucket.
 
 Equal texts of larger doc_ids go whole if they have SIZE bytes. A phrase that several documents of a batch hold is sent
 once, for the smallest; the others lose it without asking. Null text is empty. A null doc_id is neither smaller nor
-larger than any: such rows keep everything. Rows with one doc_id don't match each other. Other columns are ignored.
+larger than any: such rows keep everything. Rows with one doc_id don't match each other. An empty table gives no rows; other columns are ignored. A text longer than
+a batch is a batch of its own, held whole by its task.
 """
 
 from __future__ import annotations

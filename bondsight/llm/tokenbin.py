@@ -5,7 +5,9 @@ whole documents with about FILE_IDS ids. A file is a row of bytes in a Parquet t
 writes will do: magic, counts, one frequency table that all its blocks share, the documents' ids and lengths, then
 blocks. A block has LANES interleaved coders of BLOCK ids in all, a crc32, and a checkpoint (all coders' states and
 the place in the block's words) every MARK ids, from which decoding can start: a reader decodes all checkpoints of all
-blocks of a file side by side. Null text is encoded as empty; repeated rows each get their own place.
+blocks of a file side by side. Null text is encoded as empty; repeated rows each get their own place, equal rows next to each other in any order. An
+empty table gives no files and no rows. Columns other than doc_id and text are not read, whatever their names. A very
+long text is encoded by one task and lies in one file, as many blocks as it needs.
 """
 
 from __future__ import annotations

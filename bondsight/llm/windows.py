@@ -3,7 +3,9 @@
 Words are what white space (space, tab to carriage return) parts; a window is `size` consecutive words of a document.
 A word goes if it lies in a window whose words also start anywhere else, in the same document or another. Windows are
 judged on the input. Null, empty and short texts have no window; each row counts as a document, so that a repeated
-row repeats all its windows. Columns other than doc_id and text are ignored. Two independent hashes tell windows
+row repeats all its windows. All places of a repeated window go, so that there are no ties to break. An empty table
+gives no rows; columns other than doc_id and text are ignored. A text longer than a batch is a batch of its own: its
+task holds it whole, with about 40 bytes a word. Two independent hashes tell windows
 apart: one of 64 bits is compared, the other chooses the bucket in which it is.
 """
 
