@@ -424,6 +424,8 @@ def extract_all(sents: DataFrame) -> DataFrame:
 
     All branches read a sentence in one pass; only what they found meets the scales, and flags the dates of their sentence.
     """
+    some = sorted({*w.GUIDANCE_NEEDS, *w.FLAGS_NEED, *w.INSTRUMENTS, "from"})
+    sents = sents.where(has_word(F.col("text"), some))  # most sentences have none of the words that any branch needs
     told, _, skip = bond()
     found = F.concat(
         moves(), F.transform(guidance_hits(), lambda s: _found("guidance")), F.transform(flag_hits(), lambda h: _found("flag", h["aside"], old=F.col("text"))),
