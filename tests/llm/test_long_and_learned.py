@@ -145,3 +145,37 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op3_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "predicted").collect()
     assert len(rows) > 50 and np.mean([r.quality == r.predicted for r in rows]) > 0.9
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_weighted_classes_equal_brute_force(spark, monkeypatch, rounds):
+    """Classes by weighted Jaccard over all pairs, with frequent shingles weighing less; without the weights they differ."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for k in range(3):
+            told = list(own)
+            for at in rng.sample(range(90), k and rng.randint(1, 2)):
+                told[at] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join([*common[: rng.choice([0, 30, 60])], *told]))
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    frequency = Counter(s for c in sets for s in c)
+    monkeypatch.setattr(minhash, "FLOOR", 4)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    span = np.log(len(texts) / 4)
+    weight = {s: 1 - minhash.DAMP * min(max(np.log(max(f / 4, 1)) / span, 0), 1) for s, f in frequency.items()}
+
+    def roots(of):
+        root = list(range(len(texts)))
+        alike = [(i, j) for i in range(len(texts)) for j in range(i) if sum(of[s] * min(n, sets[j][s]) for s, n in sets[i].items()) >= 0.8 * sum(of[s] * max(sets[i][s], sets[j][s]) for s in sets[i] | sets[j]) - 1e-9]
+        for _ in texts:
+            for i, j in alike:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    want = roots(weight)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and want != roots(dict.fromkeys(weight, 1.0)) and len(set(want)) < len(texts)
