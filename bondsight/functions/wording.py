@@ -120,6 +120,14 @@ DEFAULTS = either(["event of default", "events of default"], ["covenant", "coven
 BREACHED = f"{phrase(BREACH)}|{phrase(['failed to', 'failure to', 'did not'], ['comply', 'meet', 'maintain', 'satisfy'])}|{phrase(['has', 'have', 'had'], ['not met'])}|{DEFAULTS}"
 _BREACHES = [*BREACH, "event of default", "events of default"]
 BREACH_DENIED, BREACH_SUPPOSED = before([n for n in NEGATIONS if n != "not"], _BREACHES, 5), before(["future", "potential", "any", "if", "should", "may", "might", "could", "would"], _BREACHES, 4)
+#: What a sentence on covenants speaks of.
+COVENANT_TOPIC = f"(?i){words(COVENANT)}|{phrase(['non compliance', 'noncompliance', 'in compliance with', 'comply with', 'complied with', 'waived', 'waiver', 'waivers', 'forbearance'])}"
+#: A comparison with what is asked for is compliance where the sentence names a contract.
+COMPARED = near([*forms("exceed"), "above", "below", "within", "less than", "in excess of"], "required requirement requirements minimum maximum threshold".split(), 14)
+CONTRACT = phrase([*COVENANT, "contractual requirement", "contractual requirements", "credit agreement", "credit facility"])
+#: A modal anywhere before a breach makes it supposed, unless something is stated before it too.
+BREACH_MODAL = before(MODALS[:4], _BREACHES, 30)
+BREACH_STATED = before("was were is are has have had did received obtained occurred arose entered remained failed", _BREACHES, 30)
 RESOLUTIONS = {
     "waived": phrase("waive waived waiver waivers waiving"),
     "amended": phrase("amend amended amendment amendments amending"),

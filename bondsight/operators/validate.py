@@ -153,6 +153,12 @@ def liquidity_stands(text: Column) -> Column:
 
 
 def covenant_status(text: Column) -> Column:
-    """V-10: breached if a breach is stated, neither denied nor supposed; else risk_of_breach, compliant or mentioned."""
-    stated = text.rlike(w.BREACHED) & ~text.rlike(w.BREACH_DENIED) & ~text.rlike(w.BREACH_SUPPOSED)
-    return F.when(text.rlike(rf"(?i){w.words(w.COVENANT)}"), F.when(stated, "breached").when(text.rlike(w.ANTICIPATED), "risk_of_breach").when(text.rlike(w.COMPLIANT), "compliant").otherwise("mentioned"))
+    """V-10: breached if a breach is stated, neither denied nor supposed; else risk_of_breach, compliant or mentioned.
+
+    A sentence that opens with a condition supposes, and so does a modal with nothing stated between it and the breach;
+    compliance is stated in words or by a comparison with what a contract asks for.
+    """
+    supposed = text.rlike(w.BREACH_SUPPOSED) | text.rlike(w.DOUBT_CONDITION) | (text.rlike(w.BREACH_MODAL) & ~text.rlike(w.BREACH_STATED))
+    stated = text.rlike(w.BREACHED) & ~text.rlike(w.BREACH_DENIED) & ~supposed
+    complies = text.rlike(w.COMPLIANT) | (text.rlike(w.COMPARED) & text.rlike(w.CONTRACT))
+    return F.when(text.rlike(w.COVENANT_TOPIC), F.when(stated, "breached").when(text.rlike(w.ANTICIPATED), "risk_of_breach").when(complies, "compliant").otherwise("mentioned"))

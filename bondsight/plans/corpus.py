@@ -10,6 +10,7 @@ from bondsight.plans.reading import FOUND, aliases
 from bondsight.plans.registry import Registry
 from bondsight.sources import tables as src
 from bondsight.sources.views import pick
+from bondsight.sources.views import quoted as q
 
 R = Registry()
 
@@ -17,19 +18,64 @@ R = Registry()
 WIDE_SQL = f"'{tf.WIDE}{tf.NO_WIDTH}', '{' ' * len(tf.WIDE)}'"
 
 
-@R.query("N01_text_canonical", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(text), " + WIDE_SQL + r"), chr(10)), lambda l: regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')), lambda l: l <> ''), chr(10)) AS text FROM v_documents")
+def clean_sql(text: str) -> str:
+    """N-01 in DuckDB."""
+    line = r"regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')"
+    return f"array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize({text}), {WIDE_SQL}), chr(10)), lambda l: {line}), lambda l: l <> ''), chr(10))"
+
+
+@R.query("N01_text_canonical", f"SELECT doc_id, {clean_sql('text')} AS text FROM v_documents")
 def text_canonical(load):
     return c.canonical(load("v_documents"))
 
 
-@R.query("N02_html_to_lines")
+#: Markup that the given pages lack, one piece put into each page's article.
+MARKUP = (
+    "<table><thead><tr><th>Agency</th><th>Rating</th></tr></thead><tr><td>Fitch&nbsp;Ratings</td><td>BBB&#43;</td></tr><tr><td></td><td> </td></tr></table>",
+    "<header>Group<nav><a href=\"/x\">Contact</a></nav>more</header><header>Annual\u200b report</header><aside>By the way</aside>",
+    "<DIV Class=\"wide Related-links\" id=x>See also</DIV><div STYLE='color:red; Display : NONE'>not shown</div><span class=plain>shown</span><!-- <p>gone</p> -->",
+    "<noscript>off</noscript><template>later</template><h2>Net&#x20;debt &lt; 3x</h2><img src=\"a.png\" alt=\"x\">of EBITDA<hr/>&euro;5m<blockquote>said&emsp;&ensp;so</blockquote>",
+    "<form><p>Name</p></form><section role='Cookie-notice'>Accept</section><svg>drawn</svg><p style=\"display:block\">As of May&#8239;5|</p>|<ul data-component=\"teaser\">more</ul>",
+    "",
+)
+MARKED = f"SELECT page_id, replace(html, '<article>', '<article>' || {pick(MARKUP, 'page_id')}) AS html FROM pages"
+
+
+def _gone(*tags: str) -> list[str]:
+    return [rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in tags]
+
+
+#: In the order in which they are cut; attributes only of elements that hold plain text.
+UNSEEN = [r"(?s)<!--.*?-->", r"<![^>]*>", *_gone("head", "script", "style", "noscript", "template"), r"""(?i)<\w+ [^>]*style\s*=\s*["'][^"'>]*display\s*:\s*none[^>]*>[^<]*</\w+>"""]
+UNSEEN_ON_PAGES = [r"(?i)<header>[^<]*<nav>.*?</nav>[^<]*</header>", *_gone("nav", "aside", "footer", "form", "svg"), rf"""(?i)<\w+ [^>]*(?:id|class|role|data-component)\s*=\s*["']?[^"'>]*(?:{tf.BOILERPLATE.pattern})[^>]*>[^<]*</\w+>"""]
+#: What the entities of the pages stand for, the ampersand last.
+ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&nbsp;": "\u00a0", "&#43;": "+", "&#x20;": " ", "&lt;": "<", "&euro;": "€", "&emsp;": "\u2003", "&ensp;": "\u2002", "&#8239;": "\u202f", "&amp;": "&"}
+
+
+def lines_sql(cut: list[str]) -> str:
+    """N-02, N-03 in DuckDB: unseen elements cut, blocks to line breaks, cells to marks, other tags away, entities read."""
+    text = "html"
+    blocks, cells = (rf"(?:{'|'.join(sorted(tags))})\b[^>]*>" for tags in (tf.BLOCKS, tf.CELLS))
+    for pattern, to in [*((p, "''") for p in cut), (rf"(?i)</?{blocks}", "chr(10)"), (rf"(?i)</{cells}", "' | '"), (rf"(?i)<{cells}", "' '"), (r"</?[A-Za-z][^>]*>", "''")]:
+        text = f"regexp_replace({text}, {q(pattern)}, {to}, 'g')"
+    for name, sign in ENTITIES.items():
+        text = f"replace({text}, {q(name)}, {q(sign)})"
+    return f"SELECT page_id, {clean_sql(text)} AS text FROM marked"
+
+
+def marked(load):
+    html = F.expr(f"replace(html, '<article>', concat('<article>', {pick(MARKUP, 'page_id')}))")
+    return load("pages").select("page_id", html.alias("html"))
+
+
+@R.query("N02_html_to_lines", lines_sql(UNSEEN), marked=MARKED)
 def html_to_lines(load):
-    return c.page_lines(load("pages"), page=False)
+    return c.page_lines(marked(load), page=False)
 
 
-@R.query("N03_boilerplate_drop")
+@R.query("N03_boilerplate_drop", f"SELECT page_id, text AS page_text FROM ({lines_sql([*UNSEEN, *UNSEEN_ON_PAGES])})", marked=MARKED)
 def boilerplate_drop(load):
-    return c.page_lines(load("pages"), page=True).withColumnRenamed("text", "page_text")
+    return c.page_lines(marked(load), page=True).withColumnRenamed("text", "page_text")
 
 
 #: The head of a page that declares no charset, its own, a wrong one, or one that nobody knows.
@@ -55,7 +101,7 @@ def normaliser_choice(load):
     return load("pages").select("page_id", src.normaliser(media, raw, kind).alias("normaliser"))
 
 
-@R.query("N06_two_hashes", r"SELECT doc_id, sha256(coalesce(text, '')) AS raw_hash, sha256(array_to_string(list_filter(list_transform(string_split(translate(nfc_normalize(coalesce(text, '')), " + WIDE_SQL + r"), chr(10)), lambda l: regexp_replace(trim(regexp_replace(l, '[ \t\r\f\v]+', ' ', 'g')), ' ?\|$', '')), lambda l: l <> ''), chr(10))) AS text_hash, CAST(strlen(coalesce(text, '')) AS INT) AS raw_size FROM documents")
+@R.query("N06_two_hashes", f"SELECT doc_id, sha256(coalesce(text, '')) AS raw_hash, sha256({clean_sql("coalesce(text, '')")}) AS text_hash, CAST(strlen(coalesce(text, '')) AS INT) AS raw_size FROM documents")
 def two_hashes(load):
     docs = load("documents")
     clean = c.canonical(docs).select("doc_id", F.sha2("text", 256).alias("text_hash"))

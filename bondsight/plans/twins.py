@@ -165,10 +165,11 @@ MENTIONS = f"SELECT doc_id, start, agency FROM (SELECT doc_id, start, unnest({AG
 
 _WORDS = [w.before(w.MODALS[:4], w.WORRY, 4), w.near(w.WORRY, w.MODALS[:4], 1)]
 LIQUID = f"({says(w.NOT_ENOUGH)} OR ({says(w.WORRIED)} AND NOT {says(w.WORRY_DENIED)} AND NOT {says(w.ADVERSE)} AND NOT {says(_WORDS[0])} AND NOT {says(_WORDS[1])}))"
+_SUPPOSED = f"({says(w.BREACH_SUPPOSED)} OR {says(w.DOUBT_CONDITION)} OR ({says(w.BREACH_MODAL)} AND NOT {says(w.BREACH_STATED)}))"
 COVENANT = picked({
-    "breached": f"{says(w.BREACHED)} AND NOT {says(w.BREACH_DENIED)} AND NOT {says(w.BREACH_SUPPOSED)}", "risk_of_breach": says(w.ANTICIPATED), "compliant": says(w.COMPLIANT),
+    "breached": f"{says(w.BREACHED)} AND NOT {says(w.BREACH_DENIED)} AND NOT {_SUPPOSED}", "risk_of_breach": says(w.ANTICIPATED), "compliant": f"{says(w.COMPLIANT)} OR ({says(w.COMPARED)} AND {says(w.CONTRACT)})",
 }, "'mentioned'")
-IS_COVENANT = says(rf"(?i){w.words(w.COVENANT)}")
+IS_COVENANT = says(w.COVENANT_TOPIC)
 
 # Rating tables: a recursive walk takes a line of each document at a time; what a row says is then read by joins.
 _NAME = r"lower(trim(regexp_replace(regexp_replace(replace(c[1], '’', ''''), '(\(\w{1,2}\)|[*†‡])+$', ''), '\s+', ' ', 'g')))"

@@ -66,6 +66,8 @@ SENTENCES = (
     "On March 31, 2020 we breached the leverage covenant. We breached the leverage covenant again on June 30, 2024. On 1 July 2024 we violated a covenant.",
     "We breached the leverage covenant. A breach of the covenant was found in the first quarter of 2019. Liquidity was strained in 2019. Liquidity was strained by June 30, 2018.",
     "The company has not met the leverage covenant. An event of default under the notes occurred, as a covenant was not kept. We will not remain in compliance with the covenant.",
+    "Net worth was above the required covenant. If sales fall, the company is in breach of the covenant. The covenants might by the end of next year be breached. The lenders agreed to forbearance.\n"
+    "The lenders might agree, as the covenants were breached. A ratio above the minimum was asked for in the waiver.",
     "We had difficulty meeting payments; liquidity fell. Our business is free of liquidity pressure. A reduction of our liquidity was seen. In the absence of liquidity constraints we paid.",
     "We lowered our revenue guidance to EUR 95 million from EUR 110 million for 2024.",
     "There is substantial doubt about our ability to continue as a going concern, as of March 31, 2019.",

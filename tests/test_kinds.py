@@ -76,6 +76,8 @@ def test_wording_of_breaches_and_worries(spark):
     covenants = {
         "The company has not met the leverage covenant.": "breached", "An event of default occurred under the covenant.": "breached", "An event of default occurred.": None, "No event of default under any covenant occurred.": "compliant",
         "We will not remain in compliance with the covenant.": "risk_of_breach", "Any event of default would breach a covenant.": "mentioned",
+        "Net worth was above the required covenant.": "compliant", "The ratio did not exceed the maximum that the covenant allows.": "compliant", "A ratio above the minimum was asked for in the waiver.": "mentioned",
+        "If sales fall, the company is in breach of the covenant.": "mentioned", "The covenants might by the end of next year be breached.": "mentioned", "The lenders might agree, as the covenants were breached.": "breached", "The lenders agreed to forbearance.": "mentioned",
     }
     assert one(spark, validate.covenant_status, list(covenants)) == covenants
     worries = {"We had difficulty meeting payments.": True, "Difficulties in refinancing arose.": True, "A reduction in our liquidity was seen.": True, "We are free of liquidity pressure.": False, "In the absence of constraints we paid.": False, "Liquidity is strong.": False}

@@ -16,7 +16,7 @@ SOME = [
     "J16_gold_match", "Q03_occurrence_scores", "Q05_family_scores", "Q07_missed_gold", "A02_watchlist", "A11_budget_gate", "C11_gold_drift", "L05_recorded_statements",
     "N11_span_verify", "N12_unique_quote_find", "X05_historical", "E01_rating_transitions", "E06_flag_scan", "J04_resolve_cascade", "L08_claim_verify", "S06_canonical_url", "V16_answer_parse",
     "X01_logical_lines", "X02_sentences", "X03_dates", "X06_numbers", "X09_named_entities", "X12_document_agency", "E02_watch_outlook_affirm", "E09_issuance", "E12_ratings_table_current", "E17_skip_ledger", "V09_liquidity_polarity", "V10_covenant_status", "V12_going_concern_status",
-    "S05_page_links", "S08_seed_load", "S11_gold_scan", "S13_alert_sink", "M02_boundary_ig", "M05_composite_average", "M06_outlook_watch", "T07_rating_after_action", "N01_text_canonical", "N06_two_hashes", "L07_alert_card_json", "ST01_incremental_documents", "ST02_alert_digest", "V07_scope_match",
+    "S05_page_links", "S08_seed_load", "S11_gold_scan", "S13_alert_sink", "M02_boundary_ig", "M05_composite_average", "M06_outlook_watch", "T07_rating_after_action", "N01_text_canonical", "N02_html_to_lines", "N03_boilerplate_drop", "N06_two_hashes", "L07_alert_card_json", "ST01_incremental_documents", "ST02_alert_digest", "V07_scope_match",
 ]
 
 
