@@ -40,10 +40,10 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetched(docs: DataFrame) -> DataFrame:
     """Documents as an adapter lands them."""
-    return docs.select(
+    return src.by_range(docs.select(
         F.col("published").alias("day"), "doc_id", F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.coalesce("source", F.lit("other")).alias("kind"),
         F.lit("text/plain; charset=utf-8").alias("content_type"), "issuer_hint", F.col("text").cast("binary").alias("content"),
-    ).repartitionByRange("day", "doc_id")
+    ), "day", "doc_id")
 
 
 def with_source(load) -> DataFrame:

@@ -116,8 +116,14 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """S-13: JSON by day."""
-    alerts.withColumn("day", F.col("eff")).write.mode("overwrite").partitionBy("day").json(path)
+    """S-13: JSON by day. Ranges of days and events share out the folders: a day lies in as few tasks as its rows ask for,
+    and the files are as many as days and ranges, not their product."""
+    by_range(alerts.withColumn("day", F.col("eff")), "day", "event_key").write.mode("overwrite").partitionBy("day").json(path)
+
+
+def by_range(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in as many ranges as the session has shuffle partitions: small ones aren't joined, as each row may be a file."""
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def outlook_watch(text: Column) -> tuple[Column, Column]:
