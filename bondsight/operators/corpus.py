@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
@@ -17,6 +16,7 @@ from pyspark.sql.types import DateType
 from bondsight.functions import scales
 from bondsight.functions import textfns as tf
 from bondsight.functions import wording as w
+from bondsight.operators.shares import each_text
 
 AGENCY = "|".join(sorted((n.replace(".", r"\.") for names in scales.AGENCY_NAMES.values() for n in names), key=len, reverse=True))
 LABEL = "(?:" + "|".join(sorted({x.replace("+", r"\+") for names in (scales.SP, scales.MOODYS, scales.FITCH) for n in names.split() for x in n.split("/")}, key=lambda x: (-len(x), x))) + ")"
@@ -27,18 +27,7 @@ QUOTE = "[\"'“”‘’]"
 
 def sentences(docs: DataFrame, *keep: str) -> DataFrame:
     """X-02: (doc_id, start, end, text), one row a sentence, with the document's columns in `keep`."""
-    own = docs.select("doc_id", "text", *keep)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tf.sentences_of(t or "") for t in batch.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            flat = [x for each in found for x in each]
-            columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *columns, *(batch.column(c).take(at) for c in keep)], names=["doc_id", "start", "end", "text", *keep])
-
-    kept = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(split, f"doc_id long, start long, end long, text string{kept}")
+    return each_text(docs, "doc_id", "text", tf.sentences_of, "start long, end long, text string", *keep)
 
 
 @F.pandas_udf(DateType())
@@ -62,41 +51,21 @@ def historical(text: Column, published: Column) -> Column:
 def dates(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """X-03: (key, day, start, end) of every date; texts without a four-digit year never reach Python."""
 
-    def spot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *x) for d, t in zip(f[key], f.text, strict=True) for x in tf.find_dates(t)]
-            yield pd.DataFrame(rows, columns=[key, "day", "start", "end"])
-
-    return df.where(F.col("text").rlike(r"\b\d{4}\b")).select(key, "text").mapInPandas(spot, f"{key} long, day date, start long, end long")
+    return each_text(df.where(F.col("text").rlike(r"\b\d{4}\b")), key, "text", tf.find_dates, "day date, start long, end long")
 
 
 def page_lines(pages: DataFrame, page: bool) -> DataFrame:
     """N-02, N-03: text of each page, as of a filing or (page) of an issuer's site."""
-
-    def flatten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"page_id": f.page_id, "text": [tf.html_lines(h, page) for h in f.html]})
-
-    return pages.select("page_id", "html").mapInPandas(flatten, "page_id long, text string")
+    return each_text(pages, "page_id", "html", lambda html: [(tf.html_lines(html, page),)], "text string")
 
 
 def logical_lines(docs: DataFrame) -> DataFrame:
     """X-01: (doc_id, start, line)."""
-
-    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *x) for d, t in zip(f.doc_id, f.text.fillna(""), strict=True) for x in tf.lines_of(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "line"])
-
-    return docs.select("doc_id", "text").mapInPandas(join, "doc_id long, start long, line string")
+    return each_text(docs, "doc_id", "text", tf.lines_of, "start long, line string")
 
 
 def canonical(docs: DataFrame) -> DataFrame:
-    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "text": [tf.canonical(t) for t in f.text]})
-
-    return docs.select("doc_id", "text").mapInPandas(clean, "doc_id long, text string")
+    return each_text(docs, "doc_id", "text", lambda text: [(tf.canonical(text),)], "text string")
 
 
 def readings(sents: DataFrame, hits: Column, name: str) -> DataFrame:
