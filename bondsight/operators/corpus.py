@@ -54,9 +54,9 @@ def dates(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return each_text(df.where(F.col("text").rlike(r"\b\d{4}\b")), key, "text", tf.find_dates, "day date, start long, end long")
 
 
-def page_lines(pages: DataFrame, page: bool) -> DataFrame:
-    """N-02, N-03: text of each page, as of a filing or (page) of an issuer's site."""
-    return each_text(pages, "page_id", "html", lambda html: [(tf.html_lines(html, page),)], "text string")
+def page_lines(pages: DataFrame, page: bool, closed: bool = False) -> DataFrame:
+    """N-02, N-03: text of each page, as of a filing or (page) of an issuer's site; closed: entities need their semicolon."""
+    return each_text(pages, "page_id", "html", lambda html: [(tf.html_lines(html, page, closed),)], "text string")
 
 
 def logical_lines(docs: DataFrame) -> DataFrame:

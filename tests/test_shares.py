@@ -2,6 +2,7 @@
 
 from unittest import mock
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -41,3 +42,20 @@ def test_each_text_in_spark(spark):
     docs = spark.createDataFrame([(1, "One. Two.", "a"), (2, None, "b"), (3, "Three", None)], "doc_id long, text string, of string")
     assert sorted(map(tuple, c.sentences(docs, "of").collect())) == [(1, 0, 4, "One.", "a"), (1, 5, 9, "Two.", "a"), (3, 0, 5, "Three", None)]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(sh.BATCH_BYTES)
+
+
+def test_entities_without_a_semicolon():
+    assert tf.html_lines("<h1>A &amp; B&amp</h1><p>&copy; &copyx &am &#38;&#38 &nosuch;</p>", False) == "A & B&\n© ©x &am && &nosuch;"
+    assert tf.html_lines("<h1>A &amp; B&amp</h1><p>&copy; &copyx &am &#38;&#38 &nosuch;</p>", False, closed=True) == "A & B&amp\n© &copyx &am &&#38 &nosuch;"
+
+
+@pytest.mark.parametrize("name", ["N02_html_to_lines", "N03_boilerplate_drop"])
+def test_titles_cut_inside_an_entity(spark, tmp_path, name):
+    """Pages of larger tables have titles that end in &amp, as text was cut after it was escaped."""
+    from bondsight import plans
+
+    rows = [(i, f"u{i}", f"<html><head><title>x</title></head><body><article><h1>{t}</h1><p>{t} a &amp; b</p></article></body></html>") for i, t in enumerate(["R&amp;D &amp", "R&am", "&amp;&amp;&a", "A &", "&quo"] * 6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(plans.ORACLES[name]).fetchall())
