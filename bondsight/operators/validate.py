@@ -100,6 +100,8 @@ def metric_match(label: Column, metric: Column, quote: Column) -> Column:
 
 
 LEADS = ("for", "of", "in", "at")
+#: Shares by the row's id that an issuer's rows are dealt out to, so that one issuer of most rows doesn't meet its segments in one task.
+SHARES = 32
 
 
 def tokens(text: Column) -> Column:
@@ -114,7 +116,10 @@ def segment_named(rows: DataFrame, segments: DataFrame) -> DataFrame:
     possessive, or has them after one of LEADS (an article aside). rows: (id, issuer_id, label, quote); segments:
     (issuer_id, segment).
     """
-    both = rows.join(segments, "issuer_id").withColumns({"s": tokens(F.col("segment")), "q": tokens(F.col("quote")), "l": tokens(F.col("label"))})
+    # words are cut before the join, once a row: behind it, the filter would cut them again at each place that it compares
+    own = rows.select("id", "issuer_id", tokens(F.col("quote")).alias("q"), tokens(F.col("label")).alias("l"), F.pmod(F.xxhash64("id"), F.lit(SHARES).cast("long")).alias("_share"))
+    known = segments.select("issuer_id", "segment", tokens(F.col("segment")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("_share"))
+    both = own.join(known, ["issuer_id", "_share"])
     n = F.size("s")
     at = lambda q: F.filter(F.sequence(F.lit(1), F.greatest(F.size(q) - n + 1, F.lit(1))), lambda i: F.slice(q, i, n) == F.col("s"))
     word = lambda i: F.coalesce(F.get("q", i - 1), F.lit(""))
