@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,7 +60,8 @@ def digest(alerts: DataFrame, ts: str, hours: dict[str, int] | None = None, dela
 class Trailing(StatefulProcessor):
     """ST-03: an issuer's negative P2 events by effective day; an event decides anew the days it can change, and no others.
 
-    State: a day's events. A timer drops a day when the watermark has passed the last day that it can change.
+    State: the issuer's events as parallel lists, read and written once a batch. One timer stands for the earliest day: when
+    the watermark has passed the last day that it can change, it drops all days that are done and is set for the next.
     """
 
     def __init__(self, days: int, least: int) -> None:
@@ -68,27 +69,41 @@ class Trailing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", "keys array<bigint>, families array<string>, raises array<int>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).drop_duplicates(["event_key", "family"])
-        for day, part in new.groupby("day"):
-            held = self.days.getValue((int(day),)) or ([], [], [])
-            known = set(zip(held[0], held[1], strict=True))
-            fresh = [(int(r.event_key), r.family, int(r.raises)) for r in part.itertuples() if (r.event_key, r.family) not in known]
-            self.days.updateValue((int(day),), tuple([*a, *b] for a, b in zip(held, zip(*fresh, strict=True), strict=True)) if fresh else held)
-            self.handle.registerTimer((int(day) + self.span + 1) * DAY_MS)
-        held = {k[0]: v for k, v in self.days.iterator()}
-        arrived = sorted(set(new.day))
-        out = []
-        for day, (keys, families, raises) in held.items():
-            if any(x <= day <= x + self.span for x in arrived):
-                recent = sum(len(v[0]) for d, v in held.items() if day - self.span <= d <= day)
-                out += [(key[0], k, f, r, recent, recent >= self.least) for k, f, r in zip(keys, families, raises, strict=True)]
-        yield pd.DataFrame(out, columns=["issuer_id", "event_key", "family", "raises", "recent", "mod02"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.span - 1,))
+        self.held = handle.getValueState("held", "days array<int>, keys array<bigint>, families array<string>, raises array<int>")
+
+    def due(self, day: int) -> int:
+        return (day + self.span + 1) * DAY_MS
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        days, keys, families, raises = (list(x) for x in self.held.get() or ((), (), (), ()))
+        known, first = set(zip(days, keys, families, strict=True)), min(days, default=None)
+        arrived, seen = set(), set()
+        for r in rows:
+            if (r.event_key, r.family) in seen:
+                continue
+            seen.add((r.event_key, r.family))
+            arrived.add(r.day)
+            if (r.day, r.event_key, r.family) not in known:
+                for held, x in zip((days, keys, families, raises), (r.day, r.event_key, r.family, r.raises), strict=True):
+                    held.append(x)
+        self.held.update((days, keys, families, raises))
+        if first is None or min(days) < first:
+            self.handle.registerTimer(self.due(min(days)))
+        order, come = sorted(days), sorted(arrived)
+        within = lambda ordered, day: bisect_right(ordered, day) - bisect_left(ordered, day - self.span)
+        for day, k, f, r in zip(days, keys, families, raises, strict=True):
+            if within(come, day):
+                recent = within(order, day)
+                yield Row(issuer_id=key[0], event_key=k, family=f, raises=r, recent=recent, mod02=recent >= self.least)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        left = [x for x in zip(*(self.held.get() or ((), (), (), ())), strict=True) if self.due(x[0]) > now]
+        if left:
+            self.held.update(tuple(list(x) for x in zip(*left, strict=True)))
+            self.handle.registerTimer(self.due(min(x[0] for x in left)))
+        else:
+            self.held.clear()
         return iter(())
 
     def close(self) -> None:
@@ -115,7 +130,7 @@ def redecide(based: DataFrame, delay: str, window: int = rules.WINDOW_DAYS, leas
     alone = done(rows.where(~p2 | F.col("eff").isNull()).withColumn("recent", F.lit(0).cast("long")), F.lit(False), F.col("base_rank"))
     timed = rows.where(p2 & F.col("eff").isNotNull()).withColumn("at", F.col("eff").cast("timestamp")).withWatermark("at", delay)
     timed = timed.select("issuer_id", "event_key", "family", "raises", F.unix_date("eff").alias("day"), "at")
-    kept = timed.groupBy("issuer_id").transformWithStateInPandas(Trailing(window, least), "issuer_id string, event_key long, family string, raises int, recent long, mod02 boolean", "Append", "EventTime")
+    kept = timed.groupBy("issuer_id").transformWithState(Trailing(window, least), "issuer_id string, event_key long, family string, raises int, recent long, mod02 boolean", "Append", "EventTime")
     return alone.unionByName(done(kept, F.col("mod02"), F.lit(rules.RANK["P2"])))
 
 

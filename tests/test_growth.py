@@ -1,6 +1,11 @@
 """What a larger table must not make dearer, told by plans and counts."""
 
+from unittest import mock
+
+from pyspark.sql import Row
+
 from bondsight.operators import validate as v
+from bondsight.streaming import jobs
 
 
 def test_segments_are_compared_by_words_cut_before_the_join(spark):
@@ -10,3 +15,23 @@ def test_segments_are_compared_by_words_cut_before_the_join(spark):
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert joins and not any("regexp" in x for x in joins)
     assert {r.id: r.segment for r in found.collect()} == {i: "building" if i % 4 < 2 else None for i in range(32)}
+
+
+def test_trailing_state_is_asked_once_a_batch():
+    """An issuer's hundred days cost one read, one write and one timer; a timer drops all days that are done."""
+    calls, kept, timers = [], {}, []
+    state = mock.Mock(get=lambda: calls.append("get") or kept.get(0), update=lambda x: calls.append("update") or kept.update({0: x}), clear=lambda: calls.append("clear") or kept.clear())
+    handle = mock.Mock(getValueState=lambda *_: state, registerTimer=lambda ms: calls.append("timer") or timers.append(ms))
+    trailing = jobs.Trailing(30, 2)
+    trailing.init(handle)
+    rows = [Row(event_key=d, family="rating", raises=0, day=d) for d in range(100)]
+    out = list(trailing.handleInputRows(("I",), iter([*rows, rows[0]]), None))
+    assert calls == ["get", "update", "timer"] and timers == [31 * jobs.DAY_MS]
+    assert {r.event_key: (r.recent, r.mod02) for r in out} == {d: (min(d + 1, 31), d > 0) for d in range(100)}
+    late = list(trailing.handleInputRows(("I",), iter([Row(event_key=900, family="rating", raises=1, day=50)]), None))
+    assert sorted(r.event_key for r in late) == [*range(50, 81), 900] and timers == [31 * jobs.DAY_MS]
+    watermark = mock.Mock(getCurrentWatermarkInMs=lambda: 40 * jobs.DAY_MS)
+    assert not list(trailing.handleExpiredTimer(("I",), watermark, mock.Mock(getExpiryTimeInMs=lambda: timers[0])))
+    assert min(kept[0][0]) == 10 and len(kept[0][0]) == 91 and timers[1:] == [41 * jobs.DAY_MS]
+    watermark = mock.Mock(getCurrentWatermarkInMs=lambda: 400 * jobs.DAY_MS)
+    assert not list(trailing.handleExpiredTimer(("I",), watermark, mock.Mock(getExpiryTimeInMs=lambda: timers[1]))) and not kept
