@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bondsight.functions import wording as w
 from bondsight.functions.wording import RESOLUTIONS
+from bondsight.operators.shares import held, shares
 
 # Words by which a label fits a metric; who speaks for itself.
 METRIC_WORDS = {"revenue": "revenue|revenues|sales|turnover", "ebitda": "ebitda", "ebit": "ebit|operating result|operating profit|operating income", "fcf": "free cash flow|net cash flow|cash flow", "margin": "margin|return on sales"}
@@ -54,10 +55,11 @@ def candidate_windows(quote: str, text: str) -> Iterator[tuple[int, int]]:
     starts = np.arange(n - m + 1)
     for s in starts[held(starts, starts + m) >= m - GRAM + 1 - GRAM * (2 * m // 10)]:
         yield int(s), int(s) + m
-    for size in range(-(-COMMON * m // (20 - COMMON)), m):  # shorter ones can't have enough in common
-        for s in {0, n - size}:
-            if held(np.array(s), np.array(s + size)) >= m - GRAM + 1 - GRAM * ((m + size) // 10):
-                yield s, s + size
+    sizes = np.arange(-(-COMMON * m // (20 - COMMON)), m)  # shorter ones can't have enough in common
+    for starts in (sizes * 0, n - sizes):
+        ok = held(starts, starts + sizes) >= m - GRAM + 1 - GRAM * ((m + sizes) // 10)
+        for s, size in zip(starts[ok], sizes[ok], strict=True):
+            yield int(s), int(s + size)
 
 
 def best_window(quote: str, text: str) -> tuple[float, int, int]:
@@ -67,9 +69,14 @@ def best_window(quote: str, text: str) -> tuple[float, int, int]:
     if len(quote) > len(text):
         return (found[0], 0, len(text)) if (found := best_window(text, quote))[0] else found
     places, best = places_of(quote), (0.0, -1, -1)
+    seen, from_, to = 0, 0, 0  # the last window that was compared; another has at most one sign more in common for each sign outside it
     for s, e in candidate_windows(quote, text):
-        common, both = common_length(places, len(quote), text[s:e]), len(quote) + e - s
-        if 20 * common >= COMMON * both and (score := 200.0 * common / both, -s, e) > (best[0], -best[1], best[2]):
+        both = len(quote) + e - s
+        most = min(len(quote), seen + (e - s) - max(0, min(e, to) - max(s, from_)))
+        if 20 * most < COMMON * both or (200.0 * most / both, -s, e) <= (best[0], -best[1], best[2]):
+            continue
+        seen, from_, to = common_length(places, len(quote), text[s:e]), s, e
+        if 20 * seen >= COMMON * both and (score := 200.0 * seen / both, -s, e) > (best[0], -best[1], best[2]):
             best = (score, s, e)
     return best
 
@@ -78,7 +85,7 @@ def fuzzy_spans(residue: DataFrame, docs: DataFrame) -> DataFrame:
     """V-02: of statements (doc_id, k, quote) that no exact rule placed, the best window where one passes; null places otherwise."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shares(batches, "text"):
             pairs = zip(batch.column("quote").to_pylist(), batch.column("text").to_pylist(), strict=True)
             found = [best_window(q, t) if q and t else (0.0, -1, -1) for q, t in pairs]
             at = [[None if x[i] < 0 else x[i] for x in found] for i in (1, 2)]
@@ -87,7 +94,7 @@ def fuzzy_spans(residue: DataFrame, docs: DataFrame) -> DataFrame:
                 *(pa.array(x, pa.int64()) for x in at), pa.array(["none" if x is None else "fuzzy" for x in at[0]]),
             ], names=["doc_id", "k", "score", "start", "end", "match"])
 
-    both = residue.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", "quote", "text")
+    both = held(residue.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "k", "quote", "text"))
     return both.mapInArrow(place, "doc_id long, k long, score double, start long, end long, match string")
 
 

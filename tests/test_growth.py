@@ -35,3 +35,17 @@ def test_trailing_state_is_asked_once_a_batch():
     assert min(kept[0][0]) == 10 and len(kept[0][0]) == 91 and timers[1:] == [41 * jobs.DAY_MS]
     watermark = mock.Mock(getCurrentWatermarkInMs=lambda: 400 * jobs.DAY_MS)
     assert not list(trailing.handleExpiredTimer(("I",), watermark, mock.Mock(getExpiryTimeInMs=lambda: timers[1]))) and not kept
+
+
+def test_windows_that_cannot_win_are_not_compared(monkeypatch):
+    """Around its place a quote has a hundred windows that may pass; few are compared, and the best is found."""
+    compared = []
+    common_length = v.common_length
+    monkeypatch.setattr(v, "common_length", lambda *a: compared.append(a) or common_length(*a))
+    told = "The company was in compliance with all covenants. The lenders waived the leverage covenant of the notes due in May."
+    quote = "".join("#" if i % 12 == 0 else x for i, x in enumerate(told))
+    text = "It rained in the town. " * 200 + told + " It rained in the town." * 200
+    windows = list(v.candidate_windows(quote, text))
+    best = max((200.0 * n / (len(quote) + e - s), -s, e) for s, e in windows if 20 * (n := common_length(v.places_of(quote), len(quote), text[s:e])) >= v.COMMON * (len(quote) + e - s))
+    assert v.best_window(quote, text) == (best[0], -best[1], best[2])
+    assert len(windows) > 50 and len(compared) < len(windows) / 3
